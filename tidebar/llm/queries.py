@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, packing, token_files
+from . import common, ngram_join, packing, token_files, toxicity
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_output(common.documents(spark, sf_dir))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_classes(common.documents(spark, sf_dir))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op4_best_fit_packing)}
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op3_ngram_jaccard_join, op4_best_fit_packing, op5_toxicity)}
 ORACLES: dict[str, str] = {}
