@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, ngram_join, packing, token_files, toxicity
+from . import common, embeddings, ngram_join, packing, token_files, toxicity, warc
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,5 +23,21 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op3_ngram_jaccard_join, op4_best_fit_packing, op5_toxicity)}
-ORACLES: dict[str, str] = {}
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op3_ngram_jaccard_join, op4_best_fit_packing, op5_toxicity, op7_warc, op10_embedding_near_dedup)}
+ORACLES: dict[str, str] = {
+    "op7_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, html, octet_length(encode(html)) AS n, max(page_id) OVER (PARTITION BY html) AS holder FROM p)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id <> holder THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> holder THEN holder END AS refers_to
+        FROM d""",
+}
