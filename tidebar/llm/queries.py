@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, embeddings, ngram_join, packing, token_files, toxicity, warc
+from . import common, embeddings, fingerprints, ngram_join, packing, pii, token_files, toxicity, warc
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,11 +27,19 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(common.documents(spark, sf_dir))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(common.documents(spark, sf_dir))
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op3_ngram_jaccard_join, op4_best_fit_packing, op5_toxicity, op7_warc, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op3_ngram_jaccard_join, op4_best_fit_packing, op5_toxicity, op7_warc, op8_document_fingerprints, op9_personal_data, op10_embedding_near_dedup)}
 ORACLES: dict[str, str] = {
     "op7_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
