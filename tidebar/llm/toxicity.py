@@ -145,12 +145,15 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> dict | N
 _READY: dict[tuple, Distances] = {}
 
 
-def score(docs: DataFrame, model: dict | None) -> DataFrame:
-    """docs: doc_id, text. Adds score (0 to 1)."""
+def score(docs: DataFrame, model: dict | None, keep: list[str] | None = None) -> DataFrame:
+    """docs: doc_id, text and the columns in keep. Returns these (doc_id alone by default) and score (0 to 1)."""
     common.small_batches(docs.sparkSession)
+    keep = keep or ["doc_id"]
     if model is None:
-        return docs.withColumn("score", F.lit(0.0)).select("doc_id", "score")
+        return docs.select(*keep, F.lit(0.0).alias("score"))
     toxic, ordinary, weights = model["toxic"], model["ordinary"], model["weights"]
+    rows = docs.select(*[F.col(c) for c in keep], F.col("text").alias("text_scored"))
+    names = [*keep, "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (toxic, ordinary)
@@ -158,11 +161,12 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
             _READY.clear()
             _READY[key] = Distances(toxic, ordinary)
         for batch in batches:
-            x = np.array([features(t, _READY[key]) for t in batch.column(1).to_pylist()]).reshape(-1, len(weights))
+            x = np.array([features(t, _READY[key]) for t in batch.column(len(keep)).to_pylist()]).reshape(-1, len(weights))
             p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "score double"]))
 
 
 def held_out(column: str = "doc_id"):
