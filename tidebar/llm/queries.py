@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, embeddings, fingerprints, ngram_join, packing, pii, token_files, toxicity, warc
+from . import common, embeddings, fingerprints, ngram_join, packing, pii, secrets, segmentation, token_files, toxicity, warc
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_output(common.documents(spark, sf_dir))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(common.documents(spark, sf_dir))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_classes(common.documents(spark, sf_dir))
 
@@ -23,6 +27,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentation.sampled_segmentations(common.documents(spark, sf_dir))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -39,7 +47,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op3_ngram_jaccard_join, op4_best_fit_packing, op5_toxicity, op7_warc, op8_document_fingerprints, op9_personal_data, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_secret_scan, op3_ngram_jaccard_join, op4_best_fit_packing, op5_toxicity, op6_sampled_segmentations, op7_warc, op8_document_fingerprints, op9_personal_data, op10_embedding_near_dedup)}
 ORACLES: dict[str, str] = {
     "op7_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
