@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import bar_queries, market_queries
+
+MODULES = (bar_queries, market_queries)
+QUERIES: dict = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: s for m in MODULES for k, s in m.ORACLES.items()}
