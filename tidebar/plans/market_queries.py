@@ -35,7 +35,7 @@ def orders_metric(spark, sf, symbols):
     return rows.select(*SERIES, (F.col("lo") + F.pmod(F.col("o_orderkey") * 7_919_000, F.col("hi") - F.col("lo"))).alias("event_time_ms"), "value", "o_orderkey")
 
 
-METRIC = f"""{HOURLY}, span AS (SELECT exchange, market_type, symbol, min(open_time) AS lo, max(open_time) AS hi, row_number() OVER (ORDER BY symbol) - 1 AS nth FROM bars GROUP BY ALL),
+METRIC = f"""{HOURLY}, span0 AS (SELECT exchange, market_type, symbol, min(open_time) AS lo, max(open_time) AS hi FROM bars GROUP BY ALL), span AS (SELECT *, row_number() OVER (ORDER BY symbol) - 1 AS nth FROM span0),
     metric AS (SELECT exchange, market_type, symbol, lo + (o_orderkey * 7919000) % (hi - lo) AS event_time_ms, o_totalprice AS value, o_orderkey FROM orders JOIN span ON o_custkey % 5 = nth)"""
 
 
@@ -55,7 +55,7 @@ def jon2_asof_funding(spark, sf):
     return joins.asof_funding(samples, rows).select("symbol", "open_time", "funding_pct", "has_settlement")
 
 
-LIQ = f"{TRADES}, liq AS (SELECT symbol, trade_time_ms - trade_time_ms % 60000 AS open_time, sum(CASE WHEN is_buyer_maker THEN CAST(price AS DECIMAL(18,8)) * CAST(quantity AS DECIMAL(18,8)) ELSE 0 END) AS long_n, sum(CASE WHEN NOT is_buyer_maker THEN CAST(price AS DECIMAL(18,8)) * CAST(quantity AS DECIMAL(18,8)) ELSE 0 END) AS short_n, count(*) FILTER (is_buyer_maker) AS long_count FROM trades GROUP BY ALL)"
+LIQ = f"{TRADES}, liq AS (SELECT symbol, trade_time_ms - trade_time_ms % 60000 AS open_time, sum(CASE WHEN is_buyer_maker THEN CAST(price AS DECIMAL(20,8)) * CAST(quantity AS DECIMAL(10,2)) ELSE 0 END) AS long_n, sum(CASE WHEN NOT is_buyer_maker THEN CAST(price AS DECIMAL(20,8)) * CAST(quantity AS DECIMAL(10,2)) ELSE 0 END) AS short_n, count(*) FILTER (is_buyer_maker) AS long_count FROM trades GROUP BY ALL)"
 
 
 def liquidations(spark, sf):
@@ -454,7 +454,7 @@ def src3_normalize_raw(spark, sf):
 
 @query("ded4_accept_snapshots")
 def ded4_accept_snapshots(spark, sf):
-    rows = bar_table(spark, sf).select(*SERIES, "open_time", F.explode(F.sequence(F.lit(1), F.lit(3))).cast("bigint").alias("sequence"), "high", "low", "volume", F.lit(False).alias("is_closed"), F.lit(False).alias("authoritative"))
+    rows = bar_table(spark, sf).select(*SERIES, "open_time", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(3).cast("bigint"))).alias("sequence"), "high", "low", "volume", F.lit(False).alias("is_closed"), F.lit(False).alias("authoritative"))
     return integrity.accept_snapshots(rows.withColumn("volume", F.when(F.col("sequence") == 2, F.col("volume") / 2).otherwise(F.col("volume")))).drop("exchange", "market_type")
 
 
