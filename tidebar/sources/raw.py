@@ -7,16 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Per kind: the payload's schema, and canonical columns as expressions over p.
-KINDS: dict[str, tuple[str, dict[str, str]]] = {
-    "kline": ("k struct<t:bigint,T:bigint,s:string,i:string,o:string,h:string,l:string,c:string,v:string,q:string,n:bigint,V:string,Q:string,x:boolean>", {"symbol": "p.k.s", "interval": "p.k.i", "open_time": "p.k.t", "close_time": "p.k.T", "open": "double(p.k.o)", "high": "double(p.k.h)", "low": "double(p.k.l)", "close": "double(p.k.c)", "volume": "double(p.k.v)", "quote_volume": "double(p.k.q)", "trades": "p.k.n", "taker_buy_base": "double(p.k.V)", "taker_buy_quote": "double(p.k.Q)", "is_closed": "p.k.x"}),
-    "aggTrade": ("s string, a bigint, p string, q string, f bigint, l bigint, T bigint, E bigint, m boolean", {"symbol": "p.s", "agg_trade_id": "p.a", "price": "double(p.p)", "quantity": "double(p.q)", "first_trade_id": "p.f", "last_trade_id": "p.l", "trade_time_ms": "p.T", "event_time_ms": "p.E", "is_buyer_maker": "p.m"}),
-    "trade": ("s string, t bigint, p string, q string, T bigint, m boolean", {"symbol": "p.s", "agg_trade_id": "p.t", "price": "double(p.p)", "quantity": "double(p.q)", "trade_time_ms": "p.T", "is_buyer_maker": "p.m"}),
-    "ticker": ("s string, c string, o string, h string, l string, v string, q string, E bigint", {"symbol": "p.s", "close": "double(p.c)", "open": "double(p.o)", "high": "double(p.h)", "low": "double(p.l)", "volume": "double(p.v)", "quote_volume": "double(p.q)", "event_time_ms": "p.E"}),
-    "miniTicker": ("s string, c string, o string, h string, l string, v string, q string, E bigint", {"symbol": "p.s", "close": "double(p.c)", "open": "double(p.o)", "high": "double(p.h)", "low": "double(p.l)", "volume": "double(p.v)", "quote_volume": "double(p.q)", "event_time_ms": "p.E"}),
-    "depth": ("s string, U bigint, u bigint, pu bigint, b array<array<string>>, a array<array<string>>, E bigint", {"symbol": "p.s", "first_update_id": "p.U", "final_update_id": "p.u", "previous_final_update_id": "p.pu", "bids": "transform(p.b, x -> named_struct('price', double(x[0]), 'quantity', double(x[1])))", "asks": "transform(p.a, x -> named_struct('price', double(x[0]), 'quantity', double(x[1])))", "event_time_ms": "p.E"}),
-    "liquidation": ("E bigint, o struct<s:string,S:string,o:string,f:string,q:string,p:string,ap:string,X:string,l:string,z:string,T:bigint>", {"symbol": "p.o.s", "order_side": "p.o.S", "order_type": "p.o.o", "time_in_force": "p.o.f", "original_quantity": "double(p.o.q)", "order_price": "double(p.o.p)", "average_price": "double(p.o.ap)", "order_status": "p.o.X", "last_filled_quantity": "double(p.o.l)", "filled_quantity": "double(p.o.z)", "trade_time_ms": "p.o.T", "event_time_ms": "p.E"}),
-    "markPrice": ("s string, p string, i string, r string, T bigint, E bigint", {"symbol": "p.s", "mark_price": "double(p.p)", "index_price": "double(p.i)", "funding_rate": "double(p.r)", "next_funding_time_ms": "p.T", "event_time_ms": "p.E"}),
+#: Per kind the object within the payload that holds the fields, and each canonical column's key and type.
+#: Keys differ by case alone, so payloads are read as maps.
+TICKER = {"symbol": "s string", "close": "c double", "open": "o double", "high": "h double", "low": "l double", "volume": "v double", "quote_volume": "q double", "event_time_ms": "E bigint"}
+KINDS: dict[str, tuple[str | None, dict[str, str]]] = {
+    "kline": ("k", {"symbol": "s string", "interval": "i string", "open_time": "t bigint", "close_time": "T bigint", "open": "o double", "high": "h double", "low": "l double", "close": "c double", "volume": "v double", "quote_volume": "q double", "trades": "n bigint", "taker_buy_base": "V double", "taker_buy_quote": "Q double", "is_closed": "x boolean"}),
+    "aggTrade": (None, {"symbol": "s string", "agg_trade_id": "a bigint", "price": "p double", "quantity": "q double", "first_trade_id": "f bigint", "last_trade_id": "l bigint", "trade_time_ms": "T bigint", "event_time_ms": "E bigint", "is_buyer_maker": "m boolean"}),
+    "trade": (None, {"symbol": "s string", "agg_trade_id": "t bigint", "price": "p double", "quantity": "q double", "trade_time_ms": "T bigint", "is_buyer_maker": "m boolean"}),
+    "ticker": (None, TICKER),
+    "miniTicker": (None, TICKER),
+    "depth": (None, {"symbol": "s string", "first_update_id": "U bigint", "final_update_id": "u bigint", "previous_final_update_id": "pu bigint", "bids": "b levels", "asks": "a levels", "event_time_ms": "E bigint"}),
+    "liquidation": ("o", {"symbol": "s string", "order_side": "S string", "order_type": "o string", "time_in_force": "f string", "original_quantity": "q double", "order_price": "p double", "average_price": "ap double", "order_status": "X string", "last_filled_quantity": "l double", "filled_quantity": "z double", "trade_time_ms": "T bigint"}),
+    "markPrice": (None, {"symbol": "s string", "mark_price": "p double", "index_price": "i double", "funding_rate": "r double", "next_funding_time_ms": "T bigint", "event_time_ms": "E bigint"}),
 }
 REST_KLINE = ["open_time bigint", "open double", "high double", "low double", "close double", "volume double", "close_time bigint", "quote_volume double", "trades bigint", "taker_buy_base double", "taker_buy_quote double"]
 
@@ -31,9 +33,19 @@ def normalize_raw_events(raw: DataFrame, kind: str, adapters: dict[str, Callable
         parts = F.from_json("payload", "array<string>")
         good = rows.withColumn("a", parts).where(F.size("a") >= len(REST_KLINE))
         return good.select("exchange", "market_type", "symbol", *[F.get("a", F.lit(i)).cast(c.split()[1]).alias(c.split()[0]) for i, c in enumerate(REST_KLINE)]), rows.withColumn("a", parts).where(F.coalesce(F.size("a"), F.lit(0)) < len(REST_KLINE)).drop("a")
-    schema, columns = KINDS[kind]
-    rows = rows.drop("symbol").withColumn("p", F.from_json("payload", schema))
-    made = rows.select("exchange", "market_type", "payload", *[F.expr(e).alias(c) for c, e in columns.items()])
+    inner, columns = KINDS[kind]
+    rows = rows.drop("symbol").withColumn("p", F.from_json("payload", "map<string,string>"))
+    if inner:
+        rows = rows.withColumn("event_time", F.col("p")["E"]).withColumn("p", F.from_json(F.col("p")[inner], "map<string,string>"))
+
+    def field(spec: str) -> Column:
+        key, kind_ = spec.split()
+        text = F.col("p")[key]
+        if kind_ == "levels":
+            return F.transform(F.from_json(text, "array<array<string>>"), lambda x: F.struct(x[0].try_cast("double").alias("price"), x[1].try_cast("double").alias("quantity")))
+        return text.try_cast(kind_)
+
+    made = rows.select("exchange", "market_type", "payload", *[field(spec).alias(c) for c, spec in columns.items()], *([F.col("event_time").try_cast("bigint").alias("event_time_ms")] if inner else []))
     bad = F.col("symbol").isNull()
     return made.where(~bad).drop("payload"), made.where(bad).select("exchange", "market_type", "payload")
 
