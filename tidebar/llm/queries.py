@@ -49,6 +49,21 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_output, op2_secret_scan, op3_ngram_jaccard_join, op4_best_fit_packing, op5_toxicity, op6_sampled_segmentations, op7_warc, op8_document_fingerprints, op9_personal_data, op10_embedding_near_dedup)}
 ORACLES: dict[str, str] = {
+    "op3_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END)) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * o >= 75 * (x.n + y.n - o)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        c AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT e.b, c.r FROM c JOIN e ON e.a = c.d)
+        SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c.r) AS component_id FROM documents LEFT JOIN n USING (doc_id) JOIN c ON c.d = doc_id GROUP BY doc_id""",
+    "op10_embedding_near_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+        l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id WHERE list_cosine_similarity(x.v, y.v) >= 0.93),
+        c AS (SELECT vec_id AS d, vec_id AS r FROM v UNION SELECT l.b, c.r FROM c JOIN l ON l.a = c.d),
+        n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+        SELECT v.vec_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_links, min(c.r) AS component_id, v.vec_id = min(c.r) AS kept FROM v LEFT JOIN n ON n.a = v.vec_id JOIN c ON c.d = v.vec_id GROUP BY v.vec_id""",
     "op7_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, html, octet_length(encode(html)) AS n, max(page_id) OVER (PARTITION BY html) AS holder FROM p)
