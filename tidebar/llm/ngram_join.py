@@ -11,7 +11,8 @@ hash). The work is cut along that order, never by pairs:
    order. In each such bucket every class is first paired with one pivot drawn for that bucket, and links join
    classes to components. Only where a bucket still holds several components are its remaining pairs formed
    across components. So no link between different components is lost, and a group of copies never becomes all
-   of its pairs.
+   of its pairs. A pair is dropped in the join where it can't reach the threshold by its sizes, or by 512 parity bits
+   of each set: common n-grams cancel in their difference, so its bits are at most the n-grams that differ.
 4. A pair's overlap is counted fragment by fragment on the two cut sets and summed per pair; that sum is exact.
 
 Defined cases: a text with fewer words than a shingle is one shingle, its whole sequence; a null, empty or blank
@@ -32,6 +33,8 @@ from . import common
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 MANY = 65535  # stands for the frequency of an n-gram met in very many texts
+BITS = [f"bits{i}" for i in range(8)]
+SIDE = ["cls", "n", "alone", *BITS]
 _U = np.uint64
 
 
@@ -178,9 +181,9 @@ def _shared(packed: DataFrame, fragments: int, buckets: int) -> DataFrame:
 
 
 def _candidates(shared: DataFrame, classes: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """cls, n, k, grams: the classes that can reach the threshold, their shared n-grams in the global order, and how
-    many of these lie in the class's prefix."""
-    kinds = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("k", pa.int32()), ("grams", pa.list_(pa.int64()))])
+    """cls, n, k, grams, alone, bits: the classes that can reach the threshold, their shared n-grams in the global order,
+    how many of these lie in the class's prefix, how many n-grams no other class has, and the parity bits of grams."""
+    kinds = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("k", pa.int32()), ("grams", pa.list_(pa.int64())), ("alone", pa.int64()), *((b, pa.int64()) for b in BITS)])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         cls, h, df = [], [], []
@@ -206,11 +209,12 @@ def _candidates(shared: DataFrame, classes: DataFrame, percent: int, buckets: in
             n = size[int(cls[a])]
             k = n + (percent * n) // -100 + 1 - (n - (b - a))
             if k > 0:
-                rows.append({"cls": int(cls[a]), "n": n, "k": k, "grams": h[a:b]})
+                parity = np.packbits((np.bincount(h[a:b] & 511, minlength=512) & 1).astype(np.uint8)).view(np.int64)
+                rows.append({"cls": int(cls[a]), "n": n, "k": k, "grams": h[a:b], "alone": n - (b - a)} | dict(zip(BITS, parity.tolist())))
         return pa.Table.from_pylist(rows, kinds)
 
     classes = classes.select("cls", "n", F.pmod("cls", F.lit(buckets)).alias("bucket"))
-    return shared.groupBy("bucket").cogroup(classes.groupBy("bucket")).applyInArrow(run, "cls long, n long, k int, grams array<long>")
+    return shared.groupBy("bucket").cogroup(classes.groupBy("bucket")).applyInArrow(run, ", ".join(["cls long, n long, k int, grams array<long>, alone long", *(f"{b} long" for b in BITS)]))
 
 
 def _overlaps(pairs: DataFrame, grams: DataFrame, fragments: int) -> DataFrame:
@@ -221,11 +225,18 @@ def _overlaps(pairs: DataFrame, grams: DataFrame, fragments: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("o")).groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("shared"))
 
 
-def _paired(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b, na, nb) with a < b whose sizes allow the threshold; rows has x, nx, y, ny."""
-    ok = rows.where((F.col("x") != F.col("y")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")))
-    swap = F.col("x") < F.col("y")
-    return ok.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(swap, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(swap, F.col("ny")).otherwise(F.col("nx")).alias("nb")).distinct()
+def _may_link(percent: int):
+    """Whether sides x and y of a pair (structs of SIDE) can reach the threshold."""
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    differ = sum((F.bit_count(x(b).bitwiseXOR(y(b))) for b in BITS), x("alone") + y("alone"))
+    sizes = 100 * F.least(x("n"), y("n")) >= percent * F.greatest(x("n"), y("n"))
+    return (x("cls") != y("cls")) & sizes & ((100 + percent) * differ <= (100 - percent) * (x("n") + y("n")))
+
+
+def _paired(rows: DataFrame) -> DataFrame:
+    """Distinct (a, b, na, nb) with a < b from sides x and y."""
+    first = lambda c, o: F.when(F.col("x.cls") < F.col("y.cls"), F.col(f"{c}")).otherwise(F.col(f"{o}"))
+    return rows.select(first("x.cls", "y.cls").alias("a"), first("y.cls", "x.cls").alias("b"), first("x.n", "y.n").alias("na"), first("y.n", "x.n").alias("nb")).distinct()
 
 
 def _links(pairs: DataFrame, grams: DataFrame, percent: int, fragments: int) -> DataFrame:
@@ -259,24 +270,24 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 75, fragment_gr
 
 def _all_links(spark: SparkSession, grams: DataFrame, percent: int, parts: int, pivots: int = 2) -> DataFrame:
     """Links between classes that give the same components as all links do: a, b."""
-    post = grams.select(F.explode(F.slice("grams", F.lit(1), F.col("k"))).alias("h"), "cls", "n")
+    post = grams.select(F.explode(F.slice("grams", F.lit(1), F.col("k"))).alias("h"), F.col("cls").alias("own"), F.struct(*SIDE).alias("x"))
     found = spark.createDataFrame([], "a long, b long")
     done = spark.createDataFrame([], "a long, b long")
     for turn in range(pivots + 1):
         if turn:
             roots = common.connected_components(found)
-            now = post.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+            now = post.join(roots.withColumnRenamed("node", "own"), "own", "left").withColumn("root", F.coalesce("root", "own"))
             mixed = now.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
             open_ = common.keep(now.join(mixed, "h"), "open")
         else:
-            open_ = post.withColumn("root", F.col("cls"))
+            open_ = post.withColumn("root", F.col("own"))
         if turn < pivots:
-            pivot = open_.groupBy("h").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("cls", "h", F.lit(turn)).alias("r"), F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))).alias("p")).where("c > 1")
-            rows = open_.join(pivot, "h").where("root <> p.ry").select(F.col("cls").alias("x"), F.col("n").alias("nx"), "p.y", "p.ny")
+            pivot = open_.groupBy("h").agg(F.count("*").alias("c"), F.min_by(F.struct(F.col("x").alias("y"), F.col("root").alias("other")), F.xxhash64("own", "h", F.lit(turn))).alias("p")).where("c > 1").select("h", "p.y", "p.other")
+            rows = open_.join(pivot, "h").where((F.col("root") != F.col("other")) & _may_link(percent))
         else:
-            other = open_.select("h", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
-            rows = open_.join(other, "h").where("root < ry").select(F.col("cls").alias("x"), F.col("n").alias("nx"), "y", "ny")
-        pairs = common.keep(_paired(rows, percent).join(done, ["a", "b"], "left_anti"), "pairs")
+            other = open_.select("h", F.col("x").alias("y"), F.col("root").alias("other"))
+            rows = open_.join(other, "h").where((F.col("root") < F.col("other")) & _may_link(percent))
+        pairs = common.keep(_paired(rows).join(done, ["a", "b"], "left_anti"), "pairs")
         done = done.union(pairs.select("a", "b"))
         found = found.union(common.keep(_links(pairs, grams, percent, parts), "links"))
     return found
