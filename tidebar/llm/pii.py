@@ -7,7 +7,9 @@ discloses v where its mutual information with v comes close to all the informati
     log2(n(t, v) N / (n(t) n(v))) >= disclosure * log2(N / n(v)),
 
 and it was seen near v in several different contexts, so that copies of one passage are no evidence. Terms that
-disclose a value are spans of kind `term` wherever they stand; redact() removes spans or generalises them.
+disclose a value are spans of kind `term` wherever they stand; redact() removes spans or generalises them. Contexts
+count as different by the least hash of their terms, which near copies share, and at least half of the documents in
+which the two meet must bring one of their own.
 
 Only words near a protected value can disclose it, so only those are counted as terms; the counts themselves run
 over all documents. Where no term is near a value in enough contexts, the later passes have nothing to do.
@@ -17,7 +19,7 @@ often as they stand; null ids are kept; an empty table gives no rows; other colu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -98,20 +100,21 @@ def _terms(text: Column) -> Column:
 
 
 def _contexts(text: Column, spans: Column, reach: int) -> Column:
-    """entity, ctx (a hash of the words around), terms for each base span; words cut by the reach are left out."""
+    """entity and the terms around it for each base span; words cut by the reach are left out."""
 
     def one(s: Column) -> Column:
         lead = F.regexp_replace(F.substring(text, F.greatest(s["start"] - reach, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(reach)).cast("int")), rf"^{WORD}", "")
         tail = F.regexp_replace(F.substring(text, s["end"].cast("int") + 1, F.lit(reach)), rf"{WORD}$", "")
-        return F.struct(_entity(s).alias("entity"), F.xxhash64(lead, tail).alias("ctx"), F.array_distinct(F.concat(_terms(lead), _terms(tail))).alias("terms"))
+        return F.struct(_entity(s).alias("entity"), F.array_distinct(F.concat(_terms(lead), _terms(tail))).alias("terms"))
 
     return F.transform(spans, one)
 
 
 def disclosing_terms(found: DataFrame, docs: DataFrame, disclosure: float = 0.8, contexts: int = 3) -> DataFrame | None:
     """term: those that disclose a protected value; None where no term stands near a value in enough contexts."""
-    near = found.where(F.size("spans") > 0).select("row", F.explode("contexts").alias("x")).select("row", "x.entity", "x.ctx", F.explode("x.terms").alias("term"))
-    joint = near.groupBy("entity", "term", "ctx").agg(F.count_distinct("row").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_tv"), F.count("*").alias("places")).where(F.col("places") >= contexts)
+    near = found.where(F.size("spans") > 0).select("row", F.explode("contexts").alias("x"))
+    near = near.select("row", "x.entity", F.array_min(F.transform("x.terms", lambda t: F.xxhash64(t))).alias("ctx"), F.explode("x.terms").alias("term"))
+    joint = near.groupBy("entity", "term", "ctx").agg(F.count_distinct("row").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_tv"), F.count("*").alias("places")).where((F.col("places") >= contexts) & (2 * F.col("places") >= F.col("n_tv")))
     joint = common.keep(joint, "joint")
     if joint.isEmpty():
         return None
@@ -138,8 +141,14 @@ def find_spans(docs: DataFrame, reach: int = 60, disclosure: float = 0.8, contex
     held = docs.select("row", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).join(terms, "term").groupBy("row").agg(F.collect_set("term").alias("held"))
     held = common.keep(held, "held")
     placed = docs.select("row", "text").join(held, "row").dropDuplicates(["row"])
-    own = F.filter(_located(F.col("text"), WORD), lambda m: F.array_contains("held", F.lower(m["value"])))
-    placed = placed.select("row", F.transform(own, lambda m: F.struct(m["start"].alias("start"), F.lit(ORDER.index("term")).alias("kind"), m["end"].alias("end"), m["value"].alias("value"))).alias("own"))
+    # words in order with the lengths of what stands before them: a running sum gives their places
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    parts = F.arrays_zip(words.alias("value"), F.transform(F.split("text", WORD, -1), lambda g: F.char_length(g)).alias("gap"))
+    placed = placed.select("row", "held", F.posexplode(parts).alias("n", "p")).where("p.value is not null").select("row", "held", "n", "p.value", F.col("p.gap").cast("bigint").alias("gap"))
+    end = F.sum(F.col("gap") + F.char_length("value")).over(Window.partitionBy("row").orderBy("n"))
+    placed = placed.withColumn("end", end).where(F.array_contains("held", F.lower("value")))
+    span = F.struct((F.col("end") - F.char_length("value")).alias("start"), F.lit(ORDER.index("term")).alias("kind"), F.col("end").cast("bigint").alias("end"), "value")
+    placed = placed.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("own"))
     out = found.join(placed, "row", "left")
     outside = F.filter("own", lambda t: ~F.exists("spans", lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
     return out.select("row", "doc_id", "spans", F.coalesce(outside, none).alias("terms"))
