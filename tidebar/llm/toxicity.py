@@ -4,7 +4,7 @@ Two zstandard dictionaries are trained, one on ordinary text and one on what set
 window of a text (a word between neutral margins, as zstandard matches nothing in a window's last bytes) is
 compressed with both; the difference of the two lengths says which text it is nearer to. A document's share and
 number of windows beyond each length difference, and its largest difference, give a score by a logistic curve
-that is calibrated on the training labels, so that 0.3 separates the classes.
+that is calibrated on the training labels and on the share of each class among all of them.
 
 Training reads a bounded sample of labelled rows (per_class of each label, in the order of a hash of their id);
 scoring reads every window of every whole text. Windows repeat, so their lengths are looked up.
@@ -139,6 +139,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> dict | N
     distances = Distances(t, o)
     x = np.array([features(text, distances) for text in toxic + ordinary])
     w = fit_logistic(x, np.array([1.0] * len(toxic) + [0.0] * len(ordinary)))
+    # the sample holds the classes in other shares than all labelled rows do: the constant term is set to theirs
+    share = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
+    w[0] += math.log(share[1] / share[0]) - math.log(len(toxic) / len(ordinary))
     return {"toxic": t, "ordinary": o, "weights": w}
 
 
