@@ -267,7 +267,7 @@ def agg19_feed_health(spark, sf):
 
 
 @query("agg20_activity", f"""WITH e AS (SELECT user_id, epoch_ms(ts) AS t FROM events), n AS (SELECT max(t) AS now FROM e), h AS (SELECT user_id, t - t % {HOUR} AS hour, count(*) AS n FROM e, n WHERE t BETWEEN now - {7 * DAY} AND now GROUP BY ALL)
-    SELECT user_id, round(sum(n / (1 + (now - hour) / {HOUR}.0 / 24)), 8) AS score, CAST(sum(h.n) AS BIGINT) AS n_7d FROM h, n GROUP BY user_id""")
+    SELECT user_id, round(sum(n / (1 + (now - hour) / CAST({HOUR} AS DOUBLE) / 24)), 8) AS score, CAST(sum(h.n) AS BIGINT) AS n_7d FROM h, n GROUP BY user_id""")
 def agg20_activity(spark, sf):
     rows = read(spark, sf, "events").select("user_id", ms("ts").alias("time_ms"), F.lit(1.0).alias("weight"))
     now = rows.agg(F.max("time_ms")).first()[0]
