@@ -296,6 +296,19 @@ def test_disclosing_terms(spark):
     assert "Zebulon" not in clean[100] and "[NAME]" in clean[100] and "[EMAIL]" in clean[200] and clean[0] == rows[0][1]
 
 
+def test_disclosing_terms_in_many_contexts(spark):
+    # one name in hundreds of independent contexts, beside constant words; a passage copied often is one context
+    r = random.Random(9)
+    rows = [(i, say(30, r)) for i in range(100)] + [(1000 + i, f"{say(12, r)} contact Zebulon, zed@ex.com, office {say(12, r)}") for i in range(300)]
+    rows += [(2000 + i, f"{say(12, r)} Quorl, quo@ex.com, {say(12, r)}") for i in range(3)]
+    rows += [(3000 + i, text) for i, text in enumerate([f"{say(12, r)} Rarely, rare@ex.com, {say(12, r)}"] * 200)]
+    rows += [(4000 + i, f"{say(12, r)} Rarely {say(12, r)}, rare@ex.com, {say(12, r)}") for i in range(2)] + [(5000 + i, f"{say(12, r)} rarely {say(12, r)}") for i in range(60)]
+    got = {x.doc_id: x.spans for x in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    marked = lambda d, word: any(k == "term" and dict(rows)[d][int(a):int(b)] == word for k, a, b in (s.split(":") for s in got[d].split(",") if s))
+    assert all(marked(1000 + i, "Zebulon") for i in range(300)) and all(marked(2000 + i, "Quorl") for i in range(3))
+    assert not marked(3000, "Rarely")
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     base_ = rng.standard_normal((60, 16))

@@ -1,21 +1,24 @@
 """Personal data, found by patterns and by what terms reveal of it, in DataFrame operations alone.
 
 Base spans are matches of four kinds of pattern, checked. The method then sanitises by information: over the whole
-corpus it counts in how many documents a protected value v stands, a term t stands, and t stands near v. The term
-discloses v where its mutual information with v comes close to all the information that v carries,
+corpus it counts where a protected value v stands, a term t stands, and t stands near v. The term discloses v where
+its mutual information with v comes close to all the information that v carries,
 
     log2(n(t, v) N / (n(t) n(v))) >= disclosure * log2(N / n(v)),
 
-and it was seen near v in several different contexts, so that copies of one passage are no evidence. Terms that
-disclose a value are spans of kind `term` wherever they stand; redact() removes spans or generalises them. Contexts
-count as different by the least hash of their terms, which near copies share, and at least half of the documents in
-which the two meet must bring one of their own.
+and it was seen near v in several different contexts. Terms that disclose a value are spans of kind `term` wherever
+they stand; redact() removes spans or generalises them.
 
-Only words near a protected value can disclose it, so only those are counted as terms; the counts themselves run
-over all documents. Where no term is near a value in enough contexts, the later passes have nothing to do.
+What is counted are contexts and documents. Contexts with the same words in the same order are one, so copies of a
+passage are no evidence; a copy with another word within reach is another context. n(v) is the number of contexts of v,
+n(t, v) of those that hold t, and n(t) of all contexts that hold t and the documents that hold t in none of their
+contexts; N is the number of all contexts and documents.
 
-Defined cases: null text is empty; a text without matches has no spans; repeated rows are counted and returned as
-often as they stand; null ids are kept; an empty table gives no rows; other columns are ignored."""
+Only words near a protected value can disclose it, so only those are candidates; the counts themselves run over all
+documents. Where no term is near a value in enough contexts, the later passes have nothing to do.
+
+Defined cases: null text is empty; a text without matches has no spans; repeated rows are returned as often
+as they stand, and counted so but for their contexts; null ids are kept; an empty table gives no rows; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -95,36 +98,44 @@ def _entity(s: Column) -> Column:
     return F.xxhash64(s["kind"], F.when(s["kind"] >= 2, _digits(s["value"])).otherwise(F.lower(s["value"])))
 
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
+
 def _terms(text: Column) -> Column:
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: F.char_length(w) >= 3)
+    return F.filter(_words(text), lambda w: F.char_length(w) >= 3)
 
 
 def _contexts(text: Column, spans: Column, reach: int) -> Column:
-    """entity and the terms around it for each base span; words cut by the reach are left out."""
+    """entity, ctx (a hash of all words around), terms for each base span; words cut by the reach are left out."""
 
     def one(s: Column) -> Column:
         lead = F.regexp_replace(F.substring(text, F.greatest(s["start"] - reach, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(reach)).cast("int")), rf"^{WORD}", "")
         tail = F.regexp_replace(F.substring(text, s["end"].cast("int") + 1, F.lit(reach)), rf"{WORD}$", "")
-        return F.struct(_entity(s).alias("entity"), F.array_distinct(F.concat(_terms(lead), _terms(tail))).alias("terms"))
+        return F.struct(_entity(s).alias("entity"), F.xxhash64(_words(lead), F.lit("|"), _words(tail)).alias("ctx"), F.array_distinct(F.concat(_terms(lead), _terms(tail))).alias("terms"))
 
     return F.transform(spans, one)
 
 
 def disclosing_terms(found: DataFrame, docs: DataFrame, disclosure: float = 0.8, contexts: int = 3) -> DataFrame | None:
     """term: those that disclose a protected value; None where no term stands near a value in enough contexts."""
-    near = found.where(F.size("spans") > 0).select("row", F.explode("contexts").alias("x"))
-    near = near.select("row", "x.entity", F.array_min(F.transform("x.terms", lambda t: F.xxhash64(t))).alias("ctx"), F.explode("x.terms").alias("term"))
-    joint = near.groupBy("entity", "term", "ctx").agg(F.count_distinct("row").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_tv"), F.count("*").alias("places")).where((F.col("places") >= contexts) & (2 * F.col("places") >= F.col("n_tv")))
+    each = found.where(F.size("spans") > 0).select(F.explode("contexts").alias("x")).select("x.entity", "x.ctx", "x.terms")
+    near = each.select("entity", "ctx", F.explode("terms").alias("term"))
+    joint = near.distinct().groupBy("entity", "term").agg(F.count("*").alias("n_tv")).where(F.col("n_tv") >= contexts)
     joint = common.keep(joint, "joint")
     if joint.isEmpty():
         return None
-    total = found.count()
-    n_v = found.where(F.size("spans") > 0).select("row", F.explode(F.transform("spans", _entity)).alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_v"))
-    words = docs.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-    n_t = words.join(joint.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    total = found.count() + each.select("ctx").distinct().count()
+    n_v = each.select("entity", "ctx").distinct().groupBy("entity").agg(F.count("*").alias("n_v"))
+    # counted before the join, so that no row of a word in a document is joined; documents with the term in a context go
+    # out again
+    inside = near.select("term", "ctx").distinct().groupBy("term").agg(F.count("*").alias("n"))
+    words = docs.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    again = found.where(F.size("spans") > 0).select(F.explode("near_terms").alias("term")).groupBy("term").agg((-F.count("*")).alias("n"))
+    n_t = inside.union(words).union(again).groupBy("term").agg(F.sum("n").alias("n_t"))
     all_ = joint.join(n_v, "entity").join(n_t, "term")
     mutual = F.log2(F.col("n_tv") * F.lit(float(total)) / (F.col("n_t") * F.col("n_v")))
-    return common.keep(all_.where((F.col("n_v") < total) & (mutual >= disclosure * F.log2(F.lit(float(total)) / F.col("n_v")))).select("term").distinct(), "terms")
+    return common.keep(all_.where(mutual >= disclosure * F.log2(F.lit(float(total)) / F.col("n_v"))).select("term").distinct(), "terms")
 
 
 def find_spans(docs: DataFrame, reach: int = 60, disclosure: float = 0.8, contexts: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,7 +144,9 @@ def find_spans(docs: DataFrame, reach: int = 60, disclosure: float = 0.8, contex
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
     found = docs.withColumn("spans", base_spans(F.col("text")))
-    found = common.keep(found.select("row", "doc_id", "spans", F.when(F.size("spans") > 0, _contexts(F.col("text"), F.col("spans"), reach)).alias("contexts")), "spans")
+    found = found.withColumn("contexts", F.when(F.size("spans") > 0, _contexts(F.col("text"), F.col("spans"), reach)))
+    near_terms = F.when(F.size("spans") > 0, F.array_intersect(_terms(F.col("text")), F.flatten(F.transform("contexts", lambda x: x["terms"]))))
+    found = common.keep(found.select("row", "doc_id", "spans", "contexts", near_terms.alias("near_terms")), "spans")
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string>>")
     terms = disclosing_terms(found, docs, disclosure, contexts)
     if terms is None or terms.isEmpty():
