@@ -340,6 +340,18 @@ def test_embeddings(spark):
     assert embeddings.near_vectors(table.limit(0)).count() == 0
 
 
+def test_recall_of_embeddings_at_many_words(spark):
+    # pairs just above the threshold, each alone in its label, with the codewords of a very large label
+    rng = np.random.default_rng(11)
+    x, z = rng.standard_normal((2, 400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (x * z).sum(1, keepdims=True) * x
+    y = 0.9301 * x + (1 - 0.9301**2) ** 0.5 * z / np.linalg.norm(z, axis=1, keepdims=True)
+    rows = [(2 * i + j, v[i].tolist(), i) for i in range(400) for j, v in enumerate((x, y))]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), words=1024).where("n_links = 1").count()
+    assert got >= 0.985 * 800
+
+
 def test_secrets(spark, docs, none):
     r = random.Random(8)
     hexes = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))

@@ -64,12 +64,45 @@ def list_decode(x: np.ndarray, codes: list[np.ndarray], threshold: float, least:
     return rows, number
 
 
-def near_vectors(table: DataFrame, cosine: float = 0.93, blocks: int = 2, words: int | None = None, passed_filters: int = 40, least: int = 12, seed: int = 17, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def lone_pairs(dim: int, cosine: float, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """n pairs of random unit vectors (n x dim each) at just this cosine."""
+    rng = np.random.default_rng(seed)
+    x, y = rng.standard_normal((2, n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    return x, cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * y
+
+
+def found_pairs(x: np.ndarray, y: np.ndarray, codes: list[np.ndarray], threshold: float, least: int) -> float:
+    """The share of pairs (a row of x, the same row of y) that share a filter."""
+    found, filters = 0, len(codes[0]) ** len(codes)
+    for i in range(0, len(x), 64):
+        (a, m), (b, n) = (list_decode(v[i : i + 64], codes, threshold, least) for v in (x, y))
+        found += len(np.unique(np.intersect1d(a * filters + m, b * filters + n) // filters))
+    return found / len(x)
+
+
+def cap(dim: int, codes: list[np.ndarray], cosine: float, recall: float, passed_filters: float, least: int, pairs: int = 2000) -> float:
+    """The highest threshold tried that passed_filters random directions or more exceed on average, and at which so many
+    of the sampled pairs at this cosine share a filter."""
+    filters, threshold = len(codes[0]) ** len(codes), 0.0
+    x, y = lone_pairs(dim, cosine, pairs, 1) if dim > 1 and -1 < cosine < 1 else (None, None)
+    while passed_filters < filters / 2:
+        threshold = NormalDist().inv_cdf(1 - passed_filters / filters) / math.sqrt(dim)
+        if x is None or found_pairs(x, y, codes, threshold, least) >= recall:
+            return threshold
+        passed_filters *= 1.25
+    return 0.0
+
+
+def near_vectors(table: DataFrame, cosine: float = 0.93, blocks: int = 2, words: int | None = None, passed_filters: int = 40, least: int = 12, seed: int = 17, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", recall: float = 0.995) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector.
 
     words: codewords per block; by default it grows with the root of the largest label, so that a filter holds few
-    vectors at any size. The cap's threshold is the one that passed_filters random directions exceed on average.
-    Recall of single pairs at a cosine of 0.93 in 64 dimensions was measured as 0.99 (128 or 256 words)."""
+    vectors at any size. The cap's threshold is the one that passed_filters random directions exceed on average, or a
+    lower one: for each length of vectors it is lowered until the recall of single pairs at the given cosine, measured on
+    random pairs with the codewords in use, is at least `recall`. README has figures."""
     spark = table.sparkSession
     common.small_batches(spark, 4096)
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("long").alias("label"))
@@ -82,7 +115,8 @@ def near_vectors(table: DataFrame, cosine: float = 0.93, blocks: int = 2, words:
     if words is None:
         largest = classes.groupBy("label").count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
         words = min(1024, max(32, 1 << math.ceil(math.log2(3 * math.sqrt(largest)))))
-    cap = NormalDist().inv_cdf(1 - min(0.5, passed_filters / words**blocks))
+    dims = [r[0] for r in classes.select(F.size("v")).distinct().collect()]
+    caps = {d: cap(d, codewords(d, min(blocks, d), words, seed), cosine, recall, passed_filters, least) for d in dims}
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, list[np.ndarray]] = {}
@@ -96,9 +130,11 @@ def near_vectors(table: DataFrame, cosine: float = 0.93, blocks: int = 2, words:
                 parts = min(blocks, dim)
                 if dim not in made:
                     made[dim] = codewords(dim, parts, words, seed)
-                at, number = list_decode(x, made[dim], cap / math.sqrt(dim), least)
-                take = pa.array(np.array(mine)[at], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(number * 8192 + dim, pa.int64())], ["cls", "label", "filter"])
+                step = max(1, (1 << 18) // words)
+                for i in range(0, len(x), step):
+                    at, number = list_decode(x[i : i + step], made[dim], caps[dim], least)
+                    take = pa.array(np.array(mine)[i + at], pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(number * 8192 + dim, pa.int64())], ["cls", "label", "filter"])
 
     passes = common.keep(classes.select("cls", "label", "v").mapInArrow(passed, "cls long, label long, filter long"), "filters")
     other = passes.select(F.col("cls").alias("b"), "label", "filter")
