@@ -271,7 +271,7 @@ def top1_latest(spark, sf):
     return paging.latest(bar_table(spark, sf), 50).select("symbol", "open_time", "close")
 
 
-@query("sca_buckets", "SELECT event_id, t - t % 420000 AS b7m, 345600000 + CAST(floor((t - 345600000) / 1209600000.0) AS BIGINT) * 1209600000 AS b2w, epoch_ms(make_timestamp(CAST(1970 + m // 12 AS BIGINT), CAST(m % 12 + 1 AS BIGINT), 1, 0, 0, 0.0)) AS b7mo FROM (SELECT event_id, epoch_ms(ts) AS t, ((year(ts) - 1970) * 12 + month(ts) - 1) // 7 * 7 AS m FROM events)")
+@query("sca_buckets", "SELECT event_id, t - t % 420000 AS b7m, 345600000 + CAST(floor((t - 345600000) / 1209600000.0) AS BIGINT) * 1209600000 AS b2w, epoch_ms(make_timestamp(CAST(1970 + m // 12 AS BIGINT), CAST(m % 12 + 1 AS BIGINT), 1, 0, 0, 0.0)) AS b7mo FROM (SELECT event_id, (epoch_us(ts) // 1000) AS t, ((year(ts) - 1970) * 12 + month(ts) - 1) // 7 * 7 AS m FROM events)")
 def sca_buckets(spark, sf):
     rows = read(spark, sf, "events").select("event_id", ms("ts").alias("t"))
     return rows.select("event_id", iv.bucket_floor(F.col("t"), "7m").alias("b7m"), iv.bucket_floor(F.col("t"), "2w").alias("b2w"), iv.bucket_floor(F.col("t"), "7M").alias("b7mo"))

@@ -167,7 +167,7 @@ def sca3_jon16_routes(spark, sf):
     return joins.resolve_routes(wants, have).crossJoin(read(spark, sf, "orders").agg(F.count("*").alias("n_orders")))
 
 
-@query("set5_coalesce_ranges", f"""WITH t AS (SELECT o_orderpriority AS symbol, epoch_ms(o_orderdate) // {DAY} AS a, epoch_ms(o_orderdate) // {DAY} + o_custkey % 2 AS z FROM orders WHERE o_custkey % 40 = 0), w AS (SELECT *, max(z) OVER (PARTITION BY symbol ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM t),
+@query("set5_coalesce_ranges", f"""WITH t AS (SELECT o_orderpriority AS symbol, (epoch_us(o_orderdate) // 1000) // {DAY} AS a, (epoch_us(o_orderdate) // 1000) // {DAY} + o_custkey % 2 AS z FROM orders WHERE o_custkey % 40 = 0), w AS (SELECT *, max(z) OVER (PARTITION BY symbol ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM t),
     i AS (SELECT *, sum(CASE WHEN a <= r + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY a, z) AS g FROM w) SELECT symbol, min(a) AS start, max(z) AS "end" FROM i GROUP BY symbol, g""")
 def set5_coalesce_ranges(spark, sf):
     return ranges.coalesce_ranges(_order_ranges(spark, sf), ["symbol"])
@@ -178,7 +178,7 @@ def _order_ranges(spark, sf):
     return read(spark, sf, "orders").where("o_custkey % 40 = 0").select(F.col("o_orderpriority").alias("symbol"), day.alias("start"), (day + F.col("o_custkey") % 2).alias("end"))
 
 
-@query("set6_subtract_ranges", f"""WITH t AS (SELECT o_orderpriority AS symbol, epoch_ms(o_orderdate) // {DAY} AS a, epoch_ms(o_orderdate) // {DAY} + o_custkey % 2 AS z FROM orders WHERE o_custkey % 40 = 0), r AS (SELECT symbol, min(a) - 5 AS lo, max(z) + 5 AS hi FROM t GROUP BY symbol),
+@query("set6_subtract_ranges", f"""WITH t AS (SELECT o_orderpriority AS symbol, (epoch_us(o_orderdate) // 1000) // {DAY} AS a, (epoch_us(o_orderdate) // 1000) // {DAY} + o_custkey % 2 AS z FROM orders WHERE o_custkey % 40 = 0), r AS (SELECT symbol, min(a) - 5 AS lo, max(z) + 5 AS hi FROM t GROUP BY symbol),
     d AS (SELECT symbol, unnest(range(lo, hi + 1)) AS day FROM r), u AS (SELECT d.* FROM d WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.symbol = d.symbol AND day BETWEEN a AND z)),
     i AS (SELECT *, day - row_number() OVER (PARTITION BY symbol ORDER BY day) AS g FROM u) SELECT symbol, min(day) AS start, max(day) AS "end" FROM i GROUP BY symbol, g""")
 def set6_subtract_ranges(spark, sf):
@@ -216,7 +216,7 @@ def src11_delete_range(spark, sf):
     return integrity.delete_range(rows, {"symbol": "CLICK"}, a, a + 5 * DAY).select("symbol", "open_time")
 
 
-ENVELOPES = "ev AS (SELECT event_type AS kafka_topic, event_id % 3 AS kafka_partition, event_id AS kafka_offset, CAST(event_id // 2 AS VARCHAR) AS event_id, epoch_ms(ts) AS event_time_ms, sha256(CASE WHEN event_id % 10 = 0 THEN 'x' ELSE 'y' END) AS h FROM events)"
+ENVELOPES = "ev AS (SELECT event_type AS kafka_topic, event_id % 3 AS kafka_partition, event_id AS kafka_offset, CAST(event_id // 2 AS VARCHAR) AS event_id, (epoch_us(ts) // 1000) AS event_time_ms, sha256(CASE WHEN event_id % 10 = 0 THEN 'x' ELSE 'y' END) AS h FROM events)"
 
 
 def envelopes(spark, sf):
@@ -266,7 +266,7 @@ def agg19_feed_health(spark, sf):
     return integrity.feed_health(rows, ["symbol"]).select("symbol", "received", "out_of_order", "latency_p50", "latency_p99", "latency_max")
 
 
-@query("agg20_activity", f"""WITH e AS (SELECT user_id, epoch_ms(ts) AS t FROM events), n AS (SELECT max(t) AS now FROM e), h AS (SELECT user_id, t - t % {HOUR} AS hour, count(*) AS n FROM e, n WHERE t BETWEEN now - {7 * DAY} AND now GROUP BY ALL)
+@query("agg20_activity", f"""WITH e AS (SELECT user_id, (epoch_us(ts) // 1000) AS t FROM events), n AS (SELECT max(t) AS now FROM e), h AS (SELECT user_id, t - t % {HOUR} AS hour, count(*) AS n FROM e, n WHERE t BETWEEN now - {7 * DAY} AND now GROUP BY ALL)
     SELECT user_id, round(sum(n / (1 + (now - hour) / CAST({HOUR} AS DOUBLE) / 24)), 8) AS score, CAST(sum(h.n) AS BIGINT) AS n_7d FROM h, n GROUP BY user_id""")
 def agg20_activity(spark, sf):
     rows = read(spark, sf, "events").select("user_id", ms("ts").alias("time_ms"), F.lit(1.0).alias("weight"))

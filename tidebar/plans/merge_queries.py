@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-@query("sca25_sca29_scalars", """SELECT o_orderkey, CASE WHEN o_totalprice > 0 THEN round((o_totalprice - 100000) / 100000 * 10000, 6) END AS basis_bps, (epoch_ms(o_orderdate) + 29999 + 30000) // 60000 * 60000 AS cycle,
+@query("sca25_sca29_scalars", """SELECT o_orderkey, CASE WHEN o_totalprice > 0 THEN round((o_totalprice - 100000) / 100000 * 10000, 6) END AS basis_bps, ((epoch_us(o_orderdate) // 1000) + 29999 + 30000) // 60000 * 60000 AS cycle,
     CASE WHEN w >= 86400000 THEN '1d' WHEN w >= 43200000 THEN '12h' WHEN w >= 21600000 THEN '6h' WHEN w >= 14400000 THEN '4h' WHEN w >= 7200000 THEN '2h' WHEN w >= 3600000 THEN '1h' WHEN w >= 1800000 THEN '30m' WHEN w >= 900000 THEN '15m' ELSE '5m' END AS period, o_orderstatus = 'F' AS closed
     FROM (SELECT *, o_custkey % 50 * 3600000 AS w FROM orders)""")
 def sca25_sca29_scalars(spark, sf):
@@ -90,7 +90,7 @@ def set1_merge_metric(spark, sf):
     return integrity.merge_metric(rows.where("o_orderkey % 2 = 0"), rows.where("o_orderkey % 2 = 1"), 100).select("symbol", "sample_time", "o_orderkey")
 
 
-@query("set2_src9_funding_merge", "SELECT symbol, cycle, o_orderkey FROM (SELECT o_orderpriority AS symbol, (epoch_ms(o_orderdate) + 30000) // 60000 * 60000 AS cycle, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority, epoch_ms(o_orderdate) ORDER BY o_orderkey % 2 DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1")
+@query("set2_src9_funding_merge", "SELECT symbol, cycle, o_orderkey FROM (SELECT o_orderpriority AS symbol, ((epoch_us(o_orderdate) // 1000) + 30000) // 60000 * 60000 AS cycle, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority, (epoch_us(o_orderdate) // 1000) ORDER BY o_orderkey % 2 DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1")
 def set2_src9_funding_merge(spark, sf):
     rows = read(spark, sf, "orders").select(F.lit("sim").alias("exchange"), F.lit("spot").alias("market_type"), F.col("o_orderpriority").alias("symbol"), ms("o_orderdate").alias("funding_time_ms"), (F.col("o_orderkey") % 2 == 1).alias("is_final"), F.col("o_orderkey").alias("received_at_ms"), "o_orderkey")
     return integrity.upsert_metric(rows.where("o_orderkey % 3 = 0"), rows.where("o_orderkey % 3 <> 0"), "funding").select("symbol", F.col("funding_cycle_ms").alias("cycle"), "o_orderkey")
@@ -175,7 +175,7 @@ def str4_flow_in_order(spark, sf):
     return keyed.trade_flow_in_order(trades(spark, sf).withColumn("arrival", F.col("agg_trade_id"))).select("symbol", "open_time", F.round("buy_base", 8).alias("buy_base"), "agg_count")
 
 
-@query("sca9_eligible_opens", f"SELECT event_id, t - t % {HOUR} - {HOUR} AS closed_open, least(t - t % {HOUR} - {HOUR}, 1704672000000) AS eligible FROM (SELECT event_id, epoch_ms(ts) AS t FROM events)")
+@query("sca9_eligible_opens", f"SELECT event_id, t - t % {HOUR} - {HOUR} AS closed_open, least(t - t % {HOUR} - {HOUR}, 1704672000000) AS eligible FROM (SELECT event_id, (epoch_us(ts) // 1000) AS t FROM events)")
 def sca9_eligible_opens(spark, sf):
     rows = read(spark, sf, "events").select("event_id", ms("ts").alias("t"))
     return rows.select("event_id", iv.last_closed_open(F.col("t"), "1h").alias("closed_open"), iv.latest_eligible_open(F.col("t"), F.lit(1704672000000), "1h").alias("eligible"))

@@ -32,7 +32,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TRADES = """trades AS (SELECT 'sim' AS exchange, 'spot' AS market_type, upper(event_type) AS symbol, event_id AS agg_trade_id, value AS price,
-    CAST(1 + k % 10 AS DOUBLE) AS quantity, epoch_ms(ts) AS trade_time_ms, k % 2 = 1 AS is_buyer_maker, event_id * 10 AS first_trade_id, event_id * 10 + k % 3 AS last_trade_id
+    CAST(1 + k % 10 AS DOUBLE) AS quantity, (epoch_us(ts) // 1000) AS trade_time_ms, k % 2 = 1 AS is_buyer_maker, event_id * 10 AS first_trade_id, event_id * 10 + k % 3 AS last_trade_id
     FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))"""
 
 
@@ -47,7 +47,7 @@ def line_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LINE_TRADES = """trades AS (SELECT 'sim' AS exchange, 'spot' AS market_type, l_returnflag || l_linestatus AS symbol, l_orderkey * 10 + l_linenumber AS agg_trade_id,
-    l_extendedprice / l_quantity AS price, l_quantity AS quantity, epoch_ms(l_shipdate) AS trade_time_ms, l_linenumber % 2 = 0 AS is_buyer_maker,
+    l_extendedprice / l_quantity AS price, l_quantity AS quantity, (epoch_us(l_shipdate) // 1000) AS trade_time_ms, l_linenumber % 2 = 0 AS is_buyer_maker,
     CAST(NULL AS BIGINT) AS first_trade_id, CAST(NULL AS BIGINT) AS last_trade_id FROM lineitem)"""
 
 
