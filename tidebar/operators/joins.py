@@ -10,18 +10,31 @@ from pyspark.sql import functions as F
 from ..functions import intervals as iv
 from ..schemas import SERIES
 
+#: Width of the stretches in which as-of joins sort: long enough that few rows look beyond their own.
+STRETCH = 86_400_000
 OHLCV = ["open", "high", "low", "close", "volume"]
 
 
-def _asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, value: str, forward: bool, right_first: bool) -> DataFrame:
-    """left with `value`: of the nearest right row at or after (forward) or before it. One sort of the union per key and
-    no range join; right_first tells whether a right row comes before a left row of the same time."""
+def _asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, value: str, forward: bool, right_first: bool, stretch_ms: int = STRETCH) -> DataFrame:
+    """left with `value`: of the nearest right row at or after (forward) or before it. right_first tells whether a right row
+    comes before a left row of the same time.
+
+    The union of both is cut into stretches of time. In a stretch one sort and one running frame find the nearest row;
+    what lies in an earlier stretch (forward: a later one) is carried by one narrow row per stretch that has right rows.
+    So a long series is many tasks, no frame looks past the current row, and there are no range joins."""
     a = left.withColumns({"as_of": F.col(left_time), "as_side": F.lit(1)})
     b = right.select(*keys, F.col(right_time).alias("as_of"), F.col(value).alias("as_value"), F.lit(0 if right_first else 2).alias("as_side"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("as_of", "as_side")
-    nearest = F.first("as_value", True).over(w.rowsBetween(0, Window.unboundedFollowing)) if forward else F.last("as_value", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("as_value", nearest).where("as_side = 1").withColumnRenamed("as_value", value).drop("as_of", "as_side")
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("as_stretch", F.floor(F.col("as_of") / stretch_ms))
+    near = [F.desc("as_of"), F.desc("as_side")] if forward else [F.asc("as_of"), F.asc("as_side")]
+    running = Window.partitionBy(*keys, "as_stretch").orderBy(*near).rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumn("as_value", F.last("as_value", True).over(running)).where("as_side = 1")
+    edge = F.min_by if forward else F.max_by
+    ends = b.where("as_value is not null").groupBy(*keys, F.floor(F.col("as_of") / stretch_ms).alias("as_stretch")).agg(edge("as_value", "as_of").alias("as_end"))
+    wanted = a.select(*keys, F.floor(F.col("as_of") / stretch_ms).alias("as_stretch")).distinct()
+    order = Window.partitionBy(*keys).orderBy(F.desc("as_stretch") if forward else F.asc("as_stretch")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.join(wanted, [*keys, "as_stretch"], "full_outer").withColumn("as_carried", F.last("as_end", True).over(order)).select(*keys, "as_stretch", "as_carried")
+    rows = rows.join(carried, [*keys, "as_stretch"], "left").withColumn("as_value", F.coalesce("as_value", "as_carried"))
+    return rows.withColumnRenamed("as_value", value).drop("as_of", "as_side", "as_stretch", "as_carried")
 
 
 def asof_metric(metric: DataFrame, bars: DataFrame, final_wins: bool = False, time: str = "event_time_ms", value: str = "value") -> DataFrame:
@@ -135,8 +148,8 @@ def daily_open(prices: DataFrame, daily: DataFrame, minutes: DataFrame) -> DataF
 
 
 def alert_candidates(rules: DataFrame, bars: DataFrame, event: str) -> DataFrame:
-    """Enabled rules on the bars of their target (null parts of a target match anything). The rules are the small side;
-    Spark broadcasts them where their measured size allows."""
+    """Enabled rules on the bars of their target. A null exchange, market type or interval of a target matches any; a rule
+    without a symbol is passed over. The rules are the small side; Spark broadcasts them where their measured size allows."""
     r = rules.where(F.col("enabled") & (F.col("triggerOn") == event)).select(F.col("id").alias("rule_id"), F.col("name").alias("rule_name"), "target", "expression", "cooldownMs", "expiresAt", "maxTriggers")
     parts = {"exchange": "exchange", "marketType": "market_type", "symbol": "symbol", "interval": "interval"}
     same = [F.col(f"target.{t}").isNull() | (F.lower(f"target.{t}") == F.lower(c)) if t != "interval" else F.col("target.interval").isNull() | (F.col("target.interval") == F.col(c)) for t, c in parts.items() if t != "symbol"]
