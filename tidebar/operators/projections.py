@@ -1,9 +1,10 @@
 """Charts whose axis is not time. Each is an ordered state machine over closes in ticks, one series at a time; closes
 that are null or equal the one before are dropped first, as they change no state. A series' state can be saved and
-carried on: every function takes and gives it as plain data."""
+carried on: the *_steps functions take and give it as plain data, and carry_on() as a table of series and states."""
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Iterator
 
@@ -24,7 +25,7 @@ def identity(bars: DataFrame) -> DataFrame:
     return bars.select(*SERIES, F.col("open_time").alias("source_time"), "open", "high", "low", "close")
 
 
-def renko_steps(closes: Iterator[tuple[int, int]], box: int, state: dict | None = None) -> tuple[list[Emit], dict]:
+def renko_steps(closes: Iterator[tuple[int, int]], box: int, state: dict | None = None, ended: bool = True) -> tuple[list[Emit], dict]:
     """A brick for each box that the close goes on; a turn needs two boxes and its first brick starts one box back."""
     s = dict(state or {"last": None, "up": None, "order": 0, "since": None})
     out: list[Emit] = []
@@ -52,7 +53,7 @@ def renko_steps(closes: Iterator[tuple[int, int]], box: int, state: dict | None
     return out, s
 
 
-def line_break_steps(closes: Iterator[tuple[int, int]], lines: int, state: dict | None = None) -> tuple[list[Emit], dict]:
+def line_break_steps(closes: Iterator[tuple[int, int]], lines: int, state: dict | None = None, ended: bool = True) -> tuple[list[Emit], dict]:
     """A line where the close leaves the range of the last lines; it opens at the last line's end on that side."""
     s = dict(state or {"anchor": None, "since": None, "lines": [], "order": 0})
     s["lines"] = list(s["lines"])
@@ -77,9 +78,9 @@ def line_break_steps(closes: Iterator[tuple[int, int]], lines: int, state: dict
     return out, s
 
 
-def kagi_steps(closes: Iterator[tuple[int, int]], reversal: int, state: dict | None = None) -> tuple[list[tuple], dict]:
+def kagi_steps(closes: Iterator[tuple[int, int]], reversal: int, state: dict | None = None, ended: bool = True) -> tuple[list[tuple], dict]:
     """Legs that go on with the trend and turn by the reversal. A leg turns yang above the last shoulder, yin below the
-    last waist. The last leg may still grow."""
+    last waist. The last leg may still grow; it is given only where the closes have ended."""
     s = dict(state or {"anchor": None, "since": None, "up": None, "start": 0, "end": 0, "to": None, "from": None, "style": "yin", "first_style": "yin", "shoulder": None, "waist": None, "order": -1})
     legs: list[tuple] = []
 
@@ -118,13 +119,14 @@ def kagi_steps(closes: Iterator[tuple[int, int]], reversal: int, state: dict | N
             s["from"] = s["to"]
             s.update(up=not s["up"], start=turn, end=close, to=time, order=s["order"] + 1, first_style=s["style"])
             tail()
-    if s["up"] is not None:
+    if s["up"] is not None and ended:
         legs.append(leg())
     return legs, s
 
 
-def point_figure_steps(closes: Iterator[tuple[int, int]], box: int, reversal: int, state: dict | None = None) -> tuple[list[Emit], dict]:
-    """Columns of X (up) and O (down) boxes; a new column starts one box off the last. The last column may still grow."""
+def point_figure_steps(closes: Iterator[tuple[int, int]], box: int, reversal: int, state: dict | None = None, ended: bool = True) -> tuple[list[Emit], dict]:
+    """Columns of X (up) and O (down) boxes; a new column starts one box off the last. The last column may still grow; it is
+    given only where the closes have ended."""
     s = dict(state or {"anchor": None, "since": None, "up": None, "low": 0, "high": 0, "from": None, "to": None, "order": -1})
     out: list[Emit] = []
     column = lambda: (s["order"], s["to"], 0, "x" if s["up"] else "o", s["low"] if s["up"] else s["high"], s["high"], s["low"], s["high"] if s["up"] else s["low"], s["from"])
@@ -148,42 +150,78 @@ def point_figure_steps(closes: Iterator[tuple[int, int]], box: int, reversal: in
                 s.update({"from": s["since"] if s["up"] is None else s["to"]})
                 s.update(up=sign > 0, low=min(near, far), high=max(near, far), to=time, order=s["order"] + 1)
             break
-    if s["up"] is not None:
+    if s["up"] is not None and ended:
         out.append(column())
     return out, s
 
 
-def _project(bars: DataFrame, sizes: DataFrame, steps: Callable) -> DataFrame:
-    """sizes: SERIES, tick and size (in ticks). Sorted in the shuffle, one series to a group."""
+_COLUMNS = [c.split()[0] for c in STEPS.split(", ")]
+CHARTS: dict[str, Callable] = {"renko": renko_steps, "line_break": line_break_steps, "kagi": kagi_steps, "point_figure": point_figure_steps}
+
+
+def _project(bars: DataFrame, sizes: DataFrame, steps: Callable, states: DataFrame | None = None) -> DataFrame:
+    """STEPS and state: the steps of every series, and at its end a row that has its state alone (a JSON text). sizes:
+    SERIES, tick and size (in ticks); states: SERIES and state, where a series carries on.
+
+    Series are sorted in the shuffle and read as a stream of batches, so a task holds one batch and one state however long
+    a series is."""
     rows = bars.where(F.col("close").isNotNull() & ~F.isnan("close")).join(sizes, SERIES)
     rows = rows.select(*SERIES, "open_time", to_ticks(F.col("close"), F.col("tick")).alias("ticks"), "tick", "size")
     before = F.lag("ticks").over(Window.partitionBy(*SERIES).orderBy("open_time"))
     rows = rows.withColumn("before", before).where(F.col("before").isNull() | (F.col("before") != F.col("ticks"))).drop("before")
+    rows = rows.join(states.select(*SERIES, "state"), SERIES, "left") if states is not None else rows.withColumn("state", F.lit(None).cast("string"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, state, tick, size = None, None, 1.0, 1
+
+        def table(made: list, state_text: str | None = None) -> pd.DataFrame:
+            price = lambda t: round(t * tick, 12)
+            out = [(*held, o, t, n, since, d, *map(price, (a, hi, lo, c)), *(style or (None,)), None) for o, t, n, d, a, hi, lo, c, since, *style in made]
+            out += [(*held, *[None] * (len(_COLUMNS) - 3), state_text)] if state_text else []
+            return pd.DataFrame(out, columns=[*_COLUMNS, "state"]).astype({c: "Int64" for c in ("axis_order", "source_time", "source_ordinal", "source_from")})
+
+        def end() -> pd.DataFrame:
+            made, last = steps(iter(()), size, state, True)
+            return table(made, json.dumps(last))
+
+        for frame in frames:
+            for key, part in frame.groupby(SERIES, sort=False):
+                if key != held:
+                    if held:
+                        yield end()
+                    held, tick, size = key, float(part["tick"].iloc[0]), int(part["size"].iloc[0])
+                    saved = part["state"].iloc[0]
+                    state = json.loads(saved) if isinstance(saved, str) else None
+                made, state = steps(zip(part["open_time"].tolist(), part["ticks"].tolist()), size, state, False)
+                yield table(made)
+        if held:
+            yield end()
+
+    return rows.repartition(*SERIES).sortWithinPartitions(*SERIES, "open_time").mapInPandas(run, f"{STEPS}, state string")
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("open_time")
-        tick, size = float(frame["tick"].iloc[0]), int(frame["size"].iloc[0])
-        made, _ = steps(zip(frame["open_time"].tolist(), frame["ticks"].tolist()), size)
-        price = lambda t: round(t * tick, 12)
-        return pd.DataFrame([(*key, o, t, n, since, d, *map(price, (a, hi, lo, c)), *(style or (None,))) for o, t, n, d, a, hi, lo, c, since, *style in made], columns=[c.split()[0] for c in STEPS.split(", ")])
 
-    return rows.groupBy(*SERIES).applyInPandas(run, STEPS)
+def carry_on(chart: str, bars: DataFrame, sizes: DataFrame, states: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """(steps, states) of a chart in CHARTS over bars that follow those of the given states; without states, from the start.
+    A leg or column that was still growing comes again, grown. options: reversal of point_figure."""
+    steps = lambda closes, size, state, ended: CHARTS[chart](closes, size, *options.values(), state=state, ended=ended)
+    both = _project(bars, sizes, steps, states)
+    return both.where("state is null").drop("state"), both.where("state is not null").select(*SERIES, "state")
 
 
 def renko(bars: DataFrame, sizes: DataFrame) -> DataFrame:
-    return _project(bars, sizes, renko_steps)
+    return carry_on("renko", bars, sizes)[0]
 
 
 def line_break(bars: DataFrame, ticks: DataFrame, lines: int = 3) -> DataFrame:
-    return _project(bars, ticks.withColumn("size", F.lit(lines)), line_break_steps)
+    return carry_on("line_break", bars, ticks.withColumn("size", F.lit(lines)))[0]
 
 
 def kagi(bars: DataFrame, sizes: DataFrame) -> DataFrame:
-    return _project(bars, sizes, kagi_steps)
+    return carry_on("kagi", bars, sizes)[0]
 
 
 def point_figure(bars: DataFrame, sizes: DataFrame, reversal: int = 3) -> DataFrame:
-    return _project(bars, sizes, lambda closes, box: point_figure_steps(closes, box, reversal))
+    return carry_on("point_figure", bars, sizes, reversal=reversal)[0]
 
 
 def box_size(bars: DataFrame, tick: float, length: int = 14) -> DataFrame:
