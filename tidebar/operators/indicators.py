@@ -52,10 +52,19 @@ def chunk_scan(rows: DataFrame, index: str, start: int | Column, decay: float, s
     rows = rows.withColumn("grown", grown)
     last = F.max("place")
     summary = rows.groupBy(*SERIES, "chunk").agg((F.sum("grown") * F.pow(F.lit(decay), last.cast("double"))).alias("b"), F.count_if(live).alias("n"))
-    folded = summary.groupBy(*SERIES).agg(F.sort_array(F.collect_list(F.struct("chunk", "b", "n"))).alias("chunks")).join(seed, SERIES)
-    begin = F.struct(F.col("seed").cast("double").alias("y"), F.array().cast("array<struct<chunk:bigint,incoming:double>>").alias("all"))
-    fold = F.aggregate("chunks", begin, lambda s, c: F.struct((F.pow(F.lit(decay), c["n"].cast("double")) * s["y"] + c["b"]).alias("y"), F.concat(s["all"], F.array(F.struct(c["chunk"].alias("chunk"), s["y"].alias("incoming")))).alias("all")), lambda s: s["all"])
-    incoming = folded.select(*SERIES, F.explode(fold).alias("x")).select(*SERIES, "x.chunk", "x.incoming")
+    # chunks fold into groups of chunks, groups into the series, and the incoming values go back the same way; no array is
+    # longer than a group, or than a series has groups
+    summary = summary.withColumn("group", F.floor(F.col("chunk") / CHUNK))
+    grouped = summary.groupBy(*SERIES, "group").agg(F.sort_array(F.collect_list(F.struct("chunk", "b", "n"))).alias("chunks"))
+    whole = F.aggregate("chunks", F.struct(F.lit(0.0).alias("b"), F.lit(0).cast("bigint").alias("n")), lambda s, c: F.struct((F.pow(F.lit(decay), c["n"].cast("double")) * s["b"] + c["b"]).alias("b"), (s["n"] + c["n"]).alias("n")))
+    tops = grouped.withColumn("whole", whole).groupBy(*SERIES).agg(F.sort_array(F.collect_list(F.struct(F.col("group").alias("chunk"), F.col("whole.b").alias("b"), F.col("whole.n").alias("n")))).alias("chunks")).join(seed, SERIES)
+
+    def fold(first: Column) -> Column:
+        begin = F.struct(first.cast("double").alias("y"), F.array().cast("array<struct<chunk:bigint,incoming:double>>").alias("all"))
+        return F.aggregate("chunks", begin, lambda s, c: F.struct((F.pow(F.lit(decay), c["n"].cast("double")) * s["y"] + c["b"]).alias("y"), F.concat(s["all"], F.array(F.struct(c["chunk"].alias("chunk"), s["y"].alias("incoming")))).alias("all")), lambda s: s["all"])
+
+    tops = tops.select(*SERIES, F.explode(fold(F.col("seed"))).alias("x")).select(*SERIES, F.col("x.chunk").alias("group"), F.col("x.incoming").alias("before"))
+    incoming = grouped.join(tops, [*SERIES, "group"]).select(*SERIES, F.explode(fold(F.col("before"))).alias("x")).select(*SERIES, "x.chunk", "x.incoming")
     rows = rows.join(incoming, [*SERIES, "chunk"], "left")
     w = _w("chunk").rowsBetween(Window.unboundedPreceding, 0)
     passed = F.sum(F.when(live, 1).otherwise(0)).over(w)
@@ -63,8 +72,23 @@ def chunk_scan(rows: DataFrame, index: str, start: int | Column, decay: float, s
     return rows.withColumn(out, F.when(F.col(index) >= start, here)).drop("chunk", "place", "grown", "incoming")
 
 
-def _indexed(bars: DataFrame, index: str = "index") -> DataFrame:
-    return bars.withColumn(index, (F.row_number().over(_w()) - 1).cast("bigint"))
+def _indexed(bars: DataFrame, index: str = "index", stretch_ms: int = 30 * 86_400_000) -> DataFrame:
+    """Numbers each series' rows from 0: within a stretch of time by a window, after the rows of the stretches before, which
+    one narrow row per stretch counts. So a long series is numbered by many tasks."""
+    rows = bars.withColumn("index_stretch", F.floor(F.col(TIME) / stretch_ms))
+    counts = rows.groupBy(*SERIES, "index_stretch").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*SERIES).orderBy("index_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(counts.select(*SERIES, "index_stretch", before.alias("index_before")), [*SERIES, "index_stretch"])
+    return rows.withColumn(index, (F.row_number().over(_w("index_stretch")) - 1 + F.col("index_before")).cast("bigint")).drop("index_stretch", "index_before")
+
+
+_KEPT: list[DataFrame] = []
+
+
+def release() -> None:
+    """Unpersists the rows that scans have kept; call it once their results are written."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
 
 
 def _seeded(rows: DataFrame, index: str, first: int, n: int, value: Column, out: str, decay: float) -> DataFrame:
