@@ -70,20 +70,24 @@ def session_opens(segments: DataFrame, interval: str) -> DataFrame:
     return rows.withColumn("close_time", F.least(F.col("open_time") + i.ms - 1, F.col("end")))
 
 
-def session_bucket_end(bars: DataFrame, segments: DataFrame, interval: str) -> DataFrame:
+def session_bucket_end(bars: DataFrame, segments: DataFrame, interval: str, parts: int = 16) -> DataFrame:
     """close_time of bars: their own end, cut at the end of the session that holds their open; weeks and months keep the
-    UTC grid. Sessions are matched by one ordered pass."""
+    UTC grid. Sessions are matched by one ordered pass within each day, which a session's rows reach by its days, so no
+    series and no week meets in one task."""
     i = iv.parse_interval(interval)
     if i.unit in "wM":
         return bars.withColumn("close_time", iv.bucket_close(iv.bucket_floor(F.col("open_time"), i), i))
     both = bars.withColumns({"at": F.col("open_time"), "session_end": F.lit(None).cast("bigint"), "kind": F.lit(1)}).unionByName(segments.select(F.col("start").alias("at"), F.col("end").alias("session_end"), F.lit(0).alias("kind")), allowMissingColumns=True)
-    day = F.col("at") - F.pmod("at", F.lit(iv.UNIT_MS["w"]))
-    # a session of the week before may reach in: its rows stand in both weeks
-    both = both.withColumn("week", F.explode(F.when(F.col("kind") == 0, F.array(day, day + iv.UNIT_MS["w"])).otherwise(F.array(day))))
-    held = F.last("session_end", True).over(Window.partitionBy("week").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    day = lambda t: t - F.pmod(t, F.lit(iv.UNIT_MS["d"]))
+    held_days = F.sequence(day(F.col("at")), day(F.col("session_end")), F.lit(iv.UNIT_MS["d"]))
+    both = both.withColumn("day", F.explode(F.when(F.col("kind") == 0, held_days).otherwise(F.array(day(F.col("at"))))))
+    # the bars of a day are spread over parts, and each part has the day's few sessions
+    part = F.when(F.col("kind") == 1, F.array(F.pmod(F.xxhash64(*bars.columns), F.lit(parts)).cast("int"))).otherwise(F.sequence(F.lit(0), F.lit(parts - 1)))
+    both = both.withColumn("part", F.explode(part))
+    held = F.last("session_end", True).over(Window.partitionBy("day", "part").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
     rows = both.withColumn("session_end", held).where("kind = 1")
     inside = F.col("session_end") >= F.col("open_time")
-    return rows.withColumn("close_time", F.when(inside, F.least(F.col("open_time") + i.ms - 1, F.col("session_end"))).otherwise(F.col("open_time") + i.ms - 1)).drop("at", "session_end", "kind", "week")
+    return rows.withColumn("close_time", F.when(inside, F.least(F.col("open_time") + i.ms - 1, F.col("session_end"))).otherwise(F.col("open_time") + i.ms - 1)).drop("at", "session_end", "kind", "day", "part")
 
 
 def coarse_opens(segments: DataFrame, interval: str) -> DataFrame:

@@ -77,7 +77,9 @@ def volume_profile(trades: DataFrame, max_rows: int) -> DataFrame:
     span = trades.groupBy(*SERIES).agg((F.max("price") - F.min("price")).alias("span"), F.max("price").alias("top"))
     steps = F.array(*map(F.lit, nice_steps()))
     least = F.greatest(F.col("span") / max_rows, F.col("top") * 1e-9)
-    tried = span.select(*SERIES, F.explode(F.slice(F.filter(steps, lambda s: s >= least / 2), 1, 4)).alias("step"))
+    # a step beyond the highest price holds all in one row, so that a step fits every series
+    some = F.concat(F.slice(F.filter(steps, lambda s: s >= least / 2), 1, 4), F.slice(F.filter(steps, lambda s: s > 2 * F.col("top")), 1, 1))
+    tried = span.select(*SERIES, F.explode(F.array_distinct(some)).alias("step"))
     counted = trades.select(*SERIES, "price").distinct().join(tried, SERIES).groupBy(*SERIES, "step").agg(F.count_distinct(F.floor(F.col("price") / F.col("step") + 1e-9)).alias("rows"))
     chosen = counted.where(F.col("rows") <= max_rows).groupBy(*SERIES).agg(F.min("step").alias("step"))
     rows = scalars.enrich_trades(trades).join(chosen, SERIES).withColumn("level", F.floor(F.col("price") / F.col("step") + 1e-9))

@@ -55,16 +55,17 @@ def coalesce_ranges(ranges: DataFrame, keys: list[str], start: str = "start", en
 
 
 def subtract_ranges(requested: DataFrame, covered: DataFrame, keys: list[str]) -> DataFrame:
-    """What of the requested ranges no covered range holds. Both are coalesced; then one pass in order of start per key
-    finds the uncovered stretches, cut to the requests."""
-    want = coalesce_ranges(requested, keys).select(*keys, F.col("start").alias("ws"), F.col("end").alias("we"))
-    have = coalesce_ranges(covered, keys)
+    """What of the requested ranges no covered range holds. Both are coalesced; then one pass per key over their edges in
+    order counts how many requests and covers are open, and the stretches with a request and no cover remain."""
+    edges = None
+    for ranges, asks, holds in ((coalesce_ranges(requested, keys), 1, 0), (coalesce_ranges(covered, keys), 0, 1)):
+        for at, sign in ((F.col("start"), 1), (F.col("end") + 1, -1)):
+            own = ranges.select(*keys, at.alias("start"), F.lit(sign * asks).alias("asks"), F.lit(sign * holds).alias("holds"))
+            edges = own if edges is None else edges.unionByName(own)
+    edges = edges.groupBy(*keys, "start").agg(F.sum("asks").alias("asks"), F.sum("holds").alias("holds"))
     w = Window.partitionBy(*keys).orderBy("start")
-    low, high = -(2**62), 2**62
-    marks = have.select(*keys, "start", "end").unionByName(want.select(*keys).distinct().select(*keys, F.lit(low).cast("bigint").alias("start"), F.lit(low).cast("bigint").alias("end")))
-    holes = marks.select(*keys, (F.col("end") + 1).alias("hs"), (F.coalesce(F.lead("start").over(w), F.lit(high).cast("bigint")) - 1).alias("he")).where("hs <= he")
-    out = want.join(holes, keys).where("hs <= we and ws <= he")
-    return out.select(*keys, F.greatest("ws", "hs").alias("start"), F.least("we", "he").alias("end"))
+    rows = edges.withColumns({"asked": F.sum("asks").over(w), "held": F.sum("holds").over(w), "end": F.lead("start").over(w) - 1})
+    return rows.where("asked > 0 and held = 0").select(*keys, "start", "end")
 
 
 def clip_ranges(ranges: DataFrame, low: int | None = None, now: int | None = None) -> DataFrame:

@@ -57,7 +57,9 @@ def filter_events(events: DataFrame, types: list[str] | None = None, keys: DataF
 
 def merge_into(path: str, merge: Callable[[DataFrame, DataFrame], DataFrame], schema: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that merges each batch into the table at path. The table is written anew as the next version
-    and its number noted last, so that a batch that runs again after a failure finds the version before it."""
+    and its number noted last, so that a batch that runs again after a failure finds the version before it; versions
+    older than that one are deleted. Each batch rewrites the table, so this is for states of bounded size (latest values,
+    open bars), not for histories."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -66,6 +68,9 @@ def merge_into(path: str, merge: Callable[[DataFrame, DataFrame], DataFrame], sc
         stored = spark.createDataFrame([], schema) if last is None else spark.read.schema(schema).parquet(f"{path}/data-{last}")
         merge(stored, batch).write.mode("overwrite").parquet(f"{path}/data-{batch_id}")
         spark.createDataFrame([(batch_id,)], "version bigint").write.mode("append").json(f"{path}/versions")
+        for (old,) in versions.where(F.col("version") < F.lit(last)).collect() if last is not None else []:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/data-{old}")
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     return run
 

@@ -4,6 +4,7 @@ used by a stream (applyInPandasWithState) and, over a bounded table, by the batc
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,21 +36,27 @@ class TradeFlow:
         self.first = None
 
     def add(self, id_: int, time: int, price: float, quantity: float, sell: bool) -> bool:
+        return self.take(id_, time, quantity, sell) is not None
+
+    def take(self, id_: int, time: int, quantity: float, sell: bool) -> set[int] | None:
+        """The minutes whose sums or completeness the trade changed; None for one that is passed over. Gaps are in order of
+        id, so the one that holds an id is found by bisection."""
+        touched = {time // MINUTE}
         if self.high is None:
             self.first = time // MINUTE if self.first is None else self.first
         elif id_ > self.high + 1:
             self.gaps.append([self.high + 1, id_ - 1, self.high_time, time])
+            touched |= self._between(self.high_time, time)
             if len(self.gaps) > self.most_gaps:
                 _, _, a, b = self.gaps.pop(0)
                 self.lost |= set(range(a // MINUTE, b // MINUTE + 1))
         elif id_ <= self.high:
-            gap = next((g for g in self.gaps if g[0] <= id_ <= g[1] and g[2] <= time <= g[3]), None)
-            if gap is None:
-                return False
-            self.gaps.remove(gap)
-            lo, hi, a, b = gap
-            self.gaps += [[lo, id_ - 1, a, time]] * (lo < id_) + [[id_ + 1, hi, time, b]] * (id_ < hi)
-            self.gaps.sort()
+            n = bisect_right(self.gaps, id_, key=lambda g: g[0]) - 1
+            if n < 0 or id_ > self.gaps[n][1] or not self.gaps[n][2] <= time <= self.gaps[n][3]:
+                return None
+            lo, hi, a, b = self.gaps[n]
+            self.gaps[n : n + 1] = [[lo, id_ - 1, a, time]] * (lo < id_) + [[id_ + 1, hi, time, b]] * (id_ < hi)
+            touched |= self._between(a, b)
         if self.high is None or id_ > self.high:
             self.high, self.high_time = id_, time
         m = self.minutes.setdefault(time // MINUTE, [0.0, 0.0, 0])
@@ -57,7 +64,11 @@ class TradeFlow:
         m[2] += 1
         while len(self.minutes) > self.most_minutes:
             self.minutes.pop(min(self.minutes))
-        return True
+        return touched
+
+    def _between(self, a: int, b: int) -> set[int]:
+        lo, hi = a // MINUTE, b // MINUTE
+        return {m for m in range(lo, hi + 1) if m in self.minutes} if hi - lo < len(self.minutes) else {m for m in self.minutes if lo <= m <= hi}
 
     def incomplete(self, minute: int) -> bool:
         return minute == self.first or minute in self.lost or any(g[2] // MINUTE <= minute <= g[3] // MINUTE for g in self.gaps)
@@ -83,12 +94,9 @@ _NAMES = [c.split()[0] for c in FLOW.split(", ")]
 def _flow_batch(flow: TradeFlow, frames: Iterator[pd.DataFrame]) -> set[int]:
     touched: set[int] = set()
     for f in frames:
-        for r in f.sort_values("arrival" if "arrival" in f else "agg_trade_id").itertuples():
-            before = [tuple(g) for g in flow.gaps]
-            if flow.add(int(r.agg_trade_id), int(r.trade_time_ms), float(r.price), float(r.quantity), bool(r.is_buyer_maker)):
-                touched.add(int(r.trade_time_ms) // MINUTE)
-                for g in set(before) ^ {tuple(g) for g in flow.gaps}:
-                    touched |= {m for m in flow.minutes if g[2] // MINUTE <= m <= g[3] // MINUTE}
+        f = f.sort_values("arrival" if "arrival" in f else "agg_trade_id")
+        for row in zip(*(f[c].tolist() for c in ("agg_trade_id", "trade_time_ms", "quantity", "is_buyer_maker"))):
+            touched |= flow.take(*row) or set()
     return touched
 
 
