@@ -104,7 +104,6 @@ def near_vectors(table: DataFrame, cosine: float = 0.93, blocks: int = 2, words:
     lower one: for each length of vectors it is lowered until the recall of single pairs at the given cosine, measured on
     random pairs with the codewords in use, is at least `recall`. README has figures."""
     spark = table.sparkSession
-    common.small_batches(spark, 4096)
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("long").alias("label"))
     good = F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("cls", F.when(good, F.xxhash64("label", F.transform("v", lambda x: x + F.lit(0.0)))))

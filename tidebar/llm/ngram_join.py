@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, workers
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 MANY = 65535  # stands for the frequency of an n-gram met in very many texts
@@ -39,18 +39,23 @@ _U = np.uint64
 
 
 class WordHashes(dict):
-    """Word -> 64-bit hash; starts anew when it holds a million words."""
+    """Word -> 64-bit hash; starts anew at workers.LIMIT bytes."""
+
+    size = 0
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if self.size > workers.LIMIT:
             self.clear()
+            self.size = 0
+        self.size += workers.ENTRY + len(word)
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
 
 
-_WORDS = WordHashes()
+def _words() -> WordHashes:
+    return workers.hold("ngram_join", "words", WordHashes)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -64,7 +69,7 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
     if not words:
         return np.zeros(0, _U)
-    h = np.fromiter(map(_WORDS.__getitem__, words), _U, len(words))
+    h = np.fromiter(map(_words().__getitem__, words), _U, len(words))
     size = min(width, len(words))
     total = np.full(len(words) - size + 1, size, _U)
     for i in range(size):
@@ -84,7 +89,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n (set size), cls (class of equal sets, null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches, 1):
             sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n", "cls"])
 
@@ -96,7 +101,7 @@ def _frequent(docs: DataFrame, width: int, rows: int, sample: int, least: int) -
     are counted; results do not depend on them. The list is bounded by the sample's n-grams over `least`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches, 1):
             for t in batch.column(1).to_pylist():
                 if len(s := shingles(t, width)):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), class_of(s), np.int64)), pa.array(s.view(np.int64))], ["cls", "h"])
@@ -110,7 +115,7 @@ def _fragments(docs: DataFrame, width: int, fragments: int, frequent: np.ndarray
     """frag, data: packed (class, n-gram) entries, one value per batch and fragment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches, 1):
             by_class = {}
             for t in batch.column(1).to_pylist():
                 if len(s := shingles(t, width)):
@@ -249,7 +254,6 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 75, fragment_gr
 
     fragment_grams bounds the n-grams that one task of a fragment holds."""
     spark = docs.sparkSession
-    common.small_batches(spark)
     docs = _texts(docs, id_col, text_col)
     sets = common.keep(_sets(docs, width), "sets")
     classes = sets.where("cls is not null").groupBy("cls").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"))
@@ -258,18 +262,20 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 75, fragment_gr
     frequent = _frequent(docs, width, rows, sample=4000, least=8)
     packed = _fragments(docs, width, fragments, frequent)
     grams = common.keep(_candidates(_shared(packed, fragments, fragments), classes, percent, fragments), "grams")
-    links = _all_links(spark, grams, percent, parts)
+    links, used = _all_links(spark, grams, percent, parts)
     roots = common.connected_components(links)
     named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     named = common.keep(named, "named")
+    common.release(grams, *used)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = named.join(least, "root").select("cls", "component_id")
     out = sets.join(by_class, "cls", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _all_links(spark: SparkSession, grams: DataFrame, percent: int, parts: int, pivots: int = 2) -> DataFrame:
-    """Links between classes that give the same components as all links do: a, b."""
+def _all_links(spark: SparkSession, grams: DataFrame, percent: int, parts: int, pivots: int = 2) -> tuple[DataFrame, list[DataFrame]]:
+    """Links between classes that give the same components as all links do (a, b), and the tables kept for them."""
+    used = []
     post = grams.select(F.explode(F.slice("grams", F.lit(1), F.col("k"))).alias("h"), F.col("cls").alias("own"), F.struct(*SIDE).alias("x"))
     found = spark.createDataFrame([], "a long, b long")
     done = spark.createDataFrame([], "a long, b long")
@@ -279,6 +285,7 @@ def _all_links(spark: SparkSession, grams: DataFrame, percent: int, parts: int,
             now = post.join(roots.withColumnRenamed("node", "own"), "own", "left").withColumn("root", F.coalesce("root", "own"))
             mixed = now.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
             open_ = common.keep(now.join(mixed, "h"), "open")
+            used.append(open_)
         else:
             open_ = post.withColumn("root", F.col("own"))
         if turn < pivots:
@@ -289,5 +296,7 @@ def _all_links(spark: SparkSession, grams: DataFrame, percent: int, parts: int,
             rows = open_.join(other, "h").where((F.col("root") < F.col("other")) & _may_link(percent))
         pairs = common.keep(_paired(rows).join(done, ["a", "b"], "left_anti"), "pairs")
         done = done.union(pairs.select("a", "b"))
-        found = found.union(common.keep(_links(pairs, grams, percent, parts), "links"))
-    return found
+        links = common.keep(_links(pairs, grams, percent, parts), "links")
+        used += [pairs, links]
+        found = found.union(links)
+    return found, used

@@ -67,11 +67,10 @@ class OpenBins:
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece of every whole text."""
-    common.small_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = tokens.encoder(tokenizer), np.array([end_id], np.uint32)
-        for batch in batches:
+        for batch in common.slices(batches, 1):
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist())):
                 ids = np.concatenate([ids, end]).astype("<u4")

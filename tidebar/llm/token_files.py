@@ -51,7 +51,6 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, se
 
     segment_ids bounds a task's memory: a segment closes once it holds so many ids."""
     spark = docs.sparkSession
-    common.small_batches(spark)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -66,7 +65,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, se
             data = pack_segment(names, parts, block)
             return pa.RecordBatch.from_pydict({"file": pa.array([file], pa.int32()), "segment": pa.array([segment], pa.int32()), "n_docs": pa.array([len(names)], pa.int64()), "n_tokens": pa.array([held], pa.int64()), "data": pa.array([data], pa.binary())})
 
-        for batch in batches:
+        for batch in common.slices(batches, 1):
             got = coder.encode(batch.column(1).to_pylist())
             for name, ids in zip(batch.column(0).to_pylist(), got):
                 names.append(name)

@@ -11,6 +11,8 @@ import re
 
 import numpy as np
 
+from . import workers
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _TWO_SPACES = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -36,9 +38,9 @@ class Words(dict):
 
 
 class Encoder:
-    """limit: distinct parts kept before the table starts anew, which bounds its memory."""
+    """limit: bytes of the table of parts, by its own count, before it starts anew."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = workers.LIMIT):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -50,7 +52,7 @@ class Encoder:
     def _clear(self) -> None:
         self.fresh: list[str] = []
         self.first, self.rest = Words("", self.fresh, 0), Words(" ", self.fresh, 0)
-        self.rows, self.used = 0, 0
+        self.rows, self.used, self.chars = 0, 0, 0
         self.at, self.n = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.uint32)
 
@@ -85,12 +87,13 @@ class Encoder:
         self.at[self.rows : self.rows + len(n)] = self.used + np.cumsum(n) - n
         self.flat[self.used : self.used + len(ids)] = ids
         self.rows, self.used = self.rows + len(n), self.used + len(ids)
+        self.chars += sum(map(len, self.fresh))
         self.fresh.clear()
         self.first.size = self.rest.size = self.rows
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """One uint32 array per text; a null text has no ids."""
-        if self.rows > self.limit:
+        if self.rows * (workers.ENTRY + 16) + self.chars + 4 * self.used > self.limit:
             self._clear()
         rows: list[int] = []
         ends = np.zeros(len(texts), np.int64)
@@ -118,11 +121,6 @@ class Encoder:
         return np.split(ids, upto[ends[:-1]]) if len(texts) else []
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One encoder per Python worker and file, kept from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return workers.hold("tokens", path, lambda: Encoder(path))

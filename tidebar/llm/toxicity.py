@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, workers
 
 WORD = re.compile(r"\w+")
 MARGIN = b"\n" * 16
@@ -86,17 +86,19 @@ def train_dictionaries(toxic: list[str], ordinary: list[str], size: int = 8192)
 
 
 class Distances(dict):
-    """Window -> bytes that the toxic dictionary saves over the ordinary one; bounded."""
+    """Window -> bytes that the toxic dictionary saves over the ordinary one; starts anew at `limit` bytes."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes, limit: int = 1_500_000):
+    def __init__(self, toxic: bytes, ordinary: bytes, limit: int = workers.LIMIT):
         super().__init__()
         how = zstandard.ZstdCompressionParameters.from_level(3, min_match=4, write_content_size=0, write_checksum=0, write_dict_id=0)
         self.toxic, self.ordinary = (zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how) for d in (toxic, ordinary))
-        self.limit = limit
+        self.limit, self.size = limit, 0
 
     def __missing__(self, word: str) -> int:
-        if len(self) > self.limit:
+        if self.size > self.limit:
             self.clear()
+            self.size = 0
+        self.size += workers.ENTRY + len(word)
         data = MARGIN + f" {word} ".encode("utf-8", "replace") + MARGIN
         self[word] = d = len(self.ordinary.compress(data)) - len(self.toxic.compress(data))
         return d
@@ -145,12 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> dict | N
     return {"toxic": t, "ordinary": o, "weights": w}
 
 
-_READY: dict[tuple, Distances] = {}
-
-
 def score(docs: DataFrame, model: dict | None, keep: list[str] | None = None) -> DataFrame:
     """docs: doc_id, text and the columns in keep. Returns these (doc_id alone by default) and score (0 to 1)."""
-    common.small_batches(docs.sparkSession)
     keep = keep or ["doc_id"]
     if model is None:
         return docs.select(*keep, F.lit(0.0).alias("score"))
@@ -159,12 +157,9 @@ def score(docs: DataFrame, model: dict | None, keep: list[str] | None = None) ->
     names = [*keep, "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (toxic, ordinary)
-        if key not in _READY:
-            _READY.clear()
-            _READY[key] = Distances(toxic, ordinary)
-        for batch in batches:
-            x = np.array([features(t, _READY[key]) for t in batch.column(len(keep)).to_pylist()]).reshape(-1, len(weights))
+        distances = workers.hold("toxicity", (toxic, ordinary), lambda: Distances(toxic, ordinary))
+        for batch in common.slices(batches, len(keep)):
+            x = np.array([features(t, distances) for t in batch.column(len(keep)).to_pylist()]).reshape(-1, len(weights))
             p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], names)
 
