@@ -19,20 +19,20 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
-from math import exp, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, workers
 
 SPACE = "▁"
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _U = np.uint64
+_STEP = 0x9E3779B97F4A7C55  # factor of the substring hashes, odd
+DRAW = 8  # options that one number drawn decides
 SAMPLES = "doc_id long, sample int, n_pieces long, log_weight double, log_inclusion double, ids_crc32 long, round_trip boolean"
 
 
@@ -52,9 +52,11 @@ def units(text: str) -> list[str]:
 
 
 class Lattices:
-    """Lattices of words as arrays: node -> its options (share of mass, piece, next node). Node 0 is the end."""
+    """Lattices of words as arrays: node -> its options, likeliest first (share of mass, its running sum, piece, next
+    node). A node is a place in a word; node 0 is the end. All words not met before are built together: pieces are
+    found by the hashes of all substrings, and masses from the words' ends, numpy walking all words side by side."""
 
-    def __init__(self, path: str, temperature: float, limit: int = 3_000_000):
+    def __init__(self, path: str, temperature: float, limit: int = 4 * workers.LIMIT // 3):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -64,101 +66,200 @@ class Lattices:
         self.bytes = {self.spelled[i][0]: i for i in range(n) if model.is_byte(i)}
         self.byte_cost = temperature * min(model.get_score(i) for i in range(n) if not model.is_control(i))
         self.longest = max(map(len, self.pieces))
-        self.limit = limit
+        self.limit, self.real = limit, n
+        by_hash = sorted((self._hash_of(piece), *hit) for piece, hit in self.pieces.items())
+        self.hashes, self.ids, self.scores = (np.array(c, t) for c, t in zip(zip(*by_hash), (_U, np.int32, np.float64)))
+        self.perhaps = np.zeros(1 << 20, bool)
+        self.perhaps[self.hashes >> _U(44)] = True
         self.clear()
 
+    @staticmethod
+    def _hash_of(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h + ord(c) + 1) * _STEP % (1 << 64)
+        return h
+
     def clear(self) -> None:
-        self.entry: dict[str, tuple[int, float]] = {"": (0, 0.0)}  # rest of a word -> node, log-mass from it
-        self.first, self.upto, self.piece, self.next = array("q", [0, 0]), array("d"), array("q"), array("q")
-        self.nodes = 1
-        self.first_, self.upto_ = np.zeros(2, np.int64), np.zeros(0)
-        self.piece_, self.next_ = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _node(self, options: list[tuple[float, int, int]]) -> int:
-        """options: (share, piece, next node); the shares add up to 1."""
-        total = 0.0
-        for share, piece, to in options:
-            total += share
-            self.upto.append(self.nodes + min(total, 1.0))
-            self.piece.append(piece)
-            self.next.append(to)
-        self.upto[-1] = self.nodes + 1.0
-        self.first.append(len(self.piece))
-        self.nodes += 1
-        return self.nodes - 1
-
-    def add(self, word: str) -> int:
-        """Builds the word's lattice from its end; returns its entry node. A node depends on the rest of the word alone,
-        so words with a common ending share nodes."""
-        n, get, known = len(word), self.pieces.get, self.entry
-        start = 0
-        while word[start:] not in known and start < n:
-            start += 1
-        for i in range(start - 1, -1, -1):
-            ways = []
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                if hit := get(word[i:j]):
-                    to, mass = known[word[j:]]
-                    ways.append((hit[1] + mass, hit[0], to))
-            if not ways:
-                to, mass = known[word[i + 1 :]]
-                data = word[i].encode("utf-8", "surrogatepass")
-                for b in reversed(data[1:]):
-                    to = self._node([(1.0, self.bytes[b], to)])
-                ways = [(len(data) * self.byte_cost + mass, self.bytes[data[0]], to)]
-            if len(ways) == 1:
-                known[word[i:]] = self._node([(1.0, *ways[0][1:])]), ways[0][0]
-            else:
-                top = max(ways)[0]
-                shares = [exp(w[0] - top) for w in ways]
-                total = sum(shares)
-                known[word[i:]] = self._node([(s / total, w[1], w[2]) for s, w in zip(shares, ways)]), top + log(total)
-        return known[word][0]
+        self.known = Known()
+        self.nodes, self.options = 1, 0
+        self.first = np.zeros(1 << 16, np.int32)
+        self.share, self.upto, self.weight = (np.zeros(1 << 16) for _ in range(3))
+        self.piece, self.next = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.spelt: dict[str, int] = {}  # character without a piece -> its number beyond the model's pieces
+        self.by_bytes: list[list[int]] = []
+
+    def _spell(self, char: int) -> int:
+        c = chr(char)
+        if c not in self.spelt:
+            self.spelt[c] = self.real + len(self.by_bytes)
+            self.by_bytes.append([self.bytes[b] for b in c.encode("utf-8", "surrogatepass")])
+        return self.spelt[c]
+
+    def _options(self, chars: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(place, length, piece, score) of every piece in the words, by place and length; a character that begins no piece
+        is its bytes. left: characters from each place to its word's end."""
+        at, h, got = np.arange(len(chars)), np.zeros(len(chars), _U), []
+        for n in range(1, self.longest + 1):
+            if n > 1:
+                more = left[at] >= n
+                at, h = at[more], h[more]
+            if not len(at):
+                break
+            h = (h + chars[at + (n - 1)] + _U(1)) * _U(_STEP)
+            some = np.flatnonzero(self.perhaps[h >> _U(44)])
+            row = np.minimum(np.searchsorted(self.hashes, h[some]), len(self.hashes) - 1)
+            hit = self.hashes[row] == h[some]
+            row, some = row[hit], some[hit]
+            got.append((at[some], np.full(len(some), n), self.ids[row], self.scores[row]))
+        bare = np.ones(len(chars), bool)
+        for g in got:
+            bare[g[0]] = False
+        if bare.any():
+            places = np.flatnonzero(bare)
+            chars_, which = np.unique(chars[places], return_inverse=True)
+            pieces = np.array([self._spell(int(c)) for c in chars_], np.int32)
+            sizes = np.array([len(self.by_bytes[p - self.real]) for p in pieces])
+            got.append((places, np.ones(len(places), int), pieces[which], self.byte_cost * sizes[which]))
+        place, length, piece, score = (np.concatenate(c) for c in zip(*got))
+        order = np.argsort(place, kind="stable")
+        return place[order], length[order], piece[order], score[order]
+
+    def _build(self, words: list[str]) -> None:
+        """Appends the words' nodes, one for each character in turn, and their options."""
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(chars))
+        place, length, piece, score = self._options(chars, left)
+        end = len(chars)
+        to = np.where(length == left[place], end, place + length)
+        mass, value = np.zeros(end + 1), np.zeros(len(place))
+        by_left = np.argsort(left[place], kind="stable")
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(left[place])[1:])]) if len(place) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            own = by_left[a:b]
+            node, v = place[own], score[own] + mass[to[own]]
+            begin = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+            times = np.diff(np.append(begin, b - a))
+            top = np.repeat(np.maximum.reduceat(v, begin), times)
+            total = top[begin] + np.log(np.add.reduceat(np.exp(v - top), begin))
+            mass[node[begin]] = total
+            value[own] = v - np.repeat(total, times)
+        order = np.lexsort((-value, place))
+        place, piece, to, value = place[order], piece[order], to[order], np.minimum(value[order], 0.0)
+        counts = np.bincount(place, minlength=end)
+        first = np.cumsum(counts) - counts
+        share, upto = np.exp(value), np.zeros(len(place))
+        nth, rows, total = 0, np.arange(end), np.zeros(end)
+        while len(rows):
+            at = first[rows] + nth
+            total = total + share[at]
+            upto[at] = total
+            nth += 1
+            more = counts[rows] > nth
+            upto[at[~more]] = 2.0
+            rows, total = rows[more], total[more]
+        value[counts[place] == 1], share[counts[place] == 1] = 0.0, 1.0
+        n, m = self.nodes, self.options
+        while n + end + 1 > len(self.first):
+            self.first = np.resize(self.first, 2 * len(self.first))
+        while m + len(place) > len(self.share):
+            for name in ("share", "upto", "weight", "piece", "next"):
+                setattr(self, name, np.resize(getattr(self, name), 2 * len(self.share) if name == "share" else len(self.share)))
+        self.first[n : n + end] = m + first
+        self.first[n + end] = m + len(place)
+        for name, x in (("share", share), ("upto", upto), ("weight", value), ("piece", piece), ("next", np.where(to == end, 0, n + to))):
+            getattr(self, name)[m : m + len(place)] = x
+        self.nodes, self.options = n + end, m + len(place)
 
     def entries(self, words: list[str]) -> np.ndarray:
-        if len(self.piece) > self.limit:
+        """The entry node of each word."""
+        if 32 * self.options + 4 * self.nodes + workers.ENTRY * len(self.known) > self.limit:
             self.clear()
-        known, got, made = self.entry, np.zeros(len(words), np.int64), self.nodes
-        for i, w in enumerate(words):
-            got[i] = known[w][0] if w in known else self.add(w)
-        if self.nodes != made:
-            self.first_, self.upto_, self.piece_, self.next_ = (np.frombuffer(x, x.typecode).copy() for x in (self.first, self.upto, self.piece, self.next))
-            start = np.concatenate([[-1.0], self.upto_[:-1]])
-            owner = np.repeat(np.arange(self.nodes), np.diff(self.first_))
-            self.owner = owner
-            self.share = self.upto_ - np.where(np.arange(len(owner)) == self.first_[owner], owner, start)
+        self.known.nodes = self.nodes
+        got = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if self.known.fresh:
+            self._build(self.known.fresh)
+            self.known.fresh = []
         return got
 
+    def siblings(self, option: int) -> range:
+        """All options of the node that has this one."""
+        node = int(np.searchsorted(self.first[: self.nodes + 1], np.int32(option), "right")) - 1
+        return range(self.first[node], self.first[node + 1])
+
+    def ids_of(self, options: np.ndarray) -> np.ndarray:
+        """The pieces of these options in turn."""
+        ids = self.piece[options]
+        if self.by_bytes and len(ids) and ids.max() >= self.real:
+            odd = np.flatnonzero(ids >= self.real)
+            parts = [self.by_bytes[i - self.real] for i in ids[odd].tolist()]
+            times = np.ones(len(ids), np.int64)
+            times[odd] = [len(p) for p in parts]
+            at = np.repeat(ids >= self.real, times)
+            ids = np.repeat(ids, times)
+            ids[at] = np.concatenate(parts)
+        return ids
+
+
+class Known(dict):
+    """Word -> its entry node; a word seen first is noted in fresh and gets the next free nodes."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+        self.nodes = 1
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        self[word] = at = self.nodes
+        self.nodes += len(word)
+        return at
+
 
-def _hash(*parts: np.ndarray) -> np.ndarray:
-    h = np.zeros(np.broadcast(*parts).shape, _U)
-    for p in parts:
-        h = (h + np.asarray(p).astype(_U) + _U(0x9E3779B97F4A7C15)) * _U(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
-        h ^= h >> _U(31)
-    return h
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
+    return h ^ (h >> _U(31))
 
 
-def uniform(*parts: np.ndarray) -> np.ndarray:
-    """Numbers in (0, 1) that the parts alone decide."""
-    return ((_hash(*parts) >> _U(11)).astype(np.float64) + 0.5) / 2.0**53
+def uniform(key: np.ndarray, purpose: int, place: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) that key (hashed already), purpose and place alone decide; key and place are unsigned."""
+    h = key + place * _U(0x9E3779B97F4A7C15) + _U((purpose + 1) * 0xD1342543DE82EF95 % (1 << 64))
+    return ((_mix(h) >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
 def walk(lat: Lattices, nodes: np.ndarray, key: np.ndarray, sample: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """From each node to its word's end by the mass: (options of all walks in a row, options per walk)."""
-    at, live, taken, whose, step = nodes.copy(), np.flatnonzero(nodes), [], [], 0
-    while len(live):
-        u = uniform(key[live], np.full(len(live), sample), place[live], np.full(len(live), step))
-        option = np.searchsorted(lat.upto_, at[live] + u)
-        taken.append(option)
-        whose.append(live)
-        at[live] = lat.next_[option]
-        live, step = live[at[live] > 0], step + 1
-    if not taken:
-        return np.zeros(0, np.int64), np.zeros(len(nodes), np.int64)
-    whose_, taken_ = np.concatenate(whose), np.concatenate(taken)
-    order = np.argsort(whose_, kind="stable")
-    return taken_[order], np.bincount(whose_, minlength=len(nodes))
+    """From each node to its word's end by the mass: (options of all walks in a row, options per walk). A number drawn for a
+    walk decides DRAW options in turn, each by the part that the one before it left over."""
+    row, at, step, taken = np.arange(len(nodes)), nodes, 0, []
+    per_walk = np.zeros(len(nodes), np.int64)
+    live = at > 0
+    u = np.zeros(len(nodes))
+    while True:
+        if not live.all():
+            row, at, u = row[live], at[live], u[live]
+        if not len(row):
+            break
+        if step % DRAW == 0:
+            u = uniform(key[row], (sample << 32) + step, place[row])
+        option = lat.first[at].astype(np.int64)
+        on = np.flatnonzero(u >= lat.upto[option])
+        while len(on):
+            option[on] += 1
+            on = on[u[on] >= lat.upto[option[on]]]
+        share = lat.share[option]
+        below = np.where(lat.upto[option] > 1.5, 1.0, lat.upto[option]) - share
+        u = np.clip((u - below) / share, 0.0, 1.0 - 2.0**-53)
+        taken.append((row, option))
+        per_walk[row] += 1
+        at = lat.next[option].astype(np.int64)
+        live, step = at > 0, step + 1
+    begin = np.cumsum(per_walk) - per_walk
+    out = np.zeros(int(per_walk.sum()), np.int64)
+    for n, (row, option) in enumerate(taken):
+        out[begin[row] + n] = option
+    return out, per_walk
 
 
 def _bound(mass: np.ndarray, limit: float, u: np.ndarray) -> np.ndarray:
@@ -168,62 +269,65 @@ def _bound(mass: np.ndarray, limit: float, u: np.ndarray) -> np.ndarray:
 
 
 class Found:
-    """A segmentation: its options, the word each is in, and the bounds of the branches that leave it."""
-
-    def __init__(self, lat: Lattices, path: np.ndarray, word: np.ndarray, value: float, key: int, sample: int, since: int, used: float):
-        """since: decision at which it left its parent; branches before it belong to the parent. used: share of that
-        decision's other options that are taken already."""
-        self.path, self.word, self.value, self.since = path, word, value, since
-        share = lat.share[path]
-        self.before = np.cumsum(np.log(share)) - np.log(share)
-        self.log_weight = float(np.log(share).sum())
-        self.rest = np.maximum(1.0 - share, 0.0)
-        self.rest[self.rest < 1e-12] = 0.0
-        self.rest[: since + 1] = 0.0
+    """A segmentation: its options, the word each is in, and the bounds of the branches that leave it. `places` are its
+    decisions with another option, from the one after `since`: earlier branches belong to its parent."""
+
+    def __init__(self, lat: Lattices, path: np.ndarray, word: np.ndarray, value: float, key: np.ndarray, sample: int, since: int):
+        self.path, self.word, self.value = path, word, value
+        weight = lat.weight[path]
+        upto = np.cumsum(weight)
+        self.log_weight = float(upto[-1]) if len(path) else 0.0
+        self.places = since + 1 + np.flatnonzero(weight[since + 1 :] < 0.0)
+        own = weight[self.places]
+        self.before = upto[self.places] - own
         with np.errstate(divide="ignore"):
-            mass = self.before + np.log(self.rest)
-        u = uniform(np.full(len(path), key), np.full(len(path), 1_000_000 + sample), np.arange(len(path)))
-        self.bound = _bound(mass, value, u)
+            mass = self.before + np.log(-np.expm1(own))
+        self.bound = _bound(mass, value, uniform(key, (1 << 60) + sample, self.places.astype(_U)))
         self.gone: dict[int, list[int]] = {}
 
+    def top(self) -> float:
+        return float(self.bound.max()) if len(self.bound) else -np.inf
+
 
 def sample_texts(lat: Lattices, keys: list[int], texts: list[str | None], k: int) -> list[list[tuple[np.ndarray, float, float]]]:
     """Per text up to k distinct segmentations: (pieces, log-weight, log of the inclusion probability), best bound first."""
     split = [units(t or "") for t in texts]
-    counts = np.array([len(s) for s in split])
+    counts = np.array([len(s) for s in split], np.int64)
     entry = lat.entries([w for s in split for w in s])
     begin = np.concatenate([[0], np.cumsum(counts)])
-    key = np.array(keys, np.int64).view(_U)
+    key = _mix(np.array(keys, np.int64).view(_U) + _U(_STEP))
     row_key = np.repeat(key, counts)
-    place = np.arange(len(entry)) - np.repeat(begin[:-1], counts)
-    found: list[list[Found]] = []
+    place = (np.arange(len(entry)) - np.repeat(begin[:-1], counts)).astype(_U)
     options, per_word = walk(lat, entry, row_key, 0, place)
     ends = np.concatenate([[0], np.cumsum(per_word)])
-    words = np.repeat(place, per_word)
-    top = -np.log(-np.log(uniform(key, np.full(len(key), 999_999))))
+    words = np.repeat(place.astype(np.int64), per_word)
+    top = -np.log(-np.log(uniform(key, 1 << 61, np.zeros(len(key), _U))))
+    found = []
     for i in range(len(texts)):
         a, b = ends[begin[i]], ends[begin[i + 1]]
-        found.append([Found(lat, options[a:b], words[a:b], float(top[i]), key[i], 0, -1, 0.0)])
+        found.append([Found(lat, options[a:b], words[a:b], float(top[i]), key[i], 0, -1)])
     for sample in range(1, k):
         jobs = []
         for i, paths in enumerate(found):
-            if len(paths) != sample or not len(paths[0].path):
+            if len(paths) != sample:
                 continue
-            parent = max(paths, key=lambda f: f.bound.max())
-            d = int(parent.bound.argmax())
-            if np.isneginf(parent.bound[d]):
+            parent = max(paths, key=Found.top)
+            value = parent.top()
+            if np.isneginf(value):
                 continue
-            value, node = float(parent.bound[d]), int(lat.owner[parent.path[d]])
+            n = int(parent.bound.argmax())
+            d = int(parent.places[n])
             taken = parent.gone.setdefault(d, [int(parent.path[d])])
-            free = [o for o in range(lat.first_[node], lat.first_[node + 1]) if o not in taken]
-            u = float(uniform(key[i : i + 1], np.array([2_000_000 + sample]), np.array([d]))[0])
+            free = [o for o in lat.siblings(taken[0]) if o not in taken]
+            where = np.array([d], _U)
             upto = np.cumsum(lat.share[free])
-            option = free[min(int(np.searchsorted(upto, u * upto[-1])), len(free) - 1)]
+            u = float(uniform(key[i], (2 << 60) + sample, where)[0])
+            option = free[min(int(np.searchsorted(upto, u * upto[-1], "right")), len(free) - 1)]
             taken.append(option)
-            left = float(sum(lat.share[o] for o in free if o != option))
-            mass = parent.before[d] + np.log(left) if left > 1e-12 and len(free) > 1 else -np.inf
-            v = uniform(key[i : i + 1], np.array([3_000_000 + sample]), np.array([d]))
-            parent.bound[d] = _bound(np.array([mass]), value, v)[0]
+            free.remove(option)
+            with np.errstate(divide="ignore"):
+                mass = parent.before[n] + np.log(lat.share[free].sum()) if free else -np.inf
+            parent.bound[n] = _bound(np.array([mass]), value, uniform(key[i], (3 << 60) + sample, where))[0]
             jobs.append((i, parent, d, option, value))
         if not jobs:
             break
@@ -231,26 +335,26 @@ def sample_texts(lat: Lattices, keys: list[int], texts: list[str | None], k: int
         for i, parent, d, option, _ in jobs:
             w = int(parent.word[d])
             later = entry[begin[i] + w + 1 : begin[i + 1]]
-            starts.append(np.concatenate([[lat.next_[option]], later]))
-            job_place.append(np.arange(w, w + 1 + len(later)))
-            sizes.append(len(starts[-1]))
+            starts += [lat.next[option : option + 1], later]
+            sizes.append(1 + len(later))
+            job_place.append(np.arange(w, w + sizes[-1]))
             job_key.append(np.full(sizes[-1], key[i]))
-        options, per_word = walk(lat, np.concatenate(starts), np.concatenate(job_key), sample, np.concatenate(job_place))
+        options, per_word = walk(lat, np.concatenate(starts).astype(np.int64), np.concatenate(job_key), sample, np.concatenate(job_place).astype(_U))
         ends, at = np.concatenate([[0], np.cumsum(per_word)]), 0
         for (i, parent, d, option, value), size, places in zip(jobs, sizes, job_place):
             a, b = ends[at], ends[at + size]
             path = np.concatenate([parent.path[:d], [option], options[a:b]])
             word = np.concatenate([parent.word[: d + 1], np.repeat(places, per_word[at : at + size])])
-            found[i].append(Found(lat, path, word, value, key[i], sample, d, 0.0))
+            found[i].append(Found(lat, path, word, value, key[i], sample, d))
             at += size
     out = []
     for paths in found:
-        rest = max((float(f.bound.max()) for f in paths if len(f.bound)), default=-np.inf)
+        rest = max(f.top() for f in paths)
         rows = []
         for f in paths:
             x = f.log_weight - rest
             log_in = 0.0 if np.isneginf(rest) or x > 30 else x if x < -30 else float(np.log(-np.expm1(-np.exp(x))))
-            rows.append((lat.piece_[f.path], f.log_weight, log_in))
+            rows.append((lat.ids_of(f.path), f.log_weight, log_in))
         out.append(rows)
     return out
 
@@ -261,34 +365,26 @@ def decode_pieces(lat: Lattices, ids: np.ndarray) -> bytes:
     return data[1:] if data[:1] == b" " else data
 
 
-_READY: dict[tuple, Lattices] = {}
-
-
 def lattices(path: str, temperature: float) -> Lattices:
-    if (path, temperature) not in _READY:
-        _READY.clear()
-        _READY[path, temperature] = Lattices(path, temperature)
-    return _READY[path, temperature]
+    return workers.hold("segmentation", (path, temperature), lambda: Lattices(path, temperature))
 
 
 def sampled_segmentations(docs: DataFrame, k: int = 2, temperature: float = 0.001, model: str | None = None, with_ids: bool = False) -> DataFrame:
     """k rows per document: sample, n_pieces, log_weight, log_inclusion, ids_crc32 and whether decoding gives the text
     back; with_ids adds the ids."""
-    common.small_batches(docs.sparkSession, 256)
     path = model or model_path()
-    kinds = pa.schema([("doc_id", pa.int64()), ("sample", pa.int32()), ("n_pieces", pa.int64()), ("log_weight", pa.float64()), ("log_inclusion", pa.float64()), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_()), *([("ids", pa.list_(pa.int32()))] if with_ids else [])])
+    kinds = [("doc_id", pa.int64()), ("sample", pa.int32()), ("n_pieces", pa.int64()), ("log_weight", pa.float64()), ("log_inclusion", pa.float64()), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_()), *([("ids", pa.list_(pa.int32()))] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lat = lattices(path, temperature)
+        lat = lattices(path, temperature)
+        for batch in common.slices(batches, 1):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows = []
             for doc_id, text, got in zip(ids, texts, sample_texts(lat, [x or 0 for x in ids], texts, k)):
                 whole = (text or "").encode("utf-8", "surrogatepass")
                 for s, (pieces, weight, inclusion) in enumerate(got):
-                    row = {"doc_id": doc_id, "sample": s, "n_pieces": len(pieces), "log_weight": weight, "log_inclusion": inclusion, "ids_crc32": zlib.crc32(pieces.astype("<u4").tobytes()), "round_trip": decode_pieces(lat, pieces) == whole}
-                    rows.append(row | ({"ids": pieces.astype(np.int32)} if with_ids else {}))
-            yield pa.RecordBatch.from_pylist(rows, kinds)
+                    rows.append((doc_id, s, len(pieces), weight, inclusion, zlib.crc32(pieces.astype("<u4").tobytes()), decode_pieces(lat, pieces) == whole, *([pieces] if with_ids else [])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds)], [name for name, _ in kinds])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, SAMPLES + (", ids array<int>" if with_ids else ""))
