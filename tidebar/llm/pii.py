@@ -27,32 +27,41 @@ from pyspark.sql import functions as F
 
 from . import common
 
-# The possessive forms match what the plain ones do, as nothing follows the repeated part; they need no deep stack.
+# The possessive forms match what the plain ones do, as nothing that follows a repeated part could be part of it; they need
+# no deep stack. An email or an ip can begin only where its first run of characters does, or where the match before it
+# ended: from any later place the same run would lead to the same end. So each run is tried once, and time is linear.
 KINDS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++",
-    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 ORDER = [*KINDS, "term"]
 WORD = r"[\p{L}\p{N}]+"
+BLOCK = 256  # matches of a text whose places are summed together
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 
 
 def _located(text: Column, pattern: str) -> Column:
-    """start, end (code points), value of each match: the gaps between matches give the places."""
+    """start, end (code points), value of each match: the gaps between matches give the places. They are summed in blocks of
+    matches and then over blocks, as each step of a sum copies the array so far."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.zip_with(found, F.split(text, pattern, -1), lambda value, gap: F.struct(value.alias("value"), F.char_length(gap).alias("gap")))
     empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
 
     def add(acc: Column, part: Column) -> Column:
         start = acc["at"] + part["gap"]
         end = start + F.char_length(part["value"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), part["value"].alias("value")))).alias("out"))
 
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
-    matched = F.filter(parts, lambda p: p["value"].isNotNull())
-    return F.when(text.rlike(pattern), F.aggregate(matched, zero, add, lambda acc: acc["out"])).otherwise(empty)
+    def join(acc: Column, block: Column) -> Column:
+        moved = F.transform(block["out"], lambda m: F.struct((m["start"] + acc["at"]).alias("start"), (m["end"] + acc["at"]).alias("end"), m["value"].alias("value")))
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["out"], moved).alias("out"))
+
+    matched = F.array(F.filter(parts, lambda p: p["value"].isNotNull()))  # one element, so that all blocks share it
+    blocks = F.transform(matched, lambda m: F.transform(F.sequence(F.lit(0), F.floor((F.size(m) - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(m, b * BLOCK + 1, F.lit(BLOCK)), zero, add)))
+    return F.when(text.rlike(pattern), F.aggregate(F.flatten(blocks), zero, join, lambda acc: acc["out"])).otherwise(empty)
 
 
 def _digits(value: Column) -> Column:
