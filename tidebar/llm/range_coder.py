@@ -1,14 +1,16 @@
 """Adaptive context-mixing range coder for token ids.
 
-A stream of ids is cut into blocks, each coded on its own from a fresh state. Three orders predict the next id:
-order 2 by the two ids before it, order 1 by the one before it, order 0 by the id most often seen lately; under
-them lies an order-0 histogram over ranges of ids. Each order's weight follows its own record in this block, by
-how often its slot has been right of late. The mixture gives every id an interval, which drives an arithmetic
-coder with a 64-bit low and range and 16-bit output words. Blocks do not depend on each other, so numpy codes
-all blocks of a segment side by side, one id of each at a step.
+A stream of ids is a segment: a head with two tables, and blocks that are coded each on its own from a fresh state.
+Three orders predict the next id. Order 0 is the head's table of the segment's ids and their frequencies; order 1 the
+head's table of what follows each id; order 2 the id that last followed the two ids before it in this block. The block's
+own record mixes them: how often order 2 has been right, by how often its slot was right of late, sets order 2's share of
+the range, and how often order 1 has known the id sets how the rest is shared between orders 1 and 0. An id takes its
+interval in the highest order that predicts it, which drives an arithmetic coder with a 64-bit low and range and 16-bit
+output words. Blocks do not depend on each other, so numpy codes all blocks of a segment side by side, one id of each at
+a step.
 
-Segment: magic, version, block length, ids, blocks (little-endian); then per block its ids, payload bytes and the
-crc32 of its ids; then the payloads."""
+Segment: magic, version, block length, ids, blocks, bytes of the head (little-endian); the head; then per block its ids,
+payload bytes and the crc32 of its ids; then the payloads."""
 
 from __future__ import annotations
 
@@ -17,111 +19,109 @@ import zlib
 
 import numpy as np
 
-MAGIC, VERSION = b"TBTK", 1
-HEAD = struct.Struct("<4sHIQI")
-SLOTS, LEVELS, STEP, REFRESH = 1024, 8, 32, 64  # SLOTS is a power of two
+MAGIC, VERSION = b"TBTK", 2
+HEAD = struct.Struct("<4sHIQII")
+SLOTS, TRUST = 4096, 4  # SLOTS is a power of two
+SCALE0, SCALE1 = 1 << 16, 1 << 12  # what the frequencies of a table, and of a row of order 1, add up to, about
+LEAST = 3  # a pair of ids met less often is left to order 0
 U = np.uint64
-WORD, MASK48, FLOOR = U(16), U((1 << 48) - 1), U(1 << 48)
-
-
-def _ranges() -> np.ndarray:
-    """Edges of the histogram's id ranges, two for each doubling."""
-    edges = sorted({0, 1} | {1 << k for k in range(1, 20)} | {3 << k for k in range(0, 19)})
-    return np.array(edges, np.int64)
-
-
-EDGES = _ranges()
-
-
-class Model:
-    """The state of every lane (block); predict() before each id, update() after it."""
-
-    def __init__(self, lanes: int, top: int):
-        n = int(np.searchsorted(EDGES, top, "right"))
-        self.edge, self.width = EDGES[:n], np.diff(np.append(EDGES[:n], top + 1))
-        self.place = (np.searchsorted(self.edge, np.arange(top + 1), "right") - 1).astype(np.int64) 
-        self.lanes = np.arange(lanes)
-        self.level_base = self.lanes * (3 * LEVELS)
-        self.slot_base = self.lanes * SLOTS
-        self.guess = np.zeros((3, lanes * SLOTS), np.uint32)
-        self.trust = np.zeros((3, lanes * SLOTS), np.uint8)
-        self.hit, self.miss = np.ones(3 * LEVELS * lanes, np.int64), np.full(3 * LEVELS * lanes, 2, np.int64)
-        self.seen = np.full((lanes, n), STEP, np.int64)
-        self.before = np.zeros((2, lanes), np.int64)
-        self.steps = 0
-        self._refresh(lanes)
-
-    def _refresh(self, act: int) -> None:
-        seen = self.seen[:act]
-        self.each = 1 + (seen << 22) // (seen.sum(1, keepdims=True) * self.width)
-        span = self.each * self.width
-        upto = np.cumsum(span, 1)
-        self.start, self.base = upto - span, upto[:, -1].copy()
-        self.flat_each, self.flat_start = self.each.ravel(), self.start.ravel()
-
-    def predict(self, act: int) -> None:
-        if self.steps and self.steps % REFRESH == 0:
-            self._refresh(act)
-        a, b = self.before[0, :act], self.before[1, :act]
-        base, h = self.slot_base[:act], a * 40503
-        self.at = (base, base + ((h >> 3) & (SLOTS - 1)), base + (((h + b * 60493) >> 4) & (SLOTS - 1)))
-        self.guesses, self.shares, self.level = [], [], []
-        total = self.base[:act].copy()
-        for k in range(3):
-            level = self.level_base[:act] + self.trust[k][self.at[k]] + k * LEVELS
-            share = np.minimum(self.base[:act] * self.hit[level] // self.miss[level], self.base[:act] << 6)
-            self.guesses.append(self.guess[k][self.at[k]].astype(np.int64))
-            self.shares.append(share)
-            self.level.append(level)
-            total += share
-        self.total = total
-
-    def bucket(self, ids: np.ndarray) -> np.ndarray:
-        return self.place[ids]
-
-    def interval(self, ids: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = self.lanes[: len(ids)] * len(self.edge) + bucket
-        freq = self.flat_each[at]
-        low = self.flat_start[at] + (ids - self.edge[bucket]) * freq
-        for guess, share in zip(self.guesses, self.shares):
-            low = low + share * (guess < ids)
-            freq = freq + share * (guess == ids)
-        return low, freq
-
-    def find(self, value: np.ndarray) -> np.ndarray:
-        """The id whose interval holds value: the shares of the guesses are taken off, in order of id."""
-        # sorted as pairs packed into one number each: a guess is below 2**20, a share below 2**29
-        p, q, r = ((g << 30) | s for g, s in zip(self.guesses, self.shares))
-        p, q = np.minimum(p, q), np.maximum(p, q)
-        q, r = np.minimum(q, r), np.maximum(q, r)
-        p, q = np.minimum(p, q), np.maximum(p, q)
-        row = self.lanes[: len(value)] * len(self.edge)
-        for pair in (p, q, r):
-            guess, share = pair >> 30, pair & ((1 << 30) - 1)
-            bucket = self.bucket(guess)
-            at = row + bucket
-            place = self.flat_start[at] + (guess - self.edge[bucket]) * self.flat_each[at]
-            value = np.where(value >= place, np.maximum(place, value - share), value)
-        bucket = (self.start[: len(value)] <= value[:, None]).sum(1) - 1
-        at = row + bucket
-        return self.edge[bucket] + (value - self.flat_start[at]) // self.flat_each[at]
-
-    def update(self, ids: np.ndarray, bucket: np.ndarray) -> None:
-        act = len(ids)
-        for k in range(3):
-            right = self.guesses[k] == ids
-            self.hit[self.level[k]] += right
-            self.miss[self.level[k]] += ~right
-            at, trust = self.at[k], self.trust[k]
-            now = trust[at]
-            fall = now >> 1 if k else now - (now > 0)
-            renew = ~right & (fall == 0)
-            self.guess[k][at] = np.where(renew, ids, self.guesses[k])
-            trust[at] = np.where(right, np.minimum(now + 1, LEVELS - 1), fall)
-        self.seen[self.lanes[:act], bucket] += STEP
-        self.before[1, :act] = self.before[0, :act]
-        self.before[0, :act] = ids
-        self.steps += 1
+TEN, WORD, MASK48, FLOOR = U(10), U(16), U((1 << 48) - 1), U(1 << 48)
+
+
+def _scaled(counts: np.ndarray, whole: np.ndarray, scale: int) -> np.ndarray:
+    return np.maximum(1, counts * scale // whole)
+
+
+class Tables:
+    """Orders 0 and 1 of a segment, on the ids' ranks. A row of order 1 is what follows one id, with its own total."""
+
+    def __init__(self, values: np.ndarray, freq0: np.ndarray, sizes: np.ndarray, to: np.ndarray, freq1: np.ndarray):
+        self.values, self.freq0, self.sizes, self.to, self.freq1 = values, freq0, sizes, to, freq1
+        self.upto0 = np.cumsum(freq0)
+        self.total0 = int(self.upto0[-1])
+        self.upto1 = np.cumsum(freq1)
+        ends = np.cumsum(sizes)
+        sums = np.concatenate([[0], self.upto1])
+        self.row_base = sums[ends - sizes]
+        self.row_total = np.maximum(1, sums[ends] - self.row_base)
+
+    @classmethod
+    def of(cls, ranks: np.ndarray, before: np.ndarray, values: np.ndarray) -> tuple[Tables, np.ndarray]:
+        """The tables of a segment, and each id's place in order 1 (-1 where it is not there)."""
+        d = len(values)
+        counts = np.bincount(ranks, minlength=d)
+        pairs, place, times = np.unique(before * d + ranks, return_inverse=True, return_counts=True)
+        kept = times >= LEAST
+        at = np.where(kept, np.cumsum(kept) - 1, -1)[place.ravel()]
+        pairs, times = pairs[kept], times[kept]
+        context = pairs // d
+        whole = np.bincount(context, times, minlength=d).astype(np.int64)
+        freq0 = _scaled(counts, np.array(len(ranks)), max(SCALE0, 4 * d))
+        return cls(values, freq0, np.bincount(context, minlength=d), pairs % d, _scaled(times, whole[context], SCALE1)), at
+
+    def pack(self) -> bytes:
+        """Differences of ids and of followers, and the frequencies, each as bytes by weight."""
+        step = np.diff(self.to, prepend=0)
+        first = (np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]
+        step[first] = self.to[first]
+        columns = (np.diff(self.values, prepend=0), self.freq0, self.sizes, step, self.freq1)
+        planes = b"".join(np.ascontiguousarray(c.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for c in columns)
+        return struct.pack("<II", len(self.values), len(self.to)) + zlib.compress(planes, 9)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Tables:
+        d, n = struct.unpack_from("<II", data)
+        planes = np.frombuffer(zlib.decompress(data[8:]), np.uint8)
+        columns, at = [], 0
+        for size in (d, d, d, n, n):
+            columns.append(np.ascontiguousarray(planes[at : at + 4 * size].reshape(4, size).T).view("<u4").ravel().astype(np.int64))
+            at += 4 * size
+        values, freq0, sizes, step, freq1 = columns
+        upto = np.cumsum(step)
+        first = np.cumsum(sizes) - sizes
+        begin = np.where(sizes > 0, (upto - step)[np.minimum(first, max(0, n - 1))], 0) if n else np.zeros(d, np.int64)
+        return cls(np.cumsum(values), freq0, sizes, upto - np.repeat(begin, sizes), freq1)
+
+
+class Record:
+    """What each block has seen so far: order 2's slots, and the records that set the shares, in 1024ths."""
+
+    def __init__(self, lanes: int, nothing: int):
+        self.slot_base, self.trust_base = np.arange(lanes) * SLOTS, np.arange(lanes) * TRUST
+        self.guess, self.trust = np.full(lanes * SLOTS, nothing, np.int32), np.zeros(lanes * SLOTS, np.int8)
+        self.right, self.tried = np.ones(lanes * TRUST, np.int64), np.full(lanes * TRUST, 4, np.int64)
+        self.known, self.asked = np.full(lanes, 3, np.int64), np.full(lanes, 4, np.int64)
+        self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+
+    def predict(self, act: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Order 2's guess, its share, and order 1's share of the rest."""
+        self.slot = self.slot_base[:act] + ((self.one[:act] * 40503 + self.two[:act] * 60493 >> 4) & (SLOTS - 1))
+        self.level = self.trust_base[:act] + self.trust[self.slot]
+        first = 1 + self.right[self.level] * 1022 // self.tried[self.level]
+        return self.guess[self.slot], first.astype(U), (1 + self.known[:act] * 1022 // self.asked[:act]).astype(U)
+
+    def update(self, ranks: np.ndarray, hit: np.ndarray, known: np.ndarray) -> None:
+        act = len(ranks)
+        self.right[self.level] += hit
+        self.tried[self.level] += 1
+        self.known[:act] += known & ~hit
+        self.asked[:act] += ~hit
+        self.trust[self.slot] = np.where(hit, np.minimum(self.trust[self.slot] + 1, TRUST - 1), 0)
+        self.guess[self.slot] = ranks
+        self.two[:act] = self.one[:act]
+        self.one[:act] = ranks
+
+
+def _narrow(low: np.ndarray, rng: np.ndarray, part: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first part of each range where `first` holds, else the rest."""
+    return np.where(first, low, low + part), np.where(first, part, rng - part)
+
+
+def _shift(low: np.ndarray, rng: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """low and range after one output word."""
+    across = (low ^ (low + (rng - U(1)))) > MASK48
+    rng = np.where(across, FLOOR - (low & MASK48), rng)
+    return low << WORD, rng << WORD
 
 
 def _lanes(n: int, block: int) -> tuple[int, int]:
@@ -130,41 +130,55 @@ def _lanes(n: int, block: int) -> tuple[int, int]:
     return lanes, n - block * (lanes - 1)
 
 
-def compress(ids: np.ndarray, block: int = 4096) -> bytes:
+def _by_step(x: np.ndarray, lanes: int, block: int) -> np.ndarray:
+    """block x lanes: what each block has at each step."""
+    grid = np.zeros(lanes * block, x.dtype)
+    grid[: len(x)] = x
+    return np.ascontiguousarray(grid.reshape(lanes, block).T)
+
+
+def compress(ids: np.ndarray, block: int = 8192) -> bytes:
     """A segment that holds ids (whole numbers below 2**20: no vocabulary is larger); ValueError otherwise."""
     ids = np.ascontiguousarray(ids, np.uint32)
     n = len(ids)
     if not n:
-        return HEAD.pack(MAGIC, VERSION, block, 0, 0)
-    lanes, last = _lanes(n, block)
-    top = int(ids.max())
-    if top >= 1 << 20:
+        return HEAD.pack(MAGIC, VERSION, block, 0, 0, 0)
+    if int(ids.max()) >= 1 << 20:
         raise ValueError("an id is out of range")
-    grid = np.zeros(lanes * block, np.int64)
-    grid[:n] = ids
-    grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
-    model = Model(lanes, top)
+    lanes, last = _lanes(n, block)
+    seen = np.bincount(ids)
+    values = np.flatnonzero(seen)
+    rank = np.cumsum(seen > 0) - 1
+    ranks = rank[ids]
+    before = np.concatenate([[0], ranks[:-1]])
+    before[::block] = 0  # a block begins as if after the least id
+    tables, at = Tables.of(ranks, before, values)
+    there = at >= 0
+    start = np.where(there, tables.upto1[at] - tables.freq1[at] - tables.row_base[before], (tables.upto0 - tables.freq0)[ranks]) if len(tables.to) else (tables.upto0 - tables.freq0)[ranks]
+    freq = np.where(there, tables.freq1[at], tables.freq0[ranks]) if len(tables.to) else tables.freq0[ranks]
+    total = np.where(there, tables.row_total[before], tables.total0)
+    ranks, there, start, freq, total = (_by_step(x.astype(t), lanes, block) for x, t in ((ranks, np.int32), (there, bool), (start, np.uint32), (freq, np.uint32), (total, np.uint32)))
+    del at, before, seen
+    record = Record(lanes, len(values))
     low, rng = np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U)
-    out, pos = np.zeros((lanes, 2 * block + 64), np.uint16), np.zeros(lanes, np.int64)
-    buckets = model.bucket(grid)
+    out, pos = np.zeros((lanes, block + 64), np.uint16), np.zeros(lanes, np.int64)
     for t in range(block if lanes > 1 else last):
         act = lanes if t < last else lanes - 1
-        x, bucket = grid[t, :act], buckets[t, :act]
-        model.predict(act)
-        start, freq = model.interval(x, bucket)
-        r = rng[:act] // model.total.astype(U)
-        low[:act] += r * start.astype(U)
-        rng[:act] = r * freq.astype(U)
+        x, known = ranks[t, :act], there[t, :act]
+        guess, two, one = record.predict(act)
+        hit = guess == x
+        lo, ra = _narrow(low[:act], rng[:act], (rng[:act] >> TEN) * two, hit)
+        lo1, ra1 = _narrow(lo, ra, (ra >> TEN) * one, known)
+        ra1 //= total[t, :act]
+        low[:act] = np.where(hit, lo, lo1 + ra1 * start[t, :act])
+        rng[:act] = np.where(hit, ra, ra1 * freq[t, :act])
         while len(w := np.flatnonzero(rng[:act] < FLOOR)):
-            lo, ra = low[w], rng[w]
-            across = (lo ^ (lo + (ra - U(1)))) > MASK48
-            ra = np.where(across, FLOOR - (lo & MASK48), ra)
             if pos[w].max() >= out.shape[1]:
                 out = np.pad(out, ((0, 0), (0, out.shape[1])))
-            out[w, pos[w]] = (lo >> U(48)).astype(np.uint16)
+            out[w, pos[w]] = (low[w] >> U(48)).astype(np.uint16)
             pos[w] += 1
-            low[w], rng[w] = lo << WORD, ra << WORD
-        model.update(x, bucket)
+            low[w], rng[w] = _shift(low[w], rng[w])
+        record.update(x, hit, known)
     w = np.arange(lanes)
     if pos.max() >= out.shape[1]:
         out = np.pad(out, ((0, 0), (0, 1)))
@@ -175,54 +189,71 @@ def compress(ids: np.ndarray, block: int = 4096) -> bytes:
         own = ids[i * block : (i + 1) * block]
         parts.append(out[i, : pos[i]].tobytes())
         table.append((len(own), len(parts[-1]), zlib.crc32(own.tobytes())))
-    return HEAD.pack(MAGIC, VERSION, block, n, lanes) + struct.pack("<I", top) + np.array(table, "<u4").tobytes() + b"".join(parts)
+    head = tables.pack()
+    return HEAD.pack(MAGIC, VERSION, block, n, lanes, len(head)) + head + np.array(table, "<u4").tobytes() + b"".join(parts)
 
 
 def decompress(data: bytes) -> np.ndarray:
     """The ids of a segment; raises ValueError where a block's checksum does not hold."""
-    magic, version, block, n, lanes = HEAD.unpack_from(data)
+    magic, version, block, n, lanes, head = HEAD.unpack_from(data)
     if (magic, version) != (MAGIC, VERSION):
         raise ValueError("not a segment of token ids")
     if not n:
         return np.zeros(0, np.uint32)
-    top = struct.unpack_from("<I", data, HEAD.size)[0]
-    at = HEAD.size + 4
+    at = HEAD.size + head
     table = np.frombuffer(data, "<u4", 3 * lanes, at).reshape(lanes, 3).astype(np.int64)
     at += 12 * lanes
     if at + int(table[:, 1].sum()) != len(data) or int(table[:, 0].sum()) != n:
         raise ValueError("a segment of token ids is cut off")
+    try:
+        tables = Tables.unpack(data[HEAD.size : HEAD.size + head])
+    except zlib.error as e:
+        raise ValueError("the head of a segment is damaged") from e
     words = np.zeros((lanes, int(table[:, 1].max()) // 2 + 8), np.uint16)
     for i, size in enumerate(table[:, 1]):
         words[i, : size // 2] = np.frombuffer(data, "<u2", size // 2, at)
         at += int(size)
     last = int(table[-1, 0])
-    model = Model(lanes, top)
+    record = Record(lanes, len(tables.values))
     low, rng, code = np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U), np.zeros(lanes, U)
     for k in range(4):
         code = (code << WORD) | words[:, k].astype(U)
     pos, edge = np.full(lanes, 4, np.int64), words.shape[1] - 1
-    grid = np.zeros((block, lanes), np.uint32)
+    grid = np.zeros((block, lanes), np.int32)
+    row_total, row_base = tables.row_total.astype(U), tables.row_base
     for t in range(block if lanes > 1 else last):
         act = lanes if t < last else lanes - 1
-        model.predict(act)
-        total = model.total.astype(U)
-        r = rng[:act] // total
-        value = np.minimum((code[:act] - low[:act]) // r, total - U(1)).astype(np.int64)
-        x = np.minimum(model.find(value), top)
-        bucket = model.bucket(x)
-        start, freq = model.interval(x, bucket)
-        low[:act] += r * start.astype(U)
-        rng[:act] = r * freq.astype(U)
+        guess, two, one = record.predict(act)
+        before = record.one[:act].copy()
+        part = (rng[:act] >> TEN) * two
+        hit = code[:act] - low[:act] < part
+        lo, ra = _narrow(low[:act], rng[:act], part, hit)
+        part = (ra >> TEN) * one
+        known = code[:act] - lo < part
+        lo1, ra1 = _narrow(lo, ra, part, known)
+        total = np.where(known, row_total[before], U(tables.total0))
+        ra1 //= total
+        value = np.minimum((code[:act] - lo1) // ra1, total - U(1)).astype(np.int64)
+        x, start, freq = guess.copy(), np.zeros(act, U), np.ones(act, U)
+        w = np.flatnonzero(known & ~hit)
+        base = row_base[before[w]]
+        row = np.searchsorted(tables.upto1, base + value[w], "right")
+        x[w], freq[w] = tables.to[row], tables.freq1[row]
+        start[w] = tables.upto1[row] - tables.freq1[row] - base
+        w = np.flatnonzero(~known & ~hit)
+        row = np.searchsorted(tables.upto0, value[w], "right")
+        x[w], freq[w] = row, tables.freq0[row]
+        start[w] = tables.upto0[row] - tables.freq0[row]
+        low[:act] = np.where(hit, lo, lo1 + ra1 * start)
+        rng[:act] = np.where(hit, ra, ra1 * freq)
         while len(w := np.flatnonzero(rng[:act] < FLOOR)):
-            lo, ra = low[w], rng[w]
-            across = (lo ^ (lo + (ra - U(1)))) > MASK48
-            ra = np.where(across, FLOOR - (lo & MASK48), ra)
+            low[w], rng[w] = _shift(low[w], rng[w])
             code[w] = (code[w] << WORD) | words[w, np.minimum(pos[w], edge)].astype(U)
             pos[w] += 1
-            low[w], rng[w] = lo << WORD, ra << WORD
         grid[t, :act] = x
-        model.update(x, bucket)
-    ids = np.ascontiguousarray(grid.T).ravel()[:n]
+        record.update(x, hit, known)
+    values = np.append(tables.values, 0).astype(np.uint32)
+    ids = values[np.ascontiguousarray(grid.T).ravel()[:n]]
     for i in range(lanes):
         if zlib.crc32(ids[i * block : (i + 1) * block].tobytes()) != table[i, 2]:
             raise ValueError(f"block {i} of a segment fails its checksum")

@@ -4,7 +4,8 @@ A file holds the documents of one range of ids; it is a table of segments, each
 document index and its own checksummed blocks (range_coder), so that any task can read any segment alone.
 
 Defined cases: a null or empty text has the end id alone; a null doc_id sorts first and stays null; repeated rows
-stay; an empty table gives no segments; other columns are ignored. A very long text is one segment of its own."""
+stay; an empty table gives no segments; other columns are ignored; a text with more ids than a segment may hold is one
+segment of its own."""
 
 from __future__ import annotations
 
@@ -21,6 +22,8 @@ from . import common, range_coder, tokens
 
 INDEX = struct.Struct("<4sQ")
 SEGMENTS = "file int, segment int, n_docs long, n_tokens long, data binary"
+#: Segments whose starts are broadcast, of some 20 bytes each.
+MOST_SENT = 500_000
 DIGEST = "file int, segment int, doc_id long, place long, n_tokens long, ids_crc32 long"
 
 
@@ -46,10 +49,11 @@ def open_segment(data: bytes) -> Iterator[tuple[int | None, int, np.ndarray]]:
         yield None if null[i] else int(ids[i]), int(start[i]), flat[start[i] : start[i] + length[i]]
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, segment_ids: int = 6_000_000, block: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, segment_ids: int = 6_000_000, block: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every whole text, adds end_id, and writes the segments under path in ascending id order.
 
-    segment_ids bounds a task's memory: a segment closes once it holds so many ids."""
+    segment_ids bounds a task's memory: a segment closes before the document that would take it beyond so many ids, so one
+    with more ids than that is a segment of its own."""
     spark = docs.sparkSession
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,12 +72,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, se
         for batch in common.slices(batches, 1):
             got = coder.encode(batch.column(1).to_pylist())
             for name, ids in zip(batch.column(0).to_pylist(), got):
+                if names and held + len(ids) + 1 > segment_ids:
+                    yield flush()
+                    names, parts, held, segment = [], [], 0, segment + 1
                 names.append(name)
                 parts.append(np.concatenate([ids, end]))
                 held += len(ids) + 1
-            if held >= segment_ids:
-                yield flush()
-                names, parts, held, segment = [], [], 0, segment + 1
         if names:
             yield flush()
 
@@ -118,7 +122,10 @@ def _read(spark: SparkSession, path: str, schema: str, value) -> DataFrame:
 
     segments = spark.read.schema(SEGMENTS).parquet(path)
     rows = segments.select("file", "segment", "data").mapInArrow(decode, schema)
-    rows = rows.join(_starts(segments.select("file", "segment", "n_tokens")), ["file", "segment"])
+    # one narrow row per segment: sent to all tasks unless the files hold very many segments, so that rows stay where they are
+    starts = _starts(segments.select("file", "segment", "n_tokens"))
+    few = segments.select("file").count() <= MOST_SENT
+    rows = rows.join(F.broadcast(starts) if few else starts, ["file", "segment"])
     return rows.withColumn("start", F.col("start") + F.col("place")).drop("file", "segment", "place")
 
 
