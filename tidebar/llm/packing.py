@@ -1,9 +1,9 @@
 """Best-fit packing of documents into sequences of bounded length.
 
 Texts are encoded where they are read, and only a narrow row per piece travels. Pieces are dealt into groups of
-bounded size; in a group they come longest first and go to the open bin with the least free space that holds them.
-The open bins are a bitset keyed by free space with a stack of bins per bit; their number is fixed, and when it is
-reached the fullest closes.
+bounded size; in a group they come online, in the order of their documents, and each goes to the open bin with the least
+free space that holds it. The open bins are a bitset keyed by free space with a stack of bins per bit; their number is
+fixed, and when it is reached the fullest closes, so that what a task holds does not depend on how many pieces come.
 
 Defined cases: a null or empty text is its end id alone; repeated rows and null ids are packed like any others; an
 empty table gives no pieces; other columns are ignored. Only a text longer than a sequence is cut: full pieces,
@@ -81,15 +81,15 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, id_c
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, PIECES)
 
 
-def best_fit(items: DataFrame, capacity: int, open_bins: int = 16_384, group_rows: int = 40_000) -> DataFrame:
+def best_fit(items: DataFrame, capacity: int, open_bins: int = 64, group_rows: int = 100_000) -> DataFrame:
     """Adds sequence_id and offset to items with a `length` (1 to capacity).
 
-    Groups of about group_rows items bound a task; each leaves at most a few bins unfilled."""
+    Groups of about group_rows items bound a task; each leaves at most open_bins bins unfilled."""
     items = common.keep(items, "pieces")
     groups = max(1, -(-items.count() // group_rows))
 
     def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+        frame = frame.sort_values(["doc_id", "piece"], kind="stable")
         bins = OpenBins(capacity, open_bins)
         placed = np.array([bins.place(n) for n in frame["length"].tolist()], np.int64).reshape(-1, 2)
         return frame.drop(columns="group").assign(sequence_id=(int(key[0]) << 32) + placed[:, 0], offset=placed[:, 1])
