@@ -1,13 +1,15 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary text and one on what sets toxic text apart from it. Each
+zstandard trains two dictionaries, one on windows of toxic texts and one on windows of ordinary texts. The toxic samples
+are the windows that hold what sets toxic texts apart (stems by likelihood ratio), and the ordinary ones those that don't,
+since most windows of a toxic text are ordinary and would make both dictionaries alike. Each
 window of a text (a word between neutral margins, as zstandard matches nothing in a window's last bytes) is
 compressed with both; the difference of the two lengths says which text it is nearer to. A document's share and
 number of windows beyond each length difference, and its largest difference, give a score by a logistic curve
 that is calibrated on the training labels and on the share of each class among all of them.
 
-Training reads a bounded sample of labelled rows (per_class of each label, in the order of a hash of their id);
-scoring reads every window of every whole text. Windows repeat, so their lengths are looked up.
+Training reads a bounded sample of labelled rows (per_class of each label and sample_bytes of their texts, in the order of
+a hash of their id); scoring reads every window of every whole text. Windows repeat, so their lengths are looked up.
 
 Defined cases: a null, empty or wordless text counts as one empty window; with no labels of either kind every
 score is 0; rows with a null id are scored like others; repeated rows get equal scores; other columns are ignored."""
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, workers
@@ -75,14 +77,20 @@ def contrast(toxic: list[str], ordinary: list[str], evidence: float = 36.0, text
     return chosen
 
 
-def train_dictionaries(toxic: list[str], ordinary: list[str], size: int = 8192) -> tuple[bytes, bytes]:
-    """(toxic, ordinary) dictionaries. The strongest stems come last, where offsets are shortest."""
-    try:
-        plain = zstandard.train_dictionary(size, [t.encode("utf-8", "replace") for t in ordinary]).as_bytes()[-size:]
-    except zstandard.ZstdError:  # too few samples
-        plain = "\n".join(ordinary).encode("utf-8", "replace")[-size:]
-    own = "".join(reversed(contrast(toxic, ordinary))).encode()
-    return own.ljust(64, b"\x00"), plain.ljust(64, b"\x00")
+def train_dictionaries(toxic: list[str], ordinary: list[str], size: int = 8192, together: int = 32) -> tuple[bytes, bytes]:
+    """(toxic, ordinary) dictionaries, each trained on its windows, so many to a sample."""
+    chosen = set(contrast(toxic, ordinary))
+
+    def trained(texts: list[str], marked: bool) -> bytes:
+        all_ = [f" {w} ".encode("utf-8", "replace") for t in texts for w in windows(t) if any(s in chosen for s in _stems(w)) == marked]
+        samples = [b"".join(all_[i : i + together]) for i in range(0, len(all_), together)]
+        try:
+            made = zstandard.train_dictionary(size, samples).as_bytes()
+        except zstandard.ZstdError:  # too few samples: they are the dictionary
+            made = b"".join(dict.fromkeys(all_))
+        return made[-size:].ljust(64, b"\x00")
+
+    return trained(toxic, True), trained(ordinary, False)
 
 
 class Distances(dict):
@@ -125,14 +133,16 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int =
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> dict | None:
-    """The two dictionaries and the curve, from at most per_class texts of each label. docs: doc_id, text; labels:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, sample_bytes: int = 16_000_000) -> dict | None:
+    """The two dictionaries and the curve, from at most per_class texts of each label, and of these the first sample_bytes. docs: doc_id, text; labels:
     doc_id, toxic (0 or 1). None if a class is missing."""
     picked = [r for value in (0, 1) for r in labels.where(F.col("toxic") == value).select("doc_id", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()]
     if not picked:
         return None
     chosen = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in picked], "doc_id long, toxic int")
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").distinct().collect()
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").distinct()
+    upto = F.sum(F.octet_length(F.coalesce("text", F.lit("")))).over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
+    rows = rows.withColumn("upto", upto).where(F.col("upto") <= sample_bytes).collect()
     rows = sorted((r.doc_id, r.text or "", r.toxic) for r in rows)
     toxic, ordinary = list(dict.fromkeys(r[1] for r in rows if r[2] == 1)), list(dict.fromkeys(r[1] for r in rows if r[2] == 0))
     if not toxic or not ordinary:
