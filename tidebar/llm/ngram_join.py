@@ -13,7 +13,12 @@ hash). The work is cut along that order, never by pairs:
    across components. So no link between different components is lost, and a group of copies never becomes all
    of its pairs. A pair is dropped in the join where it can't reach the threshold by its sizes, or by 512 parity bits
    of each set: common n-grams cancel in their difference, so its bits are at most the n-grams that differ.
-4. A pair's overlap is counted fragment by fragment on the two cut sets and summed per pair; that sum is exact.
+4. The global order is cut into fragments, each a range of it (edges by frequency, so that rare n-grams stand apart from
+   common ones). A pair's overlap is counted fragment by fragment on the two cut sets and summed per pair; that sum is
+   exact.
+
+near_classes gives the components alone, and for that skips links within a component already found. linked_classes gives
+every link between different sets.
 
 Defined cases: a text with fewer words than a shingle is one shingle, its whole sequence; a null, empty or blank
 text has none, and links with nothing; repeated rows are equal sets; rows with a null id take part, and a class's
@@ -33,6 +38,7 @@ from . import common, workers
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 MANY = 65535  # stands for the frequency of an n-gram met in very many texts
+EDGES = (3, 5, 17)  # least frequency of every fragment of the global order but the first
 BITS = [f"bits{i}" for i in range(8)]
 SIDE = ["cls", "n", "alone", *BITS]
 _U = np.uint64
@@ -186,9 +192,10 @@ def _shared(packed: DataFrame, fragments: int, buckets: int) -> DataFrame:
 
 
 def _candidates(shared: DataFrame, classes: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """cls, n, k, grams, alone, bits: the classes that can reach the threshold, their shared n-grams in the global order,
-    how many of these lie in the class's prefix, how many n-grams no other class has, and the parity bits of grams."""
-    kinds = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("k", pa.int32()), ("grams", pa.list_(pa.int64())), ("alone", pa.int64()), *((b, pa.int64()) for b in BITS)])
+    """cls, n, k, grams, cuts, alone, bits: the classes that can reach the threshold, their shared n-grams in the global
+    order, how many of these lie in the class's prefix, where each fragment of the order ends in grams, how many n-grams
+    no other class has, and the parity bits of grams."""
+    kinds = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("k", pa.int32()), ("grams", pa.list_(pa.int64())), ("cuts", pa.list_(pa.int32())), ("alone", pa.int64()), *((b, pa.int64()) for b in BITS)])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         cls, h, df = [], [], []
@@ -202,10 +209,10 @@ def _candidates(shared: DataFrame, classes: DataFrame, percent: int, buckets: in
             return kinds.empty_table()
         cls, h, df = np.concatenate(cls), np.concatenate(h), np.concatenate(df)
         order = np.lexsort((h, df, cls))
-        cls, h = cls[order], h[order]
+        cls, h, df = cls[order], h[order], df[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (cls[1:] != cls[:-1])
-        cls, h = cls[new], h[new]
+        cls, h, df = cls[new], h[new], df[new]
         first = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
         upto = np.concatenate([first[1:], [len(cls)]])
         size = dict(zip(right.column("cls").to_pylist(), right.column("n").to_pylist()))
@@ -215,16 +222,17 @@ def _candidates(shared: DataFrame, classes: DataFrame, percent: int, buckets: in
             k = n + (percent * n) // -100 + 1 - (n - (b - a))
             if k > 0:
                 parity = np.packbits((np.bincount(h[a:b] & 511, minlength=512) & 1).astype(np.uint8)).view(np.int64)
-                rows.append({"cls": int(cls[a]), "n": n, "k": k, "grams": h[a:b], "alone": n - (b - a)} | dict(zip(BITS, parity.tolist())))
+                rows.append({"cls": int(cls[a]), "n": n, "k": k, "grams": h[a:b], "cuts": [*np.searchsorted(df[a:b], EDGES).tolist(), b - a], "alone": n - (b - a)} | dict(zip(BITS, parity.tolist())))
         return pa.Table.from_pylist(rows, kinds)
 
     classes = classes.select("cls", "n", F.pmod("cls", F.lit(buckets)).alias("bucket"))
-    return shared.groupBy("bucket").cogroup(classes.groupBy("bucket")).applyInArrow(run, ", ".join(["cls long, n long, k int, grams array<long>, alone long", *(f"{b} long" for b in BITS)]))
+    return shared.groupBy("bucket").cogroup(classes.groupBy("bucket")).applyInArrow(run, ", ".join(["cls long, n long, k int, grams array<long>, cuts array<int>, alone long", *(f"{b} long" for b in BITS)]))
 
 
-def _overlaps(pairs: DataFrame, grams: DataFrame, fragments: int) -> DataFrame:
+def _overlaps(pairs: DataFrame, grams: DataFrame) -> DataFrame:
     """a, b, shared: partial overlaps counted in each fragment of the n-gram order, summed per pair."""
-    cut = F.transform(F.sequence(F.lit(0), F.lit(fragments - 1)), lambda f: F.struct(f.alias("f"), F.filter("grams", lambda g: F.pmod(F.shiftrightunsigned(g, 20), F.lit(fragments)) == f).alias("part")))
+    begin = lambda f: F.when(f > 0, F.get("cuts", f - 1)).otherwise(0)
+    cut = F.transform(F.sequence(F.lit(0), F.lit(len(EDGES))), lambda f: F.struct(f.alias("f"), F.slice("grams", begin(f) + 1, F.get("cuts", f) - begin(f)).alias("part")))
     parts = grams.select("cls", F.explode(cut).alias("x")).select("cls", "x.f", "x.part").where(F.size("part") > 0)
     both = pairs.join(parts.select(F.col("cls").alias("a"), "f", F.col("part").alias("pa")), "a").join(parts.select(F.col("cls").alias("b"), "f", F.col("part").alias("pb")), ["b", "f"])
     return both.select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("o")).groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("shared"))
@@ -244,16 +252,13 @@ def _paired(rows: DataFrame) -> DataFrame:
     return rows.select(first("x.cls", "y.cls").alias("a"), first("y.cls", "x.cls").alias("b"), first("x.n", "y.n").alias("na"), first("y.n", "x.n").alias("nb")).distinct()
 
 
-def _links(pairs: DataFrame, grams: DataFrame, percent: int, fragments: int) -> DataFrame:
-    got = _overlaps(pairs, grams, fragments)
+def _links(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    got = _overlaps(pairs, grams)
     return got.where((100 + percent) * F.col("shared") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def near_classes(docs: DataFrame, width: int = 5, percent: int = 75, fragment_grams: int = 1_500_000, parts: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every document; percent is the Jaccard threshold.
-
-    fragment_grams bounds the n-grams that one task of a fragment holds."""
-    spark = docs.sparkSession
+def _prepared(docs: DataFrame, width: int, percent: int, fragment_grams: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sets, classes, grams): the documents' sets, the classes of equal sets, and the classes that can have links."""
     docs = _texts(docs, id_col, text_col)
     sets = common.keep(_sets(docs, width), "sets")
     classes = sets.where("cls is not null").groupBy("cls").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"))
@@ -262,7 +267,26 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 75, fragment_gr
     frequent = _frequent(docs, width, rows, sample=4000, least=8)
     packed = _fragments(docs, width, fragments, frequent)
     grams = common.keep(_candidates(_shared(packed, fragments, fragments), classes, percent, fragments), "grams")
-    links, used = _all_links(spark, grams, percent, parts)
+    return sets, classes, grams
+
+
+def linked_classes(docs: DataFrame, width: int = 5, percent: int = 75, fragment_grams: int = 1_500_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(links, members): every linked pair of different sets as classes a and b, with what they share; and doc_id, cls of
+    every document, null where the set is empty. Documents of one class are linked as well."""
+    sets, _, grams = _prepared(docs, width, percent, fragment_grams, id_col, text_col)
+    post = grams.select(F.explode(F.slice("grams", F.lit(1), F.col("k"))).alias("h"), F.struct(*SIDE).alias("x"))
+    rows = post.join(post.select("h", F.col("x").alias("y")), "h").where((F.col("x.cls") < F.col("y.cls")) & _may_link(percent))
+    got = _overlaps(common.keep(_paired(rows), "pairs"), grams).where((100 + percent) * F.col("shared") >= percent * (F.col("na") + F.col("nb")))
+    return got.select("a", "b", "shared"), sets.select("doc_id", "cls")
+
+
+def near_classes(docs: DataFrame, width: int = 5, percent: int = 75, fragment_grams: int = 1_500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every document; percent is the Jaccard threshold.
+
+    fragment_grams bounds the n-grams that one task of a fragment holds."""
+    spark = docs.sparkSession
+    sets, classes, grams = _prepared(docs, width, percent, fragment_grams, id_col, text_col)
+    links, used = _all_links(spark, grams, percent)
     roots = common.connected_components(links)
     named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     named = common.keep(named, "named")
@@ -273,8 +297,9 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 75, fragment_gr
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _all_links(spark: SparkSession, grams: DataFrame, percent: int, parts: int, pivots: int = 2) -> tuple[DataFrame, list[DataFrame]]:
-    """Links between classes that give the same components as all links do (a, b), and the tables kept for them."""
+def _all_links(spark: SparkSession, grams: DataFrame, percent: int, pivots: int = 2) -> tuple[DataFrame, list[DataFrame]]:
+    """Links between classes that give the same components as all links do (a, b), and the tables kept for them. What is
+    joined by n-gram is written first, so that the rows of a common one can be split by Spark's adaptive skew join."""
     used = []
     post = grams.select(F.explode(F.slice("grams", F.lit(1), F.col("k"))).alias("h"), F.col("cls").alias("own"), F.struct(*SIDE).alias("x"))
     found = spark.createDataFrame([], "a long, b long")
@@ -284,19 +309,23 @@ def _all_links(spark: SparkSession, grams: DataFrame, percent: int, parts: int,
             roots = common.connected_components(found)
             now = post.join(roots.withColumnRenamed("node", "own"), "own", "left").withColumn("root", F.coalesce("root", "own"))
             mixed = now.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+            mixed = common.keep(mixed, "mixed")
+            used.append(mixed)
             open_ = common.keep(now.join(mixed, "h"), "open")
             used.append(open_)
         else:
             open_ = post.withColumn("root", F.col("own"))
         if turn < pivots:
             pivot = open_.groupBy("h").agg(F.count("*").alias("c"), F.min_by(F.struct(F.col("x").alias("y"), F.col("root").alias("other")), F.xxhash64("own", "h", F.lit(turn))).alias("p")).where("c > 1").select("h", "p.y", "p.other")
+            pivot = common.keep(pivot, "pivot")
+            used.append(pivot)
             rows = open_.join(pivot, "h").where((F.col("root") != F.col("other")) & _may_link(percent))
         else:
             other = open_.select("h", F.col("x").alias("y"), F.col("root").alias("other"))
             rows = open_.join(other, "h").where((F.col("root") < F.col("other")) & _may_link(percent))
         pairs = common.keep(_paired(rows).join(done, ["a", "b"], "left_anti"), "pairs")
         done = done.union(pairs.select("a", "b"))
-        links = common.keep(_links(pairs, grams, percent, parts), "links")
+        links = common.keep(_links(pairs, grams, percent), "links")
         used += [pairs, links]
         found = found.union(links)
     return found, used
