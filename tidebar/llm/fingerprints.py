@@ -53,16 +53,32 @@ def likeness(a: Column, b: Column) -> Column:
     return 1 - F.bit_count(a.bitwiseXOR(b)) / 64
 
 
-def near_fingerprints(fingerprints: DataFrame, radius: int = 3, blocks: int = 6, column: str = "fingerprint") -> DataFrame:
-    """a, b (a < b), distance: all pairs of different fingerprints within the radius."""
+def _tables(radius: int, blocks: int) -> list[int]:
+    """The bits of each table's key. Two fingerprints within the radius differ in at most `radius` blocks, so they agree on
+    all the others, which are some table's key."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
     parts = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:])]
     masks = [sum(choice) for choice in combinations(parts, blocks - radius)]
-    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
-    one = fingerprints.select(F.col(column).alias("fp")).where("fp is not null").distinct()
-    keyed = one.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("table", "key"))
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def _keyed(rows: DataFrame, column: str, name: str, radius: int, blocks: int) -> DataFrame:
+    """table, key, name: each distinct fingerprint once in every table."""
+    one = rows.select(F.col(column).alias(name)).where(F.col(name).isNotNull()).distinct()
+    return one.select(name, F.posexplode(F.array(*[F.col(name).bitwiseAND(F.lit(m)) for m in _tables(radius, blocks)])).alias("table", "key"))
+
+
+def search(queries: DataFrame, fingerprints: DataFrame, radius: int = 3, blocks: int = 6, column: str = "fingerprint") -> DataFrame:
+    """query, found, distance: for each distinct fingerprint of queries, all of fingerprints within the radius."""
+    pairs = _keyed(queries, column, "query", radius, blocks).join(_keyed(fingerprints, column, "found", radius, blocks), ["table", "key"])
+    distance = F.bit_count(F.col("query").bitwiseXOR(F.col("found")))
+    return pairs.where(distance <= radius).select("query", "found", distance.alias("distance")).distinct()
+
+
+def near_fingerprints(fingerprints: DataFrame, radius: int = 3, blocks: int = 6, column: str = "fingerprint") -> DataFrame:
+    """a, b (a < b), distance: all pairs of different fingerprints within the radius."""
     x = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = keyed.withColumnRenamed("fp", "a").join(keyed.withColumnRenamed("fp", "b"), ["table", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(x) <= radius))
+    pairs = _keyed(fingerprints, column, "a", radius, blocks).join(_keyed(fingerprints, column, "b", radius, blocks), ["table", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(x) <= radius))
     return pairs.select("a", "b", F.bit_count(x).alias("distance")).distinct()
 
 
@@ -86,8 +102,10 @@ def next_keys(keys: DataFrame, key: str = "key", per_bucket: int = 5000, pieces:
     return rows.withColumn("next", F.lead("key").over(within)).join(ties, "bucket").select("key", F.coalesce("next", "beyond").alias("next"))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document.
+def fingerprints(docs: DataFrame, radius: int = 3, every: int = 50) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document, and
+    n_near: for documents whose id is divisible by `every`, how many other documents' fingerprints lie within the radius;
+    null for the others.
 
     Texts are shuffled once, by id; both joins use that exchange."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
@@ -105,8 +123,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     marks = common.keep(marks, "marks")
     least = marks.groupBy("key").agg(F.min("fp").alias("next_fp"))
     out = rows_with_copies(rows, marks).join(order, "key").join(least.withColumnRenamed("key", "next"), "next")
+    asks = (F.col("key") != NO_ID) & (F.pmod("key", F.lit(every)) == 0)
+    copies = common.keep(rows_with_copies(rows, marks).groupBy(F.col("fp").alias("found")).count(), "copies")
+    near = search(marks.where(asks).select(F.col("fp").alias("fingerprint")), copies.select(F.col("found").alias("fingerprint")), radius)
+    near = near.join(copies, "found").groupBy(F.col("query").alias("fp")).agg((F.sum("count") - 1).alias("n_near"))
+    out = out.join(near, "fp", "left").withColumn("n_near", F.when(asks, F.col("n_near")))
     hexed = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
-    return out.select(F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), "n_chars", "edited_sha256", hexed("fp").alias("fingerprint"), hexed("efp").alias("edited_fingerprint"), likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
+    return out.select(F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), "n_chars", "edited_sha256", hexed("fp").alias("fingerprint"), hexed("efp").alias("edited_fingerprint"), likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "n_near")
 
 
 def rows_with_copies(rows: DataFrame, marks: DataFrame) -> DataFrame:
