@@ -74,7 +74,8 @@ def rebuild_book(snapshot: DataFrame, deltas: DataFrame, futures: bool = True, d
     state = rows.groupBy(*SERIES).agg(F.max("broken").alias("broken"), F.max("final_update_id").alias("last_id"))
     change = lambda d, at: levels(d.withColumn("last_update_id", at).select(*SERIES, "last_update_id", "bids", "asks"))
     all_ = change(snapshot, F.col("last_update_id")).unionByName(change(rows.where(~F.col("broken")), F.col("final_update_id")))
-    last = all_.groupBy(*SERIES, "side", "price").agg(F.max_by("quantity", "last_update_id").alias("quantity")).where("quantity > 0")
+    # of two quantities for a price in one update, the one further on holds
+    last = all_.groupBy(*SERIES, "side", "price").agg(F.max_by("quantity", F.struct("last_update_id", "rank")).alias("quantity")).where("quantity > 0")
     sign = F.when(F.col("side") == "bids", -1).otherwise(1)
     nth = F.row_number().over(Window.partitionBy(*SERIES, "side").orderBy(sign * F.col("price")))
     last = last.withColumn("rank", nth).where(F.col("rank") <= depth)

@@ -13,7 +13,7 @@ HOUR = 3_600_000
 def hybrid_funding(settlements: DataFrame, premium: DataFrame, bars: DataFrame, interest_8h: float = 0.0001, clamp: float = 0.0005) -> DataFrame:
     """One point per closed bar: the settlement at its open if there is one, else the estimate from the mean of the premium
     since the last settlement, up to the bar's open, with the interest of the cycle's length. That length (1, 2, 4 or 8
-    hours) is the distance of the two last settlements before. A series stops at its first bar without either; that bar
+    hours) is the distance of the two last settlements before, and 8 hours until there are two. A series stops at its first bar without either; that bar
     and all after it are excluded."""
     s = settlements.select(*SERIES, F.col("funding_time_ms").alias("at"), "funding_rate")
     w = Window.partitionBy(*SERIES).orderBy("at")
@@ -27,7 +27,7 @@ def hybrid_funding(settlements: DataFrame, premium: DataFrame, bars: DataFrame,
     in_cycle = Window.partitionBy(*SERIES, "cycle").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     mean = F.avg("premium").over(in_cycle)
     settled = F.max(F.when(F.col("kind") == 0, F.struct("at", "funding_rate"))).over(in_cycle)
-    interest = F.lit(interest_8h) * F.col("hours") / 8
+    interest = F.lit(interest_8h) * F.coalesce("hours", F.lit(8)) / 8
     estimate = mean + F.greatest(F.lit(-clamp), F.least(F.lit(clamp), interest - mean))
     exact = F.col("settled.at") == F.col("at")
     rows = both.withColumns({"settled": settled, "estimate": estimate}).where("kind = 2")

@@ -141,11 +141,6 @@ def agg14_audit_trades(spark, sf):
     return flow.audit_trades(rows, lo, hi + 1).select("symbol", "day_ms", "rows", "first_id", "last_id", "missing_ids", "repeats", "exact")
 
 
-@query("agg8_volume_profile")
-def agg8_volume_profile(spark, sf):
-    return flow.volume_profile(line_trades(spark, sf), 40)
-
-
 @query("agg12_bounds", f"WITH {HOURLY} SELECT symbol, min(open_time) AS first_ms, max(open_time) AS last_ms, count(*) AS n, TRUE AS all_complete FROM bars GROUP BY symbol")
 def agg12_bounds(spark, sf):
     return paging.series_bounds(bar_table(spark, sf), ["symbol"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import alerts
 
 from ..functions import scalars
-from ..operators import book, calendars, flow, funding, indicators, integrity, joins, paging, projections, ranges, text_match
+from ..operators import book, calendars, flow, indicators, integrity, joins, paging, projections, ranges, text_match
 from ..schemas import SERIES
 from ..sources import files, raw
 from .tables import DAY, HOUR, HOURLY, TRADES, bar_table, ms, read, trades
@@ -160,14 +160,24 @@ def jon19_compare_feeds(spark, sf):
     return joins.compare_feeds(a, b).select("symbol", "shared", "matching", "only_left", "verdict")
 
 
-@query("sca3_jon16_routes", "SELECT * FROM (VALUES ('a','60m','native','1h'), ('a','2w','derived','1w'), ('a','3M','derived','1d'), ('a','45s','error',NULL), ('a','4h','derived','1h')) t(exchange, interval, route, base), (SELECT count(*) AS n_orders FROM orders)")
+WANTS = {0: "60m", 1: "2w", 2: "3M", 3: "45s", 4: "4h", 5: "7d", 6: "90m"}
+NATIVES = {0: "1m", 1: "1h", 2: "1d", 3: "1w", 4: "30m"}
+
+
+@query("sca3_jon16_routes", """WITH wants AS (SELECT DISTINCT n_regionkey AS region, c_custkey % 7 AS k FROM customer JOIN nation ON c_nationkey = n_nationkey), have AS (SELECT n_regionkey AS region, bool_or(n_nationkey % 5 = 0) AS m, bool_or(n_nationkey % 5 = 1) AS h, bool_or(n_nationkey % 5 = 2) AS d, bool_or(n_nationkey % 5 = 3) AS w, bool_or(n_nationkey % 5 = 4) AS t FROM nation GROUP BY ALL),
+    x AS (SELECT CAST(region AS VARCHAR) AS exchange, k, CASE k WHEN 0 THEN '60m' WHEN 1 THEN '2w' WHEN 2 THEN '3M' WHEN 3 THEN '45s' WHEN 4 THEN '4h' WHEN 5 THEN '7d' ELSE '90m' END AS interval, CASE WHEN t THEN '30m' WHEN m THEN '1m' END AS short, CASE WHEN h THEN '1h' WHEN t THEN '30m' WHEN m THEN '1m' END AS hour, CASE WHEN d THEN '1d' WHEN h THEN '1h' WHEN t THEN '30m' WHEN m THEN '1m' END AS day, w, h FROM wants JOIN have USING (region)),
+    y AS (SELECT exchange, interval, CASE k WHEN 0 THEN hour WHEN 1 THEN CASE WHEN w THEN '1w' ELSE day END WHEN 2 THEN day WHEN 4 THEN hour WHEN 5 THEN day WHEN 6 THEN short END AS base FROM x)
+    SELECT exchange, interval, CASE WHEN base IS NULL THEN 'error' WHEN interval = '60m' AND base = '1h' THEN 'native' ELSE 'derived' END AS route, base FROM y""")
 def sca3_jon16_routes(spark, sf):
-    wants = spark.createDataFrame([("a", x) for x in ("60m", "2w", "3M", "45s", "4h")], "exchange string, interval string")
-    have = spark.createDataFrame([("a", x) for x in ("1m", "1h", "1d", "1w")], "exchange string, native string")
-    return joins.resolve_routes(wants, have).crossJoin(read(spark, sf, "orders").agg(F.count("*").alias("n_orders")))
+    """Intervals that the customers of each region want, by the native ones of its nations."""
+    named = lambda table, key: F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+    nations = read(spark, sf, "nation").select("n_nationkey", F.col("n_regionkey").cast("string").alias("exchange"))
+    wants = read(spark, sf, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("exchange", named(WANTS, (F.col("c_custkey") % 7).cast("int")).alias("interval")).distinct()
+    have = nations.select("exchange", named(NATIVES, (F.col("n_nationkey") % 5).cast("int")).alias("native")).distinct()
+    return joins.resolve_routes(wants, have)
 
 
-@query("set5_coalesce_ranges", f"""WITH t AS (SELECT o_orderpriority AS symbol, (epoch_us(o_orderdate) // 1000) // {DAY} AS a, (epoch_us(o_orderdate) // 1000) // {DAY} + o_custkey % 2 AS z FROM orders WHERE o_custkey % 40 = 0), w AS (SELECT *, max(z) OVER (PARTITION BY symbol ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM t),
+@query("set5_coalesce_ranges", f"""WITH t AS (SELECT o_custkey % 1000 AS symbol, (epoch_us(o_orderdate) // 1000) // {DAY} AS a, (epoch_us(o_orderdate) // 1000) // {DAY} + o_orderkey % 40 AS z FROM orders), w AS (SELECT *, max(z) OVER (PARTITION BY symbol ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM t),
     i AS (SELECT *, sum(CASE WHEN a <= r + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY a, z) AS g FROM w) SELECT symbol, min(a) AS start, max(z) AS "end" FROM i GROUP BY symbol, g""")
 def set5_coalesce_ranges(spark, sf):
     return ranges.coalesce_ranges(_order_ranges(spark, sf), ["symbol"])
@@ -175,10 +185,10 @@ def set5_coalesce_ranges(spark, sf):
 
 def _order_ranges(spark, sf):
     day = F.floor(ms("o_orderdate") / DAY)
-    return read(spark, sf, "orders").where("o_custkey % 40 = 0").select(F.col("o_orderpriority").alias("symbol"), day.alias("start"), (day + F.col("o_custkey") % 2).alias("end"))
+    return read(spark, sf, "orders").select((F.col("o_custkey") % 1000).alias("symbol"), day.alias("start"), (day + F.col("o_orderkey") % 40).alias("end"))
 
 
-@query("set6_subtract_ranges", f"""WITH t AS (SELECT o_orderpriority AS symbol, (epoch_us(o_orderdate) // 1000) // {DAY} AS a, (epoch_us(o_orderdate) // 1000) // {DAY} + o_custkey % 2 AS z FROM orders WHERE o_custkey % 40 = 0), r AS (SELECT symbol, min(a) - 5 AS lo, max(z) + 5 AS hi FROM t GROUP BY symbol),
+@query("set6_subtract_ranges", f"""WITH t AS (SELECT o_custkey % 1000 AS symbol, (epoch_us(o_orderdate) // 1000) // {DAY} AS a, (epoch_us(o_orderdate) // 1000) // {DAY} + o_orderkey % 40 AS z FROM orders), r AS (SELECT symbol, min(a) - 5 AS lo, max(z) + 5 AS hi FROM t GROUP BY symbol),
     d AS (SELECT symbol, unnest(range(lo, hi + 1)) AS day FROM r), u AS (SELECT d.* FROM d WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.symbol = d.symbol AND day BETWEEN a AND z)),
     i AS (SELECT *, day - row_number() OVER (PARTITION BY symbol ORDER BY day) AS g FROM u) SELECT symbol, min(day) AS start, max(day) AS "end" FROM i GROUP BY symbol, g""")
 def set6_subtract_ranges(spark, sf):
@@ -282,13 +292,6 @@ def cal6_detect_gaps(spark, sf):
     return calendars.detect_gaps(rows, want, "1h", 4_000_000_000_000).select("symbol", "start", "end", "bars", "kind")
 
 
-@query("cal8_fetch_tasks")
-def cal8_fetch_tasks(spark, sf):
-    rows = bar_table(spark, sf)
-    want = _spans(rows)
-    return calendars.fetch_tasks(calendars.detect_gaps(rows, want, "1h", 4_000_000_000_000), "1h", 24)
-
-
 @query("cal2_session_opens", f"""WITH d AS (SELECT DISTINCT date_trunc('day', o_orderdate) AS day FROM orders), s AS (SELECT day, timezone('America/New_York', day + INTERVAL 570 MINUTE) AS a, timezone('America/New_York', day + INTERVAL 960 MINUTE) AS z FROM d WHERE isodow(day) <= 5)
     SELECT count(*) AS sessions, CAST(sum(epoch_ms(z) - epoch_ms(a)) AS BIGINT) AS open_ms, min(epoch_ms(a)) AS first_open FROM s""")
 def cal2_session_opens(spark, sf):
@@ -303,7 +306,7 @@ def cal2_session_opens(spark, sf):
 
 def books(spark, sf):
     """A book of each order: bids and asks around its price from its lines."""
-    lines = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.struct(F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q"))).alias("x"))
+    lines = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set(F.struct(F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q")))).alias("x"))
     rows = read(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     side = lambda sign: F.transform("x", lambda l: F.struct((F.round(F.col("o_totalprice"), 0) + sign * l["n"] * 7).alias("price"), l["q"].alias("quantity")))
     return rows.select(F.lit("sim").alias("exchange"), F.lit("spot").alias("market_type"), F.col("o_orderpriority").alias("symbol"), F.col("o_orderkey").alias("last_update_id"), side(-1).alias("bids"), side(1).alias("asks"))
@@ -325,13 +328,6 @@ def agg9_group_book(spark, sf):
     return book.group_book(rows, catalog, 10).select("last_update_id", F.col("level_price").cast("double").alias("level_price"), "side", F.col("quantity").cast("double").alias("quantity"))
 
 
-@query("agg10_book_window")
-def agg10_book_window(spark, sf):
-    rows = books(spark, sf)
-    catalog = rows.select(*SERIES).distinct().withColumn("tick", F.lit(1.0))
-    return book.book_window(book.group_book(rows, catalog, "auto"), 20)
-
-
 @query("win3_book_depth", f"WITH {BOOK} SELECT last_update_id, n AS line, q AS quantity, round(sum(q) OVER (PARTITION BY last_update_id), 6) AS side_total FROM bk")
 def win3_book_depth(spark, sf):
     rows = book.book_depth(books(spark, sf)).where("side = 'bids'")
@@ -339,33 +335,6 @@ def win3_book_depth(spark, sf):
     return rows.join(mid, "last_update_id").select("last_update_id", F.round((F.col("mid") - F.col("price")) / 7).cast("int").alias("line"), "quantity", F.round("side_total", 6).alias("side_total"))
 
 
-@query("str12_rebuild_book")
-def str12_rebuild_book(spark, sf):
-    rows = books(spark, sf)
-    w = Window.partitionBy(*SERIES).orderBy("last_update_id")
-    numbered = rows.withColumns({"id": F.row_number().over(w), "price0": F.first(F.get("bids", F.lit(0))["price"]).over(w)})
-    shift = lambda s, sign: F.transform(s, lambda x: F.struct((F.col("price0") + sign * (F.pmod(x["price"], F.lit(500.0)) + 1)).alias("price"), x["quantity"].alias("quantity")))
-    numbered = numbered.withColumns({"bids": shift("bids", -1), "asks": shift("asks", 1)})
-    snapshot = numbered.where("id = 1").select(*SERIES, F.lit(1).cast("bigint").alias("last_update_id"), "bids", "asks")
-    deltas = numbered.where("id > 1").select(*SERIES, F.col("id").cast("bigint").alias("first_update_id"), F.col("id").cast("bigint").alias("final_update_id"), (F.col("id") - 1).cast("bigint").alias("previous_final_update_id"), "bids", "asks")
-    out = book.rebuild_book(snapshot, deltas)
-    return out.select("symbol", "last_update_id", F.size("bids").alias("bid_levels"), F.size("asks").alias("ask_levels"), "needs_resync")
-
-
-def projected(name, fn):
-    def run(spark, sf):
-        rows = bar_table(spark, sf)
-        return fn(rows, projections.box_size(rows, 0.01)).drop("exchange", "market_type")
-
-    QUERIES[name] = run
-
-
-projected("prj2_renko", projections.renko)
-projected("prj3_line_break", lambda rows, sizes: projections.line_break(rows, sizes.select(*SERIES, "tick")))
-projected("prj4_kagi", projections.kagi)
-projected("prj5_point_figure", projections.point_figure)
-
-
 @query("prj6_identity", f"WITH {HOURLY} SELECT symbol, open_time AS source_time, open, high, low, close FROM bars")
 def prj6_identity(spark, sf):
     return projections.identity(bar_table(spark, sf)).drop("exchange", "market_type")
@@ -383,14 +352,6 @@ def sca31_sca32_alerts(spark, sf):
     return rows.where(alerts.compile_alert(RULE, set(rows.columns))).select("symbol", "open_time")
 
 
-@query("sca33_alert_trace")
-def sca33_alert_trace(spark, sf):
-    rows = indicators.ma(bar_table(spark, sf), 5)
-    w = Window.partitionBy(*SERIES).orderBy("open_time")
-    rows = rows.withColumns({alerts.previous(c): F.lag(c).over(w) for c in alerts.fields(RULE)})
-    return rows.select("symbol", "open_time", F.explode(F.array(*alerts.alert_trace(RULE, set(rows.columns)))).alias("x")).select("symbol", "open_time", "x.*")
-
-
 @query("sca34_message", f"WITH {HOURLY} SELECT symbol, open_time, symbol || ' at ' || CAST(open_time AS VARCHAR) AS message FROM bars")
 def sca34_message(spark, sf):
     return scalars.render_message(bar_table(spark, sf), "{{symbol}} at {{open_time}}", ["symbol", "open_time"]).select("symbol", "open_time", "message")
@@ -436,14 +397,6 @@ def top4_before_page(spark, sf):
     return paging.query_before(rows, {"symbol": "CLICK"}, hi - DAY, 30).select("symbol", "open_time", "has_more")
 
 
-@query("win12_hybrid_funding")
-def win12_hybrid_funding(spark, sf):
-    rows = bar_table(spark, sf)
-    settled = rows.where((F.col("open_time") / HOUR).cast("bigint") % 8 == 0).select(*SERIES, F.col("open_time").alias("funding_time_ms"), (F.col("close") / 1e6).alias("funding_rate"))
-    premium = rows.select(*SERIES, F.col("close_time").alias("close_time_ms"), ((F.col("close") - F.col("open")) / 1e5).alias("premium_close"))
-    return funding.hybrid_funding(settled, premium, rows).drop("exchange", "market_type")
-
-
 @query("src3_normalize_raw", "SELECT event_id AS agg_trade_id, upper(event_type) AS symbol, value AS price, CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 = 1 AS is_buyer_maker FROM events")
 def src3_normalize_raw(spark, sf):
     k = F.get_json_object("props", "$.k").cast("bigint")
@@ -452,12 +405,6 @@ def src3_normalize_raw(spark, sf):
     return raw.normalize_raw_events(rows, "aggTrade")[0].select("agg_trade_id", "symbol", "price", "is_buyer_maker")
 
 
-@query("ded4_accept_snapshots")
-def ded4_accept_snapshots(spark, sf):
-    rows = bar_table(spark, sf).select(*SERIES, "open_time", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(3).cast("bigint"))).alias("sequence"), "high", "low", "volume", F.lit(False).alias("is_closed"), F.lit(False).alias("authoritative"))
-    return integrity.accept_snapshots(rows.withColumn("volume", F.when(F.col("sequence") == 2, F.col("volume") / 2).otherwise(F.col("volume")))).drop("exchange", "market_type")
-
-
 @query("jon10_fanout", f"WITH {HOURLY} SELECT symbol, open_time AS source_time, axis_order, close AS value FROM bars, (VALUES (0), (1)) t(axis_order)")
 def jon10_fanout(spark, sf):
     rows = bar_table(spark, sf)
