@@ -59,7 +59,10 @@ LIQ = f"{TRADES}, liq AS (SELECT symbol, trade_time_ms - trade_time_ms % 60000 A
 
 
 def liquidations(spark, sf):
-    t = trades(spark, sf)
+    return liquidations_of(trades(spark, sf))
+
+
+def liquidations_of(t):
     text = lambda v: F.lit(v)
     return t.select(*SERIES, F.when(F.col("is_buyer_maker"), "SELL").otherwise("BUY").alias("order_side"), text("LIMIT").alias("order_type"), text("IOC").alias("time_in_force"), F.col("quantity").alias("original_quantity"), F.col("price").alias("order_price"), F.col("price").alias("average_price"), F.col("quantity").alias("last_filled_quantity"), F.col("quantity").alias("filled_quantity"), text("FILLED").alias("order_status"), "trade_time_ms", F.col("agg_trade_id").alias("event_time_ms"), F.col("symbol").alias("pair_symbol"), text("PERP").alias("symbol_type"))
 
@@ -230,7 +233,10 @@ ENVELOPES = "ev AS (SELECT event_type AS kafka_topic, event_id % 3 AS kafka_part
 
 
 def envelopes(spark, sf):
-    e = read(spark, sf, "events")
+    return envelopes_of(read(spark, sf, "events"))
+
+
+def envelopes_of(e):
     return e.select(F.col("event_type").alias("kafka_topic"), (F.col("event_id") % 3).cast("int").alias("kafka_partition"), F.col("event_id").alias("kafka_offset"), F.expr("event_id div 2").cast("string").alias("event_id"), F.col("event_type").alias("partition_key"), ms("ts").alias("event_time_ms"), F.col("event_id").alias("sequence_start"), F.when(F.col("event_id") != 7, F.col("event_id")).alias("sequence_end"), F.sha2(F.when(F.col("event_id") % 10 == 0, "x").otherwise("y"), 256).alias("envelope_sha256"), F.col("props").alias("envelope_json"))
 
 

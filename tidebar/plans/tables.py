@@ -22,9 +22,18 @@ def ms(column: str):
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trades_of(read(spark, sf_dir, "events"))
+
+
+def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table as a stream of its files. A stream takes a single file only by a pattern."""
+    return spark.readStream.schema(read(spark, sf_dir, name).schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+def trades_of(events: DataFrame) -> DataFrame:
     """Trades from events: the symbol is the event's type, the price its value, the quantity and side follow its number k."""
     k = F.get_json_object("props", "$.k").cast("bigint")
-    rows = read(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value", k.alias("k"))
+    rows = events.select("event_id", "ts", "event_type", "value", k.alias("k"))
     return rows.select(
         F.lit("sim").alias("exchange"), F.lit("spot").alias("market_type"), F.upper("event_type").alias("symbol"), F.col("event_id").alias("agg_trade_id"), F.col("value").alias("price"),
         (1 + F.col("k") % 10).cast("double").alias("quantity"), ms("ts").alias("trade_time_ms"), (F.col("k") % 2 == 1).alias("is_buyer_maker"), (F.col("event_id") * 10).alias("first_trade_id"), (F.col("event_id") * 10 + F.col("k") % 3).alias("last_trade_id"),

@@ -108,9 +108,35 @@ def merge_amendments(stored: DataFrame, batch: DataFrame) -> DataFrame:
     return integrity.upsert_bars(stored, marked)
 
 
-def sink_events(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    """First envelopes of stored and new events. The conflicts of a batch are integrity.event_conflicts of both."""
-    return integrity.canonical_events(stored.select(*batch.columns).unionByName(batch)).select(*batch.columns)
+def sink_events(stored: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(facts, conflicts) that a batch adds to the stored facts: the first envelope of each event not stored yet, and the
+    events whose content differs from the first under their id."""
+    key = ["kafka_topic", "event_id"]
+    known = stored.select(*key, F.col("envelope_sha256").alias("first_sha256"))
+    first = integrity.canonical_events(batch).select(*batch.columns).join(known, key, "left_anti")
+    holds = known.unionByName(first.select(*key, F.col("envelope_sha256").alias("first_sha256")))
+    return first.select(*batch.columns), batch.join(holds, key).where("envelope_sha256 <> first_sha256")
+
+
+def sink_into(path: str, schema: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that appends to path/facts and path/conflicts. Each batch has its own folder, written whole,
+    and reads those of the batches before it: a batch that runs again after a failure writes the same rows again."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        stored = read_sink(batch.sparkSession, path, "facts", schema, batch_id) if batch_id else batch.sparkSession.createDataFrame([], schema)
+        facts, conflicts = sink_events(stored, batch)
+        facts.write.mode("overwrite").parquet(f"{path}/facts/batch={batch_id}")
+        conflicts.write.mode("overwrite").parquet(f"{path}/conflicts/batch={batch_id}")
+
+    return run
+
+
+def read_sink(spark: SparkSession, path: str, table: str, schema: str, before: int = 2**62) -> DataFrame:
+    return spark.read.schema(f"{schema}, batch bigint{', first_sha256 string' if table == 'conflicts' else ''}").parquet(f"{path}/{table}").where(F.col("batch") < before).drop("batch")
+
+
+def start_sink(stream: DataFrame, path: str, checkpoint: str, schema: str) -> StreamingQuery:
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink_into(path, schema)).trigger(availableNow=True).start()
 
 
 def roll_months(daily: DataFrame, now_ms: int) -> DataFrame:

@@ -26,6 +26,7 @@ class TradeFlow:
         self.gaps: list[list[int]] = []
         self.minutes: dict[int, list[float]] = {}
         self.lost: set[int] = set()
+        self.left: list[tuple] = []  # minutes that have left the state since rows() was last asked
         self.first: int | None = None
         self.most_gaps, self.most_minutes = most_gaps, most_minutes
 
@@ -63,7 +64,8 @@ class TradeFlow:
         m[1 if sell else 0] += quantity
         m[2] += 1
         while len(self.minutes) > self.most_minutes:
-            self.minutes.pop(min(self.minutes))
+            oldest = min(self.minutes)
+            self.left += self._rows([(oldest, self.minutes.pop(oldest))])
         return touched
 
     def _between(self, a: int, b: int) -> set[int]:
@@ -73,8 +75,13 @@ class TradeFlow:
     def incomplete(self, minute: int) -> bool:
         return minute == self.first or minute in self.lost or any(g[2] // MINUTE <= minute <= g[3] // MINUTE for g in self.gaps)
 
+    def _rows(self, minutes: list[tuple]) -> list[tuple]:
+        return [(m * MINUTE, round(v[0], 12), round(v[1], 12), v[2], not self.incomplete(m)) for m, v in minutes]
+
     def rows(self, only: set[int]) -> list[tuple]:
-        return [(m * MINUTE, round(v[0], 12), round(v[1], 12), v[2], not self.incomplete(m)) for m, v in sorted(self.minutes.items()) if m in only]
+        """These minutes, and those that left the state since the last call, as they stood then."""
+        left, self.left = self.left, []
+        return left + self._rows([(m, v) for m, v in sorted(self.minutes.items()) if m in only])
 
     def dump(self) -> str:
         return json.dumps([self.high, self.high_time, self.gaps, [[k, *v] for k, v in self.minutes.items()], sorted(self.lost), self.first])
