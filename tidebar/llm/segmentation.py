@@ -52,11 +52,11 @@ def units(text: str) -> list[str]:
 
 
 class Lattices:
-    """Lattices of words as arrays: node -> its options, likeliest first (share of mass, its running sum, piece, next
+    """Lattices of words as arrays: node -> its options, longest first (share of mass, its running sum, piece, next
     node). A node is a place in a word; node 0 is the end. All words not met before are built together: pieces are
     found by the hashes of all substrings, and masses from the words' ends, numpy walking all words side by side."""
 
-    def __init__(self, path: str, temperature: float, limit: int = 4 * workers.LIMIT // 3):
+    def __init__(self, path: str, temperature: float, limit: int = 2 * workers.LIMIT):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -69,8 +69,8 @@ class Lattices:
         self.limit, self.real = limit, n
         by_hash = sorted((self._hash_of(piece), *hit) for piece, hit in self.pieces.items())
         self.hashes, self.ids, self.scores = (np.array(c, t) for c, t in zip(zip(*by_hash), (_U, np.int32, np.float64)))
-        self.perhaps = np.zeros(1 << 20, bool)
-        self.perhaps[self.hashes >> _U(44)] = True
+        self.perhaps = np.zeros(1 << 18, bool)
+        self.perhaps[self.hashes >> _U(46)] = True
         self.clear()
 
     @staticmethod
@@ -97,21 +97,23 @@ class Lattices:
         return self.spelt[c]
 
     def _options(self, chars: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(place, length, piece, score) of every piece in the words, by place and length; a character that begins no piece
+        """(place, length, piece, score) of every piece in the words, by place, the longest first; a character that begins no piece
         is its bytes. left: characters from each place to its word's end."""
-        at, h, got = np.arange(len(chars)), np.zeros(len(chars), _U), []
+        h, plus, got = np.zeros(len(chars), _U), chars + _U(1), []
         for n in range(1, self.longest + 1):
-            if n > 1:
-                more = left[at] >= n
-                at, h = at[more], h[more]
+            h = h[: len(chars) - n + 1]
+            h += plus[n - 1 :]
+            h *= _U(_STEP)
+            at = np.flatnonzero(left[: len(h)] >= n)
             if not len(at):
                 break
-            h = (h + chars[at + (n - 1)] + _U(1)) * _U(_STEP)
-            some = np.flatnonzero(self.perhaps[h >> _U(44)])
-            row = np.minimum(np.searchsorted(self.hashes, h[some]), len(self.hashes) - 1)
-            hit = self.hashes[row] == h[some]
-            row, some = row[hit], some[hit]
-            got.append((at[some], np.full(len(some), n), self.ids[row], self.scores[row]))
+            own = h[at]
+            hit = self.perhaps[own >> _U(46)]
+            at, own = at[hit], own[hit]
+            row = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+            hit = self.hashes[row] == own
+            row = row[hit]
+            got.append((at[hit], n, self.ids[row], self.scores[row]))
         bare = np.ones(len(chars), bool)
         for g in got:
             bare[g[0]] = False
@@ -120,10 +122,20 @@ class Lattices:
             chars_, which = np.unique(chars[places], return_inverse=True)
             pieces = np.array([self._spell(int(c)) for c in chars_], np.int32)
             sizes = np.array([len(self.by_bytes[p - self.real]) for p in pieces])
-            got.append((places, np.ones(len(places), int), pieces[which], self.byte_cost * sizes[which]))
-        place, length, piece, score = (np.concatenate(c) for c in zip(*got))
-        order = np.argsort(place, kind="stable")
-        return place[order], length[order], piece[order], score[order]
+            got.append((places, 1, pieces[which], self.byte_cost * sizes[which]))
+        # each option goes to its place's next free row, the longest first
+        counts = np.zeros(len(chars), np.int32)
+        for g in got:
+            counts[g[0]] += 1
+        free = np.cumsum(counts) - counts
+        out = tuple(np.zeros(int(counts.sum()), t) for t in (np.int64, np.int32, np.int32, np.float64))
+        for g in reversed(got):
+            row = free[g[0]]
+            for column, x in zip(out, g):
+                column[row] = x
+            free[g[0]] += 1
+        return out
+
 
     def _build(self, words: list[str]) -> None:
         """Appends the words' nodes, one for each character in turn, and their options."""
@@ -134,8 +146,9 @@ class Lattices:
         end = len(chars)
         to = np.where(length == left[place], end, place + length)
         mass, value = np.zeros(end + 1), np.zeros(len(place))
-        by_left = np.argsort(left[place], kind="stable")
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(left[place])[1:])]) if len(place) else [0]
+        left_ = left[place].astype(np.uint16 if sizes.max() < 65536 else np.int64)  # short numbers are sorted in linear time
+        by_left = np.argsort(left_, kind="stable")
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(left_)[1:])])
         for a, b in zip(cuts[:-1], cuts[1:]):
             own = by_left[a:b]
             node, v = place[own], score[own] + mass[to[own]]
@@ -145,8 +158,7 @@ class Lattices:
             total = top[begin] + np.log(np.add.reduceat(np.exp(v - top), begin))
             mass[node[begin]] = total
             value[own] = v - np.repeat(total, times)
-        order = np.lexsort((-value, place))
-        place, piece, to, value = place[order], piece[order], to[order], np.minimum(value[order], 0.0)
+        value = np.minimum(value, 0.0)
         counts = np.bincount(place, minlength=end)
         first = np.cumsum(counts) - counts
         share, upto = np.exp(value), np.zeros(len(place))
