@@ -425,6 +425,12 @@ def test_embeddings(spark):
     rows += [(200, base_[0].tolist(), 0), (201, (2 * base_[0]).tolist(), 0), (202, base_[0].tolist(), None), (203, None, 0), (204, [0.0] * 16, 0), (205, [float("nan")] * 16, 0), (206, [None, 1.0], 0), (207, [1.0, 2.0], 0), (208, [], 0), (0, base_[0].tolist(), 0)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = sorted(map(tuple, embeddings.near_vectors(table).collect()))
+    assert got == brute_links(rows)
+    assert sorted(map(tuple, embeddings.near_vectors(extra(table.withColumnRenamed("label", "k")).drop("label").withColumnRenamed("k", "label")).collect())) == got
+    assert embeddings.near_vectors(table.limit(0)).count() == 0
+
+
+def brute_links(rows):
     usable = lambda v, k: k is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)
     n, root = len(rows), list(range(len(rows)))
     links = [0] * n
@@ -444,8 +450,30 @@ def test_embeddings(spark):
     least = {}
     for i, (d, _, _) in enumerate(rows):
         least[find(i)] = min(d, least.get(find(i), d))
-    assert got == sorted((d, links[i], least[find(i)], d == least[find(i)]) for i, (d, _, _) in enumerate(rows))
-    assert embeddings.near_vectors(table.limit(0)).count() == 0
+    return sorted((d, links[i], least[find(i)], d == least[find(i)]) for i, (d, _, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("dim", [1, 2, 5, 24])
+def test_groups_of_near_vectors(spark, dim):
+    # groups as wide as the threshold and narrower ones, whose balls link as a whole, in part and not at all
+    rng = np.random.default_rng(dim)
+    rows = []
+    for g, spread in enumerate((0.02, 0.1, 0.2, 0.3)):
+        middle = rng.standard_normal(dim)
+        middle /= np.linalg.norm(middle)
+        rows += [(100 * g + i, ((1 + i % 3) * (middle + spread * rng.standard_normal(dim) / dim**0.5)).tolist(), g % 2) for i in range(45)]
+    rows += [(1000 + i, rows[i][1], rows[i][2]) for i in range(0, 180, 7)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted(map(tuple, embeddings.near_vectors(table).collect())) == brute_links(rows)
+
+
+@pytest.mark.parametrize("dim", [8, 16, 64, 256])
+@pytest.mark.parametrize("words", [32, 128, 1024])
+def test_recall_of_caps(dim, words):
+    codes = embeddings.codewords(dim, 2, words, 17)
+    threshold = embeddings.cap(dim, codes, 0.93, 0.995, 40, 12, pairs=600)
+    x, y = embeddings.lone_pairs(dim, 0.93, 400, 5)
+    assert embeddings.found_pairs(x, y, codes, threshold, 12) >= 0.97
 
 
 def test_recall_of_embeddings_at_many_words(spark):
