@@ -1,8 +1,10 @@
 """The corpus pipeline: toxic documents go, one of each group of near copies stays, personal data is removed, and what
 is left is packed into sequences. Each stage works on all that the stage before it kept.
 
-Defined cases: an empty table passes through every stage; null texts are empty; columns of `documents` are kept by
-all stages but the last, and others are ignored. SQL cannot express the trained classifier, so there is no twin of
+Defined cases: an empty table passes through every stage; null texts are empty, and so are never toxic nor near copies;
+rows with a null id are treated like others; rows with the same id and different texts are different documents, and rows
+repeated with id and text count as one, which the second stage leaves once; ties between near copies go to the least id,
+null ids last; columns of `documents` are kept by all stages but the last, and others are ignored. SQL cannot express the trained classifier, so there is no twin of
 the whole run; tests hold it against a brute-force version."""
 
 from __future__ import annotations
@@ -28,9 +30,17 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group of near copies, and all that are in none."""
     docs = docs.select(*COLUMNS)
-    found = ngram_join.near_classes(docs)
-    gone = common.keep(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+    keyed = docs.select(key.alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = ngram_join.near_classes(keyed, id_col="row_key").select(F.col("doc_id").alias("row_key"), "component_id").distinct()
+    named = common.keep(found.join(keyed.select("row_key", "doc_id"), "row_key").groupBy("row_key", "component_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("times")), "named")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"].alias("stays"))
+    gone = common.keep(named.join(first, "component_id").where("row_key <> stays").select("row_key"), "gone")
+    again = common.keep(named.where("times > 1").select("row_key"), "again")
+    rows = docs.withColumn("row_key", key).join(gone, "row_key", "left_anti")
+    if not again.isEmpty():
+        rows = rows.join(again, "row_key", "left_anti").unionByName(rows.join(again, "row_key", "left_semi").dropDuplicates(["row_key"]))
+    return rows.select(*COLUMNS)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
