@@ -193,3 +193,67 @@ def test_trade_flow_golden(spark):
     t = spark.createDataFrame([(*KEY, 1, 100.0, 2.0, 61_000, False, 1, 2), (*KEY, 2, 110.0, 1.0, 62_000, True, 3, 4)], "exchange string, market_type string, symbol string, agg_trade_id bigint, price double, quantity double, trade_time_ms bigint, is_buyer_maker boolean, first_trade_id bigint, last_trade_id bigint")
     r = flow.trade_flow_1m(t).first()
     assert (r.buy_base, r.sell_base, r.buy_quote, r.sell_quote, r.delta_base, r.delta_quote, r.raw_count, r.max_notional) == (2.0, 1.0, 200.0, 110.0, 1.0, 90.0, 4, 200.0)
+
+
+def test_decompose():
+    assert calendars.decompose("4h", ["1m", "1h", "2h"]) == [("2h", 2)] and calendars.decompose("1M", ["1h", "1d"]) == [("1d", 31)] and calendars.decompose("6M", ["1M", "3M"]) == [("3M", 2)]
+    assert calendars.decompose("90m", ["1h", "30m", "1m"], greedy=True) == [("1h", 1), ("30m", 1)] and calendars.decompose("90m", ["1h", "30m"]) == [("30m", 3)]
+    for wanted, natives in (("90s", ["1m"]), ("1M", ["1h"]), ("1h", [])):
+        with pytest.raises(ValueError):
+            calendars.decompose(wanted, natives)
+    with pytest.raises(ValueError):
+        calendars.decompose("90s", ["1m"], greedy=True)
+
+
+def test_registries(spark):
+    rows = closes(spark, [1, 2, 3])
+    spec = registry.IndicatorSpec("doubled", "1", ("close",), ("twice",), {"times": 2}, 3)
+    registry.register_indicator(spec, lambda b, times: b.withColumn("twice", times * F.col("close")))
+    assert [r.twice for r in registry.compute(rows, "doubled").orderBy("open_time").collect()] == [2, 4, 6] and indicators.WARM_UP["doubled"]() == 3
+    for call in (lambda: registry.register_indicator(spec, lambda b: b), lambda: registry.compute(rows, "doubled", other=1), lambda: registry.compute(rows.drop("close"), "doubled")):
+        with pytest.raises(ValueError):
+            call()
+    registry.register_calendar("test_days", calendars.SessionCalendar("UTC", ((0, 60, 120),)))
+    with pytest.raises(ValueError):
+        registry.register_calendar("test_days", calendars.SessionCalendar("UTC", ()))
+    assert [r.is_closed for r in registry.apply_finality(rows, lambda: F.when(F.col("close") > 1, F.col("close") > 2)).orderBy("open_time").collect()] == [False, False, True]
+
+
+def test_require_contiguous(spark):
+    good = spark.createDataFrame([("a", 1), ("a", 2), ("b", 7)], "k string, s bigint")
+    assert integrity.require_contiguous(good, ["k"], "s").count() == 3
+    for more in (2, 5):
+        with pytest.raises(ValueError):
+            integrity.require_contiguous(good.union(spark.createDataFrame([("a", more)], good.schema)), ["k"], "s")
+
+
+def test_states_carry_on(spark):
+    values = [10, 11, 13, 12, 9, 9.5, 14, 15, 11, 10, 16, 8, 8.4, 12]
+    rows, sizes = closes(spark, values), projections.fixed_size(closes(spark, values), 0.1, 1.0)
+    for chart in projections.CHARTS:
+        own = sizes.withColumn("size", F.lit(3)) if chart == "line_break" else sizes
+        options = {"reversal": 2} if chart == "point_figure" else {}
+        whole = {r.axis_order: tuple(r) for r in projections.carry_on(chart, rows, own, **options)[0].collect()}
+        early, states = projections.carry_on(chart, rows.where(F.col("open_time") < 6 * MIN), own, **options)
+        late, _ = projections.carry_on(chart, rows.where(F.col("open_time") >= 6 * MIN), own, states, **options)
+        parts = {r.axis_order: tuple(r) for r in early.collect()}
+        assert whole and parts | {r.axis_order: tuple(r) for r in late.collect()} == whole, chart
+
+
+def test_late_minutes_leave_the_state_with_their_sums():
+    flow = keyed.TradeFlow(most_minutes=2)
+    for i in range(5):
+        flow.add(i + 1, i * MIN, 1.0, 2.0, False)
+    assert [(r[0] // MIN, r[1]) for r in flow.rows({3, 4})] == [(i, 2.0) for i in range(5)]
+    assert [r[0] // MIN for r in flow.rows({0, 4})] == [4]
+
+
+def test_long_series_of_few_chunks(spark):
+    values = [float(i % 17) for i in range(700)]
+    got = [r.ema for r in indicators.ema(closes(spark, values), 5).orderBy("open_time").collect()]
+    y = sum(values[:5]) / 5
+    want = [None] * 4 + [y]
+    for v in values[5:]:
+        y = y + (v - y) / 3
+        want.append(y)
+    assert got[:4] == want[:4] and all(abs(a - b) < 1e-9 for a, b in zip(got[4:], want[4:]))

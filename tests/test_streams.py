@@ -47,3 +47,55 @@ def test_trade_flow_state(spark, tmp_path):
     assert {k: v[2] for k, v in last.items()} == {(r.symbol, r.t): r.n for r in want}
     twin = keyed.trade_flow_in_order(rows.withColumn("arrival", F.col("agg_trade_id"))).collect()
     assert {(r.symbol, r.open_time): r.agg_count for r in twin} == {(r.symbol, r.t): r.n for r in want}
+
+
+EVENT = "kafka_topic string, kafka_partition int, kafka_offset bigint, event_id string, envelope_sha256 string"
+
+
+def batches(spark, tmp_path, rows, schema, name):
+    """A stream with each list of rows as a batch of its own."""
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / name / f"{i}"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / name))
+
+
+def test_sink_with_conflicts_over_batches(spark, tmp_path):
+    rows = [[("t", 0, 1, "a", "x"), ("t", 0, 2, "b", "x")], [("t", 0, 3, "a", "y"), ("t", 0, 4, "b", "x"), ("t", 0, 5, "c", "x")], [("t", 0, 6, "c", "z"), ("t", 0, 7, "c", "x")]]
+    sb.start_sink(batches(spark, tmp_path, rows, EVENT, "e"), str(tmp_path / "s"), str(tmp_path / "c"), EVENT).awaitTermination()
+    facts = {(r.event_id, r.kafka_offset) for r in sb.read_sink(spark, str(tmp_path / "s"), "facts", EVENT).collect()}
+    conflicts = {(r.event_id, r.kafka_offset, r.first_sha256) for r in sb.read_sink(spark, str(tmp_path / "s"), "conflicts", EVENT).collect()}
+    assert facts == {("a", 1), ("b", 2), ("c", 5)} and conflicts == {("a", 3, "x"), ("c", 6, "x")}
+    # a batch that runs again after a failure changes nothing
+    sb.sink_into(str(tmp_path / "s"), EVENT)(spark.createDataFrame(rows[1], EVENT), 1)
+    assert {(r.event_id, r.kafka_offset) for r in sb.read_sink(spark, str(tmp_path / "s"), "facts", EVENT).collect()} == facts
+
+
+def test_old_versions_of_a_merged_table_go(spark, tmp_path):
+    schema = "exchange string, market_type string, symbol string, channel string, sequence bigint, event_time_ms bigint, received_at_ms bigint, value double"
+    rows = [[("x", "spot", "A", "c", i, 1, 1, float(i))] for i in (1, 4, 3, 5)]
+    stream = batches(spark, tmp_path, rows, schema, "m")
+    sb.start_merge(stream, str(tmp_path / "out"), str(tmp_path / "c4"), sb.merge_latest, sb.LATEST).awaitTermination()
+    got = sb.read_merged(spark, str(tmp_path / "out"), sb.LATEST).first()
+    assert (got.sequence, got.value, got.revision) == (5, 5.0, 3)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("data")) == ["data-2", "data-3"]
+
+
+def test_late_liquidation_updates_its_minute(spark, tmp_path):
+    schema = "exchange string, market_type string, symbol string, order_side string, order_type string, time_in_force string, original_quantity double, order_price double, average_price double, last_filled_quantity double, filled_quantity double, order_status string, trade_time_ms bigint, event_time_ms bigint, pair_symbol string, symbol_type string"
+    event = lambda t, q, side="SELL": ("x", "spot", "A", side, "LIMIT", "IOC", q, 10.0, 10.0, q, q, "FILLED", t, t, "A", "PERP")
+    rows = [[event(1000, 1.0), event(1000, 1.0)], [event(70_000, 2.0, "BUY")], [event(2000, 3.0)]]
+    got = collect(sb.stream_liquidations(batches(spark, tmp_path, rows, schema, "l"), "5 minutes").select("open_time", "long_notional", "short_notional", "n"), tmp_path, "c5", "update")
+    minutes = [(r[1], float(r[2]), float(r[3]), r[4]) for r in sorted(got)]
+    assert minutes == [(0, 10.0, 0.0, 1), (60_000, 0.0, 20.0, 1), (0, 40.0, 0.0, 2)]
+
+
+def test_alerts_and_continuity_over_batches(spark, tmp_path):
+    hit = lambda t: ("r", "x", "spot", "A", t, 1000, 3, 9000)
+    schema = "rule_id string, exchange string, market_type string, symbol string, close_time bigint, cooldownMs bigint, maxTriggers bigint, expiresAt bigint"
+    stream = batches(spark, tmp_path, [[hit(0), hit(500)], [hit(900), hit(1000)], [hit(5000), hit(8000), hit(9500)]], schema, "a")
+    assert sorted(r[-1] for r in collect(keyed.stream_alerts(stream), tmp_path, "c6", "append")) == [0, 1000, 5000]
+    mark = lambda s, n, again=False: ("x", "spot", "A", s, n, again)
+    schema = "exchange string, market_type string, symbol string, sequence bigint, arrival bigint, correction boolean"
+    stream = batches(spark, tmp_path, [[mark(1, 1), mark(2, 2)], [mark(5, 3), mark(2, 4), mark(3, 5, True)], [mark(6, 6), mark(9, 7)]], schema, "g")
+    got = [tuple(r[4:]) for r in sorted(collect(keyed.stream_continuity(stream), tmp_path, "c7", "update"), key=lambda r: r[0])]
+    assert sorted(got, key=str) == sorted([("gap", 3, 4, 5), ("repeat", None, None, 2), ("gap", 7, 8, 9)], key=str)
