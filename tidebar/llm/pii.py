@@ -195,7 +195,13 @@ def redact(docs: DataFrame, generalise: bool = True) -> DataFrame:
     found = find_spans(docs).where((F.size("spans") > 0) | (F.size("terms") > 0)).select("row", F.array_sort(F.concat("spans", "terms")).alias("spans_found")).dropDuplicates(["row"])
     found = common.keep(found, "redact")
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("row_found", F.xxhash64(F.col("doc_id").cast("long"), text)).join(found.withColumnRenamed("row", "row_found"), "row_found", "left")
+    rows = docs.withColumn("row_found", F.xxhash64(F.col("doc_id").cast("long"), text))
+    found = found.withColumnRenamed("row", "row_found")
+    # a text without these signs has no base span: only the rows with terms alone are looked up for it, so that most texts
+    # stay where they are
+    signs = text.contains("@") | text.rlike(r"\+[0-9]|[0-9](?:[\x20.-]?[0-9]){3}")
+    terms_only = common.keep(found.where(F.forall("spans_found", lambda s: s["kind"] == ORDER.index("term"))), "terms_only")
+    rows = rows.where(signs).join(found, "row_found", "left").unionByName(rows.where(~signs).join(terms_only, "row_found", "left"))
     masks = F.array(*[F.lit(MASKS[k]) for k in KINDS])
 
     def step(acc: Column, s: Column) -> Column:
