@@ -56,7 +56,7 @@ class Lattices:
     node). A node is a place in a word; node 0 is the end. All words not met before are built together: pieces are
     found by the hashes of all substrings, and masses from the words' ends, numpy walking all words side by side."""
 
-    def __init__(self, path: str, temperature: float, limit: int = 2 * workers.LIMIT):
+    def __init__(self, path: str, temperature: float, limit: int = 3 * workers.LIMIT):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)

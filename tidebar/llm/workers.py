@@ -11,7 +11,7 @@ from collections.abc import Callable
 from typing import Any
 
 #: Bytes that one operator's tables may hold in one worker, by their own count.
-LIMIT = 120_000_000
+LIMIT = 80_000_000
 #: Bytes of a small str or bytes object with its place in a dict and a number beside it, without its characters.
 ENTRY = 190
 
