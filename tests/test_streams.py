@@ -1,12 +1,13 @@
 """Streams over files give what their batch twins give."""
 
+import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
 from tidebar.operators import bars
 from tidebar.plans import tables
 from tidebar.streaming import bars as sb
-from tidebar.streaming import keyed
+from tidebar.streaming import books, keyed
 
 
 def source(spark, tmp_path):
@@ -99,3 +100,62 @@ def test_alerts_and_continuity_over_batches(spark, tmp_path):
     stream = batches(spark, tmp_path, [[mark(1, 1), mark(2, 2)], [mark(5, 3), mark(2, 4), mark(3, 5, True)], [mark(6, 6), mark(9, 7)]], schema, "g")
     got = [tuple(r[4:]) for r in sorted(collect(keyed.stream_continuity(stream), tmp_path, "c7", "update"), key=lambda r: r[0])]
     assert sorted(got, key=str) == sorted([("gap", 3, 4, 5), ("repeat", None, None, 2), ("gap", 7, 8, 9)], key=str)
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@pytest.fixture
+def rocks(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKS)
+    yield
+    spark.conf.set(key, before)
+
+
+def delta(first, final, previous, bids=(), asks=(), arrival=None, symbol="A"):
+    as_levels = lambda xs: [{"price": float(p), "quantity": float(q)} for p, q in xs]
+    return ("x", "perp", symbol, "delta", first, final, previous, as_levels(bids), as_levels(asks), final if arrival is None else arrival)
+
+
+def snapshot(last, arrival, bids=((99, 1), (100, 1)), asks=((101, 3), (102, 4)), symbol="A"):
+    return (*delta(None, last, None, bids, asks, arrival, symbol)[:3], "snapshot", *delta(None, last, None, bids, asks, arrival, symbol)[4:])
+
+
+def test_book_over_batches(spark, tmp_path, rocks):
+    rows = [
+        # waits, one of the two older than the snapshot to come; B's first delta can't bridge
+        [delta(98, 99, 97), delta(99, 101, 99, [(100, 2)], [(102, 0)]), snapshot(100, 1, symbol="B"), delta(105, 105, 104, arrival=2, symbol="B")],
+        [snapshot(100, 500), delta(102, 103, 101, [(98, 5)], [(103, 6)], 501)],
+        # a repeat, an older one, then a gap; B's snapshot arrives and what waited bridges
+        [delta(102, 103, 101, [(98, 5)], [(103, 6)], 502), delta(90, 95, 89, arrival=503), delta(107, 108, 106, [(97, 1)], [], 504), snapshot(104, 505, symbol="B")],
+        [delta(109, 110, 108, [(97, 0), (96, 2)], [(104, 1)], 506), delta(106, 106, 105, [(100, 0)], [(101, 9)], 507, "B")],
+        [snapshot(108, 600, [(97, 1)], [(103, 1)]), delta(111, 111, 110, [(95, 1)], [], 601)],
+        [delta(112, 112, 111, [(104, 1)], [], 602), delta(107, 107, 106, [(100, 4)], [(101, 8)], 603, "B"), delta(107, 107, 106, [(100, 5)], [(101, 8)], 604, "B")],
+    ]
+    stream = batches(spark, tmp_path, rows, books.EVENTS, "b")
+    got = {(r[0], r[3]): r for r in collect(books.stream_book(stream), tmp_path, "cb", "update")}
+    plain = lambda n, s: (got[n, s][7], got[n, s][4], [(x.price, x.quantity) for x in got[n, s][5]], [(x.price, x.quantity) for x in got[n, s][6]], got[n, s][9], got[n, s][10])
+    assert plain(0, "A") == ("syncing", None, [], [], 0, None)
+    assert plain(1, "A") == ("live", 103, [(100, 2), (99, 1), (98, 5)], [(101, 3), (103, 6)], 0, None)
+    assert plain(2, "A") == ("resync", None, [], [], 1, "gap")
+    assert plain(3, "A")[0] == "resync"
+    assert plain(4, "A") == ("live", 111, [(96, 2), (95, 1)], [(103, 1), (104, 1)], 0, None)
+    assert plain(5, "A") == ("resync", None, [], [], 1, "crossed")
+    assert plain(0, "B") == ("resync", None, [], [], 1, "gap")
+    assert plain(2, "B")[:2] == ("live", 105)
+    assert plain(3, "B") == ("live", 106, [(99, 1)], [(101, 9), (102, 4)], 0, None)
+    assert plain(5, "B") == ("resync", None, [], [], 1, "conflict")
+
+
+def test_spot_book_and_bounds(spark, tmp_path, rocks):
+    rows = [[delta(98, 100, None), delta(100, 102, None, [(100, 7)])], [snapshot(100, 200), delta(101, 103, None, [(100, 2)], arrival=201)], [delta(105, 105, None)]]
+    got = [(r[7], r[4], [x.quantity for x in r[5]]) for r in sorted(collect(books.stream_book(batches(spark, tmp_path, rows, books.EVENTS, "b"), futures=False), tmp_path, "cb", "update"))]
+    assert got == [("syncing", None, []), ("live", 103, [2, 1]), ("resync", None, [])]
+    book = books.Book(True, 2)
+    for i in range(4):
+        book.delta(books.Delta(i, i, i - 1, []))
+    assert (book.reason, book.breaks, [d.final for d in book.waiting]) == ("overflow", 1, [2, 3])
+    book.snapshot(2, [("bids", 1.0, 1.0)])
+    assert (book.state, book.reason) == ("resync", "empty")

@@ -61,6 +61,8 @@ def valid_deltas(snapshot: DataFrame, deltas: DataFrame, futures: bool) -> DataF
     w = Window.partitionBy(*SERIES).orderBy("final_update_id")
     before = F.lag("final_update_id").over(w)
     first_ok = F.col("first_update_id") <= F.col("base") + 1
+    if futures:
+        first_ok = first_ok | F.coalesce(F.col("previous_final_update_id") == F.col("base"), F.lit(False))
     follows = (F.col("previous_final_update_id") == before) if futures else (F.col("first_update_id") <= before + 1)
     rows = rows.withColumn("bad", F.when(before.isNull(), ~first_ok).otherwise(~F.coalesce(follows, F.lit(False))))
     rows = rows.withColumn("broken", F.max(F.col("bad").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1)
