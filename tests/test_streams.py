@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidebar.operators import bars
 from tidebar.plans import tables
 from tidebar.streaming import bars as sb
-from tidebar.streaming import books, keyed
+from tidebar.streaming import alerting, books, keyed
 
 
 def source(spark, tmp_path):
@@ -159,3 +159,43 @@ def test_spot_book_and_bounds(spark, tmp_path, rocks):
     assert (book.reason, book.breaks, [d.final for d in book.waiting]) == ("overflow", 1, [2, 3])
     book.snapshot(2, [("bids", 1.0, 1.0)])
     assert (book.state, book.reason) == ("resync", "empty")
+
+
+BAR_EVENT = "exchange string, market_type string, symbol string, interval string, event_type string, timestamp_ms bigint, arrival bigint, close double, volume double"
+
+
+def test_rules_with_values_before_over_batches(spark, tmp_path, rocks):
+    import random
+
+    r = random.Random(4)
+    rows, at = [], {"A": 0, "B": 0}
+    for i in range(160):
+        s = r.choice("AAB")
+        at[s] += 1
+        kind = r.choice(["BAR_CREATED", "BAR_UPDATED", "BAR_UPDATED", "BAR_CLOSED", "BAR_AMENDED"])
+        rows.append(("x", "spot", s, "1m", kind, i * 1000, i, None if r.random() < 0.05 else float(r.randint(90, 110)), float(r.randint(1, 9))))
+    cross = {"left": "close", "comparator": "crossesAbove", "right": 100}
+    rules = [
+        {"id": "close", "expression": cross, "cooldownMs": 9000},
+        {"id": "update", "expression": cross, "triggerOn": "bar_update", "maxTriggers": 5},
+        {"id": "any", "expression": {"type": "AND", "conditions": [{"left": "close", "comparator": "percentChangeBelow", "right": -3}, {"left": "volume", "comparator": ">", "right": 2}]}, "triggerOn": "realtime", "target": {"symbol": "A"}, "expiresAt": 90_000},
+        {"id": "off", "enabled": False, "expression": cross},
+    ]
+    listens = {"close": ["BAR_CLOSED"], "update": ["BAR_UPDATED", "BAR_CLOSED", "BAR_AMENDED"], "any": ["BAR_CREATED", "BAR_UPDATED", "BAR_CLOSED", "BAR_AMENDED"]}
+    want, before, last, n = [], {}, {}, {}
+    for _, _, s, _, kind, t, _, close, volume in rows:
+        for rule in rules[:3]:
+            key = (rule["id"], s)
+            if kind not in listens[rule["id"]]:
+                continue
+            p, before[key] = before.get(key), close
+            if rule["id"] == "any":
+                holds = s == "A" and t < 90_000 and None not in (p, close) and (close - p) / abs(p) * 100 < -3 and volume > 2
+            else:
+                holds = None not in (p, close) and p <= 100 < close
+            if holds and t - last.get(key, -(10**9)) >= rule.get("cooldownMs", 0) and n.get(key, 0) < rule.get("maxTriggers", 10**9):
+                last[key], n[key] = t, n.get(key, 0) + 1
+                want.append((*key, t))
+    stream = batches(spark, tmp_path, [rows[:70], rows[70:90], rows[90:]], BAR_EVENT, "r")
+    got = [(x[1], x[4], x[6]) for x in collect(alerting.stream_rule_alerts(stream, rules), tmp_path, "cr", "append")]
+    assert sorted(got) == sorted(want) and {x[0] for x in want} == {"close", "update", "any"}
