@@ -131,11 +131,8 @@ def agg10_book_window(spark, sf):
     return out.select("last_update_id", "side", *[F.col(c).cast("double").alias(c) for c in ("step", "level_price", "quantity")], "levels")
 
 
-@query("str12_rebuild_book", f"""WITH {LEVELS}, o AS (SELECT symbol, last_update_id, row_number() OVER (PARTITION BY symbol ORDER BY last_update_id) AS id, min(mid - n * 7) FILTER (n = n0) AS head FROM (SELECT *, min(n) OVER (PARTITION BY last_update_id) AS n0 FROM lv) GROUP BY symbol, last_update_id),
-    p AS (SELECT symbol, head AS price0 FROM o WHERE id = 1), x AS (SELECT lv.symbol, id, n, q, price0 - ((mid - 7 * n) % 500 + 1) AS bid, price0 + ((mid + 7 * n) % 500 + 1) AS ask FROM lv JOIN o USING (symbol, last_update_id) JOIN p USING (symbol)),
-    b AS (SELECT symbol, bid, arg_max(q, (id, n, q)) AS q FROM x GROUP BY ALL), a AS (SELECT symbol, ask, arg_max(q, (id, n, q)) AS q FROM x GROUP BY ALL)
-    SELECT symbol, (SELECT max(id) FROM o WHERE o.symbol = p.symbol) AS last_update_id, (SELECT CAST(count(*) AS INTEGER) FROM b WHERE b.symbol = p.symbol AND q > 0) AS bid_levels, (SELECT CAST(count(*) AS INTEGER) FROM a WHERE a.symbol = p.symbol AND q > 0) AS ask_levels, (SELECT round(sum(bid * q), 4) FROM b WHERE b.symbol = p.symbol) AS bid_notional, FALSE AS needs_resync FROM p""")
-def str12_rebuild_book(spark, sf):
+def numbered_deltas(spark, sf):
+    """(snapshot, deltas): each series' first book, and the others as updates of it, numbered without gaps."""
     rows = books(spark, sf)
     w = Window.partitionBy(*SERIES).orderBy("last_update_id")
     numbered = rows.withColumns({"id": F.row_number().over(w), "price0": F.first(F.get("bids", F.lit(0))["price"]).over(w)})
@@ -143,6 +140,15 @@ def str12_rebuild_book(spark, sf):
     numbered = numbered.withColumns({"bids": shift("bids", -1), "asks": shift("asks", 1)})
     snapshot = numbered.where("id = 1").select(*SERIES, F.lit(1).cast("bigint").alias("last_update_id"), "bids", "asks")
     deltas = numbered.where("id > 1").select(*SERIES, F.col("id").cast("bigint").alias("first_update_id"), F.col("id").cast("bigint").alias("final_update_id"), (F.col("id") - 1).cast("bigint").alias("previous_final_update_id"), "bids", "asks")
+    return snapshot, deltas
+
+
+@query("str12_rebuild_book", f"""WITH {LEVELS}, o AS (SELECT symbol, last_update_id, row_number() OVER (PARTITION BY symbol ORDER BY last_update_id) AS id, min(mid - n * 7) FILTER (n = n0) AS head FROM (SELECT *, min(n) OVER (PARTITION BY last_update_id) AS n0 FROM lv) GROUP BY symbol, last_update_id),
+    p AS (SELECT symbol, head AS price0 FROM o WHERE id = 1), x AS (SELECT lv.symbol, id, n, q, price0 - ((mid - 7 * n) % 500 + 1) AS bid, price0 + ((mid + 7 * n) % 500 + 1) AS ask FROM lv JOIN o USING (symbol, last_update_id) JOIN p USING (symbol)),
+    b AS (SELECT symbol, bid, arg_max(q, (id, n, q)) AS q FROM x GROUP BY ALL), a AS (SELECT symbol, ask, arg_max(q, (id, n, q)) AS q FROM x GROUP BY ALL)
+    SELECT symbol, (SELECT max(id) FROM o WHERE o.symbol = p.symbol) AS last_update_id, (SELECT CAST(count(*) AS INTEGER) FROM b WHERE b.symbol = p.symbol AND q > 0) AS bid_levels, (SELECT CAST(count(*) AS INTEGER) FROM a WHERE a.symbol = p.symbol AND q > 0) AS ask_levels, (SELECT round(sum(bid * q), 4) FROM b WHERE b.symbol = p.symbol) AS bid_notional, FALSE AS needs_resync FROM p""")
+def str12_rebuild_book(spark, sf):
+    snapshot, deltas = numbered_deltas(spark, sf)
     out = book.rebuild_book(snapshot, deltas)
     notional = F.aggregate("bids", F.lit(0.0), lambda s, x: s + x["price"] * x["quantity"])
     return out.select("symbol", "last_update_id", F.size("bids").alias("bid_levels"), F.size("asks").alias("ask_levels"), F.round(notional, 4).alias("bid_notional"), "needs_resync")

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from ..operators import book
 from ..schemas import EVENTS, SERIES
 from ..session import work_dir
+from ..streaming import alerting, books, keyed
 from ..streaming import bars as sb
-from ..streaming import keyed
 from .bar_queries import ORACLES as BAR_ORACLES
+from .chart_queries import ORACLES as CHART_ORACLES
+from .chart_queries import numbered_deltas
 from .market_queries import ENVELOPES, LIQ, envelopes_of, liquidations_of
-from .tables import DAY, HOUR, HOURLY, TRADES, bar_table, bars_sql, read, streamed, trades_of
+from .tables import DAY, HOUR, HOURLY, TRADES, bar_table, bars_sql, ms, read, trades_of
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -28,44 +34,73 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-def written(stream: DataFrame, mode: str, each=lambda batch: batch) -> DataFrame:
-    """What a stream writes until its source is read, with the number of the batch. each: done to every batch."""
-    spark = stream.sparkSession
+def arriving(rows: DataFrame, order: Column, path: str, parts: int = 3) -> Iterator[DataFrame]:
+    """A stream of the rows, once for each of so many stretches of `order`, as their files arrive: whoever runs each to its end
+    on one checkpoint takes the table in as many batches and carries its state from one run to the next."""
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    width = (high - low) / parts if low is not None else 0
+    stretch = F.least(F.floor((order - low) / width), F.lit(parts - 1)) if width else F.lit(0)
+    for n in range(parts):
+        rows.where(stretch == n).write.mode("append").parquet(path)
+        yield rows.sparkSession.readStream.schema(rows.schema).parquet(path)
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Settings for the streams started within: the state store that keyed state needs, and no more parts of the state, each
+    with a worker of its own in every batch, than there are cores."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.shuffle.partitions": str(min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def replayed(rows: DataFrame, order: Column, make: Callable[[DataFrame], DataFrame], mode: str, each=lambda batch: batch, parts: int = 3) -> DataFrame:
+    """What the stream that make builds writes as the rows arrive in parts, with the number of the batch. each: done to every batch."""
+    spark = rows.sparkSession
     path = work_dir(spark)
     shapes = []
 
     def put(batch: DataFrame, n: int) -> None:
-        rows = each(batch)
-        shapes[:] = [rows.schema.add("batch", LongType())]
-        rows.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
+        out = each(batch)
+        shapes[:] = [out.schema.add("batch", LongType())]
+        out.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    with keyed_state(spark):
+        for stream in arriving(rows, order, f"{path}/in", parts):
+            make(stream).writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(shapes[0]).parquet(f"{path}/out")
 
 
+def written(spark: SparkSession, sf: str, make: Callable[[DataFrame], DataFrame], mode: str, each=lambda batch: batch) -> DataFrame:
+    """replayed, for trades from the given events."""
+    return replayed(read(spark, sf, "events"), ms("ts"), lambda events: make(trades_of(events)), mode, each)
+
+
 def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The last state of each key that an updating stream wrote."""
     rest = [c for c in rows.columns if c not in [*keys, "batch"]]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*keys, "x.*")
 
 
-def stream_trades(spark, sf):
-    return trades_of(streamed(spark, sf, "events"))
-
-
 OUT = "symbol, open_time, open, high, low, close, volume, taker_buy_base"
 
 
 @query("str1_final_bars", f"WITH {HOURLY} SELECT {OUT} FROM bars WHERE open_time + {HOUR} <= (SELECT max(trade_time_ms) FROM trades) - 60000")
 def str1_final_bars(spark, sf):
     """Bars that the watermark has closed."""
-    return written(sb.stream_bars(stream_trades(spark, sf), "1h"), "append").select(*OUT.split(", "))
+    return written(spark, sf, lambda t: sb.stream_bars(t, "1h"), "append").select(*OUT.split(", "))
 
 
 @query("str3_finality", f"WITH {HOURLY}, l AS (SELECT *, max(open_time) OVER (PARTITION BY symbol) AS newest FROM bars) SELECT symbol, open_time, close, open_time < newest AS by_next, open_time + {HOUR} + 5000 <= {{now}} AS by_timeout, TRUE AS by_end, open_time // {HOUR} % 2 = 0 AS by_flag, open_time // {HOUR} % 3 = 0 AS by_coverage FROM l".replace("{now}", "(SELECT max(open_time) FROM bars)"))
 def str3_finality(spark, sf):
     """Forming bars of an updating stream, and each rule that makes them final."""
-    rows = latest(written(sb.stream_bars(stream_trades(spark, sf), "1h"), "update"), [*SERIES, "open_time"])
+    rows = latest(written(spark, sf, lambda t: sb.stream_bars(t, "1h"), "update"), [*SERIES, "open_time"])
     hour = (F.col("open_time") / HOUR).cast("bigint")
     rows = rows.withColumns({"source_closed": (hour % 2 == 0).cast("string"), "closed_parts": F.when(hour % 3 == 0, 4).otherwise(3)})
     now = rows.agg(F.max("open_time")).first()[0]
@@ -79,20 +114,20 @@ WEEK = 604_800_000
 
 @query("str2_weeks", f"WITH {TRADES}, {bars_sql(f'345600000 + (trade_time_ms - 345600000) // {WEEK} * {WEEK}')} SELECT symbol, open_time, open, close, volume FROM bars")
 def str2_weeks(spark, sf):
-    return latest(written(sb.stream_bars(stream_trades(spark, sf), "1w"), "update"), [*SERIES, "open_time"]).select("symbol", "open_time", "open", "close", "volume")
+    return latest(written(spark, sf, lambda t: sb.stream_bars(t, "1w"), "update"), [*SERIES, "open_time"]).select("symbol", "open_time", "open", "close", "volume")
 
 
 @query("str2_months", BAR_ORACLES["agg4_resample_month"])
 def str2_months(spark, sf):
     """Daily bars of a stream, rolled up by month."""
-    daily = latest(written(sb.stream_bars(stream_trades(spark, sf), "1d"), "update"), [*SERIES, "open_time"])
+    daily = latest(written(spark, sf, lambda t: sb.stream_bars(t, "1d"), "update"), [*SERIES, "open_time"])
     daily = daily.withColumns({"is_closed": F.lit(True), "taker_buy_quote": F.lit(None).cast("double")})
     return sb.roll_months(daily, 4_000_000_000_000).select("symbol", "open_time", "open", "close", "volume", "trades", "is_closed")
 
 
 @query("str4_stream_flow", f"WITH {TRADES} SELECT symbol, trade_time_ms // 60000 * 60000 AS open_time, round(sum(CASE WHEN is_buyer_maker THEN 0 ELSE quantity END), 8) AS buy_base, round(sum(CASE WHEN is_buyer_maker THEN quantity ELSE 0 END), 8) AS sell_base, count(*) AS agg_count FROM trades GROUP BY ALL")
 def str4_stream_flow(spark, sf):
-    rows = latest(written(keyed.stream_trade_flow(stream_trades(spark, sf)), "update"), [*SERIES, "open_time"])
+    rows = latest(written(spark, sf, keyed.stream_trade_flow, "update"), [*SERIES, "open_time"])
     return rows.select("symbol", "open_time", F.round("buy_base", 8).alias("buy_base"), F.round("sell_base", 8).alias("sell_base"), "agg_count")
 
 
@@ -109,23 +144,24 @@ def str4_late_trades(spark, sf):
 
 @query("str7_liquidation_minutes", f"WITH {LIQ} SELECT symbol, open_time, CAST(long_n AS DOUBLE) AS long_notional, CAST(short_n AS DOUBLE) AS short_notional, n FROM liq JOIN (SELECT symbol, trade_time_ms // 60000 * 60000 AS open_time, count(*) AS n FROM trades GROUP BY ALL) USING (symbol, open_time)")
 def str7_liquidation_minutes(spark, sf):
-    events = liquidations_of(stream_trades(spark, sf))
-    rows = latest(written(sb.stream_liquidations(events.union(events)), "update"), [*SERIES, "open_time"])
+    twice = lambda events: events.union(events)
+    rows = latest(written(spark, sf, lambda t: sb.stream_liquidations(twice(liquidations_of(t))), "update"), [*SERIES, "open_time"])
     return rows.select("symbol", "open_time", F.col("long_notional").cast("double").alias("long_notional"), F.col("short_notional").cast("double").alias("short_notional"), "n")
 
 
 @query("str8_stream_continuity", f"WITH {TRADES}, x AS (SELECT *, lag(agg_trade_id) OVER (PARTITION BY symbol ORDER BY agg_trade_id) AS h FROM trades WHERE agg_trade_id % 11 <> 0) SELECT symbol, 'gap' AS kind, h + 1 AS first_missing, agg_trade_id - 1 AS last_missing, agg_trade_id AS at_sequence FROM x WHERE agg_trade_id > h + 1")
 def str8_stream_continuity(spark, sf):
     """Trades whose id is divisible by 11 come as corrections, which mark nothing."""
-    events = stream_trades(spark, sf).withColumns({"sequence": F.col("agg_trade_id"), "arrival": F.col("agg_trade_id"), "correction": F.col("agg_trade_id") % 11 == 0})
-    return written(keyed.stream_continuity(events), "update").select("symbol", "kind", "first_missing", "last_missing", "at_sequence")
+    marked = lambda t: t.withColumns({"sequence": F.col("agg_trade_id"), "arrival": F.col("agg_trade_id"), "correction": F.col("agg_trade_id") % 11 == 0})
+    return written(spark, sf, lambda t: keyed.stream_continuity(marked(t)), "update").select("symbol", "kind", "first_missing", "last_missing", "at_sequence")
 
 
 @query("str9_latest_states", f"WITH {TRADES} SELECT symbol, max(agg_trade_id) AS sequence, arg_max(price, agg_trade_id) AS value FROM trades GROUP BY symbol")
 def str9_latest_states(spark, sf):
     path = work_dir(spark)
-    events = stream_trades(spark, sf).select(*SERIES, F.lit("trade").alias("channel"), F.col("agg_trade_id").alias("sequence"), F.col("trade_time_ms").alias("event_time_ms"), F.col("trade_time_ms").alias("received_at_ms"), F.col("price").alias("value"))
-    sb.start_merge(events, f"{path}/out", f"{path}/checkpoint", sb.merge_latest, sb.LATEST, "append").awaitTermination()
+    for events in arriving(read(spark, sf, "events"), ms("ts"), f"{path}/in"):
+        states = trades_of(events).select(*SERIES, F.lit("trade").alias("channel"), F.col("agg_trade_id").alias("sequence"), F.col("trade_time_ms").alias("event_time_ms"), F.col("trade_time_ms").alias("received_at_ms"), F.col("price").alias("value"))
+        sb.start_merge(states, f"{path}/out", f"{path}/checkpoint", sb.merge_latest, sb.LATEST, "append").awaitTermination()
     return sb.read_merged(spark, f"{path}/out", sb.LATEST).select("symbol", "sequence", "value")
 
 
@@ -141,23 +177,54 @@ def str10_amendments(spark, sf):
 
 @query("str11_price_only", f"WITH {TRADES} SELECT symbol, trade_time_ms // {HOUR} * {HOUR} AS open_time, max(price) AS high, min(price) AS low, last(price ORDER BY trade_time_ms, agg_trade_id) AS close, round(sum(CASE WHEN agg_trade_id % 3 = 0 THEN 0 ELSE quantity END), 8) AS volume FROM trades GROUP BY ALL")
 def str11_price_only(spark, sf):
-    rows = sb.stream_bars(stream_trades(spark, sf), "1h", price_only=F.col("agg_trade_id") % 3 == 0)
-    return latest(written(rows, "update"), [*SERIES, "open_time"]).select("symbol", "open_time", "high", "low", "close", "volume")
+    rows = written(spark, sf, lambda t: sb.stream_bars(t, "1h", price_only=F.col("agg_trade_id") % 3 == 0), "update")
+    return latest(rows, [*SERIES, "open_time"]).select("symbol", "open_time", "high", "low", "close", "volume")
 
 
 @query("str13_stream_alerts", f"""WITH RECURSIVE {TRADES}, h AS (SELECT symbol, trade_time_ms AS t FROM trades WHERE price > 90), f AS (SELECT symbol, min(t) AS t, 1 AS n FROM h GROUP BY symbol UNION ALL
     SELECT f.symbol, (SELECT min(h.t) FROM h WHERE h.symbol = f.symbol AND h.t >= f.t + {6 * HOUR}), n + 1 FROM f WHERE n < 20 AND EXISTS (SELECT 1 FROM h WHERE h.symbol = f.symbol AND h.t >= f.t + {6 * HOUR})) SELECT symbol, t AS triggered_at_ms FROM f""")
 def str13_stream_alerts(spark, sf):
     rule = {"left": "price", "comparator": ">", "right": 90}
-    hits = sb.alert_hits(stream_trades(spark, sf), "r", rule).withColumns({"close_time": F.col("trade_time_ms"), "cooldownMs": F.lit(6 * HOUR), "maxTriggers": F.lit(20), "expiresAt": F.lit(None).cast("bigint")})
-    return written(keyed.stream_alerts(hits), "append").select("symbol", "triggered_at_ms")
+    hits = lambda t: sb.alert_hits(t, "r", rule).withColumns({"close_time": F.col("trade_time_ms"), "cooldownMs": F.lit(6 * HOUR), "maxTriggers": F.lit(20), "expiresAt": F.lit(None).cast("bigint")})
+    return written(spark, sf, lambda t: keyed.stream_alerts(hits(t)), "append").select("symbol", "triggered_at_ms")
+
+
+@query("str12_stream_book", CHART_ORACLES["str12_rebuild_book"].replace("FALSE AS needs_resync FROM p", "FALSE AS needs_resync, 'live' AS state FROM p"))
+def str12_stream_book(spark, sf):
+    """Deltas wait for their snapshot, one is lost on the way, and a second snapshot, of the book up to beyond the loss, arrives
+    after the deltas that follow it: the book comes to what all deltas give."""
+    snapshot, deltas = numbered_deltas(spark, sf)
+    last = deltas.groupBy(*SERIES).agg(F.max("final_update_id").alias("n"))
+    lost, seen, late = F.floor(F.col("n") / 3), F.floor(F.col("n") / 2), F.floor(F.col("n") * 3 / 4)
+    rows = deltas.join(last, SERIES)
+    again = book.rebuild_book(snapshot, rows.where(F.col("final_update_id") <= seen)).join(last, SERIES)
+    none = F.lit(None).cast("bigint")
+    shot = lambda rows, arrival: rows.select(*SERIES, F.lit("snapshot").alias("kind"), none.alias("first_update_id"), F.col("last_update_id").alias("final_update_id"), none.alias("previous_final_update_id"), "bids", "asks", arrival.cast("bigint").alias("arrival"), (arrival / F.col("n")).alias("share"))
+    sent = rows.where(F.col("final_update_id") != lost).select(*SERIES, F.lit("delta").alias("kind"), "first_update_id", "final_update_id", "previous_final_update_id", "bids", "asks", (F.col("final_update_id") * 2).alias("arrival"), (F.col("final_update_id") * 2 / F.col("n")).alias("share"))
+    events = sent.unionByName(shot(snapshot.join(last, SERIES), F.lit(21))).unionByName(shot(again, late * 2 + 1))
+    out = latest(replayed(events, F.col("share"), lambda e: books.stream_book(e.drop("share")), "update"), SERIES)
+    notional = F.aggregate("bids", F.lit(0.0), lambda s, x: s + x["price"] * x["quantity"])
+    return out.select("symbol", "last_update_id", F.size("bids").alias("bid_levels"), F.size("asks").alias("ask_levels"), F.round(notional, 4).alias("bid_notional"), "needs_resync", "state")
+
+
+@query("str13_stream_crosses", f"""WITH RECURSIVE {HOURLY}, x AS (SELECT symbol, open_time + {HOUR} AS t, close, lag(close) OVER (PARTITION BY symbol ORDER BY open_time) AS before FROM bars), h AS (SELECT symbol, t FROM x WHERE before <= 50 AND close > 50), f AS (SELECT symbol, min(t) AS t, 1 AS n FROM h GROUP BY symbol UNION ALL
+    SELECT f.symbol, (SELECT min(h.t) FROM h WHERE h.symbol = f.symbol AND h.t >= f.t + {6 * HOUR}), n + 1 FROM f WHERE n < 30 AND EXISTS (SELECT 1 FROM h WHERE h.symbol = f.symbol AND h.t >= f.t + {6 * HOUR})) SELECT 'above' AS rule_id, symbol, t AS triggered_at_ms FROM f
+    UNION ALL SELECT 'fell', symbol, t FROM x WHERE (close - before) / abs(before) * 100 < -80 AND symbol = 'CLICK'""")
+def str13_stream_crosses(spark, sf):
+    """Closed hourly bars, none with the values before: crosses and falls are found from the state."""
+    bars = bar_table(spark, sf).select(*SERIES, F.lit("1h").alias("interval"), F.lit("BAR_CLOSED").alias("event_type"), (F.col("open_time") + HOUR).alias("timestamp_ms"), F.col("open_time").alias("arrival"), "close")
+    rules = [
+        {"id": "above", "expression": {"left": "close", "comparator": "crossesAbove", "right": 50}, "cooldownMs": 6 * HOUR, "maxTriggers": 30},
+        {"id": "fell", "expression": {"left": "close", "comparator": "percentChangeBelow", "right": -80}, "target": {"symbol": "CLICK"}},
+    ]
+    return replayed(bars, F.col("arrival"), lambda b: alerting.stream_rule_alerts(b, rules), "append").select("rule_id", "symbol", "triggered_at_ms")
 
 
 @query("str14_filtered_events", "SELECT event_id FROM events WHERE event_type IN ('click', 'view') AND event_id % 4 = 1")
 def str14_filtered_events(spark, sf):
-    events = streamed(spark, sf, "events").select("event_id", F.col("event_type").alias("type"), F.lit("sim").alias("exchange"), F.lit("spot").alias("market_type"), (F.col("event_id") % 4).cast("string").alias("symbol"))
+    events = lambda rows: rows.select("event_id", F.col("event_type").alias("type"), F.lit("sim").alias("exchange"), F.lit("spot").alias("market_type"), (F.col("event_id") % 4).cast("string").alias("symbol"))
     keys = spark.createDataFrame([("sim", "spot", "1"), ("sim", "spot", "9")], "exchange string, market_type string, symbol string")
-    return written(sb.filter_events(events, ["click", "view"], keys), "append").select("event_id")
+    return replayed(read(spark, sf, "events"), ms("ts"), lambda rows: sb.filter_events(events(rows), ["click", "view"], keys), "append").select("event_id")
 
 
 @query("str15_prices", f"WITH {TRADES}, d AS (SELECT symbol, trade_time_ms - trade_time_ms % {DAY} AS day, first(price ORDER BY trade_time_ms, agg_trade_id) AS o FROM trades GROUP BY ALL) SELECT agg_trade_id, o AS daily_open, round(price - o, 8) AS change FROM trades JOIN d ON trades.symbol = d.symbol AND trade_time_ms - trade_time_ms % {DAY} = d.day WHERE o > 0")
@@ -165,14 +232,15 @@ def str15_prices(spark, sf):
     """Prices of each batch with their day's open; every second day has no daily bar and takes its first minute's."""
     days = bar_table(spark, sf, "1d").where((F.col("open_time") / DAY).cast("bigint") % 2 == 0)
     minutes = bar_table(spark, sf, "1m")
-    ticks = stream_trades(spark, sf).select(*SERIES, "agg_trade_id", "price", F.col("trade_time_ms").alias("event_time_ms"), F.lit(None).cast("double").alias("own_open"))
-    rows = written(ticks, "append", lambda batch: sb.stream_prices(batch, days, minutes).select("agg_trade_id", "daily_open", "change"))
+    ticks = lambda t: t.select(*SERIES, "agg_trade_id", "price", F.col("trade_time_ms").alias("event_time_ms"), F.lit(None).cast("double").alias("own_open"))
+    rows = written(spark, sf, ticks, "append", lambda batch: sb.stream_prices(batch, days, minutes).select("agg_trade_id", "daily_open", "change"))
     return rows.where("daily_open > 0").select("agg_trade_id", "daily_open", "change")
 
 
 @query("src7_event_sink", f"WITH {ENVELOPES}, r AS (SELECT *, first(h) OVER w AS h0, row_number() OVER w AS n FROM ev WINDOW w AS (PARTITION BY kafka_topic, event_id ORDER BY kafka_partition, kafka_offset ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) SELECT 'fact' AS kind, kafka_topic, event_id, kafka_offset FROM r WHERE n = 1 UNION ALL SELECT 'conflict', kafka_topic, event_id, kafka_offset FROM r WHERE h <> h0")
 def src7_event_sink(spark, sf):
     path = work_dir(spark)
-    sb.start_sink(envelopes_of(streamed(spark, sf, "events")), path, f"{path}/checkpoint", EVENTS).awaitTermination()
+    for events in arriving(read(spark, sf, "events"), ms("ts"), f"{path}/in"):
+        sb.start_sink(envelopes_of(events), path, f"{path}/checkpoint", EVENTS).awaitTermination()
     facts, conflicts = (sb.read_sink(spark, path, t, EVENTS).withColumn("kind", F.lit(k)) for t, k in (("facts", "fact"), ("conflicts", "conflict")))
     return facts.select("kind", "kafka_topic", "event_id", "kafka_offset").unionByName(conflicts.select("kind", "kafka_topic", "event_id", "kafka_offset"))

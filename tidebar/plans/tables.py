@@ -25,11 +25,6 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trades_of(read(spark, sf_dir, "events"))
 
 
-def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table as a stream of its files. A stream takes a single file only by a pattern."""
-    return spark.readStream.schema(read(spark, sf_dir, name).schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/{name}.parque[t]")
-
-
 def trades_of(events: DataFrame) -> DataFrame:
     """Trades from events: the symbol is the event's type, the price its value, the quantity and side follow its number k."""
     k = F.get_json_object("props", "$.k").cast("bigint")
