@@ -257,3 +257,34 @@ def test_long_series_of_few_chunks(spark):
         y = y + (v - y) / 3
         want.append(y)
     assert got[:4] == want[:4] and all(abs(a - b) < 1e-9 for a, b in zip(got[4:], want[4:]))
+
+
+@pytest.mark.parametrize("fold", [False, True])
+@pytest.mark.parametrize("deep", [2, 5, 24])
+def test_automaton_is_brute_force(fold, deep):
+    import random
+
+    r = random.Random(deep)
+    say = lambda n: "".join(r.choice("aAbcé ") for _ in range(n)).encode()
+    patterns = list(dict.fromkeys([say(r.randint(1, 12)) for _ in range(400)] + [b"ab", b"abab", b"b" * 30, b"", b"abcabc" * 9]))
+    texts = [say(n) for n in (0, 1, 7, 300, 5000, 2048, 2049)] + [b"b" * 5000, b"abcabc" * 900, b"\xff\x00" + say(40)]
+    low = (lambda b: b.lower()) if fold else (lambda b: b)
+    got = text_match.Automaton(patterns, fold, deep).search(texts)
+    for text, hits in zip(texts, got):
+        for kind in ("standard", "leftmost-first", "leftmost-longest"):
+            for overlapping in (False, True):
+                want = text_match.find_all(low(text), [low(p) for p in patterns], kind, overlapping)
+                assert text_match._chosen(list(hits), kind, overlapping, None) == want
+    # a table that would not fit reads fewer bytes of each pattern, and finds the same
+    small = text_match.Automaton(patterns, fold, 24, 20_000)
+    assert small.deep < 24 and list(map(sorted, small.search(texts))) == list(map(sorted, got))
+
+
+def test_match_patterns_table(spark):
+    patterns = [f"w{i} " for i in range(40)] + ["w1", "w1 w2 w3"]
+    docs = spark.createDataFrame([(1, "W1 w2 w3 w39 w1"), (2, None), (3, ""), (None, "w7 é w8 ")], "doc_id bigint, text string")
+    for kind in ("standard", "leftmost-first", "leftmost-longest"):
+        got = {tuple(r) for r in text_match.match_patterns(docs, patterns, kind, fold_case=True).collect()}
+        want = {(d, *m) for d, t in ((1, "w1 w2 w3 w39 w1"), (None, "w7 é w8 ")) for m in text_match.find_all(t.encode(), [p.encode() for p in patterns], kind)}
+        assert got == want
+    assert text_match.match_patterns(docs, patterns, "standard", most=1).count() == 2

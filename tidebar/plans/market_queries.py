@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import alerts
@@ -374,6 +376,27 @@ def sca35_match_patterns(spark, sf):
     return text_match.match_patterns(read(spark, sf, "documents"), ["token", "@mail"]).groupBy("doc_id").agg(F.count("*").alias("matches"))
 
 
+@query("sca35_benchmark_patterns", """WITH RECURSIVE w AS (SELECT string_split(text, ' ') AS w FROM benchmark), p AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS i FROM (SELECT DISTINCT unnest(list_transform(range(1, len(w) - n + 2), lambda j: array_to_string(w[j:j + n - 1], ' '))) AS p FROM w, (VALUES (3), (5)) k(n))),
+    d AS (SELECT doc_id, text, i, p, string_split(text, p) AS parts FROM documents JOIN p ON contains(text, p)),
+    h AS (SELECT doc_id, i, unnest(list_transform(range(1, len(parts)), lambda j: CAST(list_sum(list_transform(parts[1:j], lambda x: octet_length(encode(x)))) AS BIGINT) + (j - 1) * octet_length(encode(p)))) AS a, octet_length(encode(p)) AS n FROM d),
+    k AS (SELECT unnest(['standard', 'leftmost-first', 'leftmost-longest']) AS kind), o AS (SELECT kind, doc_id, i, a, n, row_number() OVER (PARTITION BY kind, doc_id ORDER BY CASE WHEN kind = 'standard' THEN a + n ELSE a END, CASE kind WHEN 'standard' THEN a WHEN 'leftmost-first' THEN i ELSE -n END, i) AS r FROM h, k),
+    g AS (SELECT kind, doc_id, i, a, n, r FROM o WHERE r = 1 UNION ALL SELECT o.kind, o.doc_id, o.i, o.a, o.n, o.r FROM (SELECT g.kind, g.doc_id, min(o.r) AS r FROM g JOIN o ON o.kind = g.kind AND o.doc_id = g.doc_id AND o.r > g.r AND o.a >= g.a + g.n GROUP BY ALL) x JOIN o USING (kind, doc_id, r)),
+    m AS (SELECT kind, doc_id, i, a, n FROM g UNION ALL SELECT 'overlapping', doc_id, i, a, n FROM h)
+    SELECT kind, doc_id, count(*) AS matches, CAST(sum(n) AS BIGINT) AS bytes, CAST(sum((a + 1) * (i + 1)) AS BIGINT) AS places FROM m GROUP BY kind, doc_id""")
+def sca35_benchmark_patterns(spark, sf):
+    """All runs of three and of five words of the benchmark's items, in every document, in all kinds of match."""
+    words = F.split("text", " ")
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
+    items = read(spark, sf, "benchmark").select("text")
+    some = items.where(F.size(words) >= 3).select(F.explode(runs(3)).alias("p")).union(items.where(F.size(words) >= 5).select(F.explode(runs(5)).alias("p")))
+    patterns = sorted(r.p for r in some.distinct().collect())
+    docs, out = read(spark, sf, "documents"), []
+    for kind in ("standard", "leftmost-first", "leftmost-longest", "overlapping"):
+        found = text_match.match_patterns(docs, patterns, "standard" if kind == "overlapping" else kind, overlapping=kind == "overlapping")
+        out.append(found.groupBy("doc_id").agg(F.count("*").alias("matches"), F.sum(F.col("end") - F.col("start")).alias("bytes"), F.sum((F.col("start") + 1) * (F.col("pattern") + 1)).alias("places")).withColumn("kind", F.lit(kind)))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("top6_retention", f"WITH {HOURLY}, l AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) AS n FROM bars) SELECT symbol, open_time FROM l WHERE n <= 100")
 def top6_retention(spark, sf):
     limits = spark.createDataFrame([("hour", 100), ("minute", 10)], "tier string, keep int")
