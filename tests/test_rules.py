@@ -140,8 +140,7 @@ def test_late_trades_only_fill_gaps():
     assert not f.add(99, 900, 1.0, 1.0, False) and not f.add(101, 9000, 1.0, 1.0, False)
     assert f.add(102, 4000, 1.0, 1.0, False) and f.gaps == [[101, 101, 1000, 4000]]
     assert f.add(101, 2000, 1.0, 1.0, False) and f.gaps == []
-    again = keyed.TradeFlow.load(f.dump())
-    assert again.rows({0}) == f.rows({0}) == [(0, 4.0, 1.0, 4, False)]
+    assert f.rows({0}) == [(0, 4.0, 1.0, 4, False)]
 
 
 def test_alert_limits():

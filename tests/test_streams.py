@@ -39,7 +39,7 @@ def test_merged_latest(spark, tmp_path):
     assert sb.read_merged(spark, str(tmp_path / "out"), sb.LATEST).first().value == 3.0
 
 
-def test_trade_flow_state(spark, tmp_path):
+def test_trade_flow_state(spark, tmp_path, rocks):
     rows = source(spark, tmp_path)
     stream = sb.read_trades(spark, str(tmp_path / "in"), 10)
     got = collect(keyed.stream_trade_flow(stream), tmp_path, "c3", "update")
@@ -60,14 +60,17 @@ def batches(spark, tmp_path, rows, schema, name):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / name))
 
 
-def test_sink_with_conflicts_over_batches(spark, tmp_path):
+def test_sink_with_conflicts_over_batches(spark, tmp_path, rocks):
     rows = [[("t", 0, 1, "a", "x"), ("t", 0, 2, "b", "x")], [("t", 0, 3, "a", "y"), ("t", 0, 4, "b", "x"), ("t", 0, 5, "c", "x")], [("t", 0, 6, "c", "z"), ("t", 0, 7, "c", "x")]]
     sb.start_sink(batches(spark, tmp_path, rows, EVENT, "e"), str(tmp_path / "s"), str(tmp_path / "c"), EVENT).awaitTermination()
     facts = {(r.event_id, r.kafka_offset) for r in sb.read_sink(spark, str(tmp_path / "s"), "facts", EVENT).collect()}
     conflicts = {(r.event_id, r.kafka_offset, r.first_sha256) for r in sb.read_sink(spark, str(tmp_path / "s"), "conflicts", EVENT).collect()}
     assert facts == {("a", 1), ("b", 2), ("c", 5)} and conflicts == {("a", 3, "x"), ("c", 6, "x")}
-    # a batch that runs again after a failure changes nothing
-    sb.sink_into(str(tmp_path / "s"), EVENT)(spark.createDataFrame(rows[1], EVENT), 1)
+    # a batch that runs again after a failure starts from the state before it and changes nothing
+    (tmp_path / "c" / "commits" / "2").unlink()
+    (tmp_path / "c" / "commits" / ".2.crc").unlink(missing_ok=True)
+    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "e"))
+    sb.start_sink(stream, str(tmp_path / "s"), str(tmp_path / "c"), EVENT).awaitTermination()
     assert {(r.event_id, r.kafka_offset) for r in sb.read_sink(spark, str(tmp_path / "s"), "facts", EVENT).collect()} == facts
 
 
@@ -199,3 +202,36 @@ def test_rules_with_values_before_over_batches(spark, tmp_path, rocks):
     stream = batches(spark, tmp_path, [rows[:70], rows[70:90], rows[90:]], BAR_EVENT, "r")
     got = [(x[1], x[4], x[6]) for x in collect(alerting.stream_rule_alerts(stream, rules), tmp_path, "cr", "append")]
     assert sorted(got) == sorted(want) and {x[0] for x in want} == {"close", "update", "any"}
+
+
+TRADE = "exchange string, market_type string, symbol string, agg_trade_id bigint, trade_time_ms bigint, quantity double, is_buyer_maker boolean, arrival bigint"
+
+
+def test_sink_forgets_what_expires(spark, tmp_path, rocks):
+    schema = EVENT + ", event_time_ms bigint"
+    rows = [[("t", 0, 1, "a", "x", 1000)], [("t", 0, 2, "a", "y", 50_000), ("t", 0, 3, "b", "x", 200_000)], [("t", 0, 4, "a", "z", 210_000), ("t", 0, 5, "b", "y", 220_000)]]
+    sb.start_sink(batches(spark, tmp_path, rows, schema, "e"), str(tmp_path / "s"), str(tmp_path / "c"), schema, keep_ms=100_000).awaitTermination()
+    read = lambda t: {(r.event_id, r.envelope_sha256) for r in sb.read_sink(spark, str(tmp_path / "s"), t, schema).collect()}
+    assert read("facts") == {("a", "x"), ("b", "x"), ("a", "z")} and read("conflicts") == {("a", "y"), ("b", "y")}
+
+
+def test_trade_flow_overflow_expiry_and_prefix(spark, tmp_path, rocks):
+    at = lambda i, t, n: ("x", "spot", "A", i, t, 1.0, i % 2 == 0, n)
+    m = 60_000
+    prefix = spark.createDataFrame([at(8, 10, 0), at(9, 20, 0)], TRADE)
+    rows = [
+        [at(10, 30, 1), at(11, m, 2), at(13, m + 5, 3), at(15, 2 * m, 4)],  # gaps at 12 and 14
+        [at(17, 3 * m, 5), at(12, m + 1, 6)],  # a third gap at 16: the oldest, 12, is given up, so 12 comes too late
+        [at(14, m + 9, 7), at(18, 4 * m, 8), at(19, 5 * m, 9)],  # 14 fills its gap; minutes 0, 1, ... leave
+        [at(16, 2 * m + 1, 10), at(20, 6 * m, 11)],  # 16's minute has left
+    ]
+    got = sorted(collect(keyed.stream_trade_flow(batches(spark, tmp_path, rows, TRADE, "f"), prefix, most_gaps=2, most_minutes=3), tmp_path, "cf", "update"))
+    last = {r[4] // m: (r[5] + r[6], r[7], r[8]) for r in got}
+    assert last[0] == (3.0, 3, True)
+    assert last[1] == (3.0, 3, False)  # given up
+    assert last[2][2] is False and last[3][2] is False  # 16 stays open until their minutes leave
+    assert last[4] == last[5] == last[6] == (1.0, 1, True)
+    flow = keyed.TradeFlow(2, 3)
+    for i in range(0, 4000, 2):
+        flow.take(i, i * m, 1.0, False)
+    assert len(flow.gaps) <= 2 and len(flow.minutes) == 3 and len(flow.lost) <= 3

@@ -142,6 +142,22 @@ def str4_late_trades(spark, sf):
     return out.select("symbol", "open_time", F.round(F.col("buy_base") + F.col("sell_base"), 8).alias("base"), "agg_count", "is_complete")
 
 
+@query("str6_bootstrap", f"""WITH {TRADES}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_time_ms, agg_trade_id) AS id, count(*) OVER (PARTITION BY symbol) AS total FROM trades), c AS (SELECT symbol, max(trade_time_ms) FILTER (id <= total // 4) AS cut FROM n GROUP BY symbol), s AS (SELECT symbol, trade_time_ms // 60000 AS m, quantity, id % 40 = 0 AS lost, trade_time_ms > cut AS live, trade_time_ms, cut FROM n JOIN c USING (symbol)),
+    e AS (SELECT symbol, m, lag(CASE WHEN NOT lost THEN m END IGNORE NULLS) OVER w AS before, lead(CASE WHEN NOT lost THEN m END IGNORE NULLS) OVER w AS after, lost FROM (SELECT symbol, m, lost, trade_time_ms FROM s WHERE live OR m >= cut // 60000) WINDOW w AS (PARTITION BY symbol ORDER BY trade_time_ms)), h AS (SELECT symbol, before, after FROM e WHERE lost)
+    SELECT symbol, m * 60000 AS open_time, round(sum(quantity), 8) AS base, count(*) AS agg_count, NOT EXISTS (SELECT 1 FROM h WHERE h.symbol = v.symbol AND v.m BETWEEN h.before AND h.after) AS is_complete FROM (SELECT * FROM s WHERE NOT lost AND (live OR m >= cut // 60000)) v GROUP BY symbol, m HAVING max(live::int) = 1""")
+def str6_bootstrap(spark, sf):
+    """A stream that begins in the middle of a minute, whose head comes from a static table; one trade in forty is lost. The first
+    minute is complete unless a trade of it is lost."""
+    w = Window.partitionBy(*SERIES).orderBy("trade_time_ms", "agg_trade_id")
+    rows = trades_of(read(spark, sf, "events")).withColumns({"id": F.row_number().over(w).cast("bigint"), "total": F.count("*").over(Window.partitionBy(*SERIES))})
+    cut = rows.groupBy(*SERIES).agg(F.max(F.when(F.col("id") <= F.floor(F.col("total") / 4), F.col("trade_time_ms"))).alias("cut"))
+    rows = rows.join(cut, SERIES).where("id % 40 <> 0").withColumn("agg_trade_id", F.col("id"))
+    head = rows.where((F.col("trade_time_ms") <= F.col("cut")) & (F.floor(F.col("trade_time_ms") / 60_000) >= F.floor(F.col("cut") / 60_000)))
+    live = rows.where(F.col("trade_time_ms") > F.col("cut")).select(*SERIES, "agg_trade_id", "trade_time_ms", "quantity", "is_buyer_maker")
+    out = latest(replayed(live, F.col("trade_time_ms"), lambda t: keyed.stream_trade_flow(t, head, most_minutes=100_000), "update"), [*SERIES, "open_time"])
+    return out.select("symbol", "open_time", F.round(F.col("buy_base") + F.col("sell_base"), 8).alias("base"), "agg_count", "is_complete")
+
+
 @query("str7_liquidation_minutes", f"WITH {LIQ} SELECT symbol, open_time, CAST(long_n AS DOUBLE) AS long_notional, CAST(short_n AS DOUBLE) AS short_notional, n FROM liq JOIN (SELECT symbol, trade_time_ms // 60000 * 60000 AS open_time, count(*) AS n FROM trades GROUP BY ALL) USING (symbol, open_time)")
 def str7_liquidation_minutes(spark, sf):
     twice = lambda events: events.union(events)
@@ -240,7 +256,8 @@ def str15_prices(spark, sf):
 @query("src7_event_sink", f"WITH {ENVELOPES}, r AS (SELECT *, first(h) OVER w AS h0, row_number() OVER w AS n FROM ev WINDOW w AS (PARTITION BY kafka_topic, event_id ORDER BY kafka_partition, kafka_offset ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) SELECT 'fact' AS kind, kafka_topic, event_id, kafka_offset FROM r WHERE n = 1 UNION ALL SELECT 'conflict', kafka_topic, event_id, kafka_offset FROM r WHERE h <> h0")
 def src7_event_sink(spark, sf):
     path = work_dir(spark)
-    for events in arriving(read(spark, sf, "events"), ms("ts"), f"{path}/in"):
-        sb.start_sink(envelopes_of(events), path, f"{path}/checkpoint", EVENTS).awaitTermination()
-    facts, conflicts = (sb.read_sink(spark, path, t, EVENTS).withColumn("kind", F.lit(k)) for t, k in (("facts", "fact"), ("conflicts", "conflict")))
+    with keyed_state(spark):
+        for events in arriving(read(spark, sf, "events"), ms("ts"), f"{path}/in"):
+            sb.start_sink(envelopes_of(events), f"{path}/out", f"{path}/checkpoint", EVENTS, buckets=64).awaitTermination()
+    facts, conflicts = (sb.read_sink(spark, f"{path}/out", t, EVENTS).withColumn("kind", F.lit(k)) for t, k in (("facts", "fact"), ("conflicts", "conflict")))
     return facts.select("kind", "kafka_topic", "event_id", "kafka_offset").unionByName(conflicts.select("kind", "kafka_topic", "event_id", "kafka_offset"))

@@ -3,11 +3,13 @@ order per key is keyed state (see keyed.py)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import alerts, scalars
 from ..functions import intervals as iv
@@ -108,35 +110,77 @@ def merge_amendments(stored: DataFrame, batch: DataFrame) -> DataFrame:
     return integrity.upsert_bars(stored, marked)
 
 
-def sink_events(stored: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(facts, conflicts) that a batch adds to the stored facts: the first envelope of each event not stored yet, and the
-    events whose content differs from the first under their id."""
-    key = ["kafka_topic", "event_id"]
-    known = stored.select(*key, F.col("envelope_sha256").alias("first_sha256"))
-    first = integrity.canonical_events(batch).select(*batch.columns).join(known, key, "left_anti")
-    holds = known.unionByName(first.select(*key, F.col("envelope_sha256").alias("first_sha256")))
-    return first.select(*batch.columns), batch.join(holds, key).where("envelope_sha256 <> first_sha256")
-
-
-def sink_into(path: str, schema: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that appends to path/facts and path/conflicts. Each batch has its own folder, written whole,
-    and reads those of the batches before it: a batch that runs again after a failure writes the same rows again."""
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        stored = read_sink(batch.sparkSession, path, "facts", schema, batch_id) if batch_id else batch.sparkSession.createDataFrame([], schema)
-        facts, conflicts = sink_events(stored, batch)
-        facts.write.mode("overwrite").parquet(f"{path}/facts/batch={batch_id}")
-        conflicts.write.mode("overwrite").parquet(f"{path}/conflicts/batch={batch_id}")
-
-    return run
-
-
-def read_sink(spark: SparkSession, path: str, table: str, schema: str, before: int = 2**62) -> DataFrame:
-    return spark.read.schema(f"{schema}, batch bigint{', first_sha256 string' if table == 'conflicts' else ''}").parquet(f"{path}/{table}").where(F.col("batch") < before).drop("batch")
-
-
-def start_sink(stream: DataFrame, path: str, checkpoint: str, schema: str) -> StreamingQuery:
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink_into(path, schema)).trigger(availableNow=True).start()
+class FirstEnvelopes(StatefulProcessor):
+    """The content first seen under each event id. Ids are dealt to buckets, so that a call serves many; of a bucket's map a
+    batch reads and writes its own ids alone. Where ids expire, a timer in event time clears a bucket once in keep_ms."""
+
+    def __init__(self, columns: list[str], keep_ms: int | None):
+        self.columns, self.keep_ms = columns, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.first = handle.getMapState("first", "kafka_topic string, event_id string", "envelope_sha256 string, seen bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows)).sort_values(["kafka_partition", "kafka_offset"], kind="stable")
+        floor = timerValues.getCurrentWatermarkInMs() - self.keep_ms if self.keep_ms is not None else None
+        known: dict[tuple, str] = {}
+        kinds, firsts = [], []
+        for topic, event, sha, seen in zip(events["kafka_topic"], events["event_id"], events["envelope_sha256"], events["seen"]):
+            k = (topic, event)
+            new = False
+            if k not in known:
+                held = self.first.getValue(k) if self.first.containsKey(k) else None
+                new = held is None or (floor is not None and held[1] <= floor)
+                if new:
+                    self.first.updateValue(k, (sha, int(seen)))
+                known[k] = sha if new else held[0]
+            kinds.append("fact" if new else "repeat" if sha == known[k] else "conflict")
+            firsts.append(known[k])
+        if self.keep_ms is not None and not list(self.handle.listTimers()):
+            self.handle.registerTimer(max(int(events["seen"].max()), timerValues.getCurrentWatermarkInMs()) + self.keep_ms + 1)
+        out = events[self.columns].assign(kind=kinds, first_sha256=firsts)
+        yield out[out["kind"] != "repeat"]
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, left = timerValues.getCurrentWatermarkInMs(), False
+        for k, (_, seen) in list(self.first.iterator()):
+            if seen + self.keep_ms <= now:
+                self.first.removeKey(tuple(k))
+            else:
+                left = True
+        if left:
+            self.handle.registerTimer(now + self.keep_ms)
+        return iter(())
+
+
+def stream_first_envelopes(stream: DataFrame, schema: str, buckets: int = 4096, keep_ms: int | None = None, lateness: str = "1 minute") -> DataFrame:
+    """The events of a stream that are the first under their (topic, id), as facts, and those whose content differs from it, as
+    conflicts (kind, first_sha256). What is known of an id is keyed state: a batch reads its own ids only, however many
+    facts there are; keep_ms: an id is forgotten once the watermark of event_time_ms is so far beyond it. The state store
+    must be RocksDB (see session.py)."""
+    columns = [c.split()[0] for c in schema.split(", ")]
+    seen = F.col("event_time_ms") if keep_ms is not None else F.lit(0).cast("bigint")
+    rows = stream.select(*columns, seen.alias("seen"), F.pmod(F.xxhash64("kafka_topic", "event_id"), F.lit(buckets)).alias("bucket"))
+    if keep_ms is not None:
+        rows = rows.withColumn("at", F.timestamp_millis("seen")).withWatermark("at", lateness)
+    return rows.groupBy("bucket").transformWithStateInPandas(FirstEnvelopes(columns, keep_ms), f"{schema}, kind string, first_sha256 string", "append", "None" if keep_ms is None else "EventTime")
+
+
+def start_sink(stream: DataFrame, path: str, checkpoint: str, schema: str, buckets: int = 4096, keep_ms: int | None = None) -> StreamingQuery:
+    """Appends a stream's facts and conflicts to the table at path. Each batch has its own folder, written whole: one that runs
+    again after a failure starts from the state before it and writes the same rows again."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/batch={batch_id}")
+
+    return stream_first_envelopes(stream, schema, buckets, keep_ms).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
+
+
+def read_sink(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
+    """table: facts, or conflicts, which also have first_sha256."""
+    rows = spark.read.schema(f"{schema}, first_sha256 string, batch bigint, kind string").parquet(path).where(F.col("kind") == table[:-1]).drop("batch", "kind")
+    return rows if table == "conflicts" else rows.drop("first_sha256")
 
 
 def roll_months(daily: DataFrame, now_ms: int) -> DataFrame:

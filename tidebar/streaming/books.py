@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..schemas import LEVEL, SERIES
+from .state import read_map, write_map
 
 EVENTS = f"exchange string, market_type string, symbol string, kind string, first_update_id bigint, final_update_id bigint, previous_final_update_id bigint, bids array<{LEVEL}>, asks array<{LEVEL}>, arrival bigint"
 BOOK = f"exchange string, market_type string, symbol string, last_update_id bigint, bids array<{LEVEL}>, asks array<{LEVEL}>, state string, needs_resync boolean, breaks int, reason string"
@@ -114,7 +115,7 @@ class BookProcessor(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "first bigint, final bigint, previous bigint, levels string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = {tuple(k): v[0] for k, v in self.levels.iterator()} if self.levels.exists() else {}
+        held = read_map(self.levels)
         waiting = [Delta(*x[:3], [tuple(y) for y in json.loads(x[3])]) for x in self.waiting.get()] if self.waiting.exists() else []
         state, last = self.place.get() if self.place.exists() else ("syncing", None)
         book = Book(self.futures, self.most_waiting, state, last, dict(held), list(waiting))
@@ -125,11 +126,7 @@ class BookProcessor(StatefulProcessor):
                 book.snapshot(int(final), _levels(bids, asks))
             else:
                 book.delta(Delta(int(first), int(final), whole(previous), _levels(bids, asks)))
-        for k in held.keys() - book.levels.keys():
-            self.levels.removeKey(k)
-        for k, q in book.levels.items():
-            if held.get(k) != q:
-                self.levels.updateValue(k, (q,))
+        write_map(self.levels, held, book.levels)
         if book.waiting != waiting:
             self.waiting.clear()
             if book.waiting:

@@ -1,17 +1,20 @@
 """Keyed state: trade flow with gaps, continuity markers, alert limits. Each is a plain step function on one key's state,
-used by a stream (applyInPandasWithState) and, over a bounded table, by the batch twin."""
+used by a stream's keyed state and, over a bounded table, by the batch twin."""
 
 from __future__ import annotations
 
 import json
 from bisect import bisect_right
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..schemas import SERIES
+from .state import read_map, write_map
 
 MINUTE = 60_000
 
@@ -19,21 +22,24 @@ MINUTE = 60_000
 class TradeFlow:
     """High-water id, open gaps and minute sums of one series. An older trade counts only if its id lies in an open gap and
     its time within the gap; it splits the gap. With more than most_gaps the oldest is given up and its minutes stay
-    incomplete."""
+    incomplete. With more than most_minutes the oldest leaves for good, with the gaps and the given-up stretches that end
+    by it; so the state is bounded, however long or broken the stream is."""
 
     def __init__(self, most_gaps: int = 256, most_minutes: int = 1440):
         self.high, self.high_time = None, None
-        self.gaps: list[list[int]] = []
-        self.minutes: dict[int, list[float]] = {}
-        self.lost: set[int] = set()
+        self.gaps: list[list[int]] = []  # first and last id, time before and after
+        self.minutes: dict[int, tuple[float, float, int]] = {}
+        self.lost: list[list[int]] = []  # stretches of minutes, first and last
         self.left: list[tuple] = []  # minutes that have left the state since rows() was last asked
         self.first: int | None = None
+        self.floor: int | None = None  # the last minute that has left
         self.most_gaps, self.most_minutes = most_gaps, most_minutes
 
-    def bootstrap(self, trades: list[tuple[int, int, float, float, bool]]) -> None:
-        """The head of the first minute, read from elsewhere: that minute then counts as seen from its start."""
+    def bootstrap(self, trades: list[tuple[int, int, float, bool]]) -> None:
+        """The head of the first minute (id, time, quantity, sell), read from elsewhere: that minute then counts as seen from its
+        start. What the stream does not join on to is a gap like any other."""
         for t in sorted(trades):
-            self.add(*t)
+            self.take(*t)
         self.first = None
 
     def add(self, id_: int, time: int, price: float, quantity: float, sell: bool) -> bool:
@@ -43,14 +49,15 @@ class TradeFlow:
         """The minutes whose sums or completeness the trade changed; None for one that is passed over. Gaps are in order of
         id, so the one that holds an id is found by bisection."""
         touched = {time // MINUTE}
+        if self.floor is not None and time // MINUTE <= self.floor:
+            return None
         if self.high is None:
             self.first = time // MINUTE if self.first is None else self.first
         elif id_ > self.high + 1:
             self.gaps.append([self.high + 1, id_ - 1, self.high_time, time])
             touched |= self._between(self.high_time, time)
             if len(self.gaps) > self.most_gaps:
-                _, _, a, b = self.gaps.pop(0)
-                self.lost |= set(range(a // MINUTE, b // MINUTE + 1))
+                self._give_up()
         elif id_ <= self.high:
             n = bisect_right(self.gaps, id_, key=lambda g: g[0]) - 1
             if n < 0 or id_ > self.gaps[n][1] or not self.gaps[n][2] <= time <= self.gaps[n][3]:
@@ -58,22 +65,34 @@ class TradeFlow:
             lo, hi, a, b = self.gaps[n]
             self.gaps[n : n + 1] = [[lo, id_ - 1, a, time]] * (lo < id_) + [[id_ + 1, hi, time, b]] * (id_ < hi)
             touched |= self._between(a, b)
+            if len(self.gaps) > self.most_gaps:
+                self._give_up()
         if self.high is None or id_ > self.high:
             self.high, self.high_time = id_, time
-        m = self.minutes.setdefault(time // MINUTE, [0.0, 0.0, 0])
-        m[1 if sell else 0] += quantity
-        m[2] += 1
+        buy, sold, n = self.minutes.get(time // MINUTE, (0.0, 0.0, 0))
+        self.minutes[time // MINUTE] = (buy, sold + quantity, n + 1) if sell else (buy + quantity, sold, n + 1)
         while len(self.minutes) > self.most_minutes:
             oldest = min(self.minutes)
             self.left += self._rows([(oldest, self.minutes.pop(oldest))])
+            self.floor = oldest if self.floor is None else max(self.floor, oldest)
+            self.gaps = [g for g in self.gaps if g[3] // MINUTE > self.floor]
+            self.lost = [x for x in self.lost if x[1] > self.floor]
         return touched
 
+    def _give_up(self) -> None:
+        _, _, a, b = self.gaps.pop(0)
+        lo, hi = a // MINUTE, b // MINUTE
+        if self.lost and lo <= self.lost[-1][1] + 1 and hi >= self.lost[-1][0]:
+            self.lost[-1] = [min(lo, self.lost[-1][0]), max(hi, self.lost[-1][1])]
+        else:
+            self.lost.append([lo, hi])
+
     def _between(self, a: int, b: int) -> set[int]:
         lo, hi = a // MINUTE, b // MINUTE
         return {m for m in range(lo, hi + 1) if m in self.minutes} if hi - lo < len(self.minutes) else {m for m in self.minutes if lo <= m <= hi}
 
     def incomplete(self, minute: int) -> bool:
-        return minute == self.first or minute in self.lost or any(g[2] // MINUTE <= minute <= g[3] // MINUTE for g in self.gaps)
+        return minute == self.first or any(a <= minute <= b for a, b in self.lost) or any(g[2] // MINUTE <= minute <= g[3] // MINUTE for g in self.gaps)
 
     def _rows(self, minutes: list[tuple]) -> list[tuple]:
         return [(m * MINUTE, round(v[0], 12), round(v[1], 12), v[2], not self.incomplete(m)) for m, v in minutes]
@@ -83,16 +102,6 @@ class TradeFlow:
         left, self.left = self.left, []
         return left + self._rows([(m, v) for m, v in sorted(self.minutes.items()) if m in only])
 
-    def dump(self) -> str:
-        return json.dumps([self.high, self.high_time, self.gaps, [[k, *v] for k, v in self.minutes.items()], sorted(self.lost), self.first])
-
-    @classmethod
-    def load(cls, text: str) -> TradeFlow:
-        self = cls()
-        self.high, self.high_time, self.gaps, minutes, lost, self.first = json.loads(text)
-        self.minutes, self.lost = {m[0]: m[1:] for m in minutes}, set(lost)
-        return self
-
 
 FLOW = "exchange string, market_type string, symbol string, open_time bigint, buy_base double, sell_base double, agg_count bigint, is_complete boolean"
 _NAMES = [c.split()[0] for c in FLOW.split(", ")]
@@ -107,17 +116,55 @@ def _flow_batch(flow: TradeFlow, frames: Iterator[pd.DataFrame]) -> set[int]:
     return touched
 
 
-def stream_trade_flow(trades: DataFrame) -> DataFrame:
-    """Minutes whose sums or completeness a batch changed, in update mode."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        flow = TradeFlow.load(state.get[0]) if state.exists else TradeFlow()
-        touched = _flow_batch(flow, frames)
-        state.update((flow.dump(),))
+class FlowProcessor(StatefulProcessor):
+    """TradeFlow between batches: minutes, gaps and given-up stretches are maps, of which a batch writes what it changed."""
+
+    def __init__(self, most_gaps: int, most_minutes: int):
+        self.bounds = most_gaps, most_minutes
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.head = handle.getValueState("head", "high bigint, high_time bigint, first bigint, floor bigint")
+        self.minutes = handle.getMapState("minutes", "minute bigint", "buy double, sell double, n bigint")
+        self.gaps = handle.getMapState("gaps", "first bigint", "last bigint, since bigint, upto bigint")
+        self.lost = handle.getMapState("lost", "first bigint", "last bigint")
+
+    def _load(self) -> TradeFlow:
+        flow = TradeFlow(*self.bounds)
+        if self.head.exists():
+            flow.high, flow.high_time, flow.first, flow.floor = self.head.get()
+        self.held = read_map(self.minutes), read_map(self.gaps), read_map(self.lost)
+        flow.minutes = dict(self.held[0])
+        flow.gaps = [[k, *v] for k, v in sorted(self.held[1].items())]
+        flow.lost = [[k, v] for k, v in sorted(self.held[2].items())]
+        return flow
+
+    def _save(self, flow: TradeFlow) -> None:
+        self.head.update((flow.high, flow.high_time, flow.first, flow.floor))
+        write_map(self.minutes, self.held[0], flow.minutes)
+        write_map(self.gaps, self.held[1], {g[0]: tuple(g[1:]) for g in flow.gaps})
+        write_map(self.lost, self.held[2], {a: b for a, b in flow.lost})
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
+        flow = self._load()
+        flow.bootstrap(list(zip(*(initialState[c].tolist() for c in ("agg_trade_id", "trade_time_ms", "quantity", "is_buyer_maker")))))
+        self._save(flow)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        flow = self._load()
+        touched = _flow_batch(flow, iter([pd.concat(list(rows))]))
+        self._save(flow)
         yield pd.DataFrame([(*key, *r) for r in flow.rows(touched)], columns=_NAMES)
 
-    return trades.groupBy(*SERIES).applyInPandasWithState(run, FLOW, "state string", "update", GroupStateTimeout.NoTimeout)
+
+def stream_trade_flow(trades: DataFrame, prefix: DataFrame | None = None, most_gaps: int = 256, most_minutes: int = 1440) -> DataFrame:
+    """Minutes whose sums or completeness a batch changed, in update mode; those that leave the state come a last time.
+
+    prefix: a static table of trades that stand before the stream's first, from its minute's start: the initial state.
+    Without it a series' first minute is incomplete. The state store must be RocksDB (see session.py)."""
+    columns = [*SERIES, "agg_trade_id", "trade_time_ms", "quantity", "is_buyer_maker"]
+    begin = None if prefix is None else prefix.select(*columns).groupBy(*SERIES)
+    rows = trades.select(*columns, *(["arrival"] if "arrival" in trades.columns else []))
+    return rows.groupBy(*SERIES).transformWithStateInPandas(FlowProcessor(most_gaps, most_minutes), FLOW, "update", "None", initialState=begin)
 
 
 def trade_flow_in_order(trades: DataFrame) -> DataFrame:
@@ -147,20 +194,24 @@ def stream_continuity(events: DataFrame, step: int = 1, remembered: int = 512) -
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         high, seen = state.get if state.exists else (None, "[]")
-        recent, out = json.loads(seen), []
+        recent, out = deque(json.loads(seen), remembered), []
+        among = set(recent)
         for f in frames:
             for r in f.sort_values("arrival").itertuples():
                 if r.correction:
                     continue
                 s = int(r.sequence)
-                if s in recent:
+                if s in among:
                     out.append((*key, "repeat", None, None, s))
                     continue
                 if high is not None and s > high + step:
                     out.append((*key, "gap", high + step, s - step, s))
                 high = s if high is None else max(high, s)
-                recent = [*recent, s][-remembered:]
-        state.update((high, json.dumps(recent)))
+                if len(recent) == remembered:
+                    among.discard(recent[0])
+                recent.append(s)
+                among.add(s)
+        state.update((high, json.dumps(list(recent))))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in MARKS.split(", ")]).astype({"first_missing": "Int64", "last_missing": "Int64", "at_sequence": "Int64"})
 
     return events.groupBy(*SERIES).applyInPandasWithState(run, MARKS, "high bigint, seen string", "update", GroupStateTimeout.NoTimeout)
