@@ -1,10 +1,10 @@
 """Secret scans: candidate strings from every whole text, and a random forest that removes false positives.
 
 All of it is DataFrame operations and Spark's own forest. Candidates are values assigned to a credential's name, at any
-length, and runs of 16 characters or more that a key may have. Features of a candidate: its length and the shares of its
+length and whole where they are quoted, dotted bearer tokens, and runs of 16 characters or more that a key may have. Features of a candidate: its length and the shares of its
 kinds of characters, changes between kinds, how likely its letter pairs are in the corpus's words (character
 transitions), how much of it common words cover (dictionary coverage), whether it stands in a path or address, and
-the words and signs beside it. The forest learns from labelled findings (value_sha256, label), of which at most
+the words and signs beside it (how many are common, and which they are, in hash buckets). The forest learns from labelled findings (value_sha256, label), of which at most
 max_labelled rows are used.
 
 Where no findings are given, candidates assigned to a credential's name and those in an issuer's format count as secrets
@@ -32,12 +32,20 @@ from . import common, pii
 NAMES = r"(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)"
 ISSUED = r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abp]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_.-]+)$"
 ASSIGN = NAMES + r"[\"']?\s{0,3}(?:=>|=|:)\s{0,3}[\"']?"
-#: A value after an assignment (the first look back is a cheap one that few places pass), or a long run.
-CANDIDATE = r"(?<=[=:>\"']|[=:>]\s)(?i:(?<=" + ASSIGN + r"))[^\s\"'<>]{4,}+|[A-Za-z0-9+/_-]{16,}+={0,2}"
+OPENS = NAMES + r"[\"']?\s{0,3}(?:=>|=|:)\s{0,3}"
+#: A quoted value after an assignment, whole; another value after one (the first look back is a cheap one that few places
+#: pass); a token of dotted parts; or a long run.
+CANDIDATE = (
+    r"(?<=\")(?i:(?<=" + OPENS + r"\"))[^\"\r\n]++(?=\")|(?<=')(?i:(?<=" + OPENS + r"'))[^'\r\n]++(?=')"
+    r"|(?<=[=:>\"']|[=:>]\s)(?i:(?<=" + ASSIGN + r"))[^\s\"'<>]++|eyJ[A-Za-z0-9_-]{4,}+(?:\.[A-Za-z0-9_-]{4,}+){1,4}+|[A-Za-z0-9+/_-]{16,}+={0,2}"
+)
 NAMED = r"(?i)" + NAMES
 ASSIGNED = r"(?i)" + ASSIGN + "$"
-VALUE_FEATURES = ["f_length", "f_digits", "f_upper", "f_hex", "f_signs", "f_distinct", "f_changes", "f_pairs", "f_known", "f_path", "f_near_known"]
+NEAR = 16  # hash buckets of the words beside a candidate
+VALUE_FEATURES = ["f_length", "f_digits", "f_upper", "f_hex", "f_signs", "f_distinct", "f_changes", "f_pairs", "f_known", "f_path", "f_near_known", *(f"f_near_{i}" for i in range(NEAR))]
 RULE_FEATURES = ["f_named", "f_assigned", "f_quoted"]
+#: Shorter values are scored, but no examples where no findings are given: what follows a name may be any short word.
+WEAK_LENGTH = 4
 BUCKETS = 4096  # of the table of common words
 
 
@@ -56,12 +64,18 @@ def _letters(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]+"), F.lit(0))
 
 
+def _neighbours(items: Column, join) -> Column:
+    """join of each item and the next; one pass, whatever the length."""
+    n = F.greatest(F.size(items) - 1, F.lit(0))
+    return F.zip_with(F.slice(items, F.lit(1), n), F.slice(items, F.lit(2), n), join)
+
+
 def corpus_statistics(docs: DataFrame, words: int = 1000) -> tuple[dict[str, float], list[str]]:
     """Log-likelihood of each letter pair, and the commonest longer words but the names of credentials. Counted over all documents; what the driver
     reads is bounded by the alphabet's pairs and by `words`."""
     counted = docs.select(F.explode(_letters(F.col("text"))).alias("w")).groupBy("w").count()
     counted = common.keep(counted, "words")
-    pairs = counted.where(F.length("w") > 1).select("count", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.col("w").substr(i, F.lit(2)))).alias("pair")).groupBy("pair").agg(F.sum("count").alias("n"))
+    pairs = counted.where(F.length("w") > 1).select("count", F.explode(_neighbours(F.split("w", ""), lambda a, b: F.concat(a, b))).alias("pair")).groupBy("pair").agg(F.sum("count").alias("n"))
     total = pairs.agg(F.sum("n")).first()[0] or 1
     likely = {r.pair: float(r.l) for r in pairs.select("pair", F.log2(F.col("n") / F.lit(float(total))).alias("l")).collect()}
     common_words = counted.where((F.length("w") >= 4) & ~F.col("w").rlike(NAMED)).orderBy(F.desc("count"), "w").limit(words).select("w").collect()
@@ -82,11 +96,14 @@ def with_features(found: DataFrame, likely: dict[str, float], words: list[str])
     known = lambda w: F.find_in_set(w, F.get(F.col("word_table"), F.pmod(F.crc32(w.cast("binary")), F.lit(BUCKETS)).cast("int"))) > 0
     codes = F.transform(F.split(F.lower("value"), ""), lambda c: F.ascii(c) - 97)
     in_order = lambda x: x.between(0, 25)
-    pairs = F.transform(F.sequence(F.lit(0), F.length("value") - 2), lambda i: F.when(in_order(F.get("codes", i)) & in_order(F.get("codes", i + 1)), F.get("pair_table", F.get("codes", i) * 26 + F.get("codes", i + 1))).otherwise(F.lit(least)))
+    pairs = _neighbours(F.col("codes"), lambda a, b: F.when(in_order(a) & in_order(b), F.get("pair_table", a * 26 + b)).otherwise(F.lit(least)))
     in_words = lambda text: F.aggregate(F.filter(_letters(text), known), F.lit(0), lambda s, w: s + F.length(w))
     beside = F.concat_ws(" ", F.regexp_replace("before", r"\S+$", ""), F.regexp_replace("after", r"^\S+", ""))
-    rows = found.select("*", pair_table.alias("pair_table"), word_table.alias("word_table"), kinds.alias("kinds"), codes.alias("codes"), beside.alias("beside"))
-    changes = F.size(F.filter(F.sequence(F.lit(1), F.length("kinds") - 1), lambda i: F.substr("kinds", i, F.lit(1)) != F.substr("kinds", i + 1, F.lit(1))))
+    rows = found.select("*", pair_table.alias("pair_table"), word_table.alias("word_table"), F.split(kinds, "").alias("kinds"), codes.alias("codes"), beside.alias("beside"))
+    # which words stand beside, but names of credentials, each as one of NEAR buckets
+    near = F.transform(F.filter(_letters(F.col("beside")), lambda w: ~w.rlike(NAMED)), lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(NEAR)).cast("int"))
+    rows = rows.withColumn("near", near)
+    changes = F.size(F.filter(_neighbours(F.col("kinds"), lambda a, b: a != b), lambda x: x))
     return rows.select(
         "doc_id", "start", "end", "value", "before", "after",
         n.alias("f_length"), share("[^0-9]").alias("f_digits"), share("[^A-Z]").alias("f_upper"), share("[^0-9a-fA-F]").alias("f_hex"), share("[A-Za-z0-9]").alias("f_signs"),
@@ -95,6 +112,7 @@ def with_features(found: DataFrame, likely: dict[str, float], words: list[str])
         (in_words(value) / n).alias("f_known"),
         (F.col("before").rlike(r"[/.@]$") | F.col("after").rlike(r"^[/.@][a-z]") | value.contains("/")).cast("double").alias("f_path"),
         (in_words(F.col("beside")) / (F.length("beside") + 1)).alias("f_near_known"),
+        *[F.array_contains("near", i).cast("double").alias(f"f_near_{i}") for i in range(NEAR)],
         F.col("before").rlike(NAMED).cast("double").alias("f_named"), F.col("before").rlike(r"[=:>]\s*[\"']?$").cast("double").alias("f_assigned"), F.col("after").rlike("^[\"']").cast("double").alias("f_quoted"),
     )
 
@@ -104,13 +122,14 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, max_labelled: int =
     found = with_features(candidates(docs), *corpus_statistics(docs))
     found = found.withColumn("value_sha256", F.sha2(F.col("value").cast("binary"), 256))
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 3, F.lit(True))
-    found = common.keep(found.withColumn("held_out", held).withColumn("weak", (F.col("before").rlike(ASSIGNED) | F.col("value").rlike(ISSUED)).cast("double")), "candidates")
+    weak = F.when((F.length("value") >= WEAK_LENGTH) | F.col("value").rlike(ISSUED), F.col("before").rlike(ASSIGNED) | F.col("value").rlike(ISSUED))
+    found = common.keep(found.withColumn("held_out", held).withColumn("weak", weak.cast("double")), "candidates")
     features = VALUE_FEATURES + (RULE_FEATURES if findings is not None else [])
     if findings is not None:
         labelled = found.join(findings.select("value_sha256", F.col("label").cast("double").alias("y")).dropDuplicates(["value_sha256"]), "value_sha256")
     else:
         labelled = found.where(~F.col("held_out")).withColumn("y", F.col("weak"))
-    # the rarer class is kept first; both come in the order of a hash
+    # half of the sample for each class, in the order of a hash
     sample = [labelled.where(F.col("y") == y).orderBy(F.xxhash64("value_sha256", "doc_id", "start"), "doc_id", "start").limit(max_labelled // 2) for y in (0.0, 1.0)]
     sample = common.keep(sample[0].unionByName(sample[1]).select(*features, "y"), "labelled")
     classes = [r.y for r in sample.select("y").distinct().collect()]
