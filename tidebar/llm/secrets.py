@@ -9,8 +9,8 @@ max_labelled rows are used.
 
 Where no findings are given, candidates assigned to a credential's name and those in an issuer's format count as secrets
 and the others as none, in documents whose id's checksum leaves 0, 1 or 2 of 4; so the rest is held out. The forest then
-sees nothing of that rule: neither names, nor signs of assignment, nor quotes are among its features, only the value
-itself and the ordinary words beside it. So it can find secrets that the rule does not know.
+sees nothing of that rule: neither names, nor signs of assignment, nor quotes are among its features, nor which words stand
+beside (those about credentials would stand in for the names), only the value itself and how common the words beside it are. So it can find secrets that the rule does not know.
 
 Defined cases: null text has no candidates; with labels of one class alone each score is that class; rows with null
 ids are scanned and not used for learning; equal values in equal surroundings get equal scores; repeated rows give
@@ -42,7 +42,8 @@ CANDIDATE = (
 NAMED = r"(?i)" + NAMES
 ASSIGNED = r"(?i)" + ASSIGN + "$"
 NEAR = 16  # hash buckets of the words beside a candidate
-VALUE_FEATURES = ["f_length", "f_digits", "f_upper", "f_hex", "f_signs", "f_distinct", "f_changes", "f_pairs", "f_known", "f_path", "f_near_known", *(f"f_near_{i}" for i in range(NEAR))]
+VALUE_FEATURES = ["f_length", "f_digits", "f_upper", "f_hex", "f_signs", "f_distinct", "f_changes", "f_pairs", "f_known", "f_path", "f_near_known"]
+NEAR_FEATURES = [f"f_near_{i}" for i in range(NEAR)]
 RULE_FEATURES = ["f_named", "f_assigned", "f_quoted"]
 #: Shorter values are scored, but no examples where no findings are given: what follows a name may be any short word.
 WEAK_LENGTH = 4
@@ -120,11 +121,13 @@ def with_features(found: DataFrame, likely: dict[str, float], words: list[str])
 def scan(docs: DataFrame, findings: DataFrame | None = None, max_labelled: int = 20_000, trees: int = 40, depth: int = 6) -> DataFrame:
     """doc_id, start, end, value_sha256, held_out, score (0 to 1), is_secret of every candidate."""
     found = with_features(candidates(docs), *corpus_statistics(docs))
+    if findings is None:
+        found = found.drop(*NEAR_FEATURES)
     found = found.withColumn("value_sha256", F.sha2(F.col("value").cast("binary"), 256))
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 3, F.lit(True))
     weak = F.when((F.length("value") >= WEAK_LENGTH) | F.col("value").rlike(ISSUED), F.col("before").rlike(ASSIGNED) | F.col("value").rlike(ISSUED))
     found = common.keep(found.withColumn("held_out", held).withColumn("weak", weak.cast("double")), "candidates")
-    features = VALUE_FEATURES + (RULE_FEATURES if findings is not None else [])
+    features = VALUE_FEATURES + (RULE_FEATURES + NEAR_FEATURES if findings is not None else [])
     if findings is not None:
         labelled = found.join(findings.select("value_sha256", F.col("label").cast("double").alias("y")).dropDuplicates(["value_sha256"]), "value_sha256")
     else:
