@@ -287,3 +287,12 @@ def test_match_patterns_table(spark):
         want = {(d, *m) for d, t in ((1, "w1 w2 w3 w39 w1"), (None, "w7 é w8 ")) for m in text_match.find_all(t.encode(), [p.encode() for p in patterns], kind)}
         assert got == want
     assert text_match.match_patterns(docs, patterns, "standard", most=1).count() == 2
+
+
+def test_release_leaves_no_table_cached(spark):
+    indicators.release()
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    got = indicators.macd(closes(spark, [float(i % 9) for i in range(80)]))
+    assert got.count() == 80 and spark.sparkContext._jsc.getPersistentRDDs().size() > before
+    indicators.release()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before

@@ -96,6 +96,7 @@ def _seeded(rows: DataFrame, index: str, first: int, n: int, value: Column, out:
     seed, the summaries and the result, so they are kept (Spark drops or spills what does not fit, and recomputes what
     is lost); else a chain of scans would read its source once for every path to it."""
     rows = rows.persist()
+    _KEPT.append(rows)
     inside = F.col(index).between(first, first + n - 1)
     seed = rows.groupBy(*SERIES).agg(F.avg(F.when(inside, value)).alias("seed"), F.count_if(inside).alias("k")).where(F.col("k") == n).select(*SERIES, "seed")
     return chunk_scan(rows, index, first + n - 1, decay, (1 - decay) * value, seed, out)
