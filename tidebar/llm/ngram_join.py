@@ -45,14 +45,14 @@ _U = np.uint64
 
 
 class WordHashes(dict):
-    """Word -> 64-bit hash; starts anew at workers.LIMIT bytes."""
+    """Word -> 64-bit hash; starts anew at half of workers.LIMIT, as a word is soon hashed again."""
 
     size = 0
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if self.size > workers.LIMIT:
+        if self.size > workers.LIMIT // 2:
             self.clear()
             self.size = 0
         self.size += workers.ENTRY + len(word)

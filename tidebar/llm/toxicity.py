@@ -96,7 +96,7 @@ def train_dictionaries(toxic: list[str], ordinary: list[str], size: int = 8192,
 class Distances(dict):
     """Window -> bytes that the toxic dictionary saves over the ordinary one; starts anew at `limit` bytes."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes, limit: int = workers.LIMIT):
+    def __init__(self, toxic: bytes, ordinary: bytes, limit: int = workers.LIMIT // 2):
         super().__init__()
         how = zstandard.ZstdCompressionParameters.from_level(3, min_match=4, write_content_size=0, write_checksum=0, write_dict_id=0)
         self.toxic, self.ordinary = (zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how) for d in (toxic, ordinary))
