@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidebar import registry
 from tidebar.functions import alerts, scalars
 from tidebar.functions import intervals as iv
-from tidebar.operators import bars, calendars, flow, indicators, integrity, joins, projections, ranges, text_match
+from tidebar.operators import bars, calendars, flow, indicators, integrity, joins, paging, projections, ranges, text_match
 from tidebar.sources import files, raw
 from tidebar.streaming import keyed
 
@@ -296,3 +296,46 @@ def test_release_leaves_no_table_cached(spark):
     assert got.count() == 80 and spark.sparkContext._jsc.getPersistentRDDs().size() > before
     indicators.release()
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_gaps_by_calendar(spark):
+    """A market open from Monday to Friday, 10:00 to 12:00 in UTC; 1970-01-05 is a Monday."""
+    day, hour = 86_400_000, 3_600_000
+    at = lambda d, h: (4 + d) * day + h * hour  # noqa: E731  d: days after that Monday
+    opens = calendars.session_opens(calendars.session_segments(spark, calendars.SessionCalendar("UTC", tuple((d, 600, 720) for d in range(5))), at(-7, 0), at(14, 0)), "1h")
+    want = spark.createDataFrame([(*KEY, at(0, 0), at(9, 0)), ("x", "spot", "B", at(0, 0), at(1, 0))], "exchange string, market_type string, symbol string, start bigint, end bigint")
+    there = [at(0, 11), at(1, 10), at(1, 11), at(2, 10), at(3, 10), at(3, 11), at(4, 10), at(7, 11)]
+    rows = spark.createDataFrame([bar(t, width=hour) for t in [*there, at(5, 10)]], BAR)  # the last is on a Saturday
+    find = lambda now=at(30, 0), tolerance=0, **more: [(r.symbol, r.start, r.end, r.bars, r.kind) for r in calendars.detect_gaps(rows, want, "1h", now, tolerance, opens, **more).orderBy("symbol", "start").collect()]
+    a = [("A", at(0, 10), at(0, 10), 1, "HEAD"), ("A", at(2, 11), at(2, 11), 1, "INTERIOR"), ("A", at(4, 11), at(7, 10), 2, "INTERIOR"), ("A", at(8, 10), at(8, 11), 2, "TAIL")]
+    b = [("B", at(0, 10), at(0, 11), 2, "TAIL")]
+    assert find() == a + b
+    assert find(tolerance=1) == a[2:] + b
+    assert find(most_holes=1) == [a[0], a[1], a[3], *b]
+    assert find(now=at(8, 11)) == [*a[:3], ("A", at(8, 10), at(8, 10), 1, "TAIL"), *b]
+    assert calendars.detect_gaps(rows.limit(0), want.limit(0), "1h", at(30, 0), 0, opens).count() == 0
+    numbered = calendars.numbered_opens(opens)
+    places = [tuple(r) for r in numbered.orderBy("open_time").collect()]
+    assert [n for _, n in places] == list(range(30)) and [t for t, _ in places] == sorted(t for t, _ in places)
+    marks = keyed.bar_continuity_in_order(rows.withColumns({"arrival": F.col("open_time"), "correction": F.lit(False)}), numbered)
+    assert sorted((r.first_open, r.last_open, r.at_open, r.expected_bars) for r in marks.collect()) == [(at(2, 11), at(2, 11), at(3, 10), 1), (at(4, 11), at(7, 10), at(7, 11), 2)]
+
+
+def test_event_pages(spark):
+    """Pages by cursor come to the whole, ties included; a cursor works for its own snapshot, range and key alone."""
+    rows = spark.createDataFrame([("t", n % 2, n, n // 4 * 10, f"k{n % 3}") for n in range(23)], "kafka_topic string, kafka_partition int, kafka_offset bigint, event_time_ms bigint, partition_key string")
+    whole = sorted((t, p, o) for _, p, o, t, _ in rows.collect() if o < 20 and 0 <= t <= 40)
+    got, cursor, sizes = [], None, []
+    for limit in (3, 8, 5, 9):
+        page, cursor = paging.query_event_page(rows, 20, 0, 40, limit, cursor)
+        part = [(r.event_time_ms, r.kafka_partition, r.kafka_offset) for r in page.collect()]
+        got, sizes = got + part, [*sizes, len(part)]
+    assert got == whole and sizes == [3, 8, 5, 4] and cursor is None
+    page, cursor = paging.query_event_page(rows, 20, 0, 40, 7, partition_key="k1")
+    assert cursor is None and page.count() == 7
+    _, cursor = paging.query_event_page(rows, 20, 0, 40, 3)
+    for wrong in ((19, 0, 40, 3, cursor), (20, 0, 41, 3, cursor), (20, 0, 40, 3, cursor, "k1"), (20, 0, 40, 3, "x"), (20, 0, 40, 3, "[]"), (20, 0, 40, 0), (20, 5, 4, 1)):
+        with pytest.raises(ValueError):
+            paging.query_event_page(rows, *wrong)
+    page, cursor = paging.query_event_page(rows.limit(0), 20, 0, 40, 3)
+    assert page.count() == 0 and cursor is None

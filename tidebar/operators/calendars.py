@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import intervals as iv
@@ -95,18 +95,48 @@ def coarse_opens(segments: DataFrame, interval: str) -> DataFrame:
     return segments.groupBy(iv.bucket_floor(F.col("start"), interval).alias("bucket")).agg(F.min("start").alias("open_time"))
 
 
-def detect_gaps(bars: DataFrame, requests: DataFrame, interval: str, now_ms: int, tolerance: int = 0) -> DataFrame:
+def _day(time: Column) -> Column:
+    return time - F.pmod(time, F.lit(iv.UNIT_MS["d"]))
+
+
+def numbered_opens(opens: DataFrame) -> DataFrame:
+    """A calendar's opens with their place in it, from 0: neighbours differ by one, however long the calendar is closed between
+    them. The opens of each day are numbered apart, and one task sums the counts of days."""
+    nth = F.row_number().over(Window.partitionBy("day").orderBy("open_time")) - 1
+    rows = opens.select("open_time").distinct().withColumn("day", _day(F.col("open_time"))).withColumn("nth", nth)
+    before = F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
+    days = rows.groupBy("day").agg(F.count("*").alias("n")).select("day", F.coalesce(before, F.lit(0)).alias("before"))
+    return rows.join(days, "day").select("open_time", (F.col("before") + F.col("nth")).alias("place"))
+
+
+def detect_gaps(bars: DataFrame, requests: DataFrame, interval: str, now_ms: int, tolerance: int = 0, opens: DataFrame | None = None, most_holes: int | None = None) -> DataFrame:
     """Gaps of each request (SERIES, start, end) up to the last closed bar: HEAD, INTERIOR or TAIL, with their bars; a
-    series without bars is one TAIL. Gaps of at most `tolerance` bars are let go."""
-    cut = requests.withColumn("end", F.least("end", iv.last_closed_open(F.lit(now_ms), interval))).where("start <= end")
-    want = iv.buckets_between(cut, interval).select(*SERIES, "open_time")
-    have = bars.select(*SERIES, "open_time").withColumn("there", F.lit(True)).dropDuplicates([*SERIES, "open_time"])
-    rows = want.join(have, [*SERIES, "open_time"], "left")
-    w = Window.partitionBy(*SERIES).orderBy("open_time")
-    rows = rows.withColumns({"island": F.count("there").over(w), "total": F.count("there").over(Window.partitionBy(*SERIES))})
-    gaps = rows.where("there is null").groupBy(*SERIES, "island", "total").agg(F.min("open_time").alias("start"), F.max("open_time").alias("end"), F.count("*").alias("bars"))
-    kind = F.when(F.col("total") == 0, "TAIL").when(F.col("island") == 0, "HEAD").when(F.col("island") == F.col("total"), "TAIL").otherwise("INTERIOR")
-    return gaps.where(F.col("bars") > tolerance).select(*SERIES, "start", "end", "bars", kind.alias("kind"))
+    series without bars is one TAIL. Gaps of at most `tolerance` bars are let go; of a series' INTERIOR gaps the first
+    most_holes are given, or all.
+
+    opens (open_time, close_time): the opens of a calendar, such as session_opens gives; what it is closed for is no gap,
+    and a gap goes on across it. Without them the calendar never closes. Bars beside the calendar's opens don't count."""
+    i = iv.parse_interval(interval)
+    if opens is None:
+        cut = requests.withColumn("end", F.least("end", iv.last_closed_open(F.lit(now_ms), i))).where("start <= end")
+        number = F.floor(iv.month_number(F.col("open_time")) / i.count) if i.months else F.floor((F.col("open_time") - i.origin) / i.ms)
+        want = iv.buckets_between(cut, i).select(*SERIES, "open_time", number.alias("place"))
+    else:
+        placed = numbered_opens(opens.where(F.col("close_time") < now_ms)).withColumn("day", _day(F.col("open_time")))
+        days = requests.where("start <= end").withColumn("day", F.explode(F.sequence(_day(F.col("start")), _day(F.col("end")), F.lit(iv.UNIT_MS["d"]))))
+        want = days.join(placed, "day").where(F.col("open_time").between(F.col("start"), F.col("end"))).select(*SERIES, "open_time", "place")
+    have = bars.select(*SERIES, "open_time").distinct().withColumn("there", F.lit(True))
+    rows = want.distinct().join(have, [*SERIES, "open_time"], "left")
+    span = rows.where("there").groupBy(*SERIES).agg(F.min("open_time").alias("first_bar"), F.max("open_time").alias("last_bar"))
+    # only what is missing is put in order
+    island = F.col("place") - F.row_number().over(Window.partitionBy(*SERIES).orderBy("place"))
+    gaps = rows.where("there is null").withColumn("island", island).groupBy(*SERIES, "island").agg(F.min("open_time").alias("start"), F.max("open_time").alias("end"), F.count("*").alias("bars"))
+    kind = F.when(F.col("end") < F.col("first_bar"), "HEAD").when(F.col("start") < F.col("last_bar"), "INTERIOR").otherwise("TAIL")
+    gaps = gaps.where(F.col("bars") > tolerance).join(span, SERIES, "left").withColumn("kind", kind)
+    if most_holes is not None:
+        nth = F.row_number().over(Window.partitionBy(*SERIES, "kind").orderBy("start"))
+        gaps = gaps.withColumn("nth", nth).where((F.col("kind") != "INTERIOR") | (F.col("nth") <= most_holes))
+    return gaps.select(*SERIES, "start", "end", "bars", "kind")
 
 
 def plan_history(requests: DataFrame, availability: DataFrame, interval: str, now_ms: int) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +63,32 @@ def query_events(events: DataFrame, snapshot_offset: int, start_ms: int, end_ms:
     return rows.orderBy(*place).limit(limit)
 
 
+def query_event_page(events: DataFrame, snapshot_offset: int, start_ms: int, end_ms: int, limit: int, cursor: str | None = None, partition_key: str | None = None, most: int = 100_000) -> tuple[DataFrame, str | None]:
+    """query_events of one page, and the cursor of the next, which is None after the last. A cursor is the place of the page's
+    last row, bound to the snapshot, the range and the key (null: all events) that it was made for, and works for no other; the
+    size of a page may change. Only that row reaches the driver."""
+    if not 0 < limit <= most:
+        raise ValueError(f"a page has 1 to {most} rows")
+    if end_ms < start_ms:
+        raise ValueError("the range ends before it starts")
+    bound = {"snapshot": snapshot_offset, "start": start_ms, "end": end_ms, "key": partition_key}
+    after = None
+    if cursor is not None:
+        try:
+            held = json.loads(cursor)
+            after = tuple(int(x) for x in held.pop("after"))
+        except (ValueError, KeyError, TypeError, AttributeError) as e:
+            raise ValueError("this is no cursor") from e
+        if held != bound or len(after) != 3:
+            raise ValueError("the cursor belongs to another snapshot, range or key")
+    rows = events if partition_key is None else events.where(F.col("partition_key") == partition_key)
+    place = ["event_time_ms", "kafka_partition", "kafka_offset"]
+    page = query_events(rows, snapshot_offset, start_ms, end_ms, limit, after)
+    end = query_events(rows, snapshot_offset, start_ms, end_ms, limit + 1, after).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct(*place)), asc=False).alias("x"))
+    n, last = end.select("n", F.get("x", F.lit(1)).alias("last")).first()
+    return page, json.dumps(bound | {"after": list(last)}) if n > limit else None
+
+
 def apply_retention(bars: DataFrame, limits: DataFrame) -> DataFrame:
     """The newest bars of each series and interval, as many as limits (tier, keep) allows; 1s bars are not touched."""
     unit = F.right("interval", F.lit(1))

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import alerts
 
 from ..functions import scalars
-from ..operators import book, calendars, flow, indicators, integrity, joins, paging, projections, ranges, text_match
+from ..operators import bars, book, calendars, flow, indicators, integrity, joins, paging, projections, ranges, text_match
 from ..schemas import SERIES
 from ..sources import files, raw
-from .tables import DAY, HOUR, HOURLY, TRADES, bar_table, ms, read, trades
+from ..streaming import keyed
+from .tables import DAY, HOUR, HOURLY, TRADES, bar_table, bars_sql, ms, read, trades
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -277,6 +278,20 @@ def top5_event_page(spark, sf):
     return paging.query_events(rows, cut, lo, lo + 10 * DAY, 100).select("kafka_topic", "kafka_partition", "kafka_offset", "event_time_ms")
 
 
+@query("top5_event_pages", f"WITH {ENVELOPES}, b AS (SELECT min(event_time_ms) AS lo, max(kafka_offset) // 2 AS cut FROM ev), n AS (SELECT *, row_number() OVER (ORDER BY event_time_ms, kafka_partition, kafka_offset) AS nth FROM ev, b WHERE kafka_offset < cut AND event_time_ms BETWEEN lo AND lo + {10 * DAY}) SELECT (nth - 1) // 100 AS page, kafka_topic, kafka_partition, kafka_offset, event_time_ms FROM n WHERE nth <= 300")
+def top5_event_pages(spark, sf):
+    """Three pages, each from the cursor of the one before."""
+    rows = envelopes(spark, sf)
+    lo, cut = rows.agg(F.min("event_time_ms"), F.expr("max(kafka_offset) div 2")).first()
+    pages, cursor = [], None
+    for n in range(3):
+        page, cursor = paging.query_event_page(rows, cut, lo, lo + 10 * DAY, 100, cursor)
+        pages.append(page.select(F.lit(n).cast("bigint").alias("page"), "kafka_topic", "kafka_partition", "kafka_offset", "event_time_ms"))
+        if cursor is None:
+            break
+    return reduce(DataFrame.unionByName, pages)
+
+
 @query("agg19_feed_health", f"""WITH {TRADES}, f AS (SELECT symbol, agg_trade_id AS s, trade_time_ms, trade_time_ms + (agg_trade_id * 37) % 1000 AS r FROM trades), o AS (SELECT *, max(s) OVER (PARTITION BY symbol ORDER BY r, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM f)
     SELECT symbol, count(*) AS received, count(*) FILTER (s < best) AS out_of_order, quantile_disc(r - trade_time_ms, 0.5) AS latency_p50, quantile_disc(r - trade_time_ms, 0.99) AS latency_p99, max(r - trade_time_ms) AS latency_max FROM o GROUP BY symbol""")
 def agg19_feed_health(spark, sf):
@@ -300,6 +315,38 @@ def cal6_detect_gaps(spark, sf):
     return calendars.detect_gaps(rows, want, "1h", 4_000_000_000_000).select("symbol", "start", "end", "bars", "kind")
 
 
+HALF = HOUR // 2
+#: Half-hours in which New York is open: 09:30 to 16:00 from Monday to Friday, numbered.
+NEW_YORK = calendars.SessionCalendar("America/New_York", tuple((d, 570, 960) for d in range(5)))
+HALF_HOURLY = f"""{TRADES}, {bars_sql(f'trade_time_ms - trade_time_ms % {HALF}')}, days AS (SELECT unnest(generate_series((SELECT make_timestamp((min(open_time) // {DAY} - 7) * {DAY * 1000}) FROM bars), (SELECT make_timestamp(max(open_time) * 1000 + {7 * DAY * 1000}) FROM bars), INTERVAL 1 DAY)) AS day),
+    opens AS (SELECT *, row_number() OVER (ORDER BY open_time) AS place FROM (SELECT epoch_ms(timezone('America/New_York', day + to_minutes(CAST(570 + 30 * k AS BIGINT)))) AS open_time FROM days, (SELECT unnest(range(13)) AS k) WHERE isodow(day) <= 5))"""
+
+
+def new_york_opens(spark, rows):
+    """The calendar's half-hours from a week before the first bar to a week after the last."""
+    lo, hi = rows.agg(F.min("open_time"), F.max("open_time")).first()
+    return calendars.session_opens(calendars.session_segments(spark, NEW_YORK, lo - 7 * DAY, hi + 7 * DAY), "30m")
+
+
+@query("cal6_session_gaps", f"""WITH {HALF_HOURLY}, {SPAN}, e AS (SELECT symbol, open_time, place FROM r, opens WHERE open_time BETWEEN a - 4 * {DAY} AND z + 3 * {DAY}), j AS (SELECT e.*, b.symbol IS NOT NULL AS there FROM e LEFT JOIN bars b USING (symbol, open_time)),
+    i AS (SELECT *, count(*) FILTER (there) OVER (PARTITION BY symbol ORDER BY open_time) AS g, count(*) FILTER (there) OVER (PARTITION BY symbol) AS total FROM j), k AS (SELECT symbol, min(open_time) AS start, max(open_time) AS "end", count(*) AS bars, CASE WHEN g = total THEN 'TAIL' WHEN g = 0 THEN 'HEAD' ELSE 'INTERIOR' END AS kind FROM i WHERE NOT there GROUP BY symbol, g, total)
+    SELECT * FROM k WHERE bars > 1""")
+def cal6_session_gaps(spark, sf):
+    """Gaps of at least two half-hours in which the exchange was open; nights and weekends are none, and don't end one."""
+    rows = bars.bars_from_trades(trades(spark, sf), "30m")
+    want = _spans(rows).select(*SERIES, (F.col("start") - 4 * DAY).alias("start"), (F.col("end") + 3 * DAY).alias("end"))
+    found = calendars.detect_gaps(rows, want, "30m", 4_000_000_000_000, 1, new_york_opens(spark, rows))
+    return found.select("symbol", "start", "end", "bars", "kind")
+
+
+@query("str8_bar_continuity", f"WITH {HALF_HOURLY}, p AS (SELECT symbol, open_time, place, lag(place) OVER (PARTITION BY symbol ORDER BY open_time) AS h FROM bars JOIN opens USING (open_time)) SELECT symbol, f.open_time AS first_open, l.open_time AS last_open, p.open_time AS at_open, CAST(p.place - h - 1 AS BIGINT) AS expected_bars FROM p JOIN opens f ON f.place = h + 1 JOIN opens l ON l.place = p.place - 1 WHERE p.place > h + 1")
+def str8_bar_continuity(spark, sf):
+    rows = bars.bars_from_trades(trades(spark, sf), "30m")
+    opens = calendars.numbered_opens(new_york_opens(spark, rows))
+    arrived = rows.withColumns({"arrival": F.col("open_time"), "correction": F.lit(False)})
+    return keyed.bar_continuity_in_order(arrived, opens).select("symbol", "first_open", "last_open", "at_open", "expected_bars")
+
+
 @query("cal2_session_opens", f"""WITH d AS (SELECT DISTINCT date_trunc('day', o_orderdate) AS day FROM orders), s AS (SELECT day, timezone('America/New_York', day + INTERVAL 570 MINUTE) AS a, timezone('America/New_York', day + INTERVAL 960 MINUTE) AS z FROM d WHERE isodow(day) <= 5)
     SELECT count(*) AS sessions, CAST(sum(epoch_ms(z) - epoch_ms(a)) AS BIGINT) AS open_ms, min(epoch_ms(a)) AS first_open FROM s""")
 def cal2_session_opens(spark, sf):

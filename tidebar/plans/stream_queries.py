@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from ..operators import book
+from ..operators import book, calendars
+from ..operators.bars import bars_from_trades
 from ..schemas import EVENTS, SERIES
 from ..session import work_dir
 from ..streaming import alerting, books, keyed
@@ -17,8 +18,9 @@ from ..streaming import bars as sb
 from .bar_queries import ORACLES as BAR_ORACLES
 from .chart_queries import ORACLES as CHART_ORACLES
 from .chart_queries import numbered_deltas
-from .market_queries import ENVELOPES, LIQ, envelopes_of, liquidations_of
-from .tables import DAY, HOUR, HOURLY, TRADES, bar_table, bars_sql, ms, read, trades_of
+from .market_queries import ENVELOPES, LIQ, envelopes_of, liquidations_of, new_york_opens
+from .market_queries import ORACLES as MARKET_ORACLES
+from .tables import DAY, HOUR, HOURLY, TRADES, bar_table, bars_sql, ms, read, trades, trades_of
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -172,6 +174,17 @@ def str8_stream_continuity(spark, sf):
     return written(spark, sf, lambda t: keyed.stream_continuity(marked(t)), "update").select("symbol", "kind", "first_missing", "last_missing", "at_sequence")
 
 
+@query("str8_stream_bar_continuity", MARKET_ORACLES["str8_bar_continuity"])
+def str8_stream_bar_continuity(spark, sf):
+    """Half-hourly bars as they arrive, each a second time after a correction, against New York's sessions."""
+    rows = bars_from_trades(trades(spark, sf), "30m")
+    opens = calendars.numbered_opens(new_york_opens(spark, rows))
+    again = rows.select(*SERIES, "open_time", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("nth"))
+    arrived = again.select(*SERIES, "open_time", (F.col("open_time") + F.col("nth")).alias("arrival"), (F.col("nth") == 1).alias("correction"))
+    out = replayed(arrived, F.col("arrival"), lambda b: keyed.stream_bar_continuity(b, opens), "update")
+    return out.select("symbol", "first_open", "last_open", "at_open", "expected_bars")
+
+
 @query("str9_latest_states", f"WITH {TRADES} SELECT symbol, max(agg_trade_id) AS sequence, arg_max(price, agg_trade_id) AS value FROM trades GROUP BY symbol")
 def str9_latest_states(spark, sf):
     path = work_dir(spark)

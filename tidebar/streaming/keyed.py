@@ -217,6 +217,28 @@ def stream_continuity(events: DataFrame, step: int = 1, remembered: int = 512) -
     return events.groupBy(*SERIES).applyInPandasWithState(run, MARKS, "high bigint, seen string", "update", GroupStateTimeout.NoTimeout)
 
 
+def _opens_passed(marks: DataFrame, opens: DataFrame) -> DataFrame:
+    """Marks whose sequences are places in a calendar, with the opens at these places and how many were passed."""
+    at = lambda c, name: opens.select(F.col("place").alias(c), F.col("open_time").alias(name))
+    marks = marks.withColumn("expected_bars", F.col("last_missing") - F.col("first_missing") + 1)
+    for c, name in (("first_missing", "first_open"), ("last_missing", "last_open"), ("at_sequence", "at_open")):
+        marks = marks.join(at(c, name), c).drop(c)
+    return marks.select(*SERIES, "first_open", "last_open", "at_open", "expected_bars")
+
+
+def stream_bar_continuity(bars: DataFrame, opens: DataFrame, remembered: int = 512) -> DataFrame:
+    """Gaps in a stream of bars (SERIES, open_time, arrival, correction) by a calendar: opens (open_time, place), a static
+    table from calendars.numbered_opens, whose places count as sequences. So time for which the calendar is closed is no
+    gap. A bar that comes again marks nothing, nor do corrections and bars beside the calendar's opens."""
+    placed = bars.select(*SERIES, "open_time", "arrival", "correction").join(opens, "open_time").withColumnRenamed("place", "sequence")
+    return _opens_passed(stream_continuity(placed, 1, remembered).where("kind = 'gap'"), opens)
+
+
+def bar_continuity_in_order(bars: DataFrame, opens: DataFrame) -> DataFrame:
+    """The batch twin of stream_bar_continuity."""
+    return _opens_passed(continuity_in_order(bars.join(opens, "open_time").withColumnRenamed("place", "sequence")), opens)
+
+
 def fires(times: list[int], cooldown_ms: int, most: int | None, expires_at: int | None, state: tuple[int | None, int] = (None, 0)) -> tuple[list[int], tuple[int | None, int]]:
     """Which of the times a rule fires at: not before its cooldown has passed, not more than most times, not once expired."""
     last, n = state
