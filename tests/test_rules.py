@@ -339,3 +339,36 @@ def test_event_pages(spark):
             paging.query_event_page(rows, *wrong)
     page, cursor = paging.query_event_page(rows.limit(0), 20, 0, 40, 3)
     assert page.count() == 0 and cursor is None
+
+
+def test_channel_messages(spark):
+    import json
+
+    row = ["60000", "1", "3", "0.5", "2", "100", "7", "8", "20", "1"]
+    candle = ["2678400000", *row[1:7], "20", "1"]
+    put = lambda channel, data, market="spot": ("x", market, json.dumps({"arg": {"channel": channel, "instId": "A"}, "data": data}))
+    sent = [
+        put("candle1M", [candle]), put("candle1Dutc", [candle, candle[:8] + ["0"]], "SWAP"), put("candle4H", [candle[:8], candle]), put("candle9X", [candle]), put("candle1m", [["x", *candle[1:]]]), put("candle1m", []),
+        put("tickers", [{"instId": "A", "last": "11", "open24h": "10", "ts": "5"}, {"instId": "B", "last": "3"}]), put("tickers", [{"last": "1"}]), put("books", [{}]), ("x", "spot", "{"), ("x", "spot", None), ("x", "spot", "{}"),
+    ]
+    bars_, ticks, bad = raw.normalize_channel_events(spark.createDataFrame(sent, "exchange string, market_type string, payload string"))
+    day = 86_400_000
+    got = sorted((r.interval, r.open_time, r.close_time, r.volume, r.quote_volume, r.is_closed) for r in bars_.collect())
+    assert got == [("1M", 31 * day, 59 * day - 1, 100.0, 20.0, True), ("1d", 31 * day, 32 * day - 1, 7.0, 20.0, False), ("1d", 31 * day, 32 * day - 1, 7.0, 20.0, True), ("4h", 31 * day, 31 * day + 4 * 3_600_000 - 1, 100.0, 20.0, True)]
+    assert sorted((r.symbol, r.close, r.change_pct, r.event_time_ms) for r in ticks.collect()) == [("A", 11.0, 10.0, 5), ("B", 3.0, 0.0, None)]
+    wrong = [sent[2], sent[3], sent[4], sent[5], sent[7], sent[8], *sent[9:]]
+    assert sorted((r.payload or "") for r in bad.collect()) == sorted((p or "") for _, _, p in wrong)
+
+
+def test_named_archive(spark, tmp_path):
+    head = "instrument_name,open,high,low,close,vol,vol_ccy,vol_quote,open_time,confirm"
+    lines = ["a,1,2,1,2,100,5,9,0,1", "a,1,2,1,2,100,5,9,60000,1", "a,1,2,1,2,100,5,9,60000,1", "A,1,2,1,2,100,5,9,180000,1", "a,1,2,1,2,100,5,9,240000,0", "b,1,2,1,2,100,5,9,0,1", "a,1,2,1,2,100,5,9,300001,1", "a,1,2,3,2,100,5,9,360000,1", "a,1,2,1,2,100,5,9,900000,1"]
+    path = tmp_path / "k.csv"
+    path.write_text("\n".join([head, *lines]))
+    good, bad = files.read_named_kline_csv(spark, str(path), ("x", "swap", "A"), "1m", (0, 600_000))
+    assert sorted((r.open_time, r.volume, r.segment) for r in good.collect()) == [(0, 5.0, 1), (60_000, 5.0, 1), (180_000, 5.0, 2)]
+    assert sorted((r.symbol, r.open_time, r.reasons[0]) for r in bad.collect()) == [("A", 60_000, "not_increasing"), ("A", 240_000, "unconfirmed"), ("A", 300_001, "grid"), ("A", 360_000, "bounds"), ("A", 900_000, "period"), ("B", 0, "instrument")]
+    assert {r.volume for r in files.read_named_kline_csv(spark, str(path), ("x", "spot", None))[0].collect()} == {100.0}
+    path.write_text("\n".join(["other" + head, *lines]))
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_named_kline_csv(spark, str(path), ("x", "spot", None))[0].collect()

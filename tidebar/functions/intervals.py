@@ -132,6 +132,13 @@ def bucket_close(start: Column, interval: str | Interval) -> Column:
     return bucket_next(start, interval) - 1
 
 
+def bucket_end(start: Column, interval: Column) -> Column:
+    """bucket_close where each row names its own interval; null where it names none."""
+    count, unit = F.regexp_extract(interval, "^([0-9]+)[smhdwM]$", 1).try_cast("bigint"), F.right(interval, F.lit(1))
+    width = F.create_map(*[F.lit(x) for pair in UNIT_MS.items() for x in pair])[unit]
+    return F.when(unit == "M", month_start(month_number(start) + count)).otherwise(start + count * width) - 1
+
+
 def is_successor(previous: Column, start: Column, interval: str | Interval) -> Column:
     return start == bucket_next(previous, interval)
 

@@ -3,7 +3,9 @@ on what users register, each with its SQL twin."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import registry
@@ -33,30 +35,46 @@ def query(name: str, sql: str | None = None):
 NUMBERED = f"{TRADES}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_time_ms, agg_trade_id) AS id FROM trades)"
 
 
-@query("src1_kline_files", f"WITH {HOURLY}, l AS (SELECT *, lag(open_time) OVER (PARTITION BY symbol ORDER BY open_time) AS before FROM bars WHERE symbol = 'CLICK' AND open_time // {HOUR} % 50 <> 0), s AS (SELECT *, count(*) FILTER (before IS NULL OR open_time <> before + {HOUR}) OVER (ORDER BY open_time) AS segment FROM (SELECT * REPLACE (lag(open_time) OVER (ORDER BY open_time) AS before) FROM l)) SELECT open_time, open, high, low, close, volume, segment FROM s")
+ONE_IN_50 = f"""WITH {HOURLY}, l AS (SELECT *, lag(open_time) OVER (PARTITION BY symbol ORDER BY open_time) AS before FROM bars WHERE open_time // {HOUR} % 50 <> 0)
+    SELECT symbol, open_time, open, high, low, close, volume, count(*) FILTER (before IS NULL OR open_time <> before + {HOUR}) OVER (PARTITION BY symbol ORDER BY open_time) AS segment FROM l"""
+
+
+@query("src1_kline_files", ONE_IN_50)
 def src1_kline_files(spark, sf):
-    """Bars written as an exchange's CSV, of which one in fifty breaks the rule of its high; the good ones go to the archive
-    of bars, and are read from there."""
+    """Bars written as an exchange's CSV, a folder a symbol, of which one in fifty breaks the rule of its high; the good ones go
+    to the archive of bars, and are read from there."""
     path = work_dir(spark)
-    rows = bar_table(spark, sf).where("symbol = 'CLICK'")
     high = F.when((F.col("open_time") / HOUR).cast("bigint") % 50 == 0, F.col("low") - 1).otherwise(F.col("high"))
-    rows.select("open_time", "open", high.alias("high"), "low", "close", "volume", "close_time", "quote_volume", "trades", "taker_buy_base", "taker_buy_quote", F.lit("0")).write.csv(f"{path}/csv")
-    good, _ = files.read_kline_csv(spark, f"{path}/csv", ("sim", "spot", "CLICK"), "1h")
+    rows = bar_table(spark, sf).select("symbol", "open_time", "open", high.alias("high"), "low", "close", "volume", "close_time", "quote_volume", "trades", "taker_buy_base", "taker_buy_quote", F.lit("0"))
+    rows.write.partitionBy("symbol").csv(f"{path}/csv")
+    good, _ = files.read_kline_csv(spark, f"{path}/csv", ("sim", "spot", None), "1h")
     files.write_bars(good, f"{path}/bars")
-    return spark.read.parquet(f"{path}/bars").select("open_time", "open", "high", "low", "close", "volume", F.col("segment").cast("bigint").alias("segment"))
+    return spark.read.parquet(f"{path}/bars").select("symbol", "open_time", "open", "high", "low", "close", "volume", F.col("segment").cast("bigint").alias("segment"))
+
+
+@query("src1_named_files", ONE_IN_50)
+def src1_named_files(spark, sf):
+    """The second layout: files with a header whose rows name their instrument, here on a derivative, so that the volume is that
+    in the base; one bar in fifty is not confirmed."""
+    path = work_dir(spark)
+    confirm = F.when((F.col("open_time") / HOUR).cast("bigint") % 50 == 0, "0").otherwise("1")
+    rows = bar_table(spark, sf).select(F.lower("symbol").alias("instrument_name"), "open", "high", "low", "close", (F.col("volume") * 100).alias("vol"), F.col("volume").alias("vol_ccy"), F.col("quote_volume").alias("vol_quote"), "open_time", confirm.alias("confirm"))
+    rows.write.option("header", True).csv(f"{path}/csv")
+    good, _ = files.read_named_kline_csv(spark, f"{path}/csv", ("sim", "swap", None), "1h")
+    return good.select("symbol", "open_time", "open", "high", "low", "close", "volume", F.col("segment").cast("bigint").alias("segment"))
 
 
-@query("src2_trade_files", f"WITH {NUMBERED} SELECT id AS agg_trade_id, price, quantity, is_buyer_maker, CASE WHEN id % 40 = 0 THEN 'price' WHEN id % 40 = 20 THEN 'raw_overlap' END AS reason FROM n WHERE symbol = 'VIEW'")
+@query("src2_trade_files", f"WITH {NUMBERED} SELECT symbol, id AS agg_trade_id, price, quantity, is_buyer_maker, CASE WHEN id % 40 = 0 THEN 'price' WHEN id % 40 = 20 THEN 'raw_overlap' END AS reason FROM n")
 def src2_trade_files(spark, sf):
-    """Trades written as an exchange's CSV: one in forty has a price below zero, one in forty a raw id that was there."""
+    """Trades written as an exchange's CSV, a folder a symbol: one in forty has a price below zero, one in forty a raw id that was there."""
     path = work_dir(spark)
     w = Window.partitionBy(*SERIES).orderBy("trade_time_ms", "agg_trade_id")
-    rows = trades(spark, sf).where("symbol = 'VIEW'").withColumn("id", F.row_number().over(w))
+    rows = trades(spark, sf).withColumn("id", F.row_number().over(w))
     k = F.col("id") % 40
-    rows = rows.select("id", F.when(k == 0, -F.col("price")).otherwise(F.col("price")).alias("price"), "quantity", (F.col("id") * 10 - F.when(k == 20, 9).otherwise(0)).alias("first"), (F.col("id") * 10 + 3).alias("last"), "trade_time_ms", "is_buyer_maker")
-    rows.write.csv(f"{path}/csv")
-    good, bad = files.read_agg_trade_csv(spark, f"{path}/csv", ("sim", "spot", "VIEW"))
-    columns = ["agg_trade_id", F.abs("price").alias("price"), "quantity", "is_buyer_maker"]
+    rows = rows.select("symbol", "id", F.when(k == 0, -F.col("price")).otherwise(F.col("price")).alias("price"), "quantity", (F.col("id") * 10 - F.when(k == 20, 9).otherwise(0)).alias("first"), (F.col("id") * 10 + 3).alias("last"), "trade_time_ms", "is_buyer_maker")
+    rows.write.partitionBy("symbol").csv(f"{path}/csv")
+    good, bad = files.read_agg_trade_csv(spark, f"{path}/csv", ("sim", "spot", None))
+    columns = ["symbol", "agg_trade_id", F.abs("price").alias("price"), "quantity", "is_buyer_maker"]
     return good.select(*columns, F.lit(None).cast("string").alias("reason")).unionByName(bad.select(*columns, F.get("reasons", F.lit(0)).alias("reason")))
 
 
@@ -97,6 +115,68 @@ def src3_depths(spark, sf):
     return rows.select("final_update_id", "symbol", F.size("bids").alias("levels"), F.aggregate("bids", F.lit(0.0), lambda s, x: s + x["quantity"]).alias("quantity"))
 
 
+#: Each kind's row as SQL: its value, its time and one more number.
+OTHER_KINDS = {"trade": "price, trade_time_ms, CAST(agg_trade_id AS DOUBLE)", "ticker": "price, trade_time_ms, quantity", "miniTicker": "price, trade_time_ms, quantity", "markPrice": "price, trade_time_ms, price * 2"}
+
+
+@query("src3_other_kinds", f"WITH {HOURLY}, " + ", ".join(f"k{n} AS (SELECT '{k}' AS kind, symbol, {sql} FROM trades)" for n, (k, sql) in enumerate(OTHER_KINDS.items())) + ", u(kind, symbol, value, at_ms, more) AS (" + " UNION ALL ".join(f"FROM k{n}" for n in range(len(OTHER_KINDS))) + " UNION ALL SELECT 'restKline', symbol, close, open_time, volume FROM bars) FROM u")
+def src3_other_kinds(spark, sf):
+    """Trades, tickers and mark prices as messages, of which two in each ten are no JSON or name no symbol and are set aside, and
+    then sent again; and bars as the rows of a history request."""
+    text = lambda c: F.col(c).cast("string")
+    tick = [F.col("symbol").alias("s"), text("price").alias("c"), text("price").alias("o"), text("quantity").alias("v"), F.col("trade_time_ms").alias("E")]
+    bodies = {
+        "trade": F.struct(F.col("symbol").alias("s"), F.col("agg_trade_id").alias("t"), text("price").alias("p"), text("quantity").alias("q"), F.col("trade_time_ms").alias("T"), F.col("is_buyer_maker").alias("m")),
+        "ticker": F.struct(*tick), "miniTicker": F.struct(*tick),
+        "markPrice": F.struct(F.col("symbol").alias("s"), text("price").alias("p"), (F.col("price") * 2).cast("string").alias("i"), F.col("trade_time_ms").alias("E")),
+    }
+    fields = {"trade": ("price", "trade_time_ms", "agg_trade_id"), "ticker": ("close", "event_time_ms", "volume"), "miniTicker": ("open", "event_time_ms", "volume"), "markPrice": ("mark_price", "event_time_ms", "index_price")}
+    rows, parts = trades(spark, sf), []
+    for kind, body in bodies.items():
+        sent = rows.select("agg_trade_id", *message(body, kind))
+        k = F.col("agg_trade_id") % 10
+        broken = sent.where(k < 2).withColumn("payload", F.when(k == 0, F.concat(F.lit("{"), "payload")).otherwise(F.regexp_replace("payload", '"s":"[A-Z]+",', "")))
+        good, _ = raw.normalize_raw_events(sent.unionByName(broken).drop("agg_trade_id"), kind)
+        value, at, more = fields[kind]
+        parts.append(good.select(F.lit(kind).alias("kind"), "symbol", F.col(value).alias("value"), F.col(at).alias("at_ms"), F.col(more).cast("double").alias("more")))
+    bars = bar_table(spark, sf)
+    cells = [text(c) for c in ("open_time", "open", "high", "low", "close", "volume", "close_time", "quote_volume", "trades", "taker_buy_base", "taker_buy_quote")]
+    good, _ = raw.normalize_raw_events(bars.select("symbol", F.lit("restKline").alias("kind"), "exchange", "market_type", F.to_json(F.array(*cells)).alias("payload")), "restKline")
+    parts.append(good.select(F.lit("restKline").alias("kind"), "symbol", F.col("close").alias("value"), F.col("open_time").alias("at_ms"), F.col("volume").alias("more")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def channel_messages(rows, channel, row):
+    """A day's rows of a symbol as one message."""
+    day = F.col("at_ms") - F.col("at_ms") % DAY
+    days = rows.groupBy("exchange", "market_type", "symbol", day.alias("day")).agg(F.sort_array(F.collect_list(F.struct("at_ms", row.alias("row")))).alias("x"))
+    arg = F.struct(F.lit(channel).alias("channel"), F.col("symbol").alias("instId"))
+    return days.select("exchange", "market_type", F.to_json(F.struct(arg.alias("arg"), F.transform("x", lambda r: r["row"]).alias("data"))).alias("payload"))
+
+
+@query("src3_channel_bars", f"WITH {HOURLY} SELECT symbol, '1h' AS interval, open_time, open_time + {HOUR - 1} AS close_time, open, high, low, close, CASE WHEN symbol IN ('CLICK', 'VIEW') THEN 2 ELSE 1 END * volume AS volume, quote_volume, open_time // {HOUR} % 9 <> 0 AS is_closed, open_time // {HOUR} % 31 = 0 AS broken FROM bars WHERE open_time // {HOUR} % 31 <> 0 UNION ALL SELECT DISTINCT symbol, NULL, open_time - open_time % {DAY}, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, TRUE FROM bars WHERE open_time // {HOUR} % 31 = 0")
+def src3_channel_bars(spark, sf):
+    """The second exchange's bars: a message a symbol and day. Two symbols are derivatives, whose sixth number counts contracts;
+    one row in 31 is cut short, which sets its message aside beside the rows that can be read."""
+    number = (F.col("open_time") / HOUR).cast("bigint")
+    text = lambda c: F.col(c).cast("string")
+    cells = F.array(text("open_time"), text("open"), text("high"), text("low"), text("close"), text("volume"), (F.col("volume") * 2).cast("string"), text("quote_volume"), F.when(number % 9 == 0, "0").otherwise("1"))
+    rows = bar_table(spark, sf).withColumns({"at_ms": F.col("open_time"), "market_type": F.when(F.col("symbol").isin("CLICK", "VIEW"), "swap").otherwise("spot")})
+    sent = channel_messages(rows, "candle1H", F.when(number % 31 == 0, F.slice(cells, 1, 7)).otherwise(cells))
+    good, _, bad = raw.normalize_channel_events(sent)
+    first = F.get(F.from_json("payload", "arg struct<instId: string>, data array<array<string>>")["data"], F.lit(0))
+    named = bad.select(F.get_json_object("payload", "$.arg.instId").alias("symbol"), (first[0].cast("bigint") - first[0].cast("bigint") % DAY).alias("open_time"), F.lit(True).alias("broken"))
+    columns = ["symbol", "interval", "open_time", "close_time", "open", "high", "low", "close", "volume", "quote_volume", "is_closed"]
+    return good.select(*columns, F.lit(False).alias("broken")).unionByName(named, allowMissingColumns=True)
+
+
+@query("src3_channel_tickers", f"WITH {TRADES} SELECT symbol, price AS close, quantity AS volume, trade_time_ms AS event_time_ms, CASE WHEN agg_trade_id % 5 = 0 THEN 0 ELSE round((price - agg_trade_id % 5 * 10) / (agg_trade_id % 5 * 10) * 100, 6) END AS change_pct FROM trades")
+def src3_channel_tickers(spark, sf):
+    row = F.struct(F.col("symbol").alias("instId"), F.col("price").cast("string").alias("last"), (F.col("agg_trade_id") % 5 * 10).cast("string").alias("open24h"), F.col("quantity").cast("string").alias("vol24h"), F.col("trade_time_ms").cast("string").alias("ts"))
+    sent = channel_messages(trades(spark, sf).withColumn("at_ms", F.col("trade_time_ms")), "tickers", row)
+    return raw.normalize_channel_events(sent)[1].select("symbol", "close", "volume", "event_time_ms", F.round("change_pct", 6).alias("change_pct"))
+
+
 @query("src9_premium_and_interest", "SELECT kind, symbol, sampled, max(o_orderkey) AS o_orderkey FROM (SELECT unnest(['premium', 'open_interest']) AS kind, o_orderpriority AS symbol, epoch_us(o_orderdate) // 1000 AS sampled, o_orderkey FROM orders) GROUP BY ALL")
 def src9_premium_and_interest(spark, sf):
     """Of the samples of one key the one received last stays, whichever side it comes from."""

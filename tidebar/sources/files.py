@@ -13,10 +13,6 @@ KLINE_CSV = "open_time bigint, open double, high double, low double, close doubl
 TRADE_CSV = "agg_trade_id string, price string, quantity string, first_trade_id string, last_trade_id string, trade_time_ms string, is_buyer_maker string"
 
 
-def _series(df: DataFrame, identity: tuple[str, str, str]) -> DataFrame:
-    return df.withColumns({c: F.lit(v) for c, v in zip(SERIES, identity)})
-
-
 def check_klines(rows: DataFrame, interval: str, now_ms: int = 2**62) -> tuple[DataFrame, DataFrame]:
     """Good bars with the segment that a gap starts anew, and bad ones with their reasons."""
     i = iv.parse_interval(interval)
@@ -29,13 +25,48 @@ def check_klines(rows: DataFrame, interval: str, now_ms: int = 2**62) -> tuple[D
     return good.withColumn("segment", F.sum(F.when(new, 1).otherwise(0)).over(w)), rows.where(F.size("reasons") > 0).drop("before")
 
 
-def read_kline_csv(spark: SparkSession, path: str, identity: tuple[str, str, str], interval: str) -> tuple[DataFrame, DataFrame]:
-    """Bars of an official archive (header optional), checked."""
-    raw = spark.read.schema(KLINE_CSV).option("mode", "PERMISSIVE").csv(path).where("open_time is not null").drop("ignored")
-    rows = _series(raw, identity).withColumns({"interval": F.lit(iv.parse_interval(interval).name), "source": F.lit("backfill_archive_verified"), "is_closed": F.lit(True)})
+def _symbol_of(identity: tuple[str, str, str | None]) -> tuple[str, dict]:
+    """What a schema adds for a symbol that stands in the folders' names (symbol=...), and the columns of the rest."""
+    return (", symbol string" if identity[2] is None else ""), {c: F.lit(v) for c, v in zip(SERIES, identity) if v is not None}
+
+
+def read_kline_csv(spark: SparkSession, path: str, identity: tuple[str, str, str | None], interval: str) -> tuple[DataFrame, DataFrame]:
+    """Bars of an official archive (header optional), checked. A symbol of None: those of the folders symbol=... below path."""
+    more, columns = _symbol_of(identity)
+    raw = spark.read.schema(KLINE_CSV + more).option("mode", "PERMISSIVE").csv(path).where("open_time is not null").drop("ignored")
+    rows = raw.withColumns(columns | {"interval": F.lit(iv.parse_interval(interval).name), "source": F.lit("backfill_archive_verified"), "is_closed": F.lit(True)})
     return check_klines(rows, interval)
 
 
+#: The second layout's columns, which its header names; confirm is 1 for closed bars.
+NAMED_CSV = "instrument_name string, open double, high double, low double, close double, vol double, vol_ccy double, vol_quote double, open_time bigint, confirm string"
+
+
+def read_named_kline_csv(spark: SparkSession, path: str, identity: tuple[str, str, str | None], interval: str = "1m", zone_ms: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Bars of an archive whose rows name their instrument, checked: those of another instrument than identity's (None: each
+    row's own), unconfirmed ones, those outside the archive's time [zone_ms] and those off the interval's grid are bad. On
+    derivatives the volume is that in the base. Without trades and taker sides (null). Raises an error where a file's header is
+    another."""
+    names = [c.split()[0] for c in NAMED_CSV.split(", ")]
+    raw = spark.read.schema(NAMED_CSV).option("header", True).option("enforceSchema", False).csv(path)
+    symbol = F.upper(F.trim("instrument_name"))
+    volume = F.col("vol_ccy" if identity[1].lower() in ("futures", "swap", "perpetual") else "vol")
+    i = iv.parse_interval(interval)
+    rows = raw.withColumns({
+        "exchange": F.lit(identity[0]), "market_type": F.lit(identity[1]), "symbol": symbol, "volume": volume, "quote_volume": F.col("vol_quote"), "close_time": iv.bucket_close(F.col("open_time"), i),
+        "trades": F.lit(None).cast("bigint"), "taker_buy_base": F.lit(None).cast("double"), "taker_buy_quote": F.lit(None).cast("double"), "interval": F.lit(i.name), "source": F.lit("backfill_archive_confirmed"), "is_closed": F.trim("confirm") == "1",
+    })
+    tests = {
+        "instrument": F.lit(True) if identity[2] is None else F.col("symbol") == identity[2].upper(),
+        "unconfirmed": F.col("is_closed"),
+        "period": F.lit(True) if zone_ms is None else F.col("open_time").between(*zone_ms),
+        "grid": iv.bucket_floor(F.col("open_time"), i) == F.col("open_time"),
+    }
+    rows = rows.drop(*[c for c in names if c not in ("open", "high", "low", "close", "open_time")]).withColumn("layout", scalars._reasons(tests))
+    good, bad = check_klines(rows.where(F.size("layout") == 0).drop("layout"), interval)
+    return good, bad.unionByName(rows.where(F.size("layout") > 0).withColumnRenamed("layout", "reasons"), allowMissingColumns=True)
+
+
 def write_bars(bars: DataFrame, path: str) -> None:
     bars.write.mode("append").partitionBy("exchange", "market_type", "interval").parquet(path)
 
@@ -57,12 +88,14 @@ def check_trades(rows: DataFrame, day_ms: int | None = None) -> tuple[DataFrame,
     return good, rows.where(F.size("reasons") > 0)
 
 
-def read_agg_trade_csv(spark: SparkSession, path: str, identity: tuple[str, str, str], day_ms: int | None = None) -> tuple[DataFrame, DataFrame]:
-    raw = spark.read.schema(TRADE_CSV).csv(path)
+def read_agg_trade_csv(spark: SparkSession, path: str, identity: tuple[str, str, str | None], day_ms: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Trades of an official archive (header optional), checked. A symbol of None: those of the folders symbol=... below path."""
+    more, columns = _symbol_of(identity)
+    raw = spark.read.schema(TRADE_CSV + more).csv(path)
     raw = raw.where(~F.lower("agg_trade_id").rlike("[a-z]"))  # a header
     number = lambda c, t: F.expr(f"try_cast({c} as {t})").alias(c)
-    rows = raw.select(*[number(c, "bigint") for c in ("agg_trade_id", "first_trade_id", "last_trade_id", "trade_time_ms")], number("price", "double"), number("quantity", "double"), (F.lower("is_buyer_maker") == "true").alias("is_buyer_maker"))
-    return check_trades(_series(rows, identity), day_ms)
+    rows = raw.select(*[number(c, "bigint") for c in ("agg_trade_id", "first_trade_id", "last_trade_id", "trade_time_ms")], number("price", "double"), number("quantity", "double"), (F.lower("is_buyer_maker") == "true").alias("is_buyer_maker"), *(["symbol"] if more else []))
+    return check_trades(rows.withColumns(columns), day_ms)
 
 
 ARCHIVE_KEY = ["kafka_topic", "kafka_partition"]

@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import intervals as iv
+
 #: Per kind the object within the payload that holds the fields, and each canonical column's key and type.
 #: Keys differ by case alone, so payloads are read as maps.
 TICKER = {"symbol": "s string", "close": "c double", "open": "o double", "high": "h double", "low": "l double", "volume": "v double", "quote_volume": "q double", "event_time_ms": "E bigint"}
 KINDS: dict[str, tuple[str | None, dict[str, str]]] = {
     "kline": ("k", {"symbol": "s string", "interval": "i string", "open_time": "t bigint", "close_time": "T bigint", "open": "o double", "high": "h double", "low": "l double", "close": "c double", "volume": "v double", "quote_volume": "q double", "trades": "n bigint", "taker_buy_base": "V double", "taker_buy_quote": "Q double", "is_closed": "x boolean"}),
     "aggTrade": (None, {"symbol": "s string", "agg_trade_id": "a bigint", "price": "p double", "quantity": "q double", "first_trade_id": "f bigint", "last_trade_id": "l bigint", "trade_time_ms": "T bigint", "event_time_ms": "E bigint", "is_buyer_maker": "m boolean"}),
-    "trade": (None, {"symbol": "s string", "agg_trade_id": "t bigint", "price": "p double", "quantity": "q double", "trade_time_ms": "T bigint", "is_buyer_maker": "m boolean"}),
+    "trade": (None, {"symbol": "s string", "agg_trade_id": "t bigint", "price": "p double", "quantity": "q double", "trade_time_ms": "T bigint", "is_buyer_maker": "m boolean", "event_time_ms": "E bigint"}),
     "ticker": (None, TICKER),
     "miniTicker": (None, TICKER),
     "depth": (None, {"symbol": "s string", "first_update_id": "U bigint", "final_update_id": "u bigint", "previous_final_update_id": "pu bigint", "bids": "b levels", "asks": "a levels", "event_time_ms": "E bigint"}),
@@ -23,6 +25,45 @@ KINDS: dict[str, tuple[str | None, dict[str, str]]] = {
 REST_KLINE = ["open_time bigint", "open double", "high double", "low double", "close double", "volume double", "close_time bigint", "quote_volume double", "trades bigint", "taker_buy_base double", "taker_buy_quote double"]
 
 
+#: Fixed values of exchanges that send {arg: {channel, instId}, data: [rows]}. A candle is an array: open_time, open, high, low,
+#: close, volume (contracts on derivatives), volume in the base, volume in the quote (or what is before it), quote volume, and 1
+#: once closed; its channel ends in the bar's name, where hours, days and weeks are upper-case and an ending utc says which day.
+CANDLE = {"open_time": "0 bigint", "open": "1 double", "high": "2 double", "low": "3 double", "close": "4 double", "quote_volume": "7 double"}
+CHANNEL_TICKER = {"symbol": "instId string", "close": "last double", "open": "open24h double", "high": "high24h double", "low": "low24h double", "volume": "vol24h double", "quote_volume": "volCcy24h double", "event_time_ms": "ts bigint"}
+DERIVATIVES = ("futures", "swap", "perpetual")
+
+
+def normalize_channel_events(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Bars, tickers and unreadable messages (exchange, market_type, payload) of exchanges that wrap rows in channels. All rows of
+    a message are read; one that can't be read is given as its message, once. On derivatives a bar's volume is that in the
+    base, not that in contracts. Bars carry no number of trades and no taker side (null)."""
+    message = ["exchange", "market_type", "payload"]
+    rows = raw.select(*message, F.from_json("payload", "arg struct<channel: string, instId: string>, data array<string>").alias("m"))
+    channel = F.coalesce(F.col("m.arg.channel"), F.lit(""))
+    name = F.regexp_extract(channel, "^candle([0-9]+[smHDWM])(utc)?$", 1)
+    rows = rows.select(*message, channel.alias("channel"), name.alias("name"), F.col("m.arg.instId").alias("symbol"), F.col("m.data").alias("data"))
+    # parsed within the explode, below which no later filter is pushed: each row is parsed once
+    parsed = lambda shape: F.explode_outer(F.transform("data", lambda r: F.struct(F.from_json(r, shape).alias("of"))))
+    candles = rows.where("name <> ''").withColumn("interval", F.concat(F.regexp_extract("name", "^[0-9]+", 0), F.translate(F.right("name", F.lit(1)), "HDW", "hdw")))
+    candles = candles.select(*message, "symbol", "interval", parsed("array<string>").alias("x")).withColumn("a", F.col("x.of"))
+    at = lambda n: F.get("a", F.lit(n))
+    read = {c: at(int(spec.split()[0])).try_cast(spec.split()[1]) for c, spec in CANDLE.items()}
+    volume = F.when(F.lower("market_type").isin(*DERIVATIVES), at(6)).otherwise(at(5)).try_cast("double")
+    bars = candles.withColumns(read | {"volume": volume, "is_closed": at(8) == "1"})
+    whole = F.lit(True)
+    for c in ("symbol", *CANDLE, "volume", "is_closed"):
+        whole = whole & F.col(c).isNotNull()
+    nothing = {"trades": F.lit(None).cast("bigint"), "taker_buy_base": F.lit(None).cast("double"), "taker_buy_quote": F.lit(None).cast("double")}
+    good = bars.where(whole).withColumns({"close_time": iv.bucket_end(F.col("open_time"), F.col("interval"))} | nothing)
+    good = good.select("exchange", "market_type", "symbol", "interval", "open_time", "close_time", "open", "high", "low", "close", "volume", "quote_volume", "trades", "taker_buy_base", "taker_buy_quote", "is_closed")
+    ticks = rows.where("channel = 'tickers'").select(*message, parsed("map<string,string>").alias("x"))
+    ticks = ticks.select(*message, *[F.col("x.of")[spec.split()[0]].try_cast(spec.split()[1]).alias(c) for c, spec in CHANNEL_TICKER.items()])
+    missing = F.col("symbol").isNull() | F.col("close").isNull()
+    change = F.when(F.col("open") > 0, (F.col("close") - F.col("open")) / F.col("open") * 100).otherwise(F.lit(0.0))
+    bad = bars.where(~whole).select(*message).unionByName(ticks.where(missing).select(*message)).unionByName(rows.where("name = '' and channel <> 'tickers'").select(*message))
+    return good, ticks.where(~missing).drop("payload").withColumn("change_pct", change), bad.distinct()
+
+
 def normalize_raw_events(raw: DataFrame, kind: str, adapters: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> tuple[DataFrame, DataFrame]:
     """Canonical rows of one kind, and the messages that can't be read (no JSON, or without a symbol). adapters: own kinds,
     DataFrame to DataFrame."""
