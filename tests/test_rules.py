@@ -372,3 +372,30 @@ def test_named_archive(spark, tmp_path):
     path.write_text("\n".join(["other" + head, *lines]))
     with pytest.raises(Exception, match="(?i)header"):
         files.read_named_kline_csv(spark, str(path), ("x", "spot", None))[0].collect()
+
+
+def test_corrected_bars_are_read_from_the_state_before(spark):
+    """A corrects the bar at a state's edge, B loses all bars from one on, C stays; what is before the states is not given."""
+    values = [10, 11, 13, 12, 9, 9.5, 14, 15, 11, 10, 16, 8, 8.4, 12]
+    rows = closes(spark, values).unionByName(closes(spark, values[::-1]).withColumn("symbol", F.lit("B"))).unionByName(closes(spark, values).withColumn("symbol", F.lit("C")))
+    sizes = projections.fixed_size(rows, 0.1, 1.0).persist()
+    ordered = lambda df: sorted(tuple(r) for r in df.collect())
+    key = "exchange string, market_type string, symbol string, open_time bigint"
+
+    def hold(chart, at, options):
+        own = sizes.withColumn("size", F.lit(3)) if chart == "line_break" else sizes
+        first = rows.where(f"symbol <> 'B' or open_time < {6 * MIN}")
+        now = first.withColumn("close", F.when((F.col("symbol") == "A") & (F.col("open_time") == at * MIN), 30.0).otherwise(F.col("close")))
+        steps, log = (df.persist() for df in projections.with_checkpoints(chart, rows, own, 3 * MIN, **options))
+        want, want_log = projections.with_checkpoints(chart, now, own, 3 * MIN, **options)
+        seen = now.where(f"symbol = 'A' and open_time >= {at // 3 * 3 * MIN}")
+        corrected = spark.createDataFrame([(*KEY, at * MIN), (*KEY, (at + 1) * MIN), ("x", "spot", "B", 6 * MIN)], key)
+        got, got_log = projections.after_corrections(chart, seen, own, steps, log, corrected, 3 * MIN, **options)
+        assert steps.where("growing").count() == (3 if chart in ("kagi", "point_figure") else 0), chart
+        assert sorted(r.through // MIN for r in log.where("symbol = 'A'").collect()) == [3, 6, 9, 12, 15], chart
+        assert ordered(got) == ordered(want), chart
+        assert ordered(got_log.drop("state")) == ordered(want_log.drop("state")), chart
+
+    for chart in projections.CHARTS:
+        hold(chart, 9, {"reversal": 2} if chart == "point_figure" else {})
+    hold("kagi", 0, {})

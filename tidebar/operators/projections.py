@@ -159,9 +159,11 @@ _COLUMNS = [c.split()[0] for c in STEPS.split(", ")]
 CHARTS: dict[str, Callable] = {"renko": renko_steps, "line_break": line_break_steps, "kagi": kagi_steps, "point_figure": point_figure_steps}
 
 
-def _project(bars: DataFrame, sizes: DataFrame, steps: Callable, states: DataFrame | None = None) -> DataFrame:
-    """STEPS and state: the steps of every series, and at its end a row that has its state alone (a JSON text). sizes:
-    SERIES, tick and size (in ticks); states: SERIES and state, where a series carries on.
+def _project(bars: DataFrame, sizes: DataFrame, steps: Callable, states: DataFrame | None = None, every_ms: int | None = None) -> DataFrame:
+    """STEPS, growing and state: the steps of every series, and at its end a row that has its state alone (a JSON text). sizes:
+    SERIES, tick and size (in ticks); states: SERIES and state, where a series carries on; every_ms: also a row with the state
+    after the last bar of each stretch of time, whose end is its source_time. growing: the series' last leg or column, which
+    later bars may still change.
 
     Series are sorted in the shuffle and read as a stream of batches, so a task holds one batch and one state however long
     a series is."""
@@ -172,17 +174,17 @@ def _project(bars: DataFrame, sizes: DataFrame, steps: Callable, states: DataFra
     rows = rows.join(states.select(*SERIES, "state"), SERIES, "left") if states is not None else rows.withColumn("state", F.lit(None).cast("string"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, state, tick, size = None, None, 1.0, 1
+        held, state, tick, size, stretch = None, None, 1.0, 1, None
 
-        def table(made: list, state_text: str | None = None) -> pd.DataFrame:
+        def table(made: list, states: list[tuple[int | None, str]], growing: bool = False) -> pd.DataFrame:
             price = lambda t: round(t * tick, 12)
-            out = [(*held, o, t, n, since, d, *map(price, (a, hi, lo, c)), *(style or (None,)), None) for o, t, n, d, a, hi, lo, c, since, *style in made]
-            out += [(*held, *[None] * (len(_COLUMNS) - 3), state_text)] if state_text else []
-            return pd.DataFrame(out, columns=[*_COLUMNS, "state"]).astype({c: "Int64" for c in ("axis_order", "source_time", "source_ordinal", "source_from")})
+            out = [(*held, o, t, n, since, d, *map(price, (a, hi, lo, c)), *(style or (None,)), growing, None) for o, t, n, d, a, hi, lo, c, since, *style in made]
+            out += [(*held, None, time, *[None] * (len(_COLUMNS) - 5), None, text) for time, text in states]
+            return pd.DataFrame(out, columns=[*_COLUMNS, "growing", "state"]).astype({c: "Int64" for c in ("axis_order", "source_time", "source_ordinal", "source_from")} | {"growing": "boolean"})
 
         def end() -> pd.DataFrame:
             made, last = steps(iter(()), size, state, True)
-            return table(made, json.dumps(last))
+            return table(made, [(stretch, json.dumps(state))] * (stretch is not None) + [(None, json.dumps(last))], True)
 
         for frame in frames:
             for key, part in frame.groupby(SERIES, sort=False):
@@ -191,13 +193,22 @@ def _project(bars: DataFrame, sizes: DataFrame, steps: Callable, states: DataFra
                         yield end()
                     held, tick, size = key, float(part["tick"].iloc[0]), int(part["size"].iloc[0])
                     saved = part["state"].iloc[0]
-                    state = json.loads(saved) if isinstance(saved, str) else None
-                made, state = steps(zip(part["open_time"].tolist(), part["ticks"].tolist()), size, state, False)
-                yield table(made)
+                    state, stretch = json.loads(saved) if isinstance(saved, str) else None, None
+                if every_ms is None:
+                    made, state = steps(zip(part["open_time"].tolist(), part["ticks"].tolist()), size, state, False)
+                    yield table(made, [])
+                    continue
+                made, logged = [], []
+                for upto, piece in part.groupby(part["open_time"] // every_ms * every_ms + every_ms):
+                    if stretch not in (None, upto):
+                        logged.append((stretch, json.dumps(state)))
+                    more, state = steps(zip(piece["open_time"].tolist(), piece["ticks"].tolist()), size, state, False)
+                    made, stretch = made + more, int(upto)
+                yield table(made, logged)
         if held:
             yield end()
 
-    return rows.repartition(*SERIES).sortWithinPartitions(*SERIES, "open_time").mapInPandas(run, f"{STEPS}, state string")
+    return rows.repartition(*SERIES).sortWithinPartitions(*SERIES, "open_time").mapInPandas(run, f"{STEPS}, growing boolean, state string")
 
 
 def carry_on(chart: str, bars: DataFrame, sizes: DataFrame, states: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
@@ -205,7 +216,57 @@ def carry_on(chart: str, bars: DataFrame, sizes: DataFrame, states: DataFrame |
     A leg or column that was still growing comes again, grown. options: reversal of point_figure."""
     steps = lambda closes, size, state, ended: CHARTS[chart](closes, size, *options.values(), state=state, ended=ended)
     both = _project(bars, sizes, steps, states)
-    return both.where("state is null").drop("state"), both.where("state is not null").select(*SERIES, "state")
+    return both.where("state is null").drop("growing", "state"), both.where("state is not null").select(*SERIES, "state")
+
+
+def with_checkpoints(chart: str, bars: DataFrame, sizes: DataFrame, every_ms: int, **options) -> tuple[DataFrame, DataFrame]:
+    """(steps, log) of a chart in CHARTS from the start. Steps have growing: whether later bars may still change the step. log
+    (SERIES, through, state): the state after the bars before `through`, the end of each stretch of every_ms that has bars
+    which change a close. Both are to be written once, as every use of them goes through the bars."""
+    return _logged(chart, bars, sizes, None, every_ms, options)
+
+
+def _logged(chart: str, bars: DataFrame, sizes: DataFrame, states: DataFrame | None, every_ms: int, options: dict) -> tuple[DataFrame, DataFrame]:
+    steps = lambda closes, size, state, ended: CHARTS[chart](closes, size, *options.values(), state=state, ended=ended)
+    both = _project(bars, sizes, steps, states, every_ms)
+    return both.where("state is null").drop("state"), both.where("state is not null and source_time is not null").select(*SERIES, F.col("source_time").alias("through"), "state")
+
+
+def after_corrections(chart: str, bars: DataFrame, sizes: DataFrame, steps: DataFrame, log: DataFrame, corrected: DataFrame, every_ms: int, **options) -> tuple[DataFrame, DataFrame]:
+    """(steps, log) anew, from those of with_checkpoints and the bars as they are after some of them, given as corrected (SERIES,
+    open_time), were amended, added or deleted. A series goes on from its last state before its first correction, so only its
+    bars from there are read; one without such a state is made anew, and one without a correction is left as it is. The
+    sizes must be those of the steps. As with_checkpoints, for one write; never over the tables that are read."""
+    first = corrected.groupBy(*SERIES).agg(F.min("open_time").alias("first"))
+    held = log.join(first, SERIES).where("through <= first").groupBy(*SERIES).agg(F.max("through").alias("begin"), F.max_by("state", "through").alias("state"))
+    from_ = first.select(*SERIES).join(held, SERIES, "left").select(*SERIES, F.coalesce("begin", F.lit(-(2**62))).alias("begin"), "state")
+    least = from_.agg(F.min("begin")).first()[0]
+    # one number, so that the scan skips what is before every series' beginning
+    tail = bars.where(F.col("open_time") >= F.lit(least)) if least is not None else bars.limit(0)
+    tail = tail.join(from_.select(*SERIES, "begin"), SERIES).where("open_time >= begin").drop("begin")
+    new_steps, new_log = _logged(chart, tail, sizes, from_.where("state is not null"), every_ms, options)
+    order = F.coalesce(F.get_json_object("state", "$.order").cast("bigint"), F.lit(0))
+    cut = from_.select(*SERIES, "begin", order.alias("order"))
+    # a series all of whose bars after the state are gone still has the leg that the state grows
+    bare = from_.where("state is not null").join(tail.select(*SERIES).distinct(), SERIES, "left_anti")
+    last = _ends(chart, bare.join(sizes, SERIES), options)
+    kept = steps.join(cut, SERIES, "left").where("order is null or axis_order < order").drop("begin", "order")
+    kept_log = log.join(cut, SERIES, "left").where("begin is null or through <= begin").drop("begin", "order")
+    return kept.unionByName(new_steps).unionByName(last), kept_log.unionByName(new_log)
+
+
+def _ends(chart: str, states: DataFrame, options: dict) -> DataFrame:
+    """The growing legs of states (SERIES, state, tick, size) that no bar follows."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for r in frame.itertuples():
+                made, _ = CHARTS[chart](iter(()), int(r.size), *options.values(), state=json.loads(r.state), ended=True)
+                out += [(r.exchange, r.market_type, r.symbol, o, t, n, since, d, *(round(x * r.tick, 12) for x in (a, hi, lo, c)), *(style or (None,)), True) for o, t, n, d, a, hi, lo, c, since, *style in made]
+            yield pd.DataFrame(out, columns=[*_COLUMNS, "growing"])
+
+    return states.select(*SERIES, "state", "tick", "size").mapInPandas(run, f"{STEPS}, growing boolean")
 
 
 def renko(bars: DataFrame, sizes: DataFrame) -> DataFrame:

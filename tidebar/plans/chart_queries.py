@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import alerts
 from ..operators import book, calendars, flow, funding, indicators, integrity, projections
 from ..schemas import SERIES
+from ..session import work_dir
 from .market_queries import RULE, books
-from .tables import HOUR, HOURLY, LINE_TRADES, bar_table, line_trades
+from .tables import DAY, HOUR, HOURLY, LINE_TRADES, bar_table, line_trades
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -107,6 +108,22 @@ def prj7_renko_carried_on(spark, sf):
     return steps_of(early.unionByName(late))
 
 
+@query("prj7_corrected_bars", RENKO)
+def prj7_corrected_bars(spark, sf):
+    """A chart of bars of which one in a hundred, late in each series, has a wrong close, with a state a day; then the closes are
+    corrected, and each series goes on from the state before its first correction."""
+    rows, sizes = sized(spark, sf)
+    path = work_dir(spark)
+    middle = rows.groupBy(*SERIES).agg(F.floor((F.min("open_time") + F.max("open_time")) / 2).alias("middle"))
+    wrong = (F.col("open_time") > F.col("middle")) & ((F.col("open_time") / HOUR).cast("bigint") % 100 == 0)
+    marked = rows.join(middle, SERIES).withColumn("wrong", wrong).drop("middle")
+    before = marked.withColumn("close", F.when(F.col("wrong"), F.col("close") * 2).otherwise(F.col("close")))
+    for part, name in zip(projections.with_checkpoints("renko", before, sizes, DAY), ("steps", "log")):
+        part.write.parquet(f"{path}/{name}")
+    steps, log = (spark.read.parquet(f"{path}/{name}") for name in ("steps", "log"))
+    return steps_of(projections.after_corrections("renko", rows, sizes, steps, log, marked.where("wrong"), DAY)[0].drop("growing"))
+
+
 NICE = ", ".join(repr(s) for s in flow.nice_steps())
 
 
