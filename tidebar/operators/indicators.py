@@ -4,6 +4,7 @@ y(t) = r y(t-1) + b(t) and run as chunk scans, so that a long series is not one
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,37 +40,91 @@ def boll(bars: DataFrame, n: int = 20, k: float = 2.0, source: str = "close") ->
     return bars.withColumns({"boll_mid": _full(n, mid), "boll_up": _full(n, mid + width), "boll_low": _full(n, mid - width)})
 
 
-def chunk_scan(rows: DataFrame, index: str, start: int | Column, decay: float, step: Column, seed: DataFrame, out: str) -> DataFrame:
-    """Adds out: y = seed at row `start` of a series, then y = decay * y + step; null before.
+@dataclass(frozen=True)
+class Part:
+    """A recurrence y(t) = decay * y(t-1) + step(t) that has its seed at row `start` of a series; null before."""
+
+    name: str
+    start: int
+    decay: float
+    step: Column
+
+
+def _pow(decay: float, n: Column) -> Column:
+    return F.pow(F.lit(float(decay)), n.cast("double"))
+
+
+def scans(rows: DataFrame, index: str, parts: list[Part], seeds: DataFrame, driven: tuple[str, int, float] | None = None) -> DataFrame:
+    """Adds a column for each part, and one for driven (name, start, decay): the mean with that decay of the first part
+    less the second. seeds: SERIES and a column for each name; a null seed leaves its column null.
+
+    All of them are one linear recurrence, so there is one pass: chunks of rows are reduced to one summary each, the few
+    summaries of a series are folded in two levels, and every chunk finishes with its incoming values, all chunks in
+    parallel. The rows go in three times (seeds apart), so they are kept until release()."""
+    place, whole = F.col("place"), Window.partitionBy(*SERIES, "chunk")
+    w = _w("chunk").rowsBetween(Window.unboundedPreceding, 0)
+
+    def live(start: int) -> Column:
+        return F.col(index) > start
+
+    def passed(start: int) -> Column:
+        return F.greatest(F.col(index) - F.greatest(F.lit(start), F.col("chunk") * CHUNK - 1), F.lit(0))
+
+    def since(value: Column, start: int, decay: float) -> Column:
+        """The recurrence within the chunk as if 0 came in."""
+        value = F.when(live(start), value).otherwise(0.0)
+        return value if decay == 0 else F.sum(value * _pow(decay, -place)).over(w) * _pow(decay, place)
 
-    Each chunk of rows is reduced to one summary by aggregation, the few summaries of a series are folded, and every
-    chunk finishes with its incoming value, all chunks in parallel. seed: SERIES and seed."""
-    if decay == 0:
-        return rows.join(seed, SERIES, "left").withColumn(out, F.when(F.col(index) == start, F.col("seed")).when(F.col(index) > start, step)).drop("seed")
-    live = F.col(index) > start
     rows = rows.withColumn("chunk", F.floor(F.col(index) / CHUNK)).withColumn("place", F.col(index) - F.col("chunk") * CHUNK)
-    grown = F.when(live, step * F.pow(F.lit(decay), -F.col("place").cast("double"))).otherwise(0.0)
-    rows = rows.withColumn("grown", grown)
-    last = F.max("place")
-    summary = rows.groupBy(*SERIES, "chunk").agg((F.sum("grown") * F.pow(F.lit(decay), last.cast("double"))).alias("b"), F.count_if(live).alias("n"))
-    # chunks fold into groups of chunks, groups into the series, and the incoming values go back the same way; no array is
-    # longer than a group, or than a series has groups
-    summary = summary.withColumn("group", F.floor(F.col("chunk") / CHUNK))
-    grouped = summary.groupBy(*SERIES, "group").agg(F.sort_array(F.collect_list(F.struct("chunk", "b", "n"))).alias("chunks"))
-    whole = F.aggregate("chunks", F.struct(F.lit(0.0).alias("b"), F.lit(0).cast("bigint").alias("n")), lambda s, c: F.struct((F.pow(F.lit(decay), c["n"].cast("double")) * s["b"] + c["b"]).alias("b"), (s["n"] + c["n"]).alias("n")))
-    tops = grouped.withColumn("whole", whole).groupBy(*SERIES).agg(F.sort_array(F.collect_list(F.struct(F.col("group").alias("chunk"), F.col("whole.b").alias("b"), F.col("whole.n").alias("n")))).alias("chunks")).join(seed, SERIES)
-
-    def fold(first: Column) -> Column:
-        begin = F.struct(first.cast("double").alias("y"), F.array().cast("array<struct<chunk:bigint,incoming:double>>").alias("all"))
-        return F.aggregate("chunks", begin, lambda s, c: F.struct((F.pow(F.lit(decay), c["n"].cast("double")) * s["y"] + c["b"]).alias("y"), F.concat(s["all"], F.array(F.struct(c["chunk"].alias("chunk"), s["y"].alias("incoming")))).alias("all")), lambda s: s["all"])
-
-    tops = tops.select(*SERIES, F.explode(fold(F.col("seed"))).alias("x")).select(*SERIES, F.col("x.chunk").alias("group"), F.col("x.incoming").alias("before"))
-    incoming = grouped.join(tops, [*SERIES, "group"]).select(*SERIES, F.explode(fold(F.col("before"))).alias("x")).select(*SERIES, "x.chunk", "x.incoming")
+    rows = rows.withColumns({f"zero_{i}": since(p.step, p.start, p.decay) for i, p in enumerate(parts)} | {"last": F.max("place").over(whole)})
+    rows = _keep(rows)
+
+    last = place == F.col("last")
+    names = [p.name for p in parts]
+    sums = {f"n{i}": F.max(passed(p.start)) for i, p in enumerate(parts)} | {f"b{i}": F.max(F.when(last, F.col(f"zero_{i}"))) for i in range(len(parts))}
+    if driven:
+        name, start, decay = driven
+        names.append(name)
+        late = F.when(live(start), (1 - decay) * _pow(decay, F.col("last") - place)).otherwise(0.0)
+        sums |= {"nd": F.max(passed(start)), "bd": F.sum(late * (F.col("zero_0") - F.col("zero_1"))), "c0": F.sum(late * _pow(parts[0].decay, passed(parts[0].start))), "c1": F.sum(late * _pow(parts[1].decay, passed(parts[1].start)))}
+
+    def after(s: Column, c: Column) -> Column:
+        """The values s after a stretch of rows c."""
+        out = [(_pow(p.decay, c[f"n{i}"]) * s[p.name] + c[f"b{i}"]).alias(p.name) for i, p in enumerate(parts)]
+        if driven:
+            out.append((_pow(decay, c["nd"]) * s[name] + c["c0"] * s[names[0]] - c["c1"] * s[names[1]] + c["bd"]).alias(name))
+        return F.struct(*out)
+
+    def both(s: Column, c: Column) -> Column:
+        """One stretch of rows in place of s and c, which follows it."""
+        out = [(s[f"n{i}"] + c[f"n{i}"]).alias(f"n{i}") for i in range(len(parts))]
+        out += [(_pow(p.decay, c[f"n{i}"]) * s[f"b{i}"] + c[f"b{i}"]).alias(f"b{i}") for i, p in enumerate(parts)]
+        if driven:
+            out += [(s["nd"] + c["nd"]).alias("nd"), (_pow(decay, c["nd"]) * s["bd"] + c["c0"] * s["b0"] - c["c1"] * s["b1"] + c["bd"]).alias("bd")]
+            out += [(_pow(decay, c["nd"]) * s[f"c{i}"] + c[f"c{i}"] * _pow(parts[i].decay, s[f"n{i}"])).alias(f"c{i}") for i in (0, 1)]
+        return F.struct(*out)
+
+    def fold(first: list[Column]) -> Column:
+        """Every member of the array `chunks` with the values that come into it."""
+        begin = F.struct(*[c.cast("double").alias(n) for c, n in zip(first, names)])
+        kept = F.struct(F.lit(0).cast("bigint").alias("chunk"), begin.alias("values"))
+        return F.aggregate("chunks", F.struct(begin.alias("y"), F.slice(F.array(kept), 1, 0).alias("all")), lambda s, c: F.struct(after(s["y"], c["x"]).alias("y"), F.concat(s["all"], F.array(F.struct(c["chunk"].alias("chunk"), s["y"].alias("values")))).alias("all")), lambda s: s["all"])
+
+    empty = F.struct(*[F.lit(0 if k[0] == "n" else 0.0).cast("bigint" if k[0] == "n" else "double").alias(k) for k in sums])
+    summary = rows.groupBy(*SERIES, "chunk").agg(*[v.alias(k) for k, v in sums.items()]).withColumn("group", F.floor(F.col("chunk") / CHUNK))
+    order = lambda x: F.struct(*[x[k].cast("bigint" if k[0] == "n" else "double").alias(k) for k in sums])
+    grouped = summary.groupBy(*SERIES, "group").agg(F.sort_array(F.collect_list(F.struct("chunk", order({k: F.col(k) for k in sums}).alias("x")))).alias("chunks"))
+    tops = grouped.withColumn("x", F.aggregate("chunks", empty, lambda s, c: order(both(s, c["x"]))))
+    tops = tops.groupBy(*SERIES).agg(F.sort_array(F.collect_list(F.struct(F.col("group").alias("chunk"), "x"))).alias("chunks")).join(seeds, SERIES)
+    tops = tops.select(*SERIES, F.explode(fold([F.col(n) for n in names])).alias("e")).select(*SERIES, F.col("e.chunk").alias("group"), F.col("e.values").alias("before"))
+    incoming = grouped.join(tops, [*SERIES, "group"]).select(*SERIES, F.explode(fold([F.col(f"before.{n}") for n in names])).alias("e")).select(*SERIES, "e.chunk", F.col("e.values").alias("incoming"))
     rows = rows.join(incoming, [*SERIES, "chunk"], "left")
-    w = _w("chunk").rowsBetween(Window.unboundedPreceding, 0)
-    passed = F.sum(F.when(live, 1).otherwise(0)).over(w)
-    here = F.pow(F.lit(decay), passed.cast("double")) * F.col("incoming") + F.sum("grown").over(w) * F.pow(F.lit(decay), F.col("place").cast("double"))
-    return rows.withColumn(out, F.when(F.col(index) >= start, here)).drop("chunk", "place", "grown", "incoming")
+    here = {p.name: F.when(F.col(index) >= p.start, _pow(p.decay, passed(p.start)) * F.col(f"incoming.{p.name}") + F.col(f"zero_{i}")) for i, p in enumerate(parts)}
+    rows = rows.withColumns(here)
+    if driven:
+        value = _pow(decay, passed(start)) * F.col(f"incoming.{name}") + since((1 - decay) * (F.col(names[0]) - F.col(names[1])), start, decay)
+        rows = rows.withColumn(name, F.when(F.col(index) >= start, value))
+    return rows.drop("chunk", "place", "last", "incoming", *[f"zero_{i}" for i in range(len(parts))])
 
 
 def _indexed(bars: DataFrame, index: str = "index", stretch_ms: int = 30 * 86_400_000) -> DataFrame:
@@ -91,29 +146,50 @@ def release() -> None:
         _KEPT.pop().unpersist()
 
 
-def _seeded(rows: DataFrame, index: str, first: int, n: int, value: Column, out: str, decay: float) -> DataFrame:
-    """A scan whose seed is the mean of the n values from row `first`, at the last of them. A scan reads its rows for the
-    seed, the summaries and the result, so they are kept (Spark drops or spills what does not fit, and recomputes what
-    is lost); else a chain of scans would read its source once for every path to it."""
+def _keep(rows: DataFrame) -> DataFrame:
+    """A scan reads its rows for the seeds, the summaries and the result. Spark drops or spills what does not fit, and
+    recomputes what is lost."""
     rows = rows.persist()
     _KEPT.append(rows)
+    return rows
+
+
+def _mean_of_first(index: str, first: int, n: int, value: Column, name: str) -> Column:
+    """The mean of the n values from row `first`; null where a series has fewer."""
     inside = F.col(index).between(first, first + n - 1)
-    seed = rows.groupBy(*SERIES).agg(F.avg(F.when(inside, value)).alias("seed"), F.count_if(inside).alias("k")).where(F.col("k") == n).select(*SERIES, "seed")
-    return chunk_scan(rows, index, first + n - 1, decay, (1 - decay) * value, seed, out)
+    return F.when(F.count_if(inside) == n, F.avg(F.when(inside, value))).alias(name)
+
+
+def _wilder(rows: DataFrame, index: str, first: int, n: int, decay: float, values: dict[str, Column]) -> DataFrame:
+    """Each value's mean with the given decay, from the plain mean of the n values from row `first`, at the last of them."""
+    head = rows.where(F.col(index) < first + n)
+    seeds = head.groupBy(*SERIES).agg(*[_mean_of_first(index, first, n, v, k) for k, v in values.items()])
+    return scans(rows, index, [Part(k, first + n - 1, decay, (1 - decay) * v) for k, v in values.items()], seeds)
 
 
 def ema(bars: DataFrame, n: int, source: str = "close", name: str = "ema") -> DataFrame:
     """Exponential mean with weight 2 / (n + 1), from the simple mean of the first n rows."""
-    return _seeded(_indexed(bars), "index", 0, n, price_source(source), name, 1 - 2 / (n + 1)).drop("index")
+    return _wilder(_indexed(bars), "index", 0, n, 1 - 2 / (n + 1), {name: price_source(source)}).drop("index")
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, source: str = "close") -> DataFrame:
     """dif, dea (its exponential mean, from the mean of its own first rows) and hist, twice their difference."""
-    rows = _indexed(bars)
-    for name, n in (("fast", fast), ("slow", slow)):
-        rows = _seeded(rows, "index", 0, n, price_source(source), name, 1 - 2 / (n + 1))
+    rows, x = _indexed(bars), price_source(source)
+    both = [Part(k, n - 1, 1 - 2 / (n + 1), 2 / (n + 1) * x) for k, n in (("fast", fast), ("slow", slow))]
+    begin = max(fast, slow) - 1
+    # dea's seed needs the first rows alone, whose number is given
+    head = rows.where(F.col("index") < begin + signal).groupBy(*SERIES).agg(
+        _mean_of_first("index", 0, fast, x, "fast"), _mean_of_first("index", 0, slow, x, "slow"), F.sort_array(F.collect_list(F.struct("index", x.cast("double").alias("x")))).alias("rows"))
+    seeds = ("fast", fast), ("slow", slow)
+
+    def on(s: Column, r: Column) -> Column:
+        now = {k: F.when(r["index"] < n, F.col(k)).otherwise((1 - 2 / (n + 1)) * s[k] + 2 / (n + 1) * F.coalesce(r["x"], F.lit(0.0))) for k, n in seeds}
+        return F.struct(*[v.alias(k) for k, v in now.items()], (s["dea"] + F.when(r["index"] >= begin, now["fast"] - now["slow"]).otherwise(0.0)).alias("dea"))
+
+    total = F.aggregate("rows", F.struct("fast", "slow", F.lit(0.0).alias("dea")), on, lambda s: s["dea"])
+    head = head.select(*SERIES, "fast", "slow", F.when(F.size("rows") == begin + signal, total / signal).alias("dea"))
+    rows = scans(rows, "index", both, head, ("dea", begin + signal - 1, 1 - 2 / (signal + 1)))
     rows = rows.withColumn("dif", F.col("fast") - F.col("slow"))
-    rows = _seeded(rows, "index", max(fast, slow) - 1, signal, F.col("dif"), "dea", 1 - 2 / (signal + 1))
     hist = 2 * (F.col("dif") - F.col("dea"))
     return rows.withColumns({"hist": hist, "hist_up": hist >= 0}).drop("index", "fast", "slow")
 
@@ -122,8 +198,7 @@ def rsi(bars: DataFrame, n: int = 14, source: str = "close") -> DataFrame:
     """Wilder's: means of the first n changes at row n + 1; 100 where the mean loss is 0."""
     x = price_source(source)
     rows = _indexed(bars).withColumn("change", x - F.lag(x).over(_w()))
-    for name, part in (("gain", F.greatest(F.col("change"), F.lit(0.0))), ("loss", F.greatest(-F.col("change"), F.lit(0.0)))):
-        rows = _seeded(rows, "index", 1, n, part, name, 1 - 1 / n)
+    rows = _wilder(rows, "index", 1, n, 1 - 1 / n, {"gain": F.greatest(F.col("change"), F.lit(0.0)), "loss": F.greatest(-F.col("change"), F.lit(0.0))})
     value = F.when(F.col("loss") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("gain") / F.col("loss")))
     return rows.withColumn("rsi", F.when(F.col("gain").isNotNull(), value)).drop("index", "change", "gain", "loss")
 
@@ -136,7 +211,7 @@ def true_range(bars: DataFrame, name: str = "tr") -> DataFrame:
 def atr(bars: DataFrame, n: int = 14) -> DataFrame:
     """Wilder's mean of the true range, from the mean of its first n values."""
     rows = true_range(_indexed(bars))
-    return _seeded(rows, "index", 0, n, F.col("tr"), "atr", 1 - 1 / n).drop("index", "tr")
+    return _wilder(rows, "index", 0, n, 1 - 1 / n, {"atr": F.col("tr")}).drop("index", "tr")
 
 
 def vol(bars: DataFrame) -> DataFrame:
@@ -218,7 +293,7 @@ def heikin_ashi(bars: DataFrame) -> DataFrame:
     good = F.col("open").isNotNull() & F.col("high").isNotNull() & F.col("low").isNotNull() & F.col("close").isNotNull()
     rows = _indexed(bars.where(good)).withColumn("ha_close", price_source("ohlc4"))
     rows = rows.withColumn("before", F.lag("ha_close").over(_w()))
-    seed = rows.where("index = 0").select(*SERIES, ((F.col("open") + F.col("close")) / 2).alias("seed"))
-    rows = chunk_scan(rows, "index", 0, 0.5, F.col("before") * 0.5, seed, "ha_open")
+    seed = rows.where("index = 0").select(*SERIES, ((F.col("open") + F.col("close")) / 2).alias("ha_open"))
+    rows = scans(rows, "index", [Part("ha_open", 0, 0.5, F.col("before") * 0.5)], seed)
     rows = rows.select(*SERIES, TIME, "ha_open", F.greatest("high", "ha_open", "ha_close").alias("ha_high"), F.least("low", "ha_open", "ha_close").alias("ha_low"), "ha_close")
     return bars.join(rows, [*SERIES, TIME], "left")
