@@ -289,6 +289,71 @@ def test_match_patterns_table(spark):
     assert text_match.match_patterns(docs, patterns, "standard", most=1).count() == 2
 
 
+def mean_from(values, first, n, decay):
+    """The recurrence close by close: the mean of n values from `first`, then decay * y + (1 - decay) * value."""
+    out, y = [], None
+    for i, v in enumerate(values):
+        if i == first + n - 1:
+            y = sum(values[first : i + 1]) / n
+        elif i >= first + n:
+            y = decay * y + (1 - decay) * v
+        out.append(y if i >= first + n - 1 else None)
+    return out
+
+
+@pytest.mark.parametrize("fast,slow,signal", [(12, 26, 9), (3, 300, 1), (1, 5, 7), (26, 12, 40)])
+def test_scans_equal_the_recurrence_over_chunks_stretches_and_short_series(spark, fast, slow, signal):
+    day = 86_400_000
+    wave = lambda n, k: [50 + (i * k % 17) + (i % 5) * 0.3 for i in range(n)]
+    # A: minutes, several chunks in a stretch; B: days over many stretches; C: one bar in a stretch; D: too short
+    series = {"A": (MIN, wave(900, 7)), "B": (day, wave(400, 5)), "C": (31 * day, wave(60, 3)), "D": (MIN, wave(8, 3))}
+    rows = [(*KEY[:2], s, i * step, 0, c, c, c, c, *bar(0)[9:]) for s, (step, values) in series.items() for i, c in enumerate(values)]
+    table = spark.createDataFrame(rows, BAR).repartition(5)
+    got = {s: [] for s in series}
+    for r in indicators.rsi(indicators.macd(table, fast, slow, signal), 14).orderBy("open_time").collect():
+        got[r.symbol].append((r.dif, r.dea, r.rsi))
+    indicators.release()
+    for s, (_, x) in series.items():
+        f, g = mean_from(x, 0, fast, 1 - 2 / (fast + 1)), mean_from(x, 0, slow, 1 - 2 / (slow + 1))
+        dif = [a - b if a is not None and b is not None else None for a, b in zip(f, g)]
+        begin = max(fast, slow) - 1
+        dea = [None] * min(begin, len(x)) + mean_from(dif[begin:], 0, signal, 1 - 2 / (signal + 1))
+        change = [0.0] + [b - a for a, b in zip(x, x[1:])]
+        up, down = (mean_from([max(sign * c, 0.0) for c in change], 1, 14, 13 / 14) for sign in (1, -1))
+        rsi = [None if u is None else 100.0 if d == 0 else 100 - 100 / (1 + u / d) for u, d in zip(up, down)]
+        assert len(got[s]) == len(x)
+        for row, want in zip(got[s], zip(dif, dea, rsi)):
+            for a, b in zip(row, want):
+                assert a is b is None or a == pytest.approx(b, rel=1e-9, abs=1e-9)
+
+
+def test_holes_equal_a_walk_over_all_buckets(spark):
+    for interval, step, count in (("1m", MIN, 9000), ("1M", None, 40)):
+        starts = [i * step for i in range(count)] if step else [month_ms(i) for i in range(count)]
+        gone = {i for i in range(count) if i % 7 in (2, 3) or i in (0, 1, count - 1) or 4000 < i < 8200}
+        table = spark.createDataFrame([bar(t) for i, t in enumerate(starts) if i not in gone] + [bar(starts[20] + 5)], BAR)
+        want, run = [], []
+        for i in range(count + 1):
+            if i in gone:
+                run.append(starts[i])
+            elif run:
+                want.append((run[0], run[-1], len(run)))
+                run = []
+        key = dict(zip(("exchange", "market_type", "symbol"), KEY))
+        _, verdict = paging.query_range(table, key, interval, starts[0], starts[-1])
+        got = verdict.first()
+        assert [tuple(r) for r in got.missing_ranges] == want and got.missing == len(gone) and got.expected_bars == count
+        assert sorted(tuple(r)[3:] for r in paging.holes(table, interval, starts[0], starts[-1]).collect()) == want
+        empty = paging.query_range(table.limit(0), key, interval, starts[0], starts[-1])[1].first()
+        assert [tuple(r) for r in empty.missing_ranges] == [(starts[0], starts[-1], count)] and not empty.verified_contiguous and not empty.renderable
+
+
+def month_ms(i):
+    import datetime as dt
+
+    return int(dt.datetime(1970 + i // 12, i % 12 + 1, 1, tzinfo=dt.timezone.utc).timestamp() * 1000)
+
+
 def test_release_leaves_no_table_cached(spark):
     indicators.release()
     before = spark.sparkContext._jsc.getPersistentRDDs().size()

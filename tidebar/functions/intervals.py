@@ -139,6 +139,12 @@ def bucket_end(start: Column, interval: Column) -> Column:
     return F.when(unit == "M", month_start(month_number(start) + count)).otherwise(start + count * width) - 1
 
 
+def buckets_in(start: Column, end: Column, interval: str | Interval) -> Column:
+    """How many buckets lie between two starts of buckets, the second left out."""
+    i = _of(interval)
+    return F.floor((month_number(end) - month_number(start)) / i.count) if i.months else F.floor((end - start) / i.ms)
+
+
 def is_successor(previous: Column, start: Column, interval: str | Interval) -> Column:
     return start == bucket_next(previous, interval)
 

@@ -59,24 +59,25 @@ def scans(rows: DataFrame, index: str, parts: list[Part], seeds: DataFrame, driv
     less the second. seeds: SERIES and a column for each name; a null seed leaves its column null.
 
     All of them are one linear recurrence, so there is one pass: chunks of rows are reduced to one summary each, the few
-    summaries of a series are folded in two levels, and every chunk finishes with its incoming values, all chunks in
-    parallel. The rows go in three times (seeds apart), so they are kept until release()."""
-    place, whole = F.col("place"), Window.partitionBy(*SERIES, "chunk")
-    w = _w("chunk").rowsBetween(Window.unboundedPreceding, 0)
+    summaries of a stretch of time are folded, then those of a series' stretches, and every chunk finishes with its incoming
+    values, all chunks in parallel. Rows come from _indexed, and a chunk lies in one of its stretches, so they stay where the
+    numbering put them. They are read for the summaries and for the result, so they are kept until release()."""
+    place, w = F.col("place"), _w("stretch", "chunk").rowsBetween(Window.unboundedPreceding, 0)
 
     def live(start: int) -> Column:
         return F.col(index) > start
 
     def passed(start: int) -> Column:
-        return F.greatest(F.col(index) - F.greatest(F.lit(start), F.col("chunk") * CHUNK - 1), F.lit(0))
+        return F.greatest(F.col(index) - F.greatest(F.lit(start), F.col(index) - place - 1), F.lit(0))
 
     def since(value: Column, start: int, decay: float) -> Column:
         """The recurrence within the chunk as if 0 came in."""
         value = F.when(live(start), value).otherwise(0.0)
         return value if decay == 0 else F.sum(value * _pow(decay, -place)).over(w) * _pow(decay, place)
 
-    rows = rows.withColumn("chunk", F.floor(F.col(index) / CHUNK)).withColumn("place", F.col(index) - F.col("chunk") * CHUNK)
-    rows = rows.withColumns({f"zero_{i}": since(p.step, p.start, p.decay) for i, p in enumerate(parts)} | {"last": F.max("place").over(whole)})
+    nth = F.col(index) - F.col("stretch_begin")
+    rows = rows.withColumns({"chunk": F.floor(nth / CHUNK), "place": nth % CHUNK})
+    rows = rows.withColumns({f"zero_{i}": since(p.step, p.start, p.decay) for i, p in enumerate(parts)} | {"last": F.max("place").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
     rows = _keep(rows)
 
     last = place == F.col("last")
@@ -111,30 +112,32 @@ def scans(rows: DataFrame, index: str, parts: list[Part], seeds: DataFrame, driv
         return F.aggregate("chunks", F.struct(begin.alias("y"), F.slice(F.array(kept), 1, 0).alias("all")), lambda s, c: F.struct(after(s["y"], c["x"]).alias("y"), F.concat(s["all"], F.array(F.struct(c["chunk"].alias("chunk"), s["y"].alias("values")))).alias("all")), lambda s: s["all"])
 
     empty = F.struct(*[F.lit(0 if k[0] == "n" else 0.0).cast("bigint" if k[0] == "n" else "double").alias(k) for k in sums])
-    summary = rows.groupBy(*SERIES, "chunk").agg(*[v.alias(k) for k, v in sums.items()]).withColumn("group", F.floor(F.col("chunk") / CHUNK))
+    summary = rows.groupBy(*SERIES, "stretch", "chunk").agg(*[v.alias(k) for k, v in sums.items()])
     order = lambda x: F.struct(*[x[k].cast("bigint" if k[0] == "n" else "double").alias(k) for k in sums])
-    grouped = summary.groupBy(*SERIES, "group").agg(F.sort_array(F.collect_list(F.struct("chunk", order({k: F.col(k) for k in sums}).alias("x")))).alias("chunks"))
+    grouped = summary.groupBy(*SERIES, "stretch").agg(F.sort_array(F.collect_list(F.struct("chunk", order({k: F.col(k) for k in sums}).alias("x")))).alias("chunks"))
     tops = grouped.withColumn("x", F.aggregate("chunks", empty, lambda s, c: order(both(s, c["x"]))))
-    tops = tops.groupBy(*SERIES).agg(F.sort_array(F.collect_list(F.struct(F.col("group").alias("chunk"), "x"))).alias("chunks")).join(seeds, SERIES)
-    tops = tops.select(*SERIES, F.explode(fold([F.col(n) for n in names])).alias("e")).select(*SERIES, F.col("e.chunk").alias("group"), F.col("e.values").alias("before"))
-    incoming = grouped.join(tops, [*SERIES, "group"]).select(*SERIES, F.explode(fold([F.col(f"before.{n}") for n in names])).alias("e")).select(*SERIES, "e.chunk", F.col("e.values").alias("incoming"))
-    rows = rows.join(incoming, [*SERIES, "chunk"], "left")
+    tops = tops.groupBy(*SERIES).agg(F.sort_array(F.collect_list(F.struct(F.col("stretch").alias("chunk"), "x"))).alias("chunks")).join(seeds, SERIES)
+    tops = tops.select(*SERIES, F.explode(fold([F.col(n) for n in names])).alias("e")).select(*SERIES, F.col("e.chunk").alias("stretch"), F.col("e.values").alias("before"))
+    incoming = grouped.join(tops, [*SERIES, "stretch"]).select(*SERIES, "stretch", fold([F.col(f"before.{n}") for n in names]).alias("incoming"))
+    # joined by stretch, as the rows lie; a stretch's chunks are numbered from 0 without a gap
+    rows = rows.join(incoming, [*SERIES, "stretch"], "left").withColumn("incoming", F.get("incoming", F.col("chunk").cast("int"))["values"])
     here = {p.name: F.when(F.col(index) >= p.start, _pow(p.decay, passed(p.start)) * F.col(f"incoming.{p.name}") + F.col(f"zero_{i}")) for i, p in enumerate(parts)}
     rows = rows.withColumns(here)
     if driven:
         value = _pow(decay, passed(start)) * F.col(f"incoming.{name}") + since((1 - decay) * (F.col(names[0]) - F.col(names[1])), start, decay)
         rows = rows.withColumn(name, F.when(F.col(index) >= start, value))
-    return rows.drop("chunk", "place", "last", "incoming", *[f"zero_{i}" for i in range(len(parts))])
+    return rows.drop("stretch", "stretch_begin", "chunk", "place", "last", "incoming", *[f"zero_{i}" for i in range(len(parts))])
 
 
 def _indexed(bars: DataFrame, index: str = "index", stretch_ms: int = 30 * 86_400_000) -> DataFrame:
     """Numbers each series' rows from 0: within a stretch of time by a window, after the rows of the stretches before, which
-    one narrow row per stretch counts. So a long series is numbered by many tasks."""
-    rows = bars.withColumn("index_stretch", F.floor(F.col(TIME) / stretch_ms))
-    counts = rows.groupBy(*SERIES, "index_stretch").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*SERIES).orderBy("index_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.join(counts.select(*SERIES, "index_stretch", before.alias("index_before")), [*SERIES, "index_stretch"])
-    return rows.withColumn(index, (F.row_number().over(_w("index_stretch")) - 1 + F.col("index_before")).cast("bigint")).drop("index_stretch", "index_before")
+    one narrow row per stretch counts. So a long series is numbered by many tasks. Also adds stretch and stretch_begin, the
+    number of its first row."""
+    rows = bars.withColumn("stretch", F.floor(F.col(TIME) / stretch_ms))
+    counts = rows.groupBy(*SERIES, "stretch").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*SERIES).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(counts.select(*SERIES, "stretch", before.alias("stretch_begin")), [*SERIES, "stretch"])
+    return rows.withColumn(index, (F.row_number().over(_w("stretch")) - 1 + F.col("stretch_begin")).cast("bigint"))
 
 
 _KEPT: list[DataFrame] = []

@@ -23,19 +23,44 @@ def _key(df: DataFrame, key: dict[str, str]) -> DataFrame:
     return df
 
 
+def holes(bars: DataFrame, interval: str, start_ms: int, end_ms: int, keys: list[str] = SERIES) -> DataFrame:
+    """keys, start, end, bars: the stretches of buckets that start in [start_ms, end_ms] and that a series with a bar there
+    lacks. Found between neighbours, within stretches of time and then across them, so nothing is made for the buckets
+    themselves, and a long series is many tasks. Bars that start beside a bucket's start count as none."""
+    i, at = iv.parse_interval(interval), F.col("open_time")
+    floor = iv.bucket_floor(F.lit(start_ms), i)
+    first = F.when(floor < start_ms, iv.bucket_next(floor, i)).otherwise(floor)
+    beyond = iv.bucket_next(iv.bucket_floor(F.lit(end_ms), i), i)
+    width = (i.count * 30 * iv.UNIT_MS["d"] if i.months else i.ms) * 4096
+    here = bars.where(at.between(start_ms, end_ms) & (iv.bucket_floor(at, i) == at)).select(*keys, "open_time", F.floor(at / width).alias("stretch")).distinct()
+    ends = here.groupBy(*keys, "stretch").agg(F.min("open_time").alias("least"))
+    w = Window.partitionBy(*keys).orderBy("stretch")
+    ends = ends.select(*keys, "stretch", F.coalesce(F.lead("least").over(w), beyond).alias("following"), F.when(F.lag("least").over(w).isNull(), F.col("least")).alias("leading"))
+    inner = here.join(ends, [*keys, "stretch"])
+    upto = F.coalesce(F.lead("open_time").over(Window.partitionBy(*keys, "stretch").orderBy("open_time")), F.col("following"))
+    inner = inner.select(*keys, iv.bucket_next(at, i).alias("start"), upto.alias("upto"))
+    before = ends.where("leading is not null").select(*keys, first.alias("start"), F.col("leading").alias("upto"))
+    out = inner.unionByName(before).where("start < upto")
+    return out.select(*keys, "start", iv.bucket_previous(F.col("upto"), i).alias("end"), iv.buckets_in(F.col("start"), F.col("upto"), i).alias("bars"))
+
+
 def query_range(bars: DataFrame, key: dict[str, str], interval: str, start_ms: int, end_ms: int) -> tuple[DataFrame, DataFrame]:
     """The bars of [start, end], and one row on their continuity: expected and actual bars, missing ranges, whether they
     are contiguous, and whether anything can be shown."""
     rows = _key(bars, key).where(F.col("open_time").between(start_ms, end_ms))
-    spark = bars.sparkSession
-    want = iv.buckets_between(spark.createDataFrame([(start_ms, end_ms)], "start bigint, end bigint"), interval).select("open_time")
-    gone = want.join(rows.select("open_time"), "open_time", "left_anti")
-    w = Window.orderBy("open_time")  # rows of one series' gaps
-    breaks = ~F.coalesce(iv.is_successor(F.lag("open_time").over(w), F.col("open_time"), interval), F.lit(False))
-    islands = gone.withColumn("island", F.sum(F.when(breaks, 1).otherwise(0)).over(w)).groupBy("island").agg(F.min("open_time").alias("start"), F.max("open_time").alias("end"), F.count("*").alias("bars"))
-    holes = islands.agg(F.sort_array(F.collect_list(F.struct("start", "end", "bars"))).alias("missing_ranges"), F.coalesce(F.sum("bars"), F.lit(0)).alias("missing"))
-    counts = want.agg(F.count("*").alias("expected_bars")).crossJoin(rows.agg(F.count_distinct("open_time").alias("actual_bars"))).crossJoin(holes)
-    return rows, counts.withColumns({"verified_contiguous": F.col("missing") == 0, "renderable": F.col("actual_bars") > 0})
+    i = iv.parse_interval(interval)
+    floor = iv.bucket_floor(F.lit(start_ms), i)
+    first = F.when(floor < start_ms, iv.bucket_next(floor, i)).otherwise(floor)
+    last = iv.bucket_floor(F.lit(end_ms), i)
+    expected = F.greatest(iv.buckets_in(first, iv.bucket_next(last, i), i), F.lit(0))
+    gone = holes(rows, interval, start_ms, end_ms, [])
+    gone = gone.agg(F.sort_array(F.collect_list(F.struct("start", "end", "bars"))).alias("missing_ranges"), F.coalesce(F.sum("bars"), F.lit(0)).alias("missing"))
+    placed = F.count_if(iv.bucket_floor(F.col("open_time"), i) == F.col("open_time")).alias("placed")
+    counts = rows.agg(F.count_distinct("open_time").alias("actual_bars"), placed).crossJoin(gone).withColumn("expected_bars", expected)
+    bare = F.col("placed") == 0  # no neighbour to find a hole by: all is missing
+    whole = F.when(F.col("expected_bars") > 0, F.array(F.struct(first.alias("start"), last.alias("end"), F.col("expected_bars").alias("bars")))).otherwise(F.col("missing_ranges"))
+    counts = counts.withColumns({"missing_ranges": F.when(bare, whole).otherwise(F.col("missing_ranges")), "missing": F.when(bare, F.col("expected_bars")).otherwise(F.col("missing"))})
+    return rows, counts.select("expected_bars", "actual_bars", "missing_ranges", "missing", (F.col("missing") == 0).alias("verified_contiguous"), (F.col("actual_bars") > 0).alias("renderable"))
 
 
 def query_history(bars: DataFrame, key: dict[str, str], interval: str, days: float, now_ms: int) -> DataFrame:

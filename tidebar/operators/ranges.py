@@ -77,7 +77,8 @@ def clip_ranges(ranges: DataFrame, low: int | None = None, now: int | None = Non
 
 def dirty_refresh(dirty: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """What to compute anew after a correction: from the dirty start to the end of the wanted range, as recursion carries
-    on; nothing where the dirty range starts after it or ends before it."""
-    d = dirty.select(*keys, F.col("start").alias("ds"), F.col("end").alias("de"))
-    rows = wanted.join(d, keys).where("ds <= end")
-    return rows.select(*keys, F.greatest("ds", "start").alias("start"), "end").groupBy(*keys, "end").agg(F.min("start").alias("start")).select(*keys, "start", "end")
+    on; the whole range where a dirty one ends before it, nothing where all start after it. Of a key's dirty ranges only
+    the least start counts, so ranges are not paired."""
+    d = dirty.groupBy(*keys).agg(F.min("start").alias("ds"))
+    rows = wanted.groupBy(*keys, "end").agg(F.min("start").alias("start")).join(d, keys).where("ds <= end")
+    return rows.select(*keys, F.greatest("ds", "start").alias("start"), "end")

@@ -466,6 +466,23 @@ def top2_range_verdict(spark, sf):
     return verdict.drop("missing_ranges")
 
 
+@query("top2_missing_ranges", f"""WITH {HOURLY}, b AS (SELECT min(open_time) AS lo, max(open_time) AS hi FROM bars), w AS (SELECT unnest(range(lo, hi + 1, {HOUR})) AS t FROM b),
+    g AS (SELECT t, t // {HOUR} - row_number() OVER (ORDER BY t) AS i FROM w WHERE t NOT IN (SELECT open_time FROM bars WHERE symbol = 'CLICK')) SELECT min(t) AS start, max(t) AS "end", count(*) AS bars FROM g GROUP BY i""")
+def top2_missing_ranges(spark, sf):
+    rows = bar_table(spark, sf)
+    lo, hi = rows.agg(F.min("open_time"), F.max("open_time")).first()
+    _, verdict = paging.query_range(rows, {"symbol": "CLICK"}, "1h", lo, hi)
+    return verdict.select(F.explode("missing_ranges").alias("r")).select("r.start", "r.end", "r.bars")
+
+
+@query("top2_holes", f"""WITH {HOURLY}, b AS (SELECT min(open_time) AS lo, max(open_time) AS hi FROM bars), w AS (SELECT DISTINCT symbol, unnest(range(lo, hi + 1, {HOUR})) AS t FROM bars, b),
+    g AS (SELECT symbol, t, t // {HOUR} - row_number() OVER (PARTITION BY symbol ORDER BY t) AS i FROM w WHERE NOT EXISTS (SELECT 1 FROM bars WHERE bars.symbol = w.symbol AND open_time = t)) SELECT symbol, min(t) AS start, max(t) AS "end", count(*) AS bars FROM g GROUP BY symbol, i""")
+def top2_holes(spark, sf):
+    rows = bar_table(spark, sf)
+    lo, hi = rows.agg(F.min("open_time"), F.max("open_time")).first()
+    return paging.holes(rows, "1h", lo, hi).select("symbol", "start", "end", "bars")
+
+
 @query("top4_before_page", f"WITH {HOURLY}, b AS (SELECT max(open_time) AS hi FROM bars) SELECT symbol, open_time, TRUE AS has_more FROM bars, b WHERE symbol = 'CLICK' AND open_time < hi - {DAY} ORDER BY open_time DESC LIMIT 30")
 def top4_before_page(spark, sf):
     rows = bar_table(spark, sf)
