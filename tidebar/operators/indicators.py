@@ -129,15 +129,22 @@ def scans(rows: DataFrame, index: str, parts: list[Part], seeds: DataFrame, driv
     return rows.drop("stretch", "stretch_begin", "chunk", "place", "last", "incoming", *[f"zero_{i}" for i in range(len(parts))])
 
 
-def _indexed(bars: DataFrame, index: str = "index", stretch_ms: int = 30 * 86_400_000) -> DataFrame:
+def _indexed(bars: DataFrame, index: str = "index", stretch_ms: int = 30 * 86_400_000, before: Column | None = None) -> DataFrame:
     """Numbers each series' rows from 0: within a stretch of time by a window, after the rows of the stretches before, which
     one narrow row per stretch counts. So a long series is numbered by many tasks. Also adds stretch and stretch_begin, the
-    number of its first row."""
+    number of its first row; and, where before is given, a column before: its value in the row before, which a stretch's first
+    row gets from the stretch before it."""
     rows = bars.withColumn("stretch", F.floor(F.col(TIME) / stretch_ms))
-    counts = rows.groupBy(*SERIES, "stretch").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*SERIES).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.join(counts.select(*SERIES, "stretch", before.alias("stretch_begin")), [*SERIES, "stretch"])
-    return rows.withColumn(index, (F.row_number().over(_w("stretch")) - 1 + F.col("stretch_begin")).cast("bigint"))
+    w = Window.partitionBy(*SERIES).orderBy("stretch")
+    counts = rows.groupBy(*SERIES, "stretch").agg(F.count("*").alias("n"), *([F.max_by(before, TIME).alias("tail")] if before is not None else []))
+    begin = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    carried = [F.lag("tail").over(w).alias("carried")] if before is not None else []
+    rows = rows.join(counts.select(*SERIES, "stretch", begin.alias("stretch_begin"), *carried), [*SERIES, "stretch"])
+    nth = F.row_number().over(_w("stretch"))
+    added = {index: (nth - 1 + F.col("stretch_begin")).cast("bigint")}
+    if before is not None:
+        added["before"] = F.when(nth == 1, F.col("carried")).otherwise(F.lag(before).over(_w("stretch")))
+    return rows.withColumns(added).drop("carried")
 
 
 _KEPT: list[DataFrame] = []
@@ -200,21 +207,22 @@ def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, sourc
 def rsi(bars: DataFrame, n: int = 14, source: str = "close") -> DataFrame:
     """Wilder's: means of the first n changes at row n + 1; 100 where the mean loss is 0."""
     x = price_source(source)
-    rows = _indexed(bars).withColumn("change", x - F.lag(x).over(_w()))
+    rows = _indexed(bars, before=x).withColumn("change", x - F.col("before"))
     rows = _wilder(rows, "index", 1, n, 1 - 1 / n, {"gain": F.greatest(F.col("change"), F.lit(0.0)), "loss": F.greatest(-F.col("change"), F.lit(0.0))})
     value = F.when(F.col("loss") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("gain") / F.col("loss")))
-    return rows.withColumn("rsi", F.when(F.col("gain").isNotNull(), value)).drop("index", "change", "gain", "loss")
+    return rows.withColumn("rsi", F.when(F.col("gain").isNotNull(), value)).drop("index", "before", "change", "gain", "loss")
 
 
-def true_range(bars: DataFrame, name: str = "tr") -> DataFrame:
-    before = F.lag("close").over(_w())
+def true_range(bars: DataFrame, name: str = "tr", before: Column | None = None) -> DataFrame:
+    """before: the close of the bar before, where the rows have it."""
+    before = F.lag("close").over(_w()) if before is None else before
     return bars.withColumn(name, F.when(before.isNull(), F.col("high") - F.col("low")).otherwise(F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))))
 
 
 def atr(bars: DataFrame, n: int = 14) -> DataFrame:
     """Wilder's mean of the true range, from the mean of its first n values."""
-    rows = true_range(_indexed(bars))
-    return _wilder(rows, "index", 0, n, 1 - 1 / n, {"atr": F.col("tr")}).drop("index", "tr")
+    rows = true_range(_indexed(bars, before=F.col("close")), before=F.col("before"))
+    return _wilder(rows, "index", 0, n, 1 - 1 / n, {"atr": F.col("tr")}).drop("index", "before", "tr")
 
 
 def vol(bars: DataFrame) -> DataFrame:
@@ -294,8 +302,7 @@ def heikin_ashi(bars: DataFrame) -> DataFrame:
     """close: mean of the four prices; open: mean of the bar before's Heikin-Ashi open and close; rows with a null price
     come out null and are passed over. The open is a linear recurrence, so it is a chunk scan too."""
     good = F.col("open").isNotNull() & F.col("high").isNotNull() & F.col("low").isNotNull() & F.col("close").isNotNull()
-    rows = _indexed(bars.where(good)).withColumn("ha_close", price_source("ohlc4"))
-    rows = rows.withColumn("before", F.lag("ha_close").over(_w()))
+    rows = _indexed(bars.where(good), before=price_source("ohlc4")).withColumn("ha_close", price_source("ohlc4"))
     seed = rows.where("index = 0").select(*SERIES, ((F.col("open") + F.col("close")) / 2).alias("ha_open"))
     rows = scans(rows, "index", [Part("ha_open", 0, 0.5, F.col("before") * 0.5)], seed)
     rows = rows.select(*SERIES, TIME, "ha_open", F.greatest("high", "ha_open", "ha_close").alias("ha_high"), F.least("low", "ha_open", "ha_close").alias("ha_low"), "ha_close")
