@@ -95,15 +95,15 @@ def _reasons(tests: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in tests.items()]))
 
 
-def validate_bars(bars: DataFrame, interval_ms: int, now_ms: int) -> DataFrame:
-    """Adds reasons: the rules that a bar of a fixed interval breaks, in order."""
+def validate_bars(bars: DataFrame, interval_ms: int, now_ms: int, zero_prices: bool = False) -> DataFrame:
+    """Adds reasons: the rules that a bar of a fixed interval breaks, in order. zero_prices: a price may be 0, not only above."""
     o, h, low, c = (F.col(x) for x in ("open", "high", "low", "close"))
     part = lambda p, t: F.col(p).isNull() | F.col(t).isNull() | (F.col(p) <= F.col(t) + F.greatest(F.lit(1e-10), F.col(t) * 1e-10))
     tests = {
         "alignment": F.pmod("open_time", F.lit(interval_ms)) == 0,
         "close_time": F.col("close_time") == F.col("open_time") + interval_ms - 1,
         "not_closed": F.col("close_time") < now_ms,
-        "price": (o > 0) & (h > 0) & (low > 0) & (c > 0),
+        "price": (o >= 0) & (h >= 0) & (low >= 0) & (c >= 0) if zero_prices else (o > 0) & (h > 0) & (low > 0) & (c > 0),
         "bounds": (h >= F.greatest(o, c, low)) & (low <= F.least(o, c, h)),
         "volume": (F.col("volume") >= 0) & F.coalesce(F.col("quote_volume") >= 0, F.lit(True)),
         "taker": part("taker_buy_base", "volume") & part("taker_buy_quote", "quote_volume"),

@@ -13,11 +13,11 @@ KLINE_CSV = "open_time bigint, open double, high double, low double, close doubl
 TRADE_CSV = "agg_trade_id string, price string, quantity string, first_trade_id string, last_trade_id string, trade_time_ms string, is_buyer_maker string"
 
 
-def check_klines(rows: DataFrame, interval: str, now_ms: int = 2**62) -> tuple[DataFrame, DataFrame]:
-    """Good bars with the segment that a gap starts anew, and bad ones with their reasons."""
+def check_klines(rows: DataFrame, interval: str, now_ms: int = 2**62, zero_prices: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Good bars with the segment that a gap starts anew, and bad ones with their reasons. zero_prices: a price of 0 is good."""
     i = iv.parse_interval(interval)
     w = Window.partitionBy(*SERIES).orderBy("open_time")
-    rows = scalars.validate_bars(rows, i.ms, now_ms).withColumn("before", F.lag("open_time").over(w))
+    rows = scalars.validate_bars(rows, i.ms, now_ms, zero_prices).withColumn("before", F.lag("open_time").over(w))
     again = F.when(F.col("before") == F.col("open_time"), F.array(F.lit("not_increasing"))).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumn("reasons", F.concat("reasons", again))
     good = rows.where(F.size("reasons") == 0).drop("reasons", "before")
@@ -30,12 +30,13 @@ def _symbol_of(identity: tuple[str, str, str | None]) -> tuple[str, dict]:
     return (", symbol string" if identity[2] is None else ""), {c: F.lit(v) for c, v in zip(SERIES, identity) if v is not None}
 
 
-def read_kline_csv(spark: SparkSession, path: str, identity: tuple[str, str, str | None], interval: str) -> tuple[DataFrame, DataFrame]:
-    """Bars of an official archive (header optional), checked. A symbol of None: those of the folders symbol=... below path."""
+def read_kline_csv(spark: SparkSession, path: str, identity: tuple[str, str, str | None], interval: str, zero_prices: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Bars of an official archive (header optional), checked. A symbol of None: those of the folders symbol=... below path.
+    zero_prices: see check_klines."""
     more, columns = _symbol_of(identity)
     raw = spark.read.schema(KLINE_CSV + more).option("mode", "PERMISSIVE").csv(path).where("open_time is not null").drop("ignored")
     rows = raw.withColumns(columns | {"interval": F.lit(iv.parse_interval(interval).name), "source": F.lit("backfill_archive_verified"), "is_closed": F.lit(True)})
-    return check_klines(rows, interval)
+    return check_klines(rows, interval, zero_prices=zero_prices)
 
 
 #: The second layout's columns, which its header names; confirm is 1 for closed bars.
