@@ -43,11 +43,11 @@ def read_kline_csv(spark: SparkSession, path: str, identity: tuple[str, str, str
 NAMED_CSV = "instrument_name string, open double, high double, low double, close double, vol double, vol_ccy double, vol_quote double, open_time bigint, confirm string"
 
 
-def read_named_kline_csv(spark: SparkSession, path: str, identity: tuple[str, str, str | None], interval: str = "1m", zone_ms: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
+def read_named_kline_csv(spark: SparkSession, path: str, identity: tuple[str, str, str | None], interval: str = "1m", zone_ms: tuple[int, int] | None = None, zero_prices: bool = False) -> tuple[DataFrame, DataFrame]:
     """Bars of an archive whose rows name their instrument, checked: those of another instrument than identity's (None: each
     row's own), unconfirmed ones, those outside the archive's time [zone_ms] and those off the interval's grid are bad. On
     derivatives the volume is that in the base. Without trades and taker sides (null). Raises an error where a file's header is
-    another."""
+    another. zero_prices: see check_klines."""
     names = [c.split()[0] for c in NAMED_CSV.split(", ")]
     raw = spark.read.schema(NAMED_CSV).option("header", True).option("enforceSchema", False).csv(path)
     symbol = F.upper(F.trim("instrument_name"))
@@ -64,7 +64,7 @@ def read_named_kline_csv(spark: SparkSession, path: str, identity: tuple[str, st
         "grid": iv.bucket_floor(F.col("open_time"), i) == F.col("open_time"),
     }
     rows = rows.drop(*[c for c in names if c not in ("open", "high", "low", "close", "open_time")]).withColumn("layout", scalars._reasons(tests))
-    good, bad = check_klines(rows.where(F.size("layout") == 0).drop("layout"), interval)
+    good, bad = check_klines(rows.where(F.size("layout") == 0).drop("layout"), interval, zero_prices=zero_prices)
     return good, bad.unionByName(rows.where(F.size("layout") > 0).withColumnRenamed("layout", "reasons"), allowMissingColumns=True)
 
 
