@@ -111,10 +111,11 @@ def validate_bars(bars: DataFrame, interval_ms: int, now_ms: int, zero_prices: b
     return bars.withColumn("reasons", _reasons(tests))
 
 
-def validate_trades(trades: DataFrame) -> DataFrame:
+def validate_trades(trades: DataFrame, zero_prices: bool = False) -> DataFrame:
+    """Adds reasons: the rules that a trade breaks, in order. zero_prices: a price may be 0, not only above."""
     number = lambda c: (F.col(c) > 0) & ~F.isnan(c) & (F.col(c) < float("inf"))
     ids = F.col("first_trade_id").isNull() | F.col("last_trade_id").isNull() | ((F.col("first_trade_id") >= 0) & (F.col("first_trade_id") <= F.col("last_trade_id")))
-    tests = {"id": F.col("agg_trade_id") >= 0, "time": F.col("trade_time_ms") >= 0, "price": number("price"), "quantity": number("quantity"), "raw_ids": ids}
+    tests = {"id": F.col("agg_trade_id") >= 0, "time": F.col("trade_time_ms") >= 0, "price": number("price") | (F.col("price") == 0) if zero_prices else number("price"), "quantity": number("quantity"), "raw_ids": ids}
     return trades.withColumn("reasons", _reasons(tests))
 
 

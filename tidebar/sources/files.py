@@ -72,11 +72,11 @@ def write_bars(bars: DataFrame, path: str) -> None:
     bars.write.mode("append").partitionBy("exchange", "market_type", "interval").parquet(path)
 
 
-def check_trades(rows: DataFrame, day_ms: int | None = None) -> tuple[DataFrame, DataFrame]:
+def check_trades(rows: DataFrame, day_ms: int | None = None, zero_prices: bool = False) -> tuple[DataFrame, DataFrame]:
     """Good trades and bad ones with reasons: invalid fields, ids that leave out or repeat one, raw ids that overlap, time
-    going back, and a time outside the day."""
+    going back, and a time outside the day. zero_prices: a price of 0 is good."""
     w = Window.partitionBy(*SERIES).orderBy("agg_trade_id", "trade_time_ms")
-    rows = scalars.validate_trades(rows)
+    rows = scalars.validate_trades(rows, zero_prices)
     lag = lambda c: F.lag(c).over(w)
     tests = {
         "id_gap": lag("agg_trade_id").isNull() | (F.col("agg_trade_id") == lag("agg_trade_id") + 1),
@@ -89,14 +89,15 @@ def check_trades(rows: DataFrame, day_ms: int | None = None) -> tuple[DataFrame,
     return good, rows.where(F.size("reasons") > 0)
 
 
-def read_agg_trade_csv(spark: SparkSession, path: str, identity: tuple[str, str, str | None], day_ms: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Trades of an official archive (header optional), checked. A symbol of None: those of the folders symbol=... below path."""
+def read_agg_trade_csv(spark: SparkSession, path: str, identity: tuple[str, str, str | None], day_ms: int | None = None, zero_prices: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Trades of an official archive (header optional), checked. A symbol of None: those of the folders symbol=... below path.
+    zero_prices: see check_trades."""
     more, columns = _symbol_of(identity)
     raw = spark.read.schema(TRADE_CSV + more).csv(path)
     raw = raw.where(~F.lower("agg_trade_id").rlike("[a-z]"))  # a header
     number = lambda c, t: F.expr(f"try_cast({c} as {t})").alias(c)
     rows = raw.select(*[number(c, "bigint") for c in ("agg_trade_id", "first_trade_id", "last_trade_id", "trade_time_ms")], number("price", "double"), number("quantity", "double"), (F.lower("is_buyer_maker") == "true").alias("is_buyer_maker"), *(["symbol"] if more else []))
-    return check_trades(rows.withColumns(columns), day_ms)
+    return check_trades(rows.withColumns(columns), day_ms, zero_prices)
 
 
 ARCHIVE_KEY = ["kafka_topic", "kafka_partition"]
