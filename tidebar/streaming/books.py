@@ -2,14 +2,17 @@
 
 The state is a map of levels, a list of deltas that wait for a snapshot, and where the book stands: `syncing` (no snapshot
 yet), `bridging` (a snapshot, no delta after it), `live`, or `resync` (broken: empty until a new snapshot). A batch reads a
-series' levels once and writes those that it changed. The state store must be RocksDB (see session.py)."""
+series' levels once and writes those that it changed; what waits is added to the list and read, a row at a time, only when a
+snapshot replays it. The state store must be RocksDB (see session.py)."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -21,50 +24,79 @@ EVENTS = f"exchange string, market_type string, symbol string, kind string, firs
 BOOK = f"exchange string, market_type string, symbol string, last_update_id bigint, bids array<{LEVEL}>, asks array<{LEVEL}>, state string, needs_resync boolean, breaks int, reason string"
 
 
+def _packed(bids, asks) -> bytes:
+    """Levels as doubles, the number of bids before them: what a batch holds and the state keeps of a delta."""
+    sides = [[] if x is None else x for x in (bids, asks)]
+    return array("d", [len(sides[0]), *(float(x[c]) for xs in sides for x in xs for c in ("price", "quantity"))]).tobytes()
+
+
+def _levels(packed: bytes) -> list[tuple[str, float, float]]:
+    n, *x = array("d", packed)
+    return [("bids" if i < n else "asks", p, q) for i, (p, q) in enumerate(zip(x[::2], x[1::2]))]
+
+
 class Delta(NamedTuple):
     first: int
     final: int
     previous: int | None
-    levels: list[tuple[str, float, float]]
+    levels: list[tuple[str, float, float]] | bytes
+
+    def changes(self) -> list[tuple[str, float, float]]:
+        return _levels(self.levels) if isinstance(self.levels, bytes) else self.levels
 
 
 class Book:
-    """One series' book, as the state holds it between batches."""
+    """One series' book, as the state holds it between batches. Of the deltas that wait, `waiting` has those of this batch;
+    before them stand `stored` (their number and last id), which `replay` reads."""
 
-    def __init__(self, futures: bool, most_waiting: int, state: str = "syncing", last: int | None = None, levels: dict | None = None, waiting: list[Delta] | None = None):
+    def __init__(self, futures: bool, most_waiting: int | None, state: str = "syncing", last: int | None = None, levels: dict | None = None, stored: tuple[int, int | None] = (0, None), replay: Callable[[], Iterable[Delta]] = tuple):
         self.futures, self.most_waiting = futures, most_waiting
-        self.state, self.last, self.levels, self.waiting = state, last, levels or {}, waiting or []
+        self.state, self.last, self.levels, self.waiting = state, last, levels or {}, []
+        self.stored, self.replay = stored, replay
         self.breaks, self.reason = 0, None
+        self.best = {side: self._best(side) for side in ("bids", "asks")}
+
+    def _best(self, side: str) -> float | None:
+        return (max if side == "bids" else min)((p for s, p in self.levels if s == side), default=None)
 
     def _follows(self, last: int, d: Delta) -> bool:
         return d.previous == last if self.futures else d.first <= last + 1
 
     def _break(self, reason: str, waiting: list[Delta]) -> None:
         self.state, self.last, self.reason, self.breaks = "resync", None, reason, self.breaks + 1
-        self.levels, self.waiting = {}, waiting
+        self.levels, self.waiting, self.stored = {}, waiting, (0, None)
+        self.best = {"bids": None, "asks": None}
 
     def _apply(self, d: Delta) -> None:
-        for side, price, quantity in d.levels:
+        gone = set()
+        for side, price, quantity in d.changes():
+            best = self.best[side]
             if quantity > 0:
                 self.levels[side, price] = quantity
-            else:
-                self.levels.pop((side, price), None)
+                if best is None or (price > best if side == "bids" else price < best):
+                    self.best[side] = price
+            elif self.levels.pop((side, price), None) is not None and price == best:
+                gone.add(side)
+        for side in gone:
+            self.best[side] = self._best(side)
         self.state, self.last = "live", d.final
         self._check()
 
     def _check(self) -> None:
-        bids, asks = ([p for s, p in self.levels if s == side] for side in ("bids", "asks"))
-        if not bids or not asks:
+        bid, ask = self.best["bids"], self.best["asks"]
+        if bid is None or ask is None:
             self._break("empty", [])
-        elif max(bids) >= min(asks):
+        elif bid >= ask:
             self._break("crossed", [])
 
     def snapshot(self, last: int, levels: list[tuple[str, float, float]]) -> None:
         """Installs a snapshot where one is awaited, and replays what waited; a book that is live passes it over."""
         if self.state in ("live", "bridging"):
             return
-        waiting, self.waiting = self.waiting, []
+        waiting = chain(self.replay() if self.stored[0] else (), self.waiting)
+        self.waiting, self.stored = [], (0, None)
         self.levels = {(s, p): q for s, p, q in levels if q > 0}
+        self.best = {side: self._best(side) for side in ("bids", "asks")}
         self.state, self.last = "bridging", last
         self._check()
         for d in waiting:
@@ -72,12 +104,12 @@ class Book:
 
     def delta(self, d: Delta) -> None:
         if self.state in ("syncing", "resync"):
-            end = self.waiting[-1].final if self.waiting else None
+            end = self.waiting[-1].final if self.waiting else self.stored[1]
             if end is not None and d.final <= end:
                 return
             if end is not None and not self._follows(end, d):
                 self._break("gap", [d])
-            elif len(self.waiting) >= self.most_waiting:
+            elif self.most_waiting is not None and self.stored[0] + len(self.waiting) >= self.most_waiting:
                 self._break("overflow", [d])
             else:
                 self.waiting.append(d)
@@ -88,7 +120,7 @@ class Book:
                 else:
                     self._break("gap", [d])
         elif d.final == self.last:
-            if any(self.levels.get((s, p), 0.0) != q for s, p, q in dict(((s, p), (s, p, q)) for s, p, q in d.levels).values()):
+            if any(self.levels.get((s, p), 0.0) != q for s, p, q in dict(((s, p), (s, p, q)) for s, p, q in d.changes()).values()):
                 self._break("conflict", [])
         elif d.final > self.last:
             if self._follows(self.last, d):
@@ -101,47 +133,59 @@ class Book:
         return [{"price": p, "quantity": q} for p, q in found]
 
 
-def _levels(bids, asks) -> list[tuple[str, float, float]]:
-    return [(side, float(x["price"]), float(x["quantity"])) for side, xs in (("bids", bids), ("asks", asks)) if xs is not None for x in xs]
+HEAD = ["kind", "first_update_id", "final_update_id", "previous_final_update_id", "arrival"]
+
+
+def _in_order(rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """A batch's events by arrival, their levels packed as they are read."""
+    events = pd.concat([f[HEAD].assign(levels=[_packed(*x) for x in zip(f["bids"], f["asks"])]) for f in rows], ignore_index=True)
+    at = np.argsort(events.pop("arrival").to_numpy(), kind="stable")
+    columns = [events[c].array for c in events.columns]
+    return (tuple(c[i] for c in columns) for i in at)
 
 
 class BookProcessor(StatefulProcessor):
-    def __init__(self, futures: bool, depth: int, most_waiting: int):
+    def __init__(self, futures: bool, depth: int, most_waiting: int | None):
         self.futures, self.depth, self.most_waiting = futures, depth, most_waiting
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.place = handle.getValueState("place", "state string, last bigint")
+        self.place = handle.getValueState("place", "state string, last bigint, stored bigint, end bigint")
         self.levels = handle.getMapState("levels", "side string, price double", "quantity double")
-        self.waiting = handle.getListState("waiting", "first bigint, final bigint, previous bigint, levels string")
+        self.waiting = handle.getListState("waiting", "first bigint, final bigint, previous bigint, levels binary")
+
+    def _replay(self) -> Iterator[Delta]:
+        return (Delta(*x[:3], bytes(x[3])) for x in self.waiting.get())
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = read_map(self.levels)
-        waiting = [Delta(*x[:3], [tuple(y) for y in json.loads(x[3])]) for x in self.waiting.get()] if self.waiting.exists() else []
-        state, last = self.place.get() if self.place.exists() else ("syncing", None)
-        book = Book(self.futures, self.most_waiting, state, last, dict(held), list(waiting))
-        events = pd.concat(list(rows)).sort_values("arrival", kind="stable")
+        state, last, *stored = self.place.get() if self.place.exists() else ("syncing", None, 0, None)
+        book = Book(self.futures, self.most_waiting, state, last, dict(held), tuple(stored), self._replay)
         whole = lambda v: None if pd.isna(v) else int(v)
-        for kind, first, final, previous, bids, asks in zip(*(events[c].tolist() for c in ("kind", "first_update_id", "final_update_id", "previous_final_update_id", "bids", "asks"))):
+        for kind, first, final, previous, levels in _in_order(rows):
             if kind == "snapshot":
-                book.snapshot(int(final), _levels(bids, asks))
+                book.snapshot(int(final), _levels(levels))
             else:
-                book.delta(Delta(int(first), int(final), whole(previous), _levels(bids, asks)))
+                book.delta(Delta(int(first), int(final), whole(previous), levels))
         write_map(self.levels, held, book.levels)
-        if book.waiting != waiting:
+        if stored[0] and not book.stored[0]:
             self.waiting.clear()
-            if book.waiting:
-                self.waiting.put([(d.first, d.final, d.previous, json.dumps(d.levels)) for d in book.waiting])
-        self.place.update((book.state, book.last))
+        n, end = book.stored
+        for i in range(0, len(book.waiting), 1000):
+            self.waiting.appendList([tuple(d) for d in book.waiting[i : i + 1000]])
+        if book.waiting:
+            n, end = n + len(book.waiting), book.waiting[-1].final
+        self.place.update((book.state, book.last, n, end))
         out = pd.DataFrame({"last_update_id": pd.array([book.last], "Int64"), "bids": [book.side("bids", self.depth)], "asks": [book.side("asks", self.depth)], "state": [book.state], "needs_resync": [book.state == "resync"], "breaks": [book.breaks], "reason": [book.reason]})
         for i, c in enumerate(SERIES):
             out.insert(i, c, key[i])
         yield out
 
 
-def stream_book(events: DataFrame, futures: bool = True, depth: int = 1000, most_waiting: int = 10_000) -> DataFrame:
+def stream_book(events: DataFrame, futures: bool = True, depth: int = 1000, most_waiting: int | None = 10_000) -> DataFrame:
     """Each series' book after each batch, in update mode. events: EVENTS, in the order of `arrival`; kind is snapshot (its
     id in final_update_id) or delta. Deltas before a snapshot wait; those already in it go. Futures: a delta's previous id
     is the last final id; spot: its first id is at most one beyond. A gap, a crossed or one-sided book, another content
-    under the last id, or more than most_waiting waiting deltas empty the book (state resync, with the reason and the
-    number of breaks in the batch); the deltas from a gap on wait for the next snapshot. Repeats and older deltas are passed over."""
+    under the last id, or more than most_waiting waiting deltas (None: any number) empty the book (state resync, with the
+    reason and the number of breaks in the batch); the deltas from a gap on wait for the next snapshot. Repeats and older
+    deltas are passed over."""
     return events.groupBy(*SERIES).transformWithStateInPandas(BookProcessor(futures, depth, most_waiting), BOOK, "update", "None")
