@@ -189,28 +189,27 @@ MARKS = "exchange string, market_type string, symbol string, kind string, first_
 
 
 def stream_continuity(events: DataFrame, step: int = 1, remembered: int = 512) -> DataFrame:
-    """Gap and repeat markers of a stream by sequence (ids: step 1; bars: the interval). Corrections pass by."""
+    """Gap and repeat markers of a stream by sequence (ids: step 1; bars: the interval). Corrections pass by. A batch's events
+    count in the order of `arrival`, however many frames a task gets them in."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         high, seen = state.get if state.exists else (None, "[]")
         recent, out = deque(json.loads(seen), remembered), []
         among = set(recent)
-        for f in frames:
-            for r in f.sort_values("arrival").itertuples():
-                if r.correction:
-                    continue
-                s = int(r.sequence)
-                if s in among:
-                    out.append((*key, "repeat", None, None, s))
-                    continue
-                if high is not None and s > high + step:
-                    out.append((*key, "gap", high + step, s - step, s))
-                high = s if high is None else max(high, s)
-                if len(recent) == remembered:
-                    among.discard(recent[0])
-                recent.append(s)
-                among.add(s)
+        # a frame is a slice of what the shuffle brought, so the whole batch is put in order; it keeps two numbers a row
+        events = pd.concat([f.loc[~f["correction"].astype(bool), ["arrival", "sequence"]] for f in frames])
+        for s in events.sort_values("arrival", kind="stable")["sequence"].tolist():
+            if s in among:
+                out.append((*key, "repeat", None, None, s))
+                continue
+            if high is not None and s > high + step:
+                out.append((*key, "gap", high + step, s - step, s))
+            high = s if high is None else max(high, s)
+            if len(recent) == remembered:
+                among.discard(recent[0])
+            recent.append(s)
+            among.add(s)
         state.update((high, json.dumps(list(recent))))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in MARKS.split(", ")]).astype({"first_missing": "Int64", "last_missing": "Int64", "at_sequence": "Int64"})
 
