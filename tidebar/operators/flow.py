@@ -73,15 +73,16 @@ def nice_steps() -> list[float]:
 def volume_profile(trades: DataFrame, max_rows: int) -> DataFrame:
     """Buy and sell volume by price step: the least nice step by which a series has at most max_rows rows.
 
-    One pass counts the rows of the few steps that the price span allows, a second sums."""
+    One pass counts the rows of the few steps that the price span allows, a second sums. The steps are sent to the trades: a
+    join by SERIES would bring all trades of a series to one task."""
     span = trades.groupBy(*SERIES).agg((F.max("price") - F.min("price")).alias("span"), F.max("price").alias("top"))
     steps = F.array(*map(F.lit, nice_steps()))
     least = F.greatest(F.col("span") / max_rows, F.col("top") * 1e-9)
     # a step beyond the highest price holds all in one row, so that a step fits every series
     some = F.concat(F.slice(F.filter(steps, lambda s: s >= least / 2), 1, 4), F.slice(F.filter(steps, lambda s: s > 2 * F.col("top")), 1, 1))
-    tried = span.select(*SERIES, F.explode(F.array_distinct(some)).alias("step"))
+    tried = F.broadcast(span.select(*SERIES, F.explode(F.array_distinct(some)).alias("step")))
     counted = trades.select(*SERIES, "price").distinct().join(tried, SERIES).groupBy(*SERIES, "step").agg(F.count_distinct(F.floor(F.col("price") / F.col("step") + 1e-9)).alias("rows"))
-    chosen = counted.where(F.col("rows") <= max_rows).groupBy(*SERIES).agg(F.min("step").alias("step"))
+    chosen = F.broadcast(counted.where(F.col("rows") <= max_rows).groupBy(*SERIES).agg(F.min("step").alias("step")))
     rows = scalars.enrich_trades(trades).join(chosen, SERIES).withColumn("level", F.floor(F.col("price") / F.col("step") + 1e-9))
     side = lambda s: F.round(F.sum(F.when(F.col("side") == s, F.col("quantity")).otherwise(0.0)), 8)
     return rows.groupBy(*SERIES, "step", "level").agg(side("buy").alias("buy_base"), side("sell").alias("sell_base"), F.count("*").alias("n")).withColumn("price", F.round(F.col("level") * F.col("step"), 8))
