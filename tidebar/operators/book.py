@@ -55,30 +55,46 @@ def book_depth(books: DataFrame) -> DataFrame:
     return levels(books).withColumns({"depth": F.round(F.sum("quantity").over(w.orderBy("rank")), 8), "side_total": F.round(F.sum("quantity").over(w), 8)})
 
 
-def valid_deltas(snapshot: DataFrame, deltas: DataFrame, futures: bool) -> DataFrame:
+def in_stretches(rows: DataFrame, at: str, most: int = 50_000) -> DataFrame:
+    """Adds stretch: a series' rows cut by `at` into stretches of equal width, with about so many rows where `at` is even. So
+    what needs a series in order is done within stretches and then across them, by many tasks."""
+    ends = F.broadcast(rows.groupBy(*SERIES).agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"), F.count("*").alias("_n")))
+    width = F.greatest(F.lit(1.0), F.ceil((F.col("_hi") - F.col("_lo") + 1).cast("double") * most / F.col("_n")))
+    return rows.join(ends, SERIES).withColumn("stretch", F.floor((F.col(at) - F.col("_lo")) / width)).drop("_lo", "_hi", "_n")
+
+
+def valid_deltas(snapshot: DataFrame, deltas: DataFrame, futures: bool, most: int = 50_000) -> DataFrame:
     """The deltas that carry a snapshot on: those already in it go; the first must reach its id, and each must follow the
     last (futures: its previous id is the last one's final id; spot: its first id is at most one beyond). From the first
-    break on a series has none, and broken says so."""
-    s = snapshot.select(*SERIES, F.col("last_update_id").alias("base"))
-    rows = deltas.join(s, SERIES).where(F.col("final_update_id") > F.col("base"))
-    w = Window.partitionBy(*SERIES).orderBy("final_update_id")
-    before = F.lag("final_update_id").over(w)
+    break on a series has none, and broken says so. Neighbours are found within stretches of ids (most: see in_stretches); a
+    stretch's first delta gets its neighbour, and the breaks before it, from one narrow row a stretch."""
+    s = F.broadcast(snapshot.select(*SERIES, F.col("last_update_id").alias("base")))
+    rows = in_stretches(deltas.join(s, SERIES).where(F.col("final_update_id") > F.col("base")), "final_update_id", most)
+    across = Window.partitionBy(*SERIES).orderBy("stretch")
+    tails = rows.groupBy(*SERIES, "stretch").agg(F.max("final_update_id").alias("tail"))
+    tails = F.broadcast(tails.select(*SERIES, "stretch", F.lag("tail").over(across).alias("carried")))
+    w = Window.partitionBy(*SERIES, "stretch").orderBy("final_update_id")
+    before = F.coalesce(F.lag("final_update_id").over(w), "carried")
     first_ok = F.col("first_update_id") <= F.col("base") + 1
     if futures:
         first_ok = first_ok | F.coalesce(F.col("previous_final_update_id") == F.col("base"), F.lit(False))
     follows = (F.col("previous_final_update_id") == before) if futures else (F.col("first_update_id") <= before + 1)
-    rows = rows.withColumn("bad", F.when(before.isNull(), ~first_ok).otherwise(~F.coalesce(follows, F.lit(False))))
-    rows = rows.withColumn("broken", F.max(F.col("bad").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1)
-    return rows.drop("bad")
+    rows = rows.join(tails, [*SERIES, "stretch"]).withColumn("bad", F.when(before.isNull(), ~first_ok).otherwise(~F.coalesce(follows, F.lit(False))))
+    first_bad = F.broadcast(rows.where("bad").groupBy(*SERIES).agg(F.min("stretch").alias("first_bad")))
+    so_far = F.max(F.col("bad").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1
+    rows = rows.withColumn("so_far", so_far).join(first_bad, SERIES, "left")
+    return rows.withColumn("broken", F.col("so_far") | F.coalesce(F.col("stretch") > F.col("first_bad"), F.lit(False))).drop("bad", "so_far", "first_bad", "carried", "stretch")
 
 
 def rebuild_book(snapshot: DataFrame, deltas: DataFrame, futures: bool = True, depth: int = 1000) -> DataFrame:
     """The book after all deltas: the last quantity of each price counts, zero deletes it. A broken or crossed book is
-    empty and needs a new snapshot (needs_resync)."""
-    rows = valid_deltas(snapshot, deltas, futures)
-    state = rows.groupBy(*SERIES).agg(F.max("broken").alias("broken"), F.max("final_update_id").alias("last_id"))
+    empty and needs a new snapshot (needs_resync). Only ids are put in order; levels stay where they are read until each
+    task has its last of each price."""
+    ids = valid_deltas(snapshot, deltas.drop("bids", "asks"), futures)
+    state = ids.groupBy(*SERIES).agg(F.max("broken").alias("broken"), F.max("final_update_id").alias("last_id"))
+    whole = F.broadcast(state.where(~F.col("broken")).join(snapshot.select(*SERIES, F.col("last_update_id").alias("base")), SERIES).select(*SERIES, "base"))
     change = lambda d, at: levels(d.withColumn("last_update_id", at).select(*SERIES, "last_update_id", "bids", "asks"))
-    all_ = change(snapshot, F.col("last_update_id")).unionByName(change(rows.where(~F.col("broken")), F.col("final_update_id")))
+    all_ = change(snapshot, F.col("last_update_id")).unionByName(change(deltas.join(whole, SERIES).where(F.col("final_update_id") > F.col("base")), F.col("final_update_id")))
     # of two quantities for a price in one update, the one further on holds
     last = all_.groupBy(*SERIES, "side", "price").agg(F.max_by("quantity", F.struct("last_update_id", "rank")).alias("quantity")).where("quantity > 0")
     sign = F.when(F.col("side") == "bids", -1).otherwise(1)

@@ -150,9 +150,15 @@ def agg10_book_window(spark, sf):
 
 def numbered_deltas(spark, sf):
     """(snapshot, deltas): each series' first book, and the others as updates of it, numbered without gaps."""
-    rows = books(spark, sf)
-    w = Window.partitionBy(*SERIES).orderBy("last_update_id")
-    numbered = rows.withColumns({"id": F.row_number().over(w), "price0": F.first(F.get("bids", F.lit(0))["price"]).over(w)})
+    path = work_dir(spark)
+    books(spark, sf).write.parquet(f"{path}/books")  # read several times, mostly for ids alone
+    rows = book.in_stretches(spark.read.parquet(f"{path}/books"), "last_update_id")
+    counts = rows.groupBy(*SERIES, "stretch").agg(F.count("*").alias("n"))
+    begin = F.coalesce(F.sum("n").over(Window.partitionBy(*SERIES).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = F.broadcast(counts.select(*SERIES, "stretch", begin.alias("begin")))
+    heads = F.broadcast(rows.groupBy(*SERIES).agg(F.min_by(F.get("bids", F.lit(0))["price"], "last_update_id").alias("price0")))
+    nth = F.row_number().over(Window.partitionBy(*SERIES, "stretch").orderBy("last_update_id"))
+    numbered = rows.join(counts, [*SERIES, "stretch"]).join(heads, SERIES).withColumn("id", F.col("begin") + nth)
     shift = lambda s, sign: F.transform(s, lambda x: F.struct((F.col("price0") + sign * (F.pmod(x["price"], F.lit(500.0)) + 1)).alias("price"), x["quantity"].alias("quantity")))
     numbered = numbered.withColumns({"bids": shift("bids", -1), "asks": shift("asks", 1)})
     snapshot = numbered.where("id = 1").select(*SERIES, F.lit(1).cast("bigint").alias("last_update_id"), "bids", "asks")
