@@ -3,7 +3,10 @@ order per key is keyed state (see keyed.py)."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -111,32 +114,43 @@ def merge_amendments(stored: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 class FirstEnvelopes(StatefulProcessor):
-    """The content first seen under each event id. Ids are dealt to buckets, so that a call serves many; of a bucket's map a
-    batch reads and writes its own ids alone. Where ids expire, a timer in event time clears a bucket once in keep_ms."""
+    """The content first seen under each event id. Ids are dealt to buckets, so that a call serves many, and a bucket's ids to
+    slots, each of which is one value of the bucket's map: so a batch reads and writes the slots of its own ids, each once,
+    and a call to the state serves all ids of a slot. Where ids expire, a timer in event time clears a bucket once in keep_ms."""
 
     def __init__(self, columns: list[str], keep_ms: int | None):
         self.columns, self.keep_ms = columns, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.first = handle.getMapState("first", "kafka_topic string, event_id string", "envelope_sha256 string, seen bigint")
+        self.first = handle.getMapState("first", "slot bigint", "entries string")
+
+    def _entries(self, slot: int) -> dict[str, dict[str, list]]:
+        """topic: id: hash of the content, time seen."""
+        held = self.first.getValue((slot,)) if self.first.containsKey((slot,)) else None
+        return json.loads(held[0]) if held else {}
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["kafka_partition", "kafka_offset"], kind="stable")
+        events = pd.concat(list(rows)).sort_values(["slot", "kafka_partition", "kafka_offset"], kind="stable")
         floor = timerValues.getCurrentWatermarkInMs() - self.keep_ms if self.keep_ms is not None else None
-        known: dict[tuple, str] = {}
         kinds, firsts = [], []
-        for topic, event, sha, seen in zip(events["kafka_topic"], events["event_id"], events["envelope_sha256"], events["seen"]):
-            k = (topic, event)
-            new = False
-            if k not in known:
-                held = self.first.getValue(k) if self.first.containsKey(k) else None
-                new = held is None or (floor is not None and held[1] <= floor)
+        name = lambda v: "" if v is None else f"={v}"
+        for slot, part in groupby(zip(*(events[c].tolist() for c in ("slot", "kafka_topic", "event_id", "envelope_sha256", "seen"))), itemgetter(0)):
+            entries, known, changed = self._entries(slot), set(), False
+            for _, topic, event, sha, seen in part:
+                topic, event = name(topic), name(event)
+                ids = entries.setdefault(topic, {})
+                held = ids.get(event)
+                # what this batch has seen counts as it stands, however late it is
+                new = held is None or (floor is not None and held[1] <= floor and (topic, event) not in known)
+                known.add((topic, event))
                 if new:
-                    self.first.updateValue(k, (sha, int(seen)))
-                known[k] = sha if new else held[0]
-            kinds.append("fact" if new else "repeat" if sha == known[k] else "conflict")
-            firsts.append(known[k])
+                    held, changed = ids.setdefault(event, [sha, seen]), True
+                    held[:] = sha, seen
+                kinds.append("fact" if new else "repeat" if sha == held[0] else "conflict")
+                firsts.append(held[0])
+            if changed:
+                self.first.updateValue((slot,), (json.dumps(entries, separators=(",", ":")),))
         if self.keep_ms is not None and not list(self.handle.listTimers()):
             self.handle.registerTimer(max(int(events["seen"].max()), timerValues.getCurrentWatermarkInMs()) + self.keep_ms + 1)
         out = events[self.columns].assign(kind=kinds, first_sha256=firsts)
@@ -144,24 +158,32 @@ class FirstEnvelopes(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now, left = timerValues.getCurrentWatermarkInMs(), False
-        for k, (_, seen) in list(self.first.iterator()):
-            if seen + self.keep_ms <= now:
-                self.first.removeKey(tuple(k))
-            else:
-                left = True
+        for (slot,) in list(self.first.keys()):
+            entries = self._entries(slot)
+            kept = {topic: alive for topic, ids in entries.items() if (alive := {k: x for k, x in ids.items() if x[1] + self.keep_ms > now})}
+            if not kept:
+                self.first.removeKey((slot,))
+            elif kept != entries:
+                self.first.updateValue((slot,), (json.dumps(kept, separators=(",", ":")),))
+            left = left or bool(kept)
         if left:
             self.handle.registerTimer(now + self.keep_ms)
         return iter(())
 
 
+#: Slots of a bucket: few enough that a large batch makes few calls, and so many that a small one reads little beside its ids.
+SLOTS = 256
+
+
 def stream_first_envelopes(stream: DataFrame, schema: str, buckets: int = 4096, keep_ms: int | None = None, lateness: str = "1 minute") -> DataFrame:
     """The events of a stream that are the first under their (topic, id), as facts, and those whose content differs from it, as
-    conflicts (kind, first_sha256). What is known of an id is keyed state: a batch reads its own ids only, however many
-    facts there are; keep_ms: an id is forgotten once the watermark of event_time_ms is so far beyond it. The state store
-    must be RocksDB (see session.py)."""
+    conflicts (kind, first_sha256). What is known of an id is keyed state: a batch reads the slots of its own ids only;
+    keep_ms: an id is forgotten once the watermark of event_time_ms is so far beyond it. The state store must be RocksDB
+    (see session.py)."""
     columns = [c.split()[0] for c in schema.split(", ")]
     seen = F.col("event_time_ms") if keep_ms is not None else F.lit(0).cast("bigint")
-    rows = stream.select(*columns, seen.alias("seen"), F.pmod(F.xxhash64("kafka_topic", "event_id"), F.lit(buckets)).alias("bucket"))
+    place = F.pmod(F.xxhash64("kafka_topic", "event_id"), F.lit(buckets * SLOTS))
+    rows = stream.select(*columns, seen.alias("seen"), (place % buckets).alias("bucket"), F.floor(place / buckets).alias("slot"))
     if keep_ms is not None:
         rows = rows.withColumn("at", F.timestamp_millis("seen")).withWatermark("at", lateness)
     return rows.groupBy("bucket").transformWithStateInPandas(FirstEnvelopes(columns, keep_ms), f"{schema}, kind string, first_sha256 string", "append", "None" if keep_ms is None else "EventTime")
