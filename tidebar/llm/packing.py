@@ -70,9 +70,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, id_c
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = tokens.encoder(tokenizer), np.array([end_id], np.uint32)
-        for batch in common.slices(batches, 1):
+        for batch in common.slices(batches, 1, rows=tokens.ROWS):
             rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist())):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1))):
                 ids = np.concatenate([ids, end]).astype("<u4")
                 rows += [(doc_id, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cuts(len(ids), capacity))]
             columns = list(zip(*rows)) or [[]] * 5

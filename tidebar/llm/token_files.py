@@ -69,8 +69,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, se
             data = pack_segment(names, parts, block)
             return pa.RecordBatch.from_pydict({"file": pa.array([file], pa.int32()), "segment": pa.array([segment], pa.int32()), "n_docs": pa.array([len(names)], pa.int64()), "n_tokens": pa.array([held], pa.int64()), "data": pa.array([data], pa.binary())})
 
-        for batch in common.slices(batches, 1):
-            got = coder.encode(batch.column(1).to_pylist())
+        for batch in common.slices(batches, 1, rows=tokens.ROWS):
+            got = coder.encode(batch.column(1))
             for name, ids in zip(batch.column(0).to_pylist(), got):
                 if names and held + len(ids) + 1 > segment_ids:
                     yield flush()
