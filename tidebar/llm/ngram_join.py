@@ -41,6 +41,8 @@ MANY = 65535  # stands for the frequency of an n-gram met in very many texts
 EDGES = (3, 5, 17)  # least frequency of every fragment of the global order but the first
 BITS = [f"bits{i}" for i in range(8)]
 SIDE = ["cls", "n", "alone", *BITS]
+#: Pairs whose classes are broadcast, of 16 bytes each.
+MOST_SENT = 50_000
 _U = np.uint64
 
 
@@ -257,6 +259,14 @@ def _links(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     return got.where((100 + percent) * F.col("shared") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
+def _of_pairs(grams: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of grams that pairs need. Where pairs are few, their classes are sent to grams, which then need not move."""
+    if pairs.count() > MOST_SENT:
+        return grams
+    ids = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+    return grams.join(F.broadcast(ids), "cls", "left_semi")
+
+
 def _prepared(docs: DataFrame, width: int, percent: int, fragment_grams: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sets, classes, grams): the documents' sets, the classes of equal sets, and the classes that can have links."""
     docs = _texts(docs, id_col, text_col)
@@ -286,6 +296,7 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 75, fragment_gr
     fragment_grams bounds the n-grams that one task of a fragment holds."""
     spark = docs.sparkSession
     sets, classes, grams = _prepared(docs, width, percent, fragment_grams, id_col, text_col)
+    common.forget_shuffles(spark)
     links, used = _all_links(spark, grams, percent)
     roots = common.connected_components(links)
     named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
@@ -299,9 +310,11 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 75, fragment_gr
 
 def _all_links(spark: SparkSession, grams: DataFrame, percent: int, pivots: int = 2) -> tuple[DataFrame, list[DataFrame]]:
     """Links between classes that give the same components as all links do (a, b), and the tables kept for them. What is
-    joined by n-gram is written first, so that the rows of a common one can be split by Spark's adaptive skew join."""
+    joined by n-gram is written first, so that the rows of a common one can be split by Spark's adaptive skew join. Postings
+    travel without parity bits: a pivot gives at most a pair per posting, so the bits are joined to the distinct pairs."""
     used = []
-    post = grams.select(F.explode(F.slice("grams", F.lit(1), F.col("k"))).alias("h"), F.col("cls").alias("own"), F.struct(*SIDE).alias("x"))
+    post = grams.select(F.explode(F.slice("grams", F.lit(1), F.col("k"))).alias("h"), F.col("cls").alias("own"), "n")
+    sides = grams.select("cls", F.struct(*SIDE).alias("x"))
     found = spark.createDataFrame([], "a long, b long")
     done = spark.createDataFrame([], "a long, b long")
     for turn in range(pivots + 1):
@@ -316,16 +329,21 @@ def _all_links(spark: SparkSession, grams: DataFrame, percent: int, pivots: int
         else:
             open_ = post.withColumn("root", F.col("own"))
         if turn < pivots:
-            pivot = open_.groupBy("h").agg(F.count("*").alias("c"), F.min_by(F.struct(F.col("x").alias("y"), F.col("root").alias("other")), F.xxhash64("own", "h", F.lit(turn))).alias("p")).where("c > 1").select("h", "p.y", "p.other")
+            pivot = open_.groupBy("h").agg(F.count("*").alias("c"), F.min_by(F.struct(F.col("own").alias("y"), F.col("n").alias("ny"), F.col("root").alias("other")), F.xxhash64("own", "h", F.lit(turn))).alias("p")).where("c > 1").select("h", "p.*")
             pivot = common.keep(pivot, "pivot")
             used.append(pivot)
-            rows = open_.join(pivot, "h").where((F.col("root") != F.col("other")) & _may_link(percent))
+            near = (F.col("root") != F.col("other")) & (F.col("own") != F.col("y")) & (100 * F.least("n", "ny") >= percent * F.greatest("n", "ny"))
+            pairs = open_.join(pivot, "h").where(near).select(F.least("own", "y").alias("a"), F.greatest("own", "y").alias("b")).distinct()
+            x, y = (sides.select(F.col("cls").alias(c), F.col("x").alias(name)) for c, name in (("a", "x"), ("b", "y")))
+            rows = pairs.join(x, "a").join(y, "b").where(_may_link(percent))
+            pairs = rows.select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
         else:
-            other = open_.select("h", F.col("x").alias("y"), F.col("root").alias("other"))
-            rows = open_.join(other, "h").where((F.col("root") < F.col("other")) & _may_link(percent))
-        pairs = common.keep(_paired(rows).join(done, ["a", "b"], "left_anti"), "pairs")
+            side = open_.join(sides.withColumnRenamed("cls", "own"), "own").select("h", "x", "root")
+            other = side.select("h", F.col("x").alias("y"), F.col("root").alias("other"))
+            pairs = _paired(side.join(other, "h").where((F.col("root") < F.col("other")) & _may_link(percent)))
+        pairs = common.keep(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         done = done.union(pairs.select("a", "b"))
-        links = common.keep(_links(pairs, grams, percent), "links")
+        links = common.keep(_links(pairs, _of_pairs(grams, pairs), percent), "links")
         used += [pairs, links]
         found = found.union(links)
     return found, used
