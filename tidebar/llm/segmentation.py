@@ -62,6 +62,8 @@ class Lattices:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         self.spelled = [b"" if model.is_control(i) else bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
+        self.spelled_n = np.fromiter(map(len, self.spelled), np.int64, n)
+        self.spelled_at, self.spelled_flat = np.cumsum(self.spelled_n) - self.spelled_n, np.frombuffer(b"".join(self.spelled), np.uint8)
         self.pieces = {model.id_to_piece(i): (i, temperature * model.get_score(i)) for i in range(n) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))}
         self.bytes = {self.spelled[i][0]: i for i in range(n) if model.is_byte(i)}
         self.byte_cost = temperature * min(model.get_score(i) for i in range(n) if not model.is_control(i))
@@ -71,6 +73,9 @@ class Lattices:
         self.hashes, self.ids, self.scores = (np.array(c, t) for c, t in zip(zip(*by_hash), (_U, np.int32, np.float64)))
         self.perhaps = np.zeros(1 << 18, bool)
         self.perhaps[self.hashes >> _U(46)] = True
+        self.first = np.zeros(1 << 16, np.int32)
+        self.share, self.upto, self.weight = (np.zeros(1 << 16) for _ in range(3))
+        self.piece, self.next = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.clear()
 
     @staticmethod
@@ -82,10 +87,7 @@ class Lattices:
 
     def clear(self) -> None:
         self.known = Known()
-        self.nodes, self.options = 1, 0
-        self.first = np.zeros(1 << 16, np.int32)
-        self.share, self.upto, self.weight = (np.zeros(1 << 16) for _ in range(3))
-        self.piece, self.next = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.nodes, self.options = 1, 0  # the arrays stay, and are written anew
         self.spelt: dict[str, int] = {}  # character without a piece -> its number beyond the model's pieces
         self.by_bytes: list[list[int]] = []
 
@@ -189,7 +191,12 @@ class Lattices:
         if 32 * self.options + 4 * self.nodes + workers.ENTRY * len(self.known) > self.limit:
             self.clear()
         self.known.nodes = self.nodes
-        got = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        try:  # each distinct word is looked up once
+            coded = pa.array(words, pa.string()).dictionary_encode()
+            distinct, which = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy()
+        except UnicodeEncodeError:  # half of a surrogate pair, which Arrow does not take
+            distinct, which = words, np.arange(len(words))
+        got = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[which]
         if self.known.fresh:
             self._build(self.known.fresh)
             self.known.fresh = []
@@ -373,7 +380,9 @@ def sample_texts(lat: Lattices, keys: list[int], texts: list[str | None], k: int
 
 def decode_pieces(lat: Lattices, ids: np.ndarray) -> bytes:
     """The text's bytes: the pieces in turn, without the first space, which encoding adds."""
-    data = b"".join(map(lat.spelled.__getitem__, ids.tolist()))
+    n = lat.spelled_n[ids]
+    upto = np.cumsum(n)
+    data = lat.spelled_flat[np.repeat(lat.spelled_at[ids] - upto + n, n) + np.arange(upto[-1])].tobytes() if len(ids) else b""
     return data[1:] if data[:1] == b" " else data
 
 
