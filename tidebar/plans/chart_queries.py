@@ -160,7 +160,9 @@ def numbered_deltas(spark, sf):
     nth = F.row_number().over(Window.partitionBy(*SERIES, "stretch").orderBy("last_update_id"))
     numbered = rows.join(counts, [*SERIES, "stretch"]).join(heads, SERIES).withColumn("id", F.col("begin") + nth)
     shift = lambda s, sign: F.transform(s, lambda x: F.struct((F.col("price0") + sign * (F.pmod(x["price"], F.lit(500.0)) + 1)).alias("price"), x["quantity"].alias("quantity")))
-    numbered = numbered.withColumns({"bids": shift("bids", -1), "asks": shift("asks", 1)})
+    # numbered once, for all that read snapshot or deltas
+    numbered.select(*SERIES, "id", shift("bids", -1).alias("bids"), shift("asks", 1).alias("asks")).write.parquet(f"{path}/numbered")
+    numbered = spark.read.parquet(f"{path}/numbered")
     snapshot = numbered.where("id = 1").select(*SERIES, F.lit(1).cast("bigint").alias("last_update_id"), "bids", "asks")
     deltas = numbered.where("id > 1").select(*SERIES, F.col("id").cast("bigint").alias("first_update_id"), F.col("id").cast("bigint").alias("final_update_id"), (F.col("id") - 1).cast("bigint").alias("previous_final_update_id"), "bids", "asks")
     return snapshot, deltas

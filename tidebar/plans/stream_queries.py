@@ -224,14 +224,15 @@ def str12_stream_book(spark, sf):
     """Deltas wait for their snapshot, one is lost on the way, and a second snapshot, of the book up to beyond the loss, arrives
     after the deltas that follow it: the book comes to what all deltas give. As many wait as the table has between the two."""
     snapshot, deltas = numbered_deltas(spark, sf)
-    last = deltas.groupBy(*SERIES).agg(F.max("final_update_id").alias("n"))
+    last = F.broadcast(deltas.groupBy(*SERIES).agg(F.max("final_update_id").alias("n")))
     lost, seen, late = F.floor(F.col("n") / 3), F.floor(F.col("n") / 2), F.floor(F.col("n") * 3 / 4)
     rows = deltas.join(last, SERIES)
-    again = book.rebuild_book(snapshot, rows.where(F.col("final_update_id") <= seen)).join(last, SERIES)
+    again = f"{work_dir(spark)}/again"  # read with each part that arrives
+    book.rebuild_book(snapshot, rows.where(F.col("final_update_id") <= seen)).join(last, SERIES).write.parquet(again)
     none = F.lit(None).cast("bigint")
     shot = lambda rows, arrival: rows.select(*SERIES, F.lit("snapshot").alias("kind"), none.alias("first_update_id"), F.col("last_update_id").alias("final_update_id"), none.alias("previous_final_update_id"), "bids", "asks", arrival.cast("bigint").alias("arrival"), (arrival / F.col("n")).alias("share"))
     sent = rows.where(F.col("final_update_id") != lost).select(*SERIES, F.lit("delta").alias("kind"), "first_update_id", "final_update_id", "previous_final_update_id", "bids", "asks", (F.col("final_update_id") * 2).alias("arrival"), (F.col("final_update_id") * 2 / F.col("n")).alias("share"))
-    events = sent.unionByName(shot(snapshot.join(last, SERIES), F.lit(21))).unionByName(shot(again, late * 2 + 1))
+    events = sent.unionByName(shot(snapshot.join(last, SERIES), F.lit(21))).unionByName(shot(spark.read.parquet(again), late * 2 + 1))
     out = latest(replayed(events, F.col("share"), lambda e: books.stream_book(e.drop("share"), most_waiting=None), "update"), SERIES)
     notional = F.aggregate("bids", F.lit(0.0), lambda s, x: s + x["price"] * x["quantity"])
     return out.select("symbol", "last_update_id", F.size("bids").alias("bid_levels"), F.size("asks").alias("ask_levels"), F.round(notional, 4).alias("bid_notional"), "needs_resync", "state")
