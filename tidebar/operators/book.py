@@ -13,10 +13,10 @@ MOST_TICKS = 1000
 def levels(books: DataFrame) -> DataFrame:
     """One row per level: side, rank from the best, price, quantity. Both sides in one pass, so that rows stay where they are."""
     keys = [c for c in books.columns if c not in ("bids", "asks")]
-    side = lambda s: F.transform(s, lambda x, i: F.struct(F.lit(s).alias("side"), i.alias("rank"), x["price"].alias("price"), x["quantity"].alias("quantity")))
-    none = F.array().cast("array<struct<side:string,rank:int,price:double,quantity:double>>")
-    both = F.concat(*[F.coalesce(side(s), none) for s in ("bids", "asks")])
-    return books.select(*keys, F.explode(both).alias("x")).select(*keys, "x.*")
+    # a generator is compiled, a function over an array is not
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("levels")) for s in ("bids", "asks")])
+    rows = books.select(*keys, F.explode(sides).alias("s")).select(*keys, F.col("s.side").alias("side"), F.posexplode("s.levels").alias("rank", "x"))
+    return rows.select(*keys, "side", "rank", *[F.col("x")[c].cast("double").alias(c) for c in ("price", "quantity")])
 
 
 def auto_step(mid: Column, tick: Column) -> Column:
@@ -95,8 +95,9 @@ def rebuild_book(snapshot: DataFrame, deltas: DataFrame, futures: bool = True, d
     whole = F.broadcast(state.where(~F.col("broken")).join(snapshot.select(*SERIES, F.col("last_update_id").alias("base")), SERIES).select(*SERIES, "base"))
     change = lambda d, at: levels(d.withColumn("last_update_id", at).select(*SERIES, "last_update_id", "bids", "asks"))
     all_ = change(snapshot, F.col("last_update_id")).unionByName(change(deltas.join(whole, SERIES).where(F.col("final_update_id") > F.col("base")), F.col("final_update_id")))
-    # of two quantities for a price in one update, the one further on holds
-    last = all_.groupBy(*SERIES, "side", "price").agg(F.max_by("quantity", F.struct("last_update_id", "rank")).alias("quantity")).where("quantity > 0")
+    # of two quantities for a price in one update, the one further on holds; a number, unlike a struct, is compared in a hash table
+    place = F.col("last_update_id").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("rank").cast("decimal(10,0)")
+    last = all_.groupBy(*SERIES, "side", "price").agg(F.max_by("quantity", place).alias("quantity")).where("quantity > 0")
     sign = F.when(F.col("side") == "bids", -1).otherwise(1)
     nth = F.row_number().over(Window.partitionBy(*SERIES, "side").orderBy(sign * F.col("price")))
     last = last.withColumn("rank", nth).where(F.col("rank") <= depth)

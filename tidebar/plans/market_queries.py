@@ -368,8 +368,8 @@ def books(spark, sf):
     items = read(spark, sf, "lineitem")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-items.count() // TASK_LINES))
     lines = items.select("l_orderkey", "l_linenumber", "l_quantity").repartition(parts, "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_set(F.struct(F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q")))).alias("x"))
-    rows = read(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice").repartition(parts, "o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    side = lambda sign: F.transform("x", lambda l: F.struct((F.round(F.col("o_totalprice"), 0) + sign * l["n"] * 7).alias("price"), l["q"].alias("quantity")))
+    rows = read(spark, sf, "orders").select("o_orderkey", "o_orderpriority", F.round("o_totalprice", 0).alias("mid")).repartition(parts, "o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    side = lambda sign: F.transform("x", lambda l: F.struct((F.col("mid") + sign * l["n"] * 7).alias("price"), l["q"].alias("quantity")))
     return rows.select(F.lit("sim").alias("exchange"), F.lit("spot").alias("market_type"), F.col("o_orderpriority").alias("symbol"), F.col("o_orderkey").alias("last_update_id"), side(-1).alias("bids"), side(1).alias("asks"))
 
 

@@ -30,8 +30,8 @@ PACKED = "exchange string, market_type string, symbol string, events binary"
 HEAD = ["shot", "first_update_id", "final_update_id", "previous_final_update_id", "arrival", "n_bids", "n_levels"]
 #: A null id, and the arrival of an event that has none: behind all others.
 NONE, LATEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
-#: Levels of a piece of what waits, and deltas that are taken one by one.
-PIECE, FEW = 1 << 16, 8
+#: Events that are put in order at a time, levels of a piece of what waits, and deltas that are taken one by one.
+STEP, PIECE, FEW = 50_000, 1 << 16, 8
 
 
 class Delta(NamedTuple):
@@ -296,22 +296,19 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(column(c).take(first) for c in SERIES), packed], [*SERIES, "events"])
 
 
-def _merged(runs: list[Run]) -> Run:
-    run = Run.joined(runs)
-    return run if len(runs) == 1 else run.take(np.argsort(run.arrival, kind="stable"))
-
-
 def _in_order(runs: list[Run]) -> Iterator[Run]:
-    """A batch's events by arrival; only runs that overlap are put together and sorted."""
-    group, end = [], None
-    for run in sorted(runs, key=lambda r: r.arrival[0]):
-        if group and run.arrival[0] > end:
-            yield _merged(group)
-            group = []
-        end = max(end, run.arrival[-1]) if group else run.arrival[-1]
-        group.append(run)
-    if group:
-        yield _merged(group)
+    """A batch's events by arrival, STEP of them at a time. Each run is in order, so only its part of a step is read."""
+    starts = np.unique(np.sort(np.concatenate([r.arrival for r in runs]))[::STEP])
+    at = [0] * len(runs)
+    for end in [*starts[1:].tolist(), None]:
+        parts = []
+        for k, run in enumerate(runs):
+            to = len(run) if end is None else int(np.searchsorted(run.arrival, end))
+            if to > at[k]:
+                parts.append(run.cut(at[k], to))
+            at[k] = to
+        step = Run.joined(parts)
+        yield step if len(parts) == 1 else step.take(np.argsort(step.arrival, kind="stable"))
 
 
 def _pieces(waiting: list[Delta | Run]) -> Iterator[bytes]:
